@@ -78,11 +78,11 @@ def classify(fields: Column) -> Column:
     scored = F.sort_array(
         F.array(
             *[
-                F.struct(
-                    (marker_hits(fields, family) / F.lit(float(len(markers)))).alias("share"),
-                    marker_hits(fields, family).alias("hits"),
-                    F.lit(-i).alias("tie"),
-                    F.lit(family).alias("kind"),
+                F.named_struct(
+                    F.lit("share"), marker_hits(fields, family) / F.lit(float(len(markers))),
+                    F.lit("hits"), marker_hits(fields, family),
+                    F.lit("tie"), F.lit(-i),
+                    F.lit("kind"), F.lit(family),
                 )
                 for i, (family, markers) in enumerate(MARKERS.items())
             ]
@@ -91,11 +91,11 @@ def classify(fields: Column) -> Column:
     )
     best, second = F.element_at(scored, 1), F.element_at(scored, 2)
     known = best["hits"] > 0
-    return F.struct(
-        F.when(known, best["kind"]).otherwise("unknown").alias("kind"),
-        F.when(known, F.round(best["share"], 3)).otherwise(0.0).alias("confidence"),
-        F.when(known, best["hits"]).otherwise(0).alias("hits"),
-        F.when(known, best["share"] - second["share"]).otherwise(0.0).alias("margin"),
+    return F.named_struct(
+        F.lit("kind"), F.when(known, best["kind"]).otherwise("unknown"),
+        F.lit("confidence"), F.when(known, F.round(best["share"], 3)).otherwise(0.0),
+        F.lit("hits"), F.when(known, best["hits"]).otherwise(0),
+        F.lit("margin"), F.when(known, best["share"] - second["share"]).otherwise(0.0),
     )
 
 

@@ -72,7 +72,7 @@ def log_health(logs: DataFrame, now: Column) -> DataFrame:
 
 def task_counts(tasks: DataFrame) -> DataFrame:
     """Tasks per run and status, one column per status."""
-    pivot = tasks.groupBy("run_id").pivot("status", list(STATUSES)).agg(F.count("*"))
+    pivot = tasks.groupBy("run_id").pivot("status", list(STATUSES)).agg(F.count(F.lit(1)))
     return pivot.fillna(0, list(STATUSES))
 
 

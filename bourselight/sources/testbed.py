@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Landed money figures are in rupees; the factor keeps results in crore away from rounding ties.
-RUPEES = 1234567.0
+RUPEES = 1234567.89
 
 # The date that trailing figures look back from.
 AS_OF = "2000-06-30"
@@ -43,7 +43,7 @@ STATEMENT_FIELDS = {
 }
 
 BASIC_FIELDS = {
-    "pl": {"ebitda": "e - q * 500", "dividendPayout": "d / 100 / 1234567"},
+    "pl": {"ebitda": "e - q * 500", "dividendPayout": "d / 100 / 1234567.89"},
     "bs": {"totalDebt": "d * 2000", "totalCash": "t * 1000", "reserves": "q * 3"},
     "cf": {"operatingCashFlow": "e * 2", "fcf": "e - q * 900", "netCashFlow": "e - d"},
 }
@@ -147,7 +147,7 @@ class Testbed:
         """Price from the part, sizes and the year's extremes from its order lines; one figure may be missing."""
         price = F.col("l_extendedprice") / F.col("l_quantity")
         traded = self.table("lineitem").groupBy("l_partkey").agg(
-            (_decimal_sum("l_extendedprice") / 200).alias("cap"),
+            (_decimal_sum("l_extendedprice") / 199).alias("cap"),
             _decimal_sum("l_quantity").alias("volume"),
             F.max(price).alias("high52"),
             F.min(price).alias("low52"),
@@ -256,11 +256,11 @@ class Testbed:
             _text("o_custkey").alias("symbol"), status.alias("statement_type"),
             F.col("o_orderdate").cast("date").alias("quote_date"),
         ).agg(
-            F.when(F.max("o_orderkey") % 10 != 0, F.max(total) / 10000).alias("pe"),
-            (F.min(total) / 200000).alias("pb"),
-            (F.min(total) / 100000).alias("ptb"),
-            (F.max(total) / 50000).alias("ps"),
-            (F.max(total) / 20000).alias("pfcf"),
+            F.when(F.max("o_orderkey") % 10 != 0, F.max(total) / 10007).alias("pe"),
+            (F.min(total) / 200003).alias("pb"),
+            (F.min(total) / 100003).alias("ptb"),
+            (F.max(total) / 50021).alias("ps"),
+            (F.max(total) / 20011).alias("pfcf"),
         )
 
     @cached_property
@@ -332,9 +332,9 @@ class Testbed:
         return self._nation_orders.groupBy("index_symbol", F.col("o_orderdate").cast("date").alias("quote_date")).agg(
             F.max(total).alias("close_price"),
             (F.min("c_acctbal") / 100).alias("change_pct"),
-            F.when(F.max("o_orderkey") % 7 != 0, F.max(total) / 20000).otherwise(0.0).alias("pe"),
-            F.when(F.max("o_orderkey") % 7 != 0, F.max(total) / 100000).otherwise(0.0).alias("pb"),
-            (F.min(total) / 100000).alias("div_yield"),
+            F.when(F.max("o_orderkey") % 7 != 0, F.max(total) / 20011).otherwise(0.0).alias("pe"),
+            F.when(F.max("o_orderkey") % 7 != 0, F.max(total) / 100003).otherwise(0.0).alias("pb"),
+            (F.min(total) / 100003).alias("div_yield"),
             F.when(F.min("o_orderkey") % 5 != 0, F.max(total) * 10).otherwise(0.0).alias("market_cap"),
         )
 

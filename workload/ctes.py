@@ -53,7 +53,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS symbol,
   CASE WHEN p_size % 17 <> 0 THEN cap END AS market_cap, volume, high52, low52,
   CAST(p_size - 25 AS DOUBLE) AS change_pct, CAST(n AS DOUBLE) AS shares
 FROM part LEFT JOIN (
-  SELECT l_partkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 200 AS cap,
+  SELECT l_partkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 199 AS cap,
     CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume,
     max(l_extendedprice / l_quantity) AS high52, min(l_extendedprice / l_quantity) AS low52, count(*) AS n
   FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""",
@@ -72,8 +72,8 @@ SELECT {SUPPLY_KEYS},
 FROM lineitem GROUP BY 1, 2, 3, 4""",
     "statement_wide": """
 SELECT symbol, statement_type, statement_code, period_kind, header, year, CAST(period_end AS DATE) AS period_end,
-  CAST(e AS DOUBLE) * CAST(1234567 AS DOUBLE) AS e, CAST(q AS DOUBLE) * CAST(1234567 AS DOUBLE) AS q,
-  CAST(d AS DOUBLE) * CAST(1234567 AS DOUBLE) AS d, CAST(t AS DOUBLE) * CAST(1234567 AS DOUBLE) AS t
+  CAST(e AS DOUBLE) * CAST(1234567.89 AS DOUBLE) AS e, CAST(q AS DOUBLE) * CAST(1234567.89 AS DOUBLE) AS q,
+  CAST(d AS DOUBLE) * CAST(1234567.89 AS DOUBLE) AS d, CAST(t AS DOUBLE) * CAST(1234567.89 AS DOUBLE) AS t
 FROM (
   SELECT symbol, statement_type, statement_code, 'quarterly' AS period_kind,
     strftime(period_end, '%b %Y') AS header, year(period_end) AS year, period_end, e, q, d, t FROM quarters
@@ -106,8 +106,8 @@ FROM lineitem GROUP BY 1, 2, 3, 4""",
     "price_ratios": """
 SELECT CAST(o_custkey AS VARCHAR) AS symbol, CASE o_orderstatus WHEN 'F' THEN 's' ELSE 'c' END AS statement_type,
   CAST(o_orderdate AS DATE) AS quote_date,
-  CASE WHEN max(o_orderkey) % 10 <> 0 THEN max(o_totalprice) / 10000 END AS pe, min(o_totalprice) / 200000 AS pb,
-  min(o_totalprice) / 100000 AS ptb, max(o_totalprice) / 50000 AS ps, max(o_totalprice) / 20000 AS pfcf
+  CASE WHEN max(o_orderkey) % 10 <> 0 THEN max(o_totalprice) / 10007 END AS pe, min(o_totalprice) / 200003 AS pb,
+  min(o_totalprice) / 100003 AS ptb, max(o_totalprice) / 50021 AS ps, max(o_totalprice) / 20011 AS pfcf
 FROM orders GROUP BY 1, 2, 3""",
     "actions": """
 SELECT CAST(o_custkey AS VARCHAR) AS symbol,
@@ -143,9 +143,9 @@ SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nations ON c_na
     "index_quotes": """
 SELECT index_symbol, CAST(o_orderdate AS DATE) AS quote_date, max(o_totalprice) AS close_price,
   min(c_acctbal) / 100 AS change_pct,
-  CASE WHEN max(o_orderkey) % 7 <> 0 THEN max(o_totalprice) / 20000 ELSE 0 END AS pe,
-  CASE WHEN max(o_orderkey) % 7 <> 0 THEN max(o_totalprice) / 100000 ELSE 0 END AS pb,
-  min(o_totalprice) / 100000 AS div_yield,
+  CASE WHEN max(o_orderkey) % 7 <> 0 THEN max(o_totalprice) / 20011 ELSE 0 END AS pe,
+  CASE WHEN max(o_orderkey) % 7 <> 0 THEN max(o_totalprice) / 100003 ELSE 0 END AS pb,
+  min(o_totalprice) / 100003 AS div_yield,
   CASE WHEN min(o_orderkey) % 5 <> 0 THEN max(o_totalprice) * 10 ELSE 0 END AS market_cap
 FROM nation_orders GROUP BY 1, 2""",
     "index_returns": """

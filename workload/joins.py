@@ -16,12 +16,12 @@ KEY = names(PERIOD_KEY)
 
 @query(
     "j01_period_lines",
-    f"SELECT {KEY}, year, period_end, field_name, {r6('value')} FROM periods JOIN lines "
+    f"SELECT {KEY}, year, period_end, field_name, value FROM periods JOIN lines "
     "USING (symbol, statement_type, statement_code, period_kind, header)",
 )
 def j01(t):
     joined = t.periods.join(t.lines, list(PERIOD_KEY))
-    return rounded(joined.select(*PERIOD_KEY, "year", "period_end", "field_name", "value"))
+    return joined.select(*PERIOD_KEY, "year", "period_end", "field_name", "value")
 
 
 @query(
@@ -117,10 +117,10 @@ def j10(t):
 
 @query(
     "j11_close_years_ago",
-    f"SELECT symbol, {r6('latest', 'close_1y', 'close_3y', 'close_5y', 'close_10y')} FROM price_points",
+    "SELECT symbol, latest, close_1y, close_3y, close_5y, close_10y FROM price_points",
 )
 def j11(t):
-    return rounded(latest.closes_years_ago(t.prices))
+    return latest.closes_years_ago(t.prices)
 
 
 @query("j12_snapshot_assembly", snapshot_sql())
@@ -130,11 +130,11 @@ def j12(t):
 
 @query(
     "j13_merged_aggregates",
-    f"SELECT {KEY}, field_name, {r6('value')} FROM figures",
+    f"SELECT {KEY}, field_name, value FROM figures",
 )
 def j13(t):
     shown = statements.with_type_fallback(statements.last_periods(t.periods))
-    return rounded(statements.merged_figures(shown, t.lines, t.basics))
+    return statements.merged_figures(shown, t.lines, t.basics)
 
 
 @query(

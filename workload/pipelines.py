@@ -54,14 +54,14 @@ def p03(t):
 @query(
     "p04_statements",
     f"""SELECT l.symbol, l.statement_type, l.statement_code, l.period_kind, l.header, p.year, p.period_end,
-  CASE l.statement_code WHEN 'pl' THEN 'general' ELSE 'unknown' END AS schema_kind, field_name, {r6('value')}
+  CASE l.statement_code WHEN 'pl' THEN 'general' ELSE 'unknown' END AS schema_kind, field_name, value
 FROM lines l JOIN periods p USING (symbol, statement_type, statement_code, period_kind, header)""",
 )
 def p04(t):
     sent = routed(landed.statements(t), "statement")
     periods, lines = normalise.statement_periods(sent), normalise.statement_lines(sent)
     joined = periods.join(lines, list(PERIOD_KEY))
-    return rounded(joined.select(*PERIOD_KEY, "year", "period_end", "schema_kind", "field_name", "value"))
+    return joined.select(*PERIOD_KEY, "year", "period_end", "schema_kind", "field_name", "value")
 
 
 @query(
@@ -99,21 +99,21 @@ def p07(t):
     return rounded(normalise.index_returns(routed(landed.index_returns(t), "index_return")))
 
 
-P08_SQL = f"""SELECT symbol, quote_date, {r6('open', 'high', 'low', 'close')}, volume FROM ({DAMAGED_PRICES})
+P08_SQL = f"""SELECT symbol, quote_date, open, high, low, close, volume FROM ({DAMAGED_PRICES})
 WHERE NOT (open = 0 AND high = 0 AND low = 0 AND close = 0 AND volume = 0) AND close > 0 AND open >= 0"""
 
 
 @query("p08_prices", P08_SQL)
 def p08(t):
-    return rounded(normalise.prices(routed(landed.prices(t), "price_daily")))
+    return normalise.prices(routed(landed.prices(t), "price_daily"))
 
 
 @query(
     "p09_basic_financials",
-    f"SELECT symbol, statement_type, statement_code, header, year, field_name, {r6('value')} FROM basics",
+    f"SELECT symbol, statement_type, statement_code, header, year, field_name, value FROM basics",
 )
 def p09(t):
-    return rounded(normalise.basic_financials(routed(landed.basics(t), "basic_financial")))
+    return normalise.basic_financials(routed(landed.basics(t), "basic_financial"))
 
 
 @query("p10_ratios", f"SELECT symbol, statement_type, family, header, year, field_name, {r6('value')} FROM ratios")

@@ -14,27 +14,25 @@ KEY = names(PERIOD_KEY)
 @query(
     "r01_unpivot_measures",
     "\nUNION ALL ".join(
-        f"SELECT {KEY}, '{m}' AS field_name, round({m}, 6) AS value FROM statement_wide" for m in "eqdt"
+        f"SELECT {KEY}, '{m}' AS field_name, {m} AS value FROM statement_wide" for m in "eqdt"
     ),
 )
 def r01(t):
-    return rounded(t.statement_wide.unpivot(list(PERIOD_KEY), list("eqdt"), "field_name", "value"))
+    return t.statement_wide.unpivot(list(PERIOD_KEY), list("eqdt"), "field_name", "value")
 
 
 @query(
     "r02_field_maps",
-    f"""SELECT {KEY}, count(*) AS fields, round(max(value) FILTER (WHERE field_name = 'revenueFromOperations'), 6) AS sales,
-  round(max(value) FILTER (WHERE field_name = 'assets'), 6) AS assets FROM figures GROUP BY {KEY}""",
+    f"""SELECT {KEY}, count(*) AS fields, max(value) FILTER (WHERE field_name = 'revenueFromOperations') AS sales,
+  max(value) FILTER (WHERE field_name = 'assets') AS assets FROM figures GROUP BY {KEY}""",
 )
 def r02(t):
     shown = statements.with_type_fallback(statements.last_periods(t.periods))
     maps = statements.field_maps(statements.merged_figures(shown, t.lines, t.basics))
     figure = lambda f: F.try_element_at("figures", F.lit(f))
-    return rounded(
-        maps.select(
-            *PERIOD_KEY, F.size("figures").cast("bigint").alias("fields"),
-            figure("revenueFromOperations").alias("sales"), figure("assets").alias("assets"),
-        )
+    return maps.select(
+        *PERIOD_KEY, F.size("figures").cast("bigint").alias("fields"),
+        figure("revenueFromOperations").alias("sales"), figure("assets").alias("assets"),
     )
 
 
@@ -98,7 +96,7 @@ _SQL_ROWS = [
     ("pl", 400, None, "OPM %", "percent", False, "round((r - (x - coalesce(f, 0))) / nullif(r, 0) * 100, 2)"),
     ("pl", 600, None, "Interest", "crore", False, _crore("f")),
     ("pl", 800, None, "Profit before tax", "crore", True, _crore("p")),
-    ("pl", 900, None, "Tax %", "percent", False, "round(tax / nullif(p, 0) * 100, 2)"),
+    ("pl", 900, None, "Tax %", "percent", False, "round(nullif(tax, 0) / nullif(p, 0) * 100, 2)"),
     ("pl", 1000, None, "Net Profit", "crore", True, _crore("np")),
     ("pl", 1200, None, "Dividend Payout %", "fraction_pct", False, "round(dp * 100, 2)"),
     ("bs", 100, None, "Equity Capital", "crore", False, _crore("eq")),

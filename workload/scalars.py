@@ -180,7 +180,7 @@ def x13(t):
 
 @query(
     "x14_first_present",
-    """SELECT symbol, statement_type, header, round(coalesce(profit, before_tax, revenue), 6) AS figure FROM (
+    """SELECT symbol, statement_type, header, coalesce(profit, before_tax, revenue) AS figure FROM (
   SELECT symbol, statement_type, header, max(value) FILTER (WHERE field_name = 'profitLossForPeriod') AS profit,
     max(value) FILTER (WHERE field_name = 'profitBeforeTax') AS before_tax,
     max(value) FILTER (WHERE field_name = 'revenueFromOperations') AS revenue
@@ -190,7 +190,7 @@ def x14(t):
     quarterly = t.lines.where((F.col("statement_code") == "pl") & (F.col("period_kind") == "quarterly"))
     fields = ["profitLossForPeriod", "profitBeforeTax", "revenueFromOperations"]
     wide = quarterly.groupBy("symbol", "statement_type", "header").pivot("field_name", fields).agg(F.max("value"))
-    return rounded(wide.select("symbol", "statement_type", "header", F.coalesce(*fields).alias("figure")))
+    return wide.select("symbol", "statement_type", "header", F.coalesce(*fields).alias("figure"))
 
 
 @query("x15_annualised_return", f"SELECT symbol, {r6('price_cagr_1y', 'price_cagr_3y', 'price_cagr_5y', 'price_cagr_10y')} FROM cagr")
@@ -238,34 +238,34 @@ def x22(t):
 @query(
     "x23_display_units",
     """SELECT symbol, statement_type, statement_code, period_kind, header, field_name,
-  round(value * 1e-7, 2) AS crore, round(value / 12345670000.0 * 100, 2) AS percent, round(value, 2) AS plain FROM lines""",
+  round(value * 1e-7, 2) AS crore, round(value / 98765432101 * 100, 2) AS percent, round(value / 987654321, 2) AS plain FROM lines""",
 )
 def x23(t):
-    share = F.col("value") / 12345670000.0
+    share = F.col("value") / 98765432101
     return t.lines.select(
         *PERIOD_KEY, "field_name",
         figures.statement_scale("value", F.lit("crore")).alias("crore"),
         figures.statement_scale(share, F.lit("fraction_pct")).alias("percent"),
-        figures.statement_scale("value", F.lit("price")).alias("plain"),
+        figures.statement_scale(F.col("value") / 987654321, F.lit("price")).alias("plain"),
     )
 
 
 @query(
     "x24_solvency",
     """SELECT o_orderkey, round(CASE WHEN abs(ratio) < 0.5 THEN ratio * 100 ELSE ratio END, 6) AS solvency
-FROM (SELECT o_orderkey, o_totalprice / 300000 AS ratio FROM orders)""",
+FROM (SELECT o_orderkey, o_totalprice / 300007 AS ratio FROM orders)""",
 )
 def x24(t):
-    ratio = F.col("o_totalprice") / 300000
+    ratio = F.col("o_totalprice") / 300007
     return rounded(t.table("orders").select("o_orderkey", figures.solvency(ratio).alias("solvency")))
 
 
 DERIVED_SQL = """SELECT symbol, statement_type, header,
-  round(x - f, 6) AS operating_expenses, round(r - (x - f), 6) AS operating_profit,
+  x - f AS operating_expenses, r - (x - f) AS operating_profit,
   round(CASE WHEN r <> 0 THEN (r - (x - f)) / r * 100 END, 6) AS operating_margin,
-  round(CASE WHEN p <> 0 THEN tax / p * 100 END, 6) AS tax_rate,
-  round(f - tax, 6) AS net_interest_income, round(CASE WHEN f <> 0 THEN (f - tax) / f * 100 END, 6) AS nim,
-  round(r, 6) AS net_cash_flow
+  round(CASE WHEN p <> 0 THEN nullif(tax, 0) / p * 100 END, 6) AS tax_rate,
+  f - tax AS net_interest_income, round(CASE WHEN f <> 0 THEN (f - tax) / f * 100 END, 6) AS nim,
+  r AS net_cash_flow
 FROM (SELECT symbol, statement_type, header, max(value) FILTER (WHERE field_name = 'revenueFromOperations') AS r,
     max(value) FILTER (WHERE field_name = 'expenses') AS x, max(value) FILTER (WHERE field_name = 'financeCosts') AS f,
     max(value) FILTER (WHERE field_name = 'taxExpense') AS tax,
@@ -288,9 +288,9 @@ def x25(t):
         column = stand_in.get(field, field)
         return F.col(column) if column in fields else F.lit(None).cast("double")
 
-    return rounded(
-        wide.select("symbol", "statement_type", "header", *[f(get).alias(n) for n, f in FORMULAS.items()])
-    )
+    shares = ("operating_margin", "tax_rate", "nim")
+    derived = {n: F.round(f(get), 6) if n in shares else f(get) for n, f in FORMULAS.items()}
+    return wide.select("symbol", "statement_type", "header", *[c.alias(n) for n, c in derived.items()])
 
 
 @query(

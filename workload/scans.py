@@ -162,10 +162,10 @@ def s09(t):
 
 @query(
     "s10_restatement",
-    f"""SELECT {KEY}, year, result_date, field_name, round(value, 6) AS value
+    f"""SELECT {KEY}, year, result_date, field_name, value
 FROM periods JOIN lines USING (symbol, statement_type, statement_code, period_kind, header)
 WHERE NOT (statement_code = 'pl' AND year >= 2000)
-UNION ALL SELECT {KEY}, year, CAST(result_date + INTERVAL 90 DAY AS DATE), field_name, round(value * 2, 6)
+UNION ALL SELECT {KEY}, year, CAST(result_date + INTERVAL 90 DAY AS DATE), field_name, value * 2
 FROM periods JOIN lines USING (symbol, statement_type, statement_code, period_kind, header)
 WHERE statement_code = 'pl' AND year >= 2000 AND field_name <> 'taxExpense'""",
 )
@@ -182,7 +182,7 @@ def s10(t):
     written_periods = write_and_read(all_periods, "statement_period")
     written_lines = write_and_read(all_lines, "statement_line")
     joined = written_periods.join(written_lines, list(PERIOD_KEY))
-    return rounded(joined.select(*PERIOD_KEY, "year", "result_date", "field_name", "value"))
+    return joined.select(*PERIOD_KEY, "year", "result_date", "field_name", "value")
 
 
 @query(

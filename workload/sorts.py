@@ -77,11 +77,11 @@ def l05(t):
 
 @query(
     "l06_recent_prices",
-    f"SELECT symbol, quote_date, {r6('close', 'volume')} FROM sessions WHERE position <= 2000",
+    "SELECT symbol, quote_date, close, volume FROM sessions WHERE position <= 2000",
 )
 def l06(t):
     recent = pages.recent_prices(t.prices)
-    return rounded(recent.select("symbol", "quote_date", "close", "volume")).orderBy("symbol", "quote_date")
+    return recent.select("symbol", "quote_date", "close", "volume").orderBy("symbol", "quote_date")
 
 
 @query(

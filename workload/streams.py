@@ -9,7 +9,7 @@ from bourselight.session import new_table_path
 from bourselight.streaming import jobs, sinks
 from workload import landed
 from workload.pipelines import P08_SQL
-from workload.registry import query, rounded
+from workload.registry import query
 
 ADMIT_LIMIT, ADMIT_SECONDS = 3, 3600
 
@@ -28,7 +28,7 @@ def t01(t):
     path = jobs.ingest(stream, "price_daily", normalise.prices)
     jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=3), "price_daily", normalise.prices, path)
     schema = "symbol string, quote_date date, open double, high double, low double, close double, volume double"
-    return rounded(sinks.current_state(sinks.read_changes(t.spark, path, schema), ["symbol", "quote_date"]))
+    return sinks.current_state(sinks.read_changes(t.spark, path, schema), ["symbol", "quote_date"])
 
 
 @query(

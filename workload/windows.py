@@ -11,30 +11,30 @@ from bourselight.sources.testbed import PERIOD_COLUMNS
 from workload.registry import names, query, r6, rounded, snapshot_table
 
 
-@query("w01_ranked_latest", f"SELECT symbol, statement_code, field_name, {r6('value')} FROM latest_lines")
+@query("w01_ranked_latest", "SELECT symbol, statement_code, field_name, value FROM latest_lines")
 def w01(t):
-    return rounded(latest.latest_statement_values(latest.usable_statement_lines(t.periods, t.lines, PERIOD_COLUMNS)))
+    return latest.latest_statement_values(latest.usable_statement_lines(t.periods, t.lines, PERIOD_COLUMNS))
 
 
 @query(
     "w02_latest_series",
-    f"""SELECT 'basic' AS series, symbol, statement_code AS family, field_name, {r6('value')} FROM latest_basics
-UNION ALL SELECT 'ratio', symbol, family, field_name, {r6('value')} FROM latest_ratios""",
+    """SELECT 'basic' AS series, symbol, statement_code AS family, field_name, value FROM latest_basics
+UNION ALL SELECT 'ratio', symbol, family, field_name, value FROM latest_ratios""",
 )
 def w02(t):
     basics = latest.latest_series_values(t.basics, "statement_code").withColumnRenamed("statement_code", "family")
     ratios = latest.latest_series_values(t.ratios, "family")
     named = lambda df, n: df.withColumn("series", F.lit(n))
-    return rounded(named(basics, "basic").unionByName(named(ratios, "ratio")))
+    return named(basics, "basic").unionByName(named(ratios, "ratio"))
 
 
 @query(
     "w03_last_sessions",
-    f"SELECT symbol, quote_date, {r6('close')}, CAST(position AS INTEGER) AS position FROM sessions "
+    "SELECT symbol, quote_date, close, CAST(position AS INTEGER) AS position FROM sessions "
     "WHERE position <= 30",
 )
 def w03(t):
-    return rounded(latest.last_sessions(t.prices.select("symbol", "quote_date", "close"), 30))
+    return latest.last_sessions(t.prices.select("symbol", "quote_date", "close"), 30)
 
 
 @query("w04_preferred_metrics", f"SELECT symbol, family, field_name, {r6('value')} FROM latest_metrics")
@@ -141,8 +141,8 @@ def w14(t):
 @query(
     "w15_series_trends",
     """SELECT symbol, statement_type, statement_code, field_name, count(*) AS points,
-  round(arg_min(value, year), 6) AS first, round(arg_max(value, year), 6) AS last, round(min(value), 6) AS low,
-  round(max(value), 6) AS high, arg_max(value, year) >= arg_min(value, year) AS rising,
+  arg_min(value, year) AS first, arg_max(value, year) AS last, min(value) AS low,
+  max(value) AS high, arg_max(value, year) >= arg_min(value, year) AS rising,
   min(value) < 0 AND max(value) > 0 AS crosses_zero
 FROM ranked_lines WHERE period_kind = 'annual'
 GROUP BY symbol, statement_type, statement_code, field_name HAVING count(*) >= 3""",
@@ -150,4 +150,4 @@ GROUP BY symbol, statement_type, statement_code, field_name HAVING count(*) >= 3
 def w15(t):
     annual = t.periods.where(F.col("period_kind") == "annual").select(*PERIOD_KEY, "year")
     series = annual.join(t.lines, list(PERIOD_KEY))
-    return rounded(pages.trends(series, ["symbol", "statement_type", "statement_code", "field_name"], "year"))
+    return (pages.trends(series, ["symbol", "statement_type", "statement_code", "field_name"], "year"))

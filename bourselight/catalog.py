@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Key | label | aliases | unit | source | path | fallback fields.
 CATALOG_TEXT = """
@@ -166,10 +167,10 @@ class CatalogColumn:
     def names(self) -> tuple[str, ...]:
         return (self.key, self.label, *self.aliases)
 
-    def labelled(self, column: Column | None = None) -> Column:
-        """The column under its key, with label and unit as column metadata."""
-        source = F.col(self.key) if column is None else column
-        return source.alias(self.key, metadata={"label": self.label, "unit": self.unit})
+    def field(self) -> StructField:
+        """The column's type, with label and unit as column metadata."""
+        kind = StringType() if self.unit == "text" else DoubleType()
+        return StructField(self.key, kind, True, {"label": self.label, "unit": self.unit})
 
 
 def _entry(line: str) -> CatalogColumn:
@@ -229,7 +230,6 @@ def relabel(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c.key: c.label for c in stored() if c.key in df.columns})
 
 
-def snapshot_schema() -> str:
-    """DDL of the stored snapshot, made from the catalog so the two cannot differ."""
-    parts = ["symbol string", "updated_at timestamp"]
-    return ", ".join(parts + [f"{c.key} {c.spark_type}" for c in stored()])
+def snapshot_schema() -> StructType:
+    """Schema of the stored snapshot, made from the catalog so the two cannot differ."""
+    return StructType([StructField("symbol", StringType()), *[c.field() for c in stored()]])

@@ -5,8 +5,6 @@ Ranks are whole numbers so that `max_by` keeps to hash aggregation; a struct as
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +49,13 @@ def series_rank() -> Column:
     return figure_rank(F.col("header") == "TTM")
 
 
-def usable_statement_lines(periods: DataFrame, lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Figures of annual and trailing periods with their rank."""
-    wanted = periods.where(F.col("period_kind").isin("ttm", "annual")).select(*key, "year", "period_end")
-    figures = lines.where(F.col("value").isNotNull())
-    return wanted.join(figures, list(key)).withColumn("rank", statement_rank())
+def usable_statement_lines(lines: DataFrame) -> DataFrame:
+    """Figures of annual and trailing periods with their rank.
+
+    Stored lines carry the year and end of their period, so that ranking the largest statement table needs no join.
+    """
+    usable = F.col("period_kind").isin("ttm", "annual") & F.col("value").isNotNull()
+    return lines.where(usable).withColumn("rank", statement_rank())
 
 
 def latest_statement_values(ranked_lines: DataFrame) -> DataFrame:
@@ -93,19 +93,24 @@ def latest_valuation(price_ratios: DataFrame) -> DataFrame:
 
 def latest_shareholding(shareholding: DataFrame) -> DataFrame:
     """Promoter, pledge and public shares of the newest quarter per symbol."""
-    month = F.unix_date(label_month("period_label"))
-    newest = shareholding.groupBy("symbol").agg(F.max(month).alias("_month"))
-    rows = shareholding.withColumn("_month", month).where(F.col("group_name").isin(PROMOTERS, PUBLIC))
-    current = newest.join(
-        rows.select("symbol", "_month", "group_name", "shareholding_pct", "pledged_pct"),
-        ["symbol", "_month"],
-        "left",
+    dated = shareholding.withColumn("month", F.unix_date(label_month("period_label")))
+    promoter = F.when(F.col("group_name") == PROMOTERS, F.col("month"))
+    public = F.when(F.col("group_name") == PUBLIC, F.col("month"))
+    newest = dated.groupBy("symbol").agg(
+        F.max("month").alias("month"),
+        F.max(promoter).alias("promoter_month"),
+        F.max(public).alias("public_month"),
+        F.max_by("shareholding_pct", promoter).alias("promoter_holding"),
+        F.max_by("pledged_pct", promoter).alias("promoter_pledge"),
+        F.max_by("shareholding_pct", public).alias("public_holding"),
     )
-    promoter, public = F.col("group_name") == PROMOTERS, F.col("group_name") == PUBLIC
-    return current.groupBy("symbol").agg(
-        F.max(F.when(promoter, F.col("shareholding_pct"))).alias("promoter_holding"),
-        F.max(F.when(promoter, F.col("pledged_pct"))).alias("promoter_pledge"),
-        F.max(F.when(public, F.col("shareholding_pct"))).alias("public_holding"),
+    # A group that the newest quarter lacks has no current figure, however recent its last one is.
+    current = lambda name, month: F.when(F.col(month) == F.col("month"), F.col(name)).alias(name)
+    return newest.select(
+        "symbol",
+        current("promoter_holding", "promoter_month"),
+        current("promoter_pledge", "promoter_month"),
+        current("public_holding", "public_month"),
     )
 
 

@@ -143,11 +143,18 @@ def statement_periods(landing: DataFrame) -> DataFrame:
 
 
 def statement_lines(landing: DataFrame) -> DataFrame:
-    """Statement payloads to one row per figure."""
-    rows = _statement_rows(landing).withColumn("header", _period_header())
-    return rows.select(*PERIOD_KEY, F.explode("item").alias("field_name", "raw")).where(
+    """Statement payloads to one row per figure, with the year and end of its period."""
+    rows = _statement_rows(landing).withColumns(
+        {
+            "header": _period_header(),
+            "year": to_int(_named("year")),
+            "period_end": parse_date(_named("period_end")),
+        }
+    )
+    named = [*PERIOD_KEY, "year", "period_end"]
+    return rows.select(*named, F.explode("item").alias("field_name", "raw")).where(
         ~F.col("field_name").isin(*PERIOD_FIELDS)
-    ).select(*PERIOD_KEY, "field_name", parse_number("raw").alias("value"))
+    ).select(*named, "field_name", parse_number("raw").alias("value"))
 
 
 def _series(landing: DataFrame, group: str, param: str) -> DataFrame:

@@ -90,16 +90,17 @@ def index_symbol(key: str = "n_nationkey", name: str = "n_name") -> Column:
 
 def _unpivot_fields(df: DataFrame, keys: list[str], group: str, fields: dict[str, dict[str, str]]) -> DataFrame:
     """Expressions per group to rows (keys, group, field_name, value)."""
-    entries = [
-        F.struct(F.lit(g).alias("g"), F.lit(f).alias("field_name"), F.expr(e).cast("double").alias("value"))
-        for g, per_group in fields.items()
-        for f, e in per_group.items()
-    ]
+    def entries(g: str) -> str:
+        made = [f"named_struct('g', '{g}', 'f', '{f}', 'v', CAST({e} AS DOUBLE))" for f, e in fields[g].items()]
+        return f"array({', '.join(made)})"
+
     if group in df.columns:
-        array = F.filter(F.array(*entries), lambda s: s["g"] == F.col(group))
-        return df.select(*keys, F.explode(array).alias("s")).select(*keys, "s.field_name", "s.value")
-    return df.select(*keys, F.explode(F.array(*entries)).alias("s")).select(
-        *keys, F.col("s.g").alias(group), "s.field_name", "s.value"
+        array = "CASE " + " ".join(f"WHEN {group} = '{g}' THEN {entries(g)}" for g in fields) + " END"
+    else:
+        array = f"flatten(array({', '.join(entries(g) for g in fields)}))"
+    kept = [k for k in keys if k != group]
+    return df.select(*kept, F.explode(F.expr(array)).alias("s")).selectExpr(
+        *kept, f"s.g AS {group}", "s.f AS field_name", "s.v AS value"
     )
 
 
@@ -175,39 +176,32 @@ class Testbed:
             _decimal_sum("l_quantity").alias("volume"),
         )
 
-    @cached_property
-    def _quarters(self) -> DataFrame:
-        """Exact sums per quarter; years and trailing periods are sums of these."""
-        keys = ["symbol", "statement_type", "statement_code"]
-        quarter_end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
-        sums = [
-            F.sum(F.col(c).cast("decimal(18,2)")).alias(a)
-            for c, a in (("l_extendedprice", "e"), ("l_quantity", "q"), ("l_discount", "d"), ("l_tax", "t"))
-        ]
-        return self.lineitem.groupBy(*keys, quarter_end.alias("period_end")).agg(*sums)
-
     @cached_property
     def statement_wide(self) -> DataFrame:
-        """Quarterly, annual and trailing periods with four measures in rupees."""
+        """Quarterly, annual and trailing periods with four measures in rupees, from one pass over the lines.
+
+        Lines are summed per quarter, and every quarter then counts for its quarter, its year and, in the second
+        half of a year, the trailing period.
+        """
         keys = ["symbol", "statement_type", "statement_code"]
-        quarters = self._quarters.withColumn("year", F.year("period_end"))
-        sums = [F.sum(c).alias(c) for c in "eqdt"]
-        annual_end = F.make_date(F.col("year"), F.lit(3), F.lit(31))
-        quarterly = quarters.select(
-            *keys, F.lit("quarterly").alias("period_kind"),
-            F.date_format("period_end", "MMM yyyy").alias("header"), "year", "period_end", *"eqdt",
+        quarter_end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
+        measures = {"e": "l_extendedprice", "q": "l_quantity", "d": "l_discount", "t": "l_tax"}
+        quarters = self.lineitem.groupBy(*keys, quarter_end.alias("end")).agg(
+            *[F.sum(F.col(c).cast("decimal(18,2)")).alias(m) for m, c in measures.items()]
+        )
+        kinds = F.expr(
+            """filter(array(
+              named_struct('kind', 'quarterly', 'header', date_format(end, 'MMM yyyy'), 'shown', end),
+              named_struct('kind', 'annual', 'header', concat('Mar ', year(end)), 'shown', make_date(year(end), 3, 31)),
+              named_struct('kind', 'ttm', 'header', 'TTM', 'shown', end)
+            ), k -> k.kind <> 'ttm' OR month(end) > 6)"""
         )
-        annual = quarters.groupBy(*keys, "year").agg(*sums).select(
-            *keys, F.lit("annual").alias("period_kind"),
-            F.concat(F.lit("Mar "), F.col("year").cast("string")).alias("header"), "year",
-            annual_end.alias("period_end"), *"eqdt",
+        counted = quarters.select(*keys, "end", *measures, F.explode(kinds).alias("k"))
+        return counted.groupBy(*keys, F.col("k.kind").alias("period_kind"), F.col("k.header").alias("header")).agg(
+            F.max(F.year("end")).alias("year"),
+            F.max("k.shown").alias("period_end"),
+            *[(F.sum(m).cast("double") * RUPEES).alias(m) for m in measures],
         )
-        late = quarters.where(F.month("period_end") > 6)
-        trailing = late.groupBy(*keys).agg(
-            F.max("year").alias("year"), F.max("period_end").alias("period_end"), *sums
-        ).select(*keys, F.lit("ttm").alias("period_kind"), F.lit("TTM").alias("header"), "year", "period_end", *"eqdt")
-        both = quarterly.unionByName(annual).unionByName(trailing)
-        return both.withColumns({c: F.col(c).cast("double") * RUPEES for c in "eqdt"})
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -220,7 +214,8 @@ class Testbed:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return _unpivot_fields(self.statement_wide, PERIOD_COLUMNS, "statement_code", STATEMENT_FIELDS)
+        keys = [*PERIOD_COLUMNS, "year", "period_end"]
+        return _unpivot_fields(self.statement_wide, keys, "statement_code", STATEMENT_FIELDS)
 
     @cached_property
     def basics(self) -> DataFrame:
@@ -392,10 +387,10 @@ class Testbed:
 
     def snapshot_inputs(self, as_of: Column) -> dict:
         return {
-            "company": self.company, "quote": self.quote, "periods": self.periods, "lines": self.lines,
+            "company": self.company, "quote": self.quote, "lines": self.lines,
             "basics": self.basics, "ratios": self.ratios, "metrics": self.metrics, "prices": self.prices,
             "price_ratios": self.price_ratios, "shareholding": self.shareholding, "actions": self.actions,
-            "as_of": as_of, "period_key": PERIOD_COLUMNS,
+            "as_of": as_of,
         }
 
     @cached_property

@@ -20,7 +20,7 @@ KEY = names(PERIOD_KEY)
     "USING (symbol, statement_type, statement_code, period_kind, header)",
 )
 def j01(t):
-    joined = t.periods.join(t.lines, list(PERIOD_KEY))
+    joined = t.periods.join(t.lines.drop("year", "period_end"), list(PERIOD_KEY))
     return joined.select(*PERIOD_KEY, "year", "period_end", "field_name", "value")
 
 

@@ -60,7 +60,7 @@ FROM lines l JOIN periods p USING (symbol, statement_type, statement_code, perio
 def p04(t):
     sent = routed(landed.statements(t), "statement")
     periods, lines = normalise.statement_periods(sent), normalise.statement_lines(sent)
-    joined = periods.join(lines, list(PERIOD_KEY))
+    joined = periods.select(*PERIOD_KEY, "schema_kind").join(lines, list(PERIOD_KEY))
     return joined.select(*PERIOD_KEY, "year", "period_end", "schema_kind", "field_name", "value")
 
 

@@ -172,7 +172,7 @@ WHERE statement_code = 'pl' AND year >= 2000 AND field_name <> 'taxExpense'""",
 def s10(t):
     """Recent P&L periods are restated: figures change and one line is no longer reported."""
     periods = write_and_read(t.periods, "statement_period")
-    lines = write_and_read(t.lines.select(*PERIOD_KEY, "field_name", "value"), "statement_line")
+    lines = write_and_read(t.lines, "statement_line")
     new_periods = t.periods.where((F.col("statement_code") == "pl") & (F.col("year") >= 2000)).withColumn(
         "result_date", F.date_add("result_date", 90)
     )
@@ -181,7 +181,7 @@ def s10(t):
     all_periods, all_lines = merge.restate(periods, lines, new_periods, new_lines)
     written_periods = write_and_read(all_periods, "statement_period")
     written_lines = write_and_read(all_lines, "statement_line")
-    joined = written_periods.join(written_lines, list(PERIOD_KEY))
+    joined = written_periods.drop("year").join(written_lines, list(PERIOD_KEY))
     return joined.select(*PERIOD_KEY, "year", "result_date", "field_name", "value")
 
 

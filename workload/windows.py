@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from bourselight.operators import latest
 from bourselight.operators.normalise import PERIOD_KEY
 from bourselight.plans import monitor, pages, statements
-from bourselight.sources.testbed import PERIOD_COLUMNS
 from workload.registry import names, query, r6, rounded, snapshot_table
 
 
 @query("w01_ranked_latest", "SELECT symbol, statement_code, field_name, value FROM latest_lines")
 def w01(t):
-    return latest.latest_statement_values(latest.usable_statement_lines(t.periods, t.lines, PERIOD_COLUMNS))
+    return latest.latest_statement_values(latest.usable_statement_lines(t.lines))
 
 
 @query(
@@ -148,6 +147,5 @@ FROM ranked_lines WHERE period_kind = 'annual'
 GROUP BY symbol, statement_type, statement_code, field_name HAVING count(*) >= 3""",
 )
 def w15(t):
-    annual = t.periods.where(F.col("period_kind") == "annual").select(*PERIOD_KEY, "year")
-    series = annual.join(t.lines, list(PERIOD_KEY))
-    return (pages.trends(series, ["symbol", "statement_type", "statement_code", "field_name"], "year"))
+    series = t.lines.where(F.col("period_kind") == "annual")
+    return pages.trends(series, ["symbol", "statement_type", "statement_code", "field_name"], "year")

@@ -28,6 +28,16 @@ def _texts(*names: str) -> str:
     return ", ".join(f"`{n}`: string" for n in names)
 
 
+def _exploded(df: DataFrame, kept: list, nested: Column, *names: str) -> DataFrame:
+    """One row per element of an array or entry of a map.
+
+    An inner explode lets the optimizer test the nested value in a filter below, which would parse every payload
+    again. The outer form with a test of its result parses each payload once.
+    """
+    out = df.select(*kept, F.explode_outer(nested).alias(*names))
+    return out.where(F.col(names[0]).isNotNull())
+
+
 def _items(landing: DataFrame, element: str, container: str | None = None) -> DataFrame:
     """One row per element of the payload's array, with the element's fields as columns."""
     array = f"array<struct<{element}>>"
@@ -35,8 +45,7 @@ def _items(landing: DataFrame, element: str, container: str | None = None) -> Da
         parsed = F.from_json("payload", f"struct<`{container}`: {array}>")[container]
     else:
         parsed = F.from_json("payload", array)
-    kept = [c for c in landing.columns if c != "payload"]
-    return landing.select(*kept, F.explode(parsed).alias("item"))
+    return _exploded(landing, [c for c in landing.columns if c != "payload"], parsed, "item")
 
 
 def _param(name: str) -> Column:
@@ -90,7 +99,7 @@ def quotes(landing: DataFrame) -> DataFrame:
     prices = ("open_price", "high_price", "low_price")
     fields = _texts("current_price", *prices, *QUOTE_SIZES, "volume", "change", "tradetime")
     parsed = F.from_json("payload", f"map<string, struct<{fields}>>")
-    items = landing.select(F.explode(parsed).alias("symbol", "item"))
+    items = _exploded(landing, [], parsed, "symbol", "item")
     price = positive_or_null(parse_number(_item("current_price")))
     # An empty object means that nothing is known about the symbol.
     known = F.coalesce(*[_item(n) for n in ("current_price", *prices, *QUOTE_SIZES, "volume", "change", "tradetime")])
@@ -107,17 +116,17 @@ def quotes(landing: DataFrame) -> DataFrame:
 
 def _statement_rows(landing: DataFrame) -> DataFrame:
     parsed = F.from_json("payload", "struct<financials: array<map<string, string>>>")["financials"]
-    sent = landing.select("symbol", "params", parsed.alias("rows")).where(F.size("rows") > 0)
-    names = F.array_distinct(F.flatten(F.transform("rows", lambda m: F.map_keys(m))))
-    kind = F.when(_param("statement_code") == "pl", classify(names)["kind"]).otherwise("unknown")
-    return sent.select(
+    sent = landing.select(
         "symbol",
         _param("statement_type").alias("statement_type"),
         _param("statement_code").alias("statement_code"),
         _param("period").alias("period_kind"),
-        kind.alias("schema_kind"),
-        F.explode("rows").alias("item"),
+        parsed.alias("rows"),
     )
+    kept = ["symbol", "statement_type", "statement_code", "period_kind"]
+    names = F.array_distinct(F.flatten(F.transform("rows", lambda m: F.map_keys(m))))
+    kind = F.when(F.col("statement_code") == "pl", classify(names)["kind"]).otherwise("unknown")
+    return _exploded(sent.withColumn("schema_kind", kind), [*kept, "schema_kind"], F.col("rows"), "item")
 
 
 def _named(name: str) -> Column:
@@ -152,7 +161,7 @@ def statement_lines(landing: DataFrame) -> DataFrame:
         }
     )
     named = [*PERIOD_KEY, "year", "period_end"]
-    return rows.select(*named, F.explode("item").alias("field_name", "raw")).where(
+    return _exploded(rows, named, F.col("item"), "field_name", "raw").where(
         ~F.col("field_name").isin(*PERIOD_FIELDS)
     ).select(*named, "field_name", parse_number("raw").alias("value"))
 
@@ -160,16 +169,18 @@ def statement_lines(landing: DataFrame) -> DataFrame:
 def _series(landing: DataFrame, group: str, param: str) -> DataFrame:
     """`{ratios: [{header, year, field: figure, ...}]}` to one row per figure."""
     parsed = F.from_json("payload", "struct<ratios: array<map<string, string>>>")["ratios"]
-    entries = landing.select("symbol", "params", F.explode(parsed).alias("item"))
+    entries = _exploded(landing, ["symbol", "params"], parsed, "item")
     headed = entries.where(F.nullif(_named("header"), F.lit("")).isNotNull())
-    return headed.select(
+    tags = [
         "symbol",
         _param("statement_type").alias("statement_type"),
         _param(param).alias(group),
         _named("header").alias("header"),
         to_int(_named("year")).alias("year"),
-        F.explode("item").alias("field_name", "raw"),
-    ).where(~F.col("field_name").isin("header", "year")).withColumn("value", parse_number("raw")).drop("raw")
+    ]
+    figures = _exploded(headed, tags, F.col("item"), "field_name", "raw")
+    named = figures.where(~F.col("field_name").isin("header", "year"))
+    return named.withColumn("value", parse_number("raw")).drop("raw")
 
 
 def basic_financials(landing: DataFrame) -> DataFrame:
@@ -183,12 +194,9 @@ def ratios(landing: DataFrame) -> DataFrame:
 def metrics(landing: DataFrame) -> DataFrame:
     """Point-in-time metrics: one row per field of the payload's map."""
     parsed = F.from_json("payload", "struct<financial_metrics: map<string, string>>")["financial_metrics"]
-    return landing.select(
-        "symbol",
-        _param("statement_type").alias("statement_type"),
-        _param("ratio_type").alias("family"),
-        F.explode(parsed).alias("field_name", "raw"),
-    ).withColumn("value", parse_number("raw")).drop("raw")
+    tags = ["symbol", _param("statement_type").alias("statement_type"), _param("ratio_type").alias("family")]
+    figures = _exploded(landing, tags, parsed, "field_name", "raw")
+    return figures.withColumn("value", parse_number("raw")).drop("raw")
 
 
 def price_ratios_daily(landing: DataFrame) -> DataFrame:
@@ -252,7 +260,7 @@ def corporate_actions(landing: DataFrame) -> DataFrame:
     action = F.regexp_extract("endpoint", r"/corporate-actions/([^/]+)", 1)
     parsed = F.from_json("payload", f"map<string, array<struct<{_texts('date', 'action', 'amount')}>>>")
     sent = landing.select("symbol", action.alias("action"), parsed.alias("by_action"))
-    items = sent.select("symbol", "action", F.explode(F.try_element_at("by_action", F.col("action"))).alias("item"))
+    items = _exploded(sent, ["symbol", "action"], F.try_element_at("by_action", F.col("action")), "item")
     return items.select(
         "symbol",
         "action",
@@ -272,9 +280,9 @@ def shareholding(landing: DataFrame) -> DataFrame:
     data = _texts("shareholdingPct", "totalShares", "totalShareholders", "pledgedSharesPct", "lockedInSharesPct")
     group = f"`group`: string, data: struct<{data}>"
     quarters = _items(landing, f"date_header: string, distributions: array<struct<{group}>>", "distributions")
-    groups = quarters.where(F.nullif(_item("date_header"), F.lit("")).isNotNull()).select(
-        "symbol", _item("date_header").alias("period_label"), F.explode(_item("distributions")).alias("item")
-    )
+    labelled = quarters.where(F.nullif(_item("date_header"), F.lit("")).isNotNull())
+    tags = ["symbol", _item("date_header").alias("period_label")]
+    groups = _exploded(labelled, tags, _item("distributions"), "item")
     figure = lambda name: parse_number(F.col("item.data").getField(name))
     return groups.where(F.nullif(_item("group"), F.lit("")).isNotNull()).select(
         "symbol",
@@ -307,7 +315,7 @@ def indices(landing: DataFrame) -> DataFrame:
 def constituents(landing: DataFrame) -> DataFrame:
     """Membership edges: one row per listed constituent."""
     items = _index_items(landing, "constituents: array<string>")
-    edges = items.select("index_symbol", F.explode(_item("constituents")).alias("symbol"))
+    edges = _exploded(items, ["index_symbol"], _item("constituents"), "symbol")
     return edges.where(F.nullif(F.col("symbol"), F.lit("")).isNotNull())
 
 

@@ -38,6 +38,15 @@ def _exploded(df: DataFrame, kept: list, nested: Column, *names: str) -> DataFra
     return out.where(F.col(names[0]).isNotNull())
 
 
+def _cleaned(rows: DataFrame, *columns) -> DataFrame:
+    """Cleaned columns that later filters and joins do not compute again.
+
+    The optimizer moves a filter on computed columns below them, where it repeats the parsing. It cannot move one
+    below a generator, so the columns pass through an inline of one struct.
+    """
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _items(landing: DataFrame, element: str, container: str | None = None) -> DataFrame:
     """One row per element of the payload's array, with the element's fields as columns."""
     array = f"array<struct<{element}>>"
@@ -64,7 +73,8 @@ def symbols(landing: DataFrame) -> DataFrame:
     """Symbol master to companies: blank symbols go, blank codes are NULL, a missing name is the symbol."""
     items = _items(landing, _texts("symbol", "name", "nse_code", "bse_code", "consolidated_ind"))
     symbol = clean_text(_item("symbol"))
-    return items.select(
+    return _cleaned(
+        items,
         symbol.alias("symbol"),
         F.trim(F.coalesce(F.nullif(_item("name"), F.lit("")), symbol)).alias("name"),
         F.nullif(_item("nse_code"), F.lit("")).alias("nse_code"),
@@ -142,7 +152,8 @@ PERIOD_KEY = ("symbol", "statement_type", "statement_code", "period_kind", "head
 
 def statement_periods(landing: DataFrame) -> DataFrame:
     """Statement payloads to periods, each stamped with the family found from all periods of the payload."""
-    return _statement_rows(landing).select(
+    return _cleaned(
+        _statement_rows(landing),
         "symbol", "statement_type", "statement_code", "period_kind",
         _period_header().alias("header"),
         to_int(_named("year")).alias("year"),
@@ -153,12 +164,13 @@ def statement_periods(landing: DataFrame) -> DataFrame:
 
 def statement_lines(landing: DataFrame) -> DataFrame:
     """Statement payloads to one row per figure, with the year and end of its period."""
-    rows = _statement_rows(landing).withColumns(
-        {
-            "header": _period_header(),
-            "year": to_int(_named("year")),
-            "period_end": parse_date(_named("period_end")),
-        }
+    rows = _cleaned(
+        _statement_rows(landing),
+        "symbol", "statement_type", "statement_code", "period_kind",
+        _period_header().alias("header"),
+        to_int(_named("year")).alias("year"),
+        parse_date(_named("period_end")).alias("period_end"),
+        "item",
     )
     named = [*PERIOD_KEY, "year", "period_end"]
     return _exploded(rows, named, F.col("item"), "field_name", "raw").where(
@@ -201,7 +213,8 @@ def metrics(landing: DataFrame) -> DataFrame:
 
 def price_ratios_daily(landing: DataFrame) -> DataFrame:
     items = _items(landing, _texts("quote_date", *VALUATION), "price_ratios")
-    return items.select(
+    return _cleaned(
+        items,
         "symbol",
         _param("statement_type").alias("statement_type"),
         parse_date(_item("quote_date")).alias("quote_date"),
@@ -234,7 +247,8 @@ def is_price_row(open_: Column, high: Column, low: Column, close: Column, volume
 def prices(landing: DataFrame) -> DataFrame:
     fields = ("open_price", "high_price", "low_price", "close_price", "volume")
     items = _items(landing, _texts("quote_date", *fields), "price")
-    rows = items.select(
+    rows = _cleaned(
+        items,
         "symbol",
         parse_date(_item("quote_date")).alias("quote_date"),
         *[parse_number(_item(n)).alias(n.removesuffix("_price")) for n in fields],
@@ -245,7 +259,8 @@ def prices(landing: DataFrame) -> DataFrame:
 
 def dividends(landing: DataFrame) -> DataFrame:
     items = _items(landing, _texts("date", "amount", "dividend_type"), "dividend")
-    return items.select(
+    return _cleaned(
+        items,
         "symbol",
         F.lit("dividend").alias("action"),
         parse_date(_item("date")).alias("ex_date"),
@@ -261,7 +276,8 @@ def corporate_actions(landing: DataFrame) -> DataFrame:
     parsed = F.from_json("payload", f"map<string, array<struct<{_texts('date', 'action', 'amount')}>>>")
     sent = landing.select("symbol", action.alias("action"), parsed.alias("by_action"))
     items = _exploded(sent, ["symbol", "action"], F.try_element_at("by_action", F.col("action")), "item")
-    return items.select(
+    return _cleaned(
+        items,
         "symbol",
         "action",
         parse_date(_item("date")).alias("ex_date"),
@@ -297,8 +313,12 @@ def shareholding(landing: DataFrame) -> DataFrame:
 
 
 def _index_items(landing: DataFrame, fields: str) -> DataFrame:
-    items = _items(landing, f"index_symbol: string, {fields}")
-    return items.withColumn("index_symbol", clean_text(_item("index_symbol"))).where("index_symbol IS NOT NULL")
+    items = _cleaned(
+        _items(landing, f"index_symbol: string, {fields}"),
+        clean_text(_item("index_symbol")).alias("index_symbol"),
+        "item",
+    )
+    return items.where(F.col("index_symbol").isNotNull())
 
 
 def indices(landing: DataFrame) -> DataFrame:
@@ -331,7 +351,8 @@ def index_quotes(landing: DataFrame) -> DataFrame:
     plain = ("close_price", "open_price", "high_price", "low_price", "change_pct", "points_change",
              "pe", "pb", "div_yield", "turnover", "volume")
     items = _index_items(landing, _texts("quote_date", "market_cap", *plain))
-    rows = items.select(
+    rows = _cleaned(
+        items,
         "index_symbol",
         parse_date(_item("quote_date")).alias("quote_date"),
         *_numbers(plain),
@@ -347,6 +368,7 @@ def index_returns(landing: DataFrame) -> DataFrame:
     long = items.select(
         "index_symbol", parse_date(F.col("item.dates.last_date")).alias("as_of"), F.explode(pairs).alias("p")
     )
-    return long.select(
+    return _cleaned(
+        long,
         "index_symbol", F.col("p.horizon").alias("horizon"), parse_number("p.raw").alias("return_pct"), "as_of"
     ).where(F.col("return_pct") != 0)

@@ -99,39 +99,45 @@ def _figure(name: str) -> Column:
 
 def row_value() -> Column:
     """Value of a template row in a period: first present field, or the row's formula, in display units."""
-    first = F.try_element_at(
-        F.filter(
-            F.transform("fields", lambda f: F.try_element_at(F.col("figures"), f)), lambda v: v.isNotNull()
-        ),
-        F.lit(1),
-    )
-    raw = first
+    named = [
+        F.try_element_at("figures", F.try_element_at("fields", F.lit(i + 1))) for i in range(templates.MAX_FIELDS)
+    ]
+    raw = F.coalesce(*named)
     for name, formula in FORMULAS.items():
         raw = F.when(F.col("formula") == name, formula(_figure)).otherwise(raw)
     return statement_scale(raw, F.col("unit"))
 
 
+def reported_fields(figures: DataFrame) -> DataFrame:
+    """Fields with a non-zero figure in any period of a table; bounded by the field vocabulary."""
+    non_zero = figures.where(F.col("value") != 0).select(*TABLE_KEY, "statement_type", "field_name").distinct()
+    return non_zero.groupBy(*TABLE_KEY, "statement_type").agg(F.collect_set("field_name").alias("reported"))
+
+
 def has_data(value: str) -> Column:
     """Whether any figure of a row is present and not zero, as an aggregate over its periods."""
     return F.max(F.coalesce(F.abs(value), F.lit(0.0))) > 0
 
 
 def render(maps: DataFrame) -> DataFrame:
-    """One row per template row and period, for tables with a `layout` and a `figures` map per period.
+    """One row per template row and period, for tables with a `layout`, the table's `reported` fields, and a
+    `figures` map per period.
 
     A template row without a non-zero figure in any period of its table is dropped, and so are the children of
-    a dropped row. The layouts have a fixed size, so they are broadcast.
+    a dropped row. Rows whose fields the table never reports go before any value is computed. The layouts have a
+    fixed size, so they are broadcast.
     """
     layouts = F.broadcast(templates.template_frame(maps.sparkSession))
-    cells = maps.join(layouts, "layout").withColumn("value", row_value())
+    possible = F.col("formula").isNotNull() | F.arrays_overlap("fields", "reported")
+    cells = maps.join(layouts, "layout").where(possible).withColumn("value", row_value())
     # At most PERIOD_LIMIT periods and one layout per table: both windows are small.
     table = [*TABLE_KEY, "statement_type"]
     largest = F.max(F.coalesce(F.abs("value"), F.lit(0.0))).over(W.partitionBy(*table, "ord"))
-    shown = cells.withColumn("_data", largest > 0)
+    shown = cells.drop("figures", "reported", "fields", "formula").withColumn("_data", largest > 0)
     family = F.coalesce("parent", "ord")
     parent_shown = F.max(F.when(F.col("parent").isNull(), F.col("_data").cast("int")))
     kept = shown.withColumn("_parent", parent_shown.over(W.partitionBy(*table, family)) == 1)
-    return kept.where(F.col("_data") & F.col("_parent")).drop("_data", "_parent", "figures", "fields", "formula")
+    return kept.where(F.col("_data") & F.col("_parent")).drop("_data", "_parent")
 
 
 def statement_tables(
@@ -144,11 +150,12 @@ def statement_tables(
 ) -> DataFrame:
     """The full statement query for every symbol, code and period kind."""
     recent = with_type_fallback(last_periods(periods, limit), requested)
-    maps = field_maps(merged_figures(recent, lines, basics))
+    figures = merged_figures(recent, lines, basics)
     family = shown_family(recent, company)
     placed = (
         recent.select(*PERIOD_KEY, "position", "result_date")
-        .join(maps, list(PERIOD_KEY), "left")
+        .join(field_maps(figures), list(PERIOD_KEY), "left")
+        .join(reported_fields(figures), [*TABLE_KEY, "statement_type"], "left")
         .join(family, list(TABLE_KEY), "left")
         .withColumn("layout", layout_of(F.col("schema_kind"), F.col("statement_code")))
     )

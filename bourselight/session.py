@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Recommended cluster settings. Nothing in the package depends on them for its results.
@@ -51,6 +53,24 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is derived from a data folder once per application, then read as stored."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:
+            # The shared folder was cleaned in between: derive the table again.
+            del _STORED[key]
+    path = new_table_path(spark, name)
+    make().write.mode("overwrite").parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
+
+
 def write_and_read(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame as Parquet under the shared folder and return the table as read back."""
     path = new_table_path(df.sparkSession, name)

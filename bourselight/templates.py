@@ -145,6 +145,9 @@ def _rows() -> list[TemplateRow]:
 ROWS = tuple(_rows())
 
 
+MAX_FIELDS = max(len(r.fields) for r in ROWS)
+
+
 def layout_rows(layout: str) -> list[TemplateRow]:
     return [r for r in ROWS if r.layout == layout]
 

@@ -7,15 +7,12 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourselight.session import new_table_path
 from bourselight.sources.testbed import Testbed
 from workload.ctes import with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_SNAPSHOTS: dict[tuple[str, str], str] = {}
-
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of a Testbed under a name, with the SQL of its result where SQL can state it."""
@@ -32,13 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def snapshot_table(t: Testbed) -> DataFrame:
-    """The snapshot as a written table, built once per application and data folder as a deployment would."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _SNAPSHOTS:
-        path = new_table_path(t.spark, "company_snapshot")
-        t.snapshot.write.mode("overwrite").parquet(path)
-        _SNAPSHOTS[key] = path
-    return t.spark.read.parquet(_SNAPSHOTS[key])
+    """The snapshot as a written table, as screens and pages read it."""
+    return t.snapshot
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -11,8 +11,10 @@ from bourselight.functions import parse
 from bourselight.operators import merge
 from bourselight.operators.normalise import PERIOD_KEY
 from bourselight.plans import screen, snapshot
+from bourselight.plans.snapshot import build
 from bourselight.session import new_table_path, write_and_read
 from bourselight.sources.landing import read_landing, route
+from bourselight.sources.testbed import AS_OF
 from workload import landed
 from workload.pipelines import SNAPSHOT_COLUMNS, SNAPSHOT_TEXTS
 from workload.registry import names, query, r6, rounded, snapshot_table
@@ -190,7 +192,7 @@ def s10(t):
     f"SELECT symbol, {names(SNAPSHOT_TEXTS)}, {r6(*SNAPSHOT_COLUMNS)} FROM snapshot",
 )
 def s11(t):
-    written = write_and_read(t.snapshot, "company_snapshot")
+    written = write_and_read(build(**t.snapshot_inputs(F.lit(AS_OF).cast("date"))), "company_snapshot")
     return rounded(written.select("symbol", *SNAPSHOT_TEXTS, *SNAPSHOT_COLUMNS))
 
 

@@ -83,35 +83,48 @@ def layout_of(family: Column, code: Column) -> Column:
     return out
 
 
-def shown_family(recent: DataFrame, company: DataFrame) -> DataFrame:
-    """Family of a table: that of its oldest shown period, or the company's where that is unknown."""
-    family = recent.groupBy(*TABLE_KEY).agg(F.max_by("schema_kind", "position").alias("_of_period"))
-    joined = family.join(company.select("symbol", F.col("schema_kind").alias("_of_company")), "symbol", "left")
-    unknown = F.coalesce(F.col("_of_period").isin("", "unknown"), F.lit(True))
-    return joined.select(
-        *TABLE_KEY, F.when(unknown, F.col("_of_company")).otherwise(F.col("_of_period")).alias("schema_kind")
-    )
-
-
 def _figure(name: str) -> Column:
     return F.try_element_at("figures", F.lit(name))
 
 
-def row_value() -> Column:
-    """Value of a template row in a period: first present field, or the row's formula, in display units."""
-    named = [
-        F.try_element_at("figures", F.try_element_at("fields", F.lit(i + 1))) for i in range(templates.MAX_FIELDS)
-    ]
-    raw = F.coalesce(*named)
-    for name, formula in FORMULAS.items():
-        raw = F.when(F.col("formula") == name, formula(_figure)).otherwise(raw)
-    return statement_scale(raw, F.col("unit"))
+def with_derived_rows(maps: DataFrame) -> DataFrame:
+    """Add the result of every formula to a period's figures, under the name that the layouts give it.
+
+    A period computes each formula once, and rows of all kinds are then looked up alike.
+    """
+    derived = F.create_map(
+        *[part for name, formula in FORMULAS.items() for part in (F.lit(templates.derived(name)), formula(_figure))]
+    )
+    return maps.withColumn("figures", F.map_concat("figures", derived))
+
 
+def with_table_facts(placed: DataFrame, company: DataFrame) -> DataFrame:
+    """Family of each table, and the fields with a non-zero figure in any of its periods.
 
-def reported_fields(figures: DataFrame) -> DataFrame:
-    """Fields with a non-zero figure in any period of a table; bounded by the field vocabulary."""
-    non_zero = figures.where(F.col("value") != 0).select(*TABLE_KEY, "statement_type", "field_name").distinct()
-    return non_zero.groupBy(*TABLE_KEY, "statement_type").agg(F.collect_set("field_name").alias("reported"))
+    The family is that of the oldest shown period, or the company's where that is unknown. A table has at most
+    PERIOD_LIMIT periods per type and the fields come from a small vocabulary, so the windows are small.
+    """
+    table = W.partitionBy(*TABLE_KEY, "statement_type")
+    non_zero = F.map_keys(F.map_filter("figures", lambda k, v: v != 0))
+    facts = placed.withColumns(
+        {
+            "_of_period": F.max_by("schema_kind", "position").over(table),
+            "reported": F.flatten(F.collect_list(non_zero).over(table)),
+        }
+    )
+    joined = facts.drop("schema_kind").join(
+        company.select("symbol", F.col("schema_kind").alias("_of_company")), "symbol", "left"
+    )
+    unknown = F.coalesce(F.col("_of_period").isin("", "unknown"), F.lit(True))
+    family = F.when(unknown, F.col("_of_company")).otherwise(F.col("_of_period"))
+    return joined.withColumn("schema_kind", family).drop("_of_period", "_of_company")
+
+
+def row_value() -> Column:
+    """Figure of a template row in a period: that of its first present field."""
+    return F.coalesce(
+        *[F.try_element_at("figures", F.try_element_at("fields", F.lit(i + 1))) for i in range(templates.MAX_FIELDS)]
+    )
 
 
 def has_data(value: str) -> Column:
@@ -128,12 +141,14 @@ def render(maps: DataFrame) -> DataFrame:
     fixed size, so they are broadcast.
     """
     layouts = F.broadcast(templates.template_frame(maps.sparkSession))
-    possible = F.col("formula").isNotNull() | F.arrays_overlap("fields", "reported")
-    cells = maps.join(layouts, "layout").where(possible).withColumn("value", row_value())
+    cells = with_derived_rows(maps).join(layouts, "layout").where(F.arrays_overlap("fields", "reported") | F.col("derived"))
+    named = [c for c in maps.columns if c not in ("figures", "reported", "layout")]
+    rows = cells.select(*named, "layout", "ord", "parent", "label", "unit", "emphasis", row_value().alias("raw"))
+    valued = rows.withColumn("value", statement_scale("raw", "unit")).drop("raw")
     # At most PERIOD_LIMIT periods and one layout per table: both windows are small.
     table = [*TABLE_KEY, "statement_type"]
     largest = F.max(F.coalesce(F.abs("value"), F.lit(0.0))).over(W.partitionBy(*table, "ord"))
-    shown = cells.drop("figures", "reported", "fields", "formula").withColumn("_data", largest > 0)
+    shown = valued.withColumn("_data", largest > 0)
     family = F.coalesce("parent", "ord")
     parent_shown = F.max(F.when(F.col("parent").isNull(), F.col("_data").cast("int")))
     kept = shown.withColumn("_parent", parent_shown.over(W.partitionBy(*table, family)) == 1)
@@ -150,16 +165,10 @@ def statement_tables(
 ) -> DataFrame:
     """The full statement query for every symbol, code and period kind."""
     recent = with_type_fallback(last_periods(periods, limit), requested)
-    figures = merged_figures(recent, lines, basics)
-    family = shown_family(recent, company)
-    placed = (
-        recent.select(*PERIOD_KEY, "position", "result_date")
-        .join(field_maps(figures), list(PERIOD_KEY), "left")
-        .join(reported_fields(figures), [*TABLE_KEY, "statement_type"], "left")
-        .join(family, list(TABLE_KEY), "left")
-        .withColumn("layout", layout_of(F.col("schema_kind"), F.col("statement_code")))
-    )
-    return render(placed)
+    maps = field_maps(merged_figures(recent, lines, basics))
+    placed = recent.select(*PERIOD_KEY, "position", "result_date", "schema_kind").join(maps, list(PERIOD_KEY))
+    known = with_table_facts(placed, company)
+    return render(known.withColumn("layout", layout_of(F.col("schema_kind"), F.col("statement_code"))))
 
 
 def header_order(header: Column, year: Column) -> Column:

@@ -111,6 +111,10 @@ def _unpivot_fields(df: DataFrame, keys: list[str], group: str, fields: dict[str
     )
 
 
+# Names of the stored tables, in the order in which they can be derived.
+LAYER2: list[str] = []
+
+
 def layer2(make: Callable[[Testbed], DataFrame]) -> cached_property:
     """A Layer 2 table, derived from the given tables on first use and stored.
 
@@ -120,6 +124,7 @@ def layer2(make: Callable[[Testbed], DataFrame]) -> cached_property:
         return stored_once(self.spark, self.folder, make.__name__, lambda: make(self))
 
     stored.__doc__ = make.__doc__
+    LAYER2.append(make.__name__)
     return cached_property(stored)
 
 
@@ -404,6 +409,11 @@ class Testbed:
             _text("user_id").alias("client_key"),
         )
 
+    def store_all(self) -> None:
+        """Derive and store every Layer 2 table and the snapshot, as ingestion would have done."""
+        for name in LAYER2:
+            getattr(self, name)
+
     def snapshot_inputs(self, as_of: Column) -> dict:
         return {
             "company": self.company, "quote": self.quote, "lines": self.lines,

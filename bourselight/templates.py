@@ -103,7 +103,7 @@ SHARED_LAYOUTS = {"bs": "general_bs", "cf": "general_cf"}
 
 TEMPLATE_SCHEMA = (
     "layout string, ord int, parent int, label string, unit string, emphasis boolean, "
-    "formula string, fields array<string>"
+    "derived boolean, fields array<string>"
 )
 
 _ROW = re.compile(r"^(?P<label>.+?)(?: \[(?P<unit>\w+)\])?(?P<mark> \*)? = (?P<what>.+)$")
@@ -121,6 +121,11 @@ class TemplateRow:
     fields: list[str]
 
 
+def derived(formula: str) -> str:
+    """The name under which a period's figures hold the result of a formula."""
+    return f"f({formula})"
+
+
 def _rows() -> list[TemplateRow]:
     out: list[TemplateRow] = []
     layout = ""
@@ -133,7 +138,7 @@ def _rows() -> list[TemplateRow]:
         unit = match["unit"] or "crore"
         what = match["what"].strip()
         formula = what[2:-1] if what.startswith("f(") else None
-        fields = [] if formula else [f.strip() for f in what.split(",")]
+        fields = [derived(formula)] if formula else [f.strip() for f in what.split(",")]
         position += 100
         out.append(TemplateRow(layout, position, None, match["label"], unit, bool(match["mark"]), formula, fields))
         for i, child in enumerate(filter(None, (c.strip() for c in children.split(";"))), start=1):
@@ -154,5 +159,7 @@ def layout_rows(layout: str) -> list[TemplateRow]:
 
 def template_frame(spark: SparkSession) -> DataFrame:
     """The layouts as a frame. Its size is fixed, so it may be broadcast."""
-    data = [(r.layout, r.ord, r.parent, r.label, r.unit, r.emphasis, r.formula, r.fields) for r in ROWS]
+    data = [
+        (r.layout, r.ord, r.parent, r.label, r.unit, r.emphasis, r.formula is not None, r.fields) for r in ROWS
+    ]
     return spark.createDataFrame(data, TEMPLATE_SCHEMA)

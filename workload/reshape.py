@@ -142,10 +142,10 @@ def r06(t):
     """Both statement types of every company in the general layout, without fallback or derived aggregates."""
     recent = statements.last_periods(t.periods)
     own = recent.select(*PERIOD_KEY).join(t.lines, list(PERIOD_KEY)).select(*PERIOD_KEY, "field_name", "value")
-    reported = statements.reported_fields(own)
-    maps = statements.field_maps(own).join(reported, [*statements.TABLE_KEY, "statement_type"], "left")
-    placed = maps.withColumn("layout", statements.layout_of(F.lit("general"), F.col("statement_code")))
-    return statements.render(placed).drop("layout")
+    placed = statements.field_maps(own).join(recent.select(*PERIOD_KEY, "position", "schema_kind"), list(PERIOD_KEY))
+    known = statements.with_table_facts(placed, t.company)
+    laid_out = known.withColumn("layout", statements.layout_of(F.lit("general"), F.col("statement_code")))
+    return statements.render(laid_out).drop("layout", "position", "schema_kind")
 
 
 @query("r07_statement_tables", rendered_sql("figures"))

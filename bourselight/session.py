@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Recommended cluster settings. Nothing in the package depends on them for its results.
 CLUSTER_CONF = {
@@ -53,22 +54,23 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that is derived from a data folder once per application, then read as stored."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key in _STORED:
+        path, schema = _STORED[key]
         try:
-            return spark.read.parquet(_STORED[key])
+            return spark.read.schema(schema).parquet(path)
         except AnalysisException:
             # The shared folder was cleaned in between: derive the table again.
             del _STORED[key]
-    path = new_table_path(spark, name)
-    make().write.mode("overwrite").parquet(path)
-    _STORED[key] = path
-    return spark.read.parquet(path)
+    made, path = make(), new_table_path(spark, name)
+    made.write.mode("overwrite").parquet(path)
+    _STORED[key] = (path, made.schema)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def write_and_read(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

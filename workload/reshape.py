@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bourselight.operators.normalise import PERIOD_KEY
 from bourselight.plans import pages, statements
-from workload.registry import names, query, r6, rounded
+from workload.registry import names, query, rounded
 
 KEY = names(PERIOD_KEY)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401
 from tests.oracle import compare, connect
+from workload.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+SQLS = ORACLES
 
 
 @pytest.fixture(scope="module")

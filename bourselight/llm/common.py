@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,13 @@ from pyspark.sql.types import StructType
 SPACE = r"[\x20\x09-\x0D]"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from any folder; clusters get it at submission."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.master.startswith("local[") and not any(f.endswith(f"/{package.name}") for f in context.listFiles):
+        context.addFile(str(package), recursive=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +68,7 @@ def with_row(docs: DataFrame, text: str = "text", **more: Column) -> DataFrame:
     Operators add their columns beside `row`, so a document's own columns never clash with them. `rid` numbers the
     rows of a stored table alike on every read; it only breaks ties and joins results back.
     """
+    ship_package(docs.sparkSession)
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.monotonically_increasing_id().alias("rid"),

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import table
+from bourselight.llm.common import Steps, table
+from bourselight.llm.dart_minhash import near_duplicates
+from bourselight.llm.packing import pack
 from bourselight.llm.quality_rules import RULES, STOP_WORDS, judge
 from bourselight.llm.radix_dedup import exact_dedup
 from bourselight.llm.registry import query
+from bourselight.llm.sanitise import KINDS, joined, sanitise
+from bourselight.llm.token_files import read_token_files, write_token_files
 
 _STOP = "|".join(sorted({w for ws in STOP_WORDS.values() for w in ws.split()}))
 
@@ -67,3 +71,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "keep_id", "group_size", "kept", F.sha2("body", 256).alias("text_sha256")
     )
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_dart_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "class_id", "class_size", "kept"
+    )
+
+
+@query("op2_hierarchical_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("rid")
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = Steps(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), steps)
+    return read_token_files(steps)
+
+
+@query("op9_sanitise")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        *[F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined(F.col("base_list")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )

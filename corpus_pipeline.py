@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, table
+from bourselight.llm.common import Steps, table, with_row
+from bourselight.llm.dart_minhash import near_duplicates
+from bourselight.llm.packing import pack
 from bourselight.llm.quality_rules import judge
+from bourselight.llm.queries import tokenizer_path
 from bourselight.llm.radix_dedup import exact_dedup
+from bourselight.llm.sanitise import sanitise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,7 +28,35 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).where("kept").select("row.*")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    kept = near_duplicates(docs).where("kept").select("rid")
+    return with_row(docs).join(kept, "rid", "left_semi").select("row.*")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what reveals it replaced in their text."""
+    text = F.when(F.col("row.text").isNotNull(), F.col("clean"))
+    return sanitise(docs).select(
+        *[
+            {"text": text, "n_chars": F.length(text).cast("long")}.get(c, F.col(f"row.`{c}`")).alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return pack(docs, tokenizer_path()).drop("rid")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("sanitise", private),
+    ("packing", packed),
+]
 
 # Near-duplicate classes and token packing have no SQL form.
 ORACLE_SQL = None

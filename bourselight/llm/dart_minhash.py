@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         places.groupBy("band", "key").agg(F.count("*").alias("size"), F.min_by("node", order).alias("pivot")).where("size > 1"),
         "buckets",
     )
-    members = steps.save(places.join(buckets, ["band", "key"]).select("band", "key", "node", "pivot"), "members")
+    members = steps.save(places.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "node", "pivot"), "members")
     tests = steps.save(
         members.where("node <> pivot")
         .groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
@@ -190,13 +190,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     wanted = members.select(F.col("node").alias("rid")).distinct()
     elements = steps.save(
-        rows.select("rid", "body").join(wanted, "rid", "left_semi").mapInArrow(_elements, "node long, el array<long>, w array<int>"),
+        rows.select("rid", "body").join(wanted.hint("merge"), "rid", "left_semi").mapInArrow(_elements, "node long, el array<long>, w array<int>"),
         "elements",
     )
 
     def linked(pairs: DataFrame) -> DataFrame:
         side = lambda s: elements.select(F.col("node").alias(s), F.col("el").alias(f"{s}_el"), F.col("w").alias(f"{s}_w"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(_similarity(weighted) >= SIMILARITY).select("a", "b")
+        return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(_similarity(weighted) >= SIMILARITY).select("a", "b")
 
     # First the pair of each node that shares most bands, then other pairs, only across classes.
     best = tests.unionAll(tests.select(F.col("b").alias("a"), F.col("a").alias("b"), "bands")).groupBy("a").agg(
@@ -230,11 +230,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(links, steps, "classes2")
 
     named = label_of(nodes.select("set1", "set2", "node"), "node").select("set1", "set2", F.col("node_label").alias("label"))
-    placed = sketch.select("rid", "doc", "n", "set1", "set2").join(named, ["set1", "set2"], "left").select(
+    placed = sketch.select("rid", "doc", "n", "set1", "set2").join(named.hint("merge"), ["set1", "set2"], "left").select(
         "rid", "doc", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")).alias("label")
     )
     placed = steps.save(placed, "placed")
     kept = placed.groupBy("label").agg(F.max(F.struct("doc", "rid")).alias("keep"), F.count("*").alias("class_size"))
-    return placed.join(kept, "label").select(
+    return placed.join(kept.hint("merge"), "label").select(
         "rid", "doc", F.col("keep.doc").alias("class_id"), "class_size", (F.col("keep.rid") == F.col("rid")).alias("kept")
     )

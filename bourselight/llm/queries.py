@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourselight.llm import queries_records  # noqa: F401
-from bourselight.llm.common import Steps, table
+from bourselight.llm.common import Steps, table, with_row
 from bourselight.llm.dart_minhash import near_duplicates
 from bourselight.llm.packing import pack
 from bourselight.llm.quality_rules import RULES, STOP_WORDS, judge
-from bourselight.llm.radix_dedup import exact_dedup
+from bourselight.llm.radix_dedup import exact_dedup, normalised
 from bourselight.llm.registry import query
 from bourselight.llm.sanitise import KINDS, joined, sanitise
 from bourselight.llm.token_files import read_token_files, write_token_files
@@ -69,8 +69,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 
 @query("op3_exact_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).select(
-        "row.doc_id", "keep_id", "group_size", "kept", F.sha2("body", 256).alias("text_sha256")
+    docs = table(spark, sf_dir, "documents")
+    digests = with_row(docs).select("rid", F.sha2(normalised(F.col("body")), 256).alias("text_sha256"))
+    return exact_dedup(docs).join(digests.hint("merge"), "rid").select(
+        F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
     )
 
 

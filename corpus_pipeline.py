@@ -25,13 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup(docs).where("kept").select("row.*")
+    kept = exact_dedup(docs).where("kept").select("rid")
+    return with_row(docs).join(kept.hint("merge"), "rid", "left_semi").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     kept = near_duplicates(docs).where("kept").select("rid")
-    return with_row(docs).join(kept, "rid", "left_semi").select("row.*")
+    return with_row(docs).join(kept.hint("merge"), "rid", "left_semi").select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

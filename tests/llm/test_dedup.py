@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from bourselight.llm.common import with_row
 from bourselight.llm.dart_minhash import near_duplicates, signatures
 from bourselight.llm.queries import op6
 from bourselight.llm.radix_dedup import exact_dedup
@@ -18,7 +19,8 @@ EDGE = [(1, None), (2, ""), (3, "Same Text"), (4, "same text"), (5, "same text "
 
 @pytest.mark.parametrize("extra", ["", "kept keep_id group_size row rid body n grp digit done"])
 def test_exact_groups(spark, tmp_path, extra):
-    out = exact_dedup(stored(docs_of(spark, EDGE, extra), tmp_path)).select("row.doc_id", "row.text", "keep_id", "group_size", "kept").collect()
+    docs = stored(docs_of(spark, EDGE, extra), tmp_path)
+    out = exact_dedup(docs).join(with_row(docs).select("rid", "row.text"), "rid").collect()
     assert len(out) == len(EDGE)
     groups: dict[str, list] = {}
     for i, t in EDGE:

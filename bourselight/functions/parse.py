@@ -103,10 +103,10 @@ def text_hash(c: Column | str) -> Column:
     return F.substring(F.sha2(text_normal_form(c), 256), 1, 16)
 
 
-def redact(c: Column | str) -> Column:
-    """Hide the value after `token=` and keep at most 4,000 characters."""
+def redact(c: Column | str, length: int | None = None) -> Column:
+    """Hide the value after `token=`. A log sink that stores at most so many characters passes MESSAGE_LENGTH."""
     hidden = F.regexp_replace(_col(c), r"(token=)[^&\s]+", "$1REDACTED")
-    return F.substring(hidden, 1, MESSAGE_LENGTH)
+    return hidden if length is None else F.substring(hidden, 1, length)
 
 
 def canonical_params(params: Column | str) -> Column:

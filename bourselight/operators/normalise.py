@@ -244,11 +244,13 @@ def is_price_row(open_: Column, high: Column, low: Column, close: Column, volume
     return some & closed & positive[0] & positive[1] & positive[2]
 
 
-def prices(landing: DataFrame) -> DataFrame:
+def prices(landing: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Daily prices; `kept` names further columns of the landing to carry, such as the time of the fetch."""
     fields = ("open_price", "high_price", "low_price", "close_price", "volume")
     items = _items(landing, _texts("quote_date", *fields), "price")
     rows = _cleaned(
         items,
+        *kept,
         "symbol",
         parse_date(_item("quote_date")).alias("quote_date"),
         *[parse_number(_item(n)).alias(n.removesuffix("_price")) for n in fields],

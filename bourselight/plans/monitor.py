@@ -36,9 +36,11 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 def newest_logs(
     logs: DataFrame, level: str | None = None, logger: str | None = None, limit: int = 100
 ) -> DataFrame:
-    """Newest log rows of a level and of loggers with a prefix."""
+    """Newest log rows of a level and of loggers with a prefix; at most MAX_LOG_ROWS may be asked for."""
+    if limit > MAX_LOG_ROWS:
+        raise ValueError(f"at most {MAX_LOG_ROWS} log rows")
     out = filter_logs(logs, level, logger)
-    return out.orderBy(F.desc("id")).limit(min(limit, MAX_LOG_ROWS))
+    return out.orderBy(F.desc("id")).limit(limit)
 
 
 def filter_logs(logs: DataFrame, level: str | None = None, logger: str | None = None) -> DataFrame:
@@ -71,9 +73,12 @@ def log_health(logs: DataFrame, now: Column) -> DataFrame:
 
 
 def task_counts(tasks: DataFrame) -> DataFrame:
-    """Tasks per run and status, one column per status."""
-    pivot = tasks.groupBy("run_id").pivot("status", list(STATUSES)).agg(F.count(F.lit(1)))
-    return pivot.fillna(0, list(STATUSES))
+    """Tasks per run, one column per known status and one for all others."""
+    status = F.col("status")
+    return tasks.groupBy("run_id").agg(
+        *[F.count_if(status == s).alias(s) for s in STATUSES],
+        F.count_if(~F.coalesce(status.isin(*STATUSES), F.lit(False))).alias("other"),
+    )
 
 
 def planned_symbols(scope: Column) -> Column:
@@ -89,7 +94,7 @@ def symbols_done(tasks: DataFrame) -> DataFrame:
 def run_progress(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every run with task counts per status, symbols reached and symbols planned."""
     out = runs.join(task_counts(tasks), "run_id", "left").join(symbols_done(tasks), "run_id", "left")
-    return out.fillna(0, [*STATUSES, "symbols_done"]).withColumn(
+    return out.fillna(0, [*STATUSES, "other", "symbols_done"]).withColumn(
         "symbols_total", planned_symbols(F.col("scope"))
     )
 

@@ -200,9 +200,12 @@ def well_known_rank(index_symbol: Column) -> Column:
 
 
 def latest_index_quotes(index_quotes: DataFrame) -> DataFrame:
-    """The newest quote per index."""
+    """The newest valuation per index."""
+    return newest_quotes(index_quotes, ["close_price", "change_pct", "pe", "pb", "div_yield"])
+
+
+def newest_quotes(index_quotes: DataFrame, picked: list[str]) -> DataFrame:
     day = F.unix_date("quote_date")
-    picked = ["close_price", "change_pct", "pe", "pb", "div_yield"]
     return index_quotes.groupBy("index_symbol").agg(*[F.max_by(c, day).alias(c) for c in picked])
 
 
@@ -232,7 +235,9 @@ def listing(
 
 
 def listed_in_order(rows: DataFrame, limit: int = 300) -> DataFrame:
-    return rows.orderBy("place", "index_name", "index_symbol").limit(limit)
+    """The first rows in display order, beside the number of all."""
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy("place", "index_name", "index_symbol").limit(limit).withColumn("total", total)
 
 
 def filter_indices(index_master: DataFrame, exchange: str | None = None, term: str = "") -> DataFrame:
@@ -261,7 +266,8 @@ def index_members(constituents: DataFrame, snapshot: DataFrame, company: DataFra
     identity = company.select("symbol", F.col("name").alias("_company_name"), "sector", F.lit(True).alias("_known"))
     facts = identity.join(known, "symbol", "full_outer")
     edges = constituents.select("index_symbol", "symbol")
-    joined = lookup(edges, facts, ["symbol"], ["index_symbol"])
+    # An edge is unique, so a symbol has at most one row per index: no key is hot.
+    joined = edges.join(facts, "symbol", "left")
     return joined.select(
         "index_symbol",
         "symbol",
@@ -314,9 +320,12 @@ def index_details(
 
 
 def movers(index_quotes: DataFrame, index_master: DataFrame, limit: int = 10) -> DataFrame:
-    """Best and worst rows by change, missing changes left out; `position` counts from the most extreme."""
-    moved = index_quotes.where(F.col("change_pct").isNotNull())
-    tie = [F.col("quote_date").desc(), F.col("index_symbol")]
+    """Best and worst indices by the change of their newest quote; `position` counts from the most extreme.
+
+    An index whose newest quote has no change is left out.
+    """
+    moved = newest_quotes(index_quotes, ["close_price", "change_pct"]).where(F.col("change_pct").isNotNull())
+    tie = [F.col("index_symbol")]
     sides = []
     for side, first in (("gainer", F.col("change_pct").desc()), ("loser", F.col("change_pct").asc())):
         top = moved.orderBy(first, *tie).limit(limit)
@@ -324,7 +333,7 @@ def movers(index_quotes: DataFrame, index_master: DataFrame, limit: int = 10) ->
         sides.append(top.withColumn("side", F.lit(side)).withColumn("position", place))
     both = sides[0].unionByName(sides[1])
     return both.join(index_master.select("index_symbol", "index_name"), "index_symbol").select(
-        "side", "position", "index_symbol", "index_name", "quote_date", "close_price", "change_pct"
+        "side", "position", "index_symbol", "index_name", "close_price", "change_pct"
     )
 
 

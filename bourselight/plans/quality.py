@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bourselight.operators.normalise import change_or_null, clear_absent_valuation, is_price_row
+from bourselight.operators.spread import top_n
 
 SAMPLE_SIZE = 10
 PLAUSIBLE_10Y_CAGR = 50.0
@@ -34,19 +35,6 @@ def sample(keys: DataFrame, order: list[Column] | None = None) -> DataFrame:
     )
 
 
-def check(name: str, severity: str, bad: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
-    """One row: name, severity, number of bad rows, whether it passes, sample of keys."""
-    counted = bad.agg(F.count("*").alias("count"))
-    text = sampled.scalar() if sampled is not None else F.lit("")
-    return counted.select(
-        F.lit(name).alias("name"),
-        F.lit(severity).alias("severity"),
-        "count",
-        (F.col("count") == 0).alias("ok"),
-        F.coalesce(text, F.lit("")).alias("sample"),
-    )
-
-
 def outside(keys: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct keys of one frame that the other lacks."""
     return keys.select("symbol").distinct().join(known.select("symbol"), "symbol", "left_anti")
@@ -59,6 +47,70 @@ def quoted_twice(quote: DataFrame, company: DataFrame) -> DataFrame:
     return numeric.intersect(codes)
 
 
+# Name, severity and what the bad rows are.
+CHECKS = (
+    ("quote_keys_outside_symbol_master", "info", "quoted symbols are not in the symbol master"),
+    ("companies_quoted_twice", "warning", "companies are quoted under their exchange code as well"),
+    ("listed_without_a_quote", "warning", "companies have no quote"),
+    ("index_members_missing_from_symbol_master", "warning", "index members are not in the symbol master"),
+    ("companies_without_a_sector", "info", "companies have no sector"),
+    ("unclassified_statement_schema", "error", "P&L periods have no known schema"),
+    ("non_positive_close_price", "error", "prices are zero or below"),
+    ("implausible_daily_change", "warning", "quotes change by more than 50 % in a day"),
+    ("implausible_ten_year_return", "warning", "companies return more than 50 % a year over ten years"),
+)
+NO_SAMPLE = ("unclassified_statement_schema", "implausible_daily_change")
+
+
+def _keys(company: DataFrame, quote: DataFrame, constituents: DataFrame) -> DataFrame:
+    """What each key is, from one scan per table: company, quoted, member, exchange code, without sector, jumps."""
+    flag = lambda name: F.lit(name).alias("flag")
+    own = F.struct(F.col("symbol").alias("symbol"), F.lit("company").alias("flag"))
+    bare = F.when(F.col("sector").isNull(), F.struct(F.col("symbol").alias("symbol"), F.lit("no_sector").alias("flag")))
+    code = F.when(F.col("bse_code").isNotNull(), F.struct(F.col("bse_code").alias("symbol"), F.lit("code").alias("flag")))
+    jump = F.when(F.abs("change_pct") > PLAUSIBLE_DAY_CHANGE, "jump").otherwise("quoted")
+    rows = (
+        company.select(F.inline(F.array_compact(F.array(own, bare, code))))
+        .unionByName(quote.select("symbol", jump.alias("flag")))
+        .unionByName(constituents.select("symbol", flag("member")))
+    )
+    count = lambda name: F.count_if(F.col("flag") == name).alias(name)
+    return rows.groupBy("symbol").agg(*[count(n) for n in ("company", "no_sector", "code", "quoted", "jump", "member")])
+
+
+def violations(
+    company: DataFrame, quote: DataFrame, constituents: DataFrame, periods: DataFrame, prices: DataFrame, snapshot: DataFrame
+) -> DataFrame:
+    """(name, symbol, n, weight): bad rows per check and key; samples take the greatest weight first."""
+    known, quoted = F.col("company") > 0, F.col("quoted") + F.col("jump") > 0
+    outside_master = quoted & ~known
+    found = {
+        "quote_keys_outside_symbol_master": F.when(outside_master, 1),
+        "companies_quoted_twice": F.when(outside_master & (F.col("code") > 0) & F.col("symbol").rlike("^[0-9]+$"), 1),
+        "listed_without_a_quote": F.when(known & ~quoted, 1),
+        "index_members_missing_from_symbol_master": F.when((F.col("member") > 0) & ~known, 1),
+        "companies_without_a_sector": F.when(F.col("no_sector") > 0, F.col("no_sector")),
+        "implausible_daily_change": F.when(F.col("jump") > 0, F.col("jump")),
+    }
+    no_weight = F.lit(0.0)
+    entries = [F.struct(F.lit(k).alias("name"), v.cast("long").alias("n")) for k, v in found.items()]
+    by_key = _keys(company, quote, constituents).select("symbol", F.explode(F.array(*entries)).alias("e")).select(
+        "e.name", "symbol", "e.n", no_weight.alias("weight")
+    ).where(F.col("n").isNotNull())
+    named = lambda name: F.lit(name).alias("name")
+    unclassified = periods.where((F.col("statement_code") == "pl") & (F.col("schema_kind") == "unknown"))
+    by_period = unclassified.groupBy("symbol").agg(F.count("*").alias("n")).select(
+        named("unclassified_statement_schema"), "symbol", "n", no_weight.alias("weight")
+    )
+    by_price = prices.where(F.col("close") <= 0).groupBy("symbol").agg(F.count("*").alias("n")).select(
+        named("non_positive_close_price"), "symbol", "n", F.col("n").cast("double").alias("weight")
+    )
+    steep = snapshot.where(F.col("price_cagr_10y") > PLAUSIBLE_10Y_CAGR).select(
+        named("implausible_ten_year_return"), "symbol", F.lit(1).cast("long").alias("n"), F.col("price_cagr_10y").alias("weight")
+    )
+    return by_key.unionByName(by_period).unionByName(by_price).unionByName(steep)
+
+
 def checks(
     company: DataFrame,
     quote: DataFrame,
@@ -67,30 +119,22 @@ def checks(
     prices: DataFrame,
     snapshot: DataFrame,
 ) -> DataFrame:
-    """The nine checks, one row each."""
-    quote_only = outside(quote, company)
-    twice = quoted_twice(quote, company)
-    unquoted = outside(company, quote)
-    orphans = outside(constituents, company)
-    no_sector = company.where(F.col("sector").isNull()).select("symbol")
-    unclassified = periods.where((F.col("statement_code") == "pl") & (F.col("schema_kind") == "unknown"))
-    bad_prices = prices.where(F.col("close") <= 0).select("symbol")
-    bad_counts = bad_prices.groupBy(F.col("symbol")).agg(F.count("*").alias("n"))
-    jumps = quote.where(F.abs("change_pct") > PLAUSIBLE_DAY_CHANGE)
-    steep = snapshot.where(F.col("price_cagr_10y") > PLAUSIBLE_10Y_CAGR).select("symbol", "price_cagr_10y")
-    rows = [
-        check("quote_keys_outside_symbol_master", "info", quote_only, sample(quote_only)),
-        check("companies_quoted_twice", "warning", twice, sample(twice)),
-        check("listed_without_a_quote", "warning", unquoted, sample(unquoted)),
-        check("index_members_missing_from_symbol_master", "warning", orphans, sample(orphans)),
-        check("companies_without_a_sector", "info", no_sector, sample(no_sector)),
-        check("unclassified_statement_schema", "error", unclassified),
-        check("non_positive_close_price", "error", bad_prices, sample(bad_counts, [F.desc("n"), F.col("k")])),
-        check("implausible_daily_change", "warning", jumps),
-        check("implausible_ten_year_return", "warning", steep,
-              sample(steep, [F.desc("price_cagr_10y"), F.col("k")])),
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    """The nine checks, one row each: name, severity, number of bad rows, whether it passes, sample of keys, detail."""
+    bad = violations(company, quote, constituents, periods, prices, snapshot)
+    order = [F.col("weight").desc(), F.col("symbol")]
+    ranked = top_n(bad.withColumn("symbol", F.col("symbol").cast("string")), ["name"], order, SAMPLE_SIZE)
+    samples = ranked.groupBy("name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "symbol"))), lambda s: s["symbol"]), "|").alias("sample")
+    )
+    counts = bad.groupBy("name").agg(F.sum("n").alias("count"))
+    listed = bad.sparkSession.createDataFrame(list(CHECKS), "name string, severity string, what string")
+    joined = listed.join(counts, "name", "left").join(samples, "name", "left")
+    count = F.coalesce("count", F.lit(0).cast("long"))
+    sampled = F.when(F.col("name").isin(*NO_SAMPLE), "").otherwise(F.coalesce("sample", F.lit("")))
+    return joined.select(
+        "name", "severity", count.alias("count"), (count == 0).alias("ok"), sampled.alias("sample"),
+        F.concat_ws(" ", count.cast("string"), "what").alias("detail"),
+    )
 
 
 def summary(check_rows: DataFrame) -> DataFrame:

@@ -190,6 +190,22 @@ def ratio_table(ratios: DataFrame, statement_type: str = "c") -> DataFrame:
     )
 
 
+def named_families(cells: DataFrame) -> DataFrame:
+    """Ratio cells with the family's name in place of its code; a code without a name keeps it."""
+    name = F.col("family")
+    for code, family in RATIO_FAMILIES.items():
+        name = F.when(F.col("family") == code, family).otherwise(name)
+    return cells.withColumn("family", name)
+
+
+def ratio_family(cells: DataFrame, family: str) -> DataFrame:
+    """The cells of one family, by name or code; solvency is another name for leverage."""
+    known = {**{n: c for c, n in RATIO_FAMILIES.items()}, **{c: c for c in RATIO_FAMILIES}, "solvency": "le"}
+    if family not in known:
+        raise ValueError(f"unknown ratio family {family!r}; known are {sorted(known)}")
+    return cells.where(F.col("family") == known[family])
+
+
 def ratio_pivot(ratios: DataFrame, headers: list[str], statement_type: str = "c") -> DataFrame:
     """Ratio families with one column per header, for a known list of headers."""
     cells = ratio_table(ratios, statement_type)

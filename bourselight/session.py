@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -35,18 +35,12 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Only a local session may go without one: every executor of a cluster has to see the folder.
-    """
+    """The shared folder named by spark.checkpoint.dir; where it is unset, one below the warehouse, which is shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="bourselight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{uuid.uuid4().hex[:8]}"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -54,12 +48,23 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str, str, str], tuple[str, StructType]] = {}
+
+
+def _file_state(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files in a data folder and one level below, as the session's file system sees them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in system.listStatus(path):
+        below = system.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        found += [f"{e.getPath().toString()} {e.getLen()} {e.getModificationTime()}" for e in below]
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
 def stored_once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is derived from a data folder once per application, then read as stored."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """A table that is derived from a data folder once per application and state of its files, then read as stored."""
+    key = (spark.sparkContext.applicationId, folder, _file_state(spark, folder), name)
     if key in _STORED:
         path, schema = _STORED[key]
         try:

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bourselight.operators.normalise import HORIZONS
 from bourselight.plans.snapshot import build
 from bourselight.session import stored_once
 
@@ -28,7 +29,7 @@ STATEMENT_FIELDS = {
     "pl": {
         "revenueFromOperations": "e",
         "expenses": "q * 1000",
-        "financeCosts": "d * 1000",
+        "financeCosts": "CASE WHEN CAST(symbol AS BIGINT) % 4 <> 1 THEN d * 1000 END",
         "taxExpense": "t * 1000",
         "profitBeforeTax": "e - q * 1000",
         "profitLossForPeriod": "CASE WHEN t > 0.5 THEN e - q * 1000 - t * 1000 END",
@@ -59,6 +60,8 @@ RATIO_FIELDS = {
     "ef": {"debtorDays": "max_q", "cashConversionCycle": "min_q - 5"},
 }
 
+EXTREMES = ("max_d", "min_d", "max_t", "max_q", "min_q", "n")
+
 METRIC_FIELDS = {
     "gr": {
         "revenueGrowth3years": "max_d * 3",
@@ -76,11 +79,8 @@ METRIC_FIELDS = {
 
 
 def _decimal_sum(column: str) -> Column:
-    """Exact sum of a figure with two places, whatever the order of rows.
-
-    Eight digits per figure leave a sum of eighteen, which Spark keeps in a long.
-    """
-    return F.sum(F.col(column).cast("decimal(8,2)")).cast("double")
+    """Exact sum of a figure with two places, whatever the order of rows and up to sixteen digits before the point."""
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
 
 
 def _text(column: str) -> Column:
@@ -211,7 +211,7 @@ class Testbed:
         quarter_end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
         measures = {"e": "l_extendedprice", "q": "l_quantity", "d": "l_discount", "t": "l_tax"}
         quarters = self.lineitem.groupBy(*keys, quarter_end.alias("end")).agg(
-            *[F.sum(F.col(c).cast("decimal(8,2)")).alias(m) for m, c in measures.items()]
+            *[F.sum(F.col(c).cast("decimal(18,2)")).alias(m) for m, c in measures.items()]
         )
         kinds = F.expr(
             """filter(array(
@@ -247,17 +247,19 @@ class Testbed:
         keys = ["symbol", "statement_type", "statement_code", "header", "year"]
         return _unpivot_fields(yearly, keys, "statement_code", BASIC_FIELDS)
 
-    def _extremes(self, keys: list[str]) -> DataFrame:
+    def _extremes(self, keys: list[str], *more: Column) -> DataFrame:
         return self.lineitem.groupBy(*keys).agg(
+            *more,
             F.max("l_discount").alias("max_d"), F.min("l_discount").alias("min_d"), F.max("l_tax").alias("max_t"),
             F.max("l_quantity").alias("max_q"), F.min("l_quantity").alias("min_q"), F.count("*").alias("n"),
         )
 
     @layer2
     def ratios(self) -> DataFrame:
-        wide = self._extremes(["symbol", "statement_type", "year"]).withColumn(
-            "header", F.concat(F.lit("Mar "), F.col("year").cast("string"))
-        )
+        keys, shown = ["symbol", "statement_type"], ["symbol", "statement_type", "header", "year"]
+        yearly = self._extremes([*keys, "year"]).withColumn("header", F.concat(F.lit("Mar "), F.col("year").cast("string")))
+        trailing = self._extremes(keys, F.max("year").alias("year")).withColumn("header", F.lit("TTM"))
+        wide = yearly.select(*shown, *EXTREMES).unionByName(trailing.select(*shown, *EXTREMES))
         return _unpivot_fields(wide, ["symbol", "statement_type", "header", "year"], "family", RATIO_FIELDS)
 
     @layer2
@@ -359,11 +361,9 @@ class Testbed:
 
     @layer2
     def index_returns(self) -> DataFrame:
-        """Horizons 1Y to 7Y from the years of the orders, where the index trades at all."""
-        year = F.year("o_orderdate") - 1994
-        return self._nation_orders.groupBy(
-            "index_symbol", F.concat(year.cast("string"), F.lit("Y")).alias("horizon")
-        ).agg((F.min("c_acctbal") / 100).alias("return_pct"))
+        """The eight horizons, one per year of the orders in turn, where the index trades at all."""
+        horizon = F.element_at(F.array(*[F.lit(h) for h in HORIZONS]), F.pmod(F.year("o_orderdate"), F.lit(8)) + 1)
+        return self._nation_orders.groupBy("index_symbol", horizon.alias("horizon")).agg((F.min("c_acctbal") / 100).alias("return_pct"))
 
     @cached_property
     def archive(self) -> DataFrame:
@@ -391,7 +391,7 @@ class Testbed:
         return self.table("events").select(
             event.alias("task_id"), F.dayofmonth("ts").alias("run_id"), _text("user_id").alias("symbol"),
             F.col("event_type").alias("endpoint"),
-            F.when(event % 17 == 0, "failed").when(event % 5 == 0, "skipped").otherwise("done").alias("status"),
+            F.when(event % 17 == 0, "failed").when(event % 5 == 0, "skipped").when(event % 23 == 0, "running").otherwise("done").alias("status"),
         )
 
     @cached_property

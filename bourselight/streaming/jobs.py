@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bourselight.functions.parse import content_hash
-from bourselight.operators.spread import lookup
 from bourselight.sources.landing import LANDING_SCHEMA, routed
 from bourselight.streaming import sinks
 
 
-def read_folder(spark: SparkSession, folder: str, schema: str | StructType, file_glob: str | None = None) -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 100) -> DataFrame:
     """A stream over the Parquet files of a folder."""
-    reader = spark.readStream.schema(schema)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
-    return reader.parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def read_landing_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -36,7 +31,8 @@ def ingest(
 ) -> str:
     """Landing stream to the changes of one table: route, normalise, append. Returns the folder of changes.
 
-    The table itself is `sinks.current_state` of the changes by its key: the last write of a key wins.
+    The table itself is `sinks.current_state` of the changes by its key: the payload fetched last wins, and of payloads
+    fetched together that of the later batch. Normalisers that carry `fetched_at` make this hold inside a batch, too.
     """
     return sinks.write_changes(routed(landing, table), f"ingest_{table}", "append", normalise, path)
 
@@ -47,125 +43,53 @@ def distinct_content(archive: DataFrame) -> DataFrame:
     return hashed.dropDuplicates(["endpoint", "symbol", "content_hash"])
 
 
-def request_rates(
-    access_log: DataFrame, limit: int, window: str = "60 seconds", slide: str = "10 seconds", late: str = "10 minutes"
-) -> DataFrame:
-    """Requests per key in sliding windows, and whether they go over the limit.
-
-    Counts combine before the shuffle, so one busy key costs no more than its windows.
-    """
-    counts = (
-        access_log.withWatermark("ts", late)
-        .groupBy(F.window("ts", window, slide).alias("w"), "client_key")
-        .agg(F.count("*").alias("requests"))
-    )
-    return counts.select(
-        "client_key", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > limit).alias("over_limit")
-    )
-
-
-def level_counts(
-    logs: DataFrame, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour"
-) -> DataFrame:
-    """Errors and warnings in rolling windows."""
-    counts = (
-        logs.withWatermark("created_at", late)
-        .groupBy(F.window("created_at", window, slide).alias("w"))
-        .agg(
-            F.count_if(F.col("level").isin("ERROR", "CRITICAL")).alias("errors"),
-            F.count_if(F.col("level") == "WARNING").alias("warnings"),
-        )
-    )
-    return counts.select(F.col("w.start").alias("window_start"), "errors", "warnings")
+def window_counts(log: DataFrame, time: str, window: str, slide: str, keys: Sequence[str], counts: dict[str, Column]) -> DataFrame:
+    """Counts per key and sliding window of the rows at hand. Counts combine before the shuffle."""
+    spans = log.groupBy(F.window(time, window, slide).alias("w"), *keys).agg(*[c.alias(n) for n, c in counts.items()])
+    return spans.select(*keys, F.col("w.start").alias("window_start"), *counts)
 
 
-# --- exact admission -------------------------------------------------------------------------------------------
+def request_rates(access_log: DataFrame, window: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
+    """Requests per client in sliding windows."""
+    return window_counts(access_log, "ts", window, slide, ["client_key"], {"requests": F.count("*")})
 
 
-def contested_buckets(access_log: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Stretches of time where a key may go over its limit, as (client_key, bucket, run).
+def level_counts(logs: DataFrame, window: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+    """Errors and warnings in rolling windows."""
+    counts = {
+        "errors": F.count_if(F.col("level").isin("ERROR", "CRITICAL")),
+        "warnings": F.count_if(F.col("level") == "WARNING"),
+    }
+    return window_counts(logs, "created_at", window, slide, [], counts)
 
-    Time is cut into buckets of one window. A request's window covers its own bucket and the one before, so where
-    these two hold at most `limit` requests everything is admitted. Contested buckets that follow each other form
-    a run together with the bucket before them; runs are independent of each other. Counts combine before the
-    shuffle.
-    """
-    counts = access_log.groupBy("client_key", _bucket(window_seconds).alias("bucket")).agg(F.count("*").alias("n"))
-    by_time = W.partitionBy("client_key").orderBy("bucket")
-    previous = F.lag("bucket").over(by_time)
-    with_previous = counts.withColumn(
-        "pair", F.col("n") + F.when(previous == F.col("bucket") - 1, F.lag("n").over(by_time)).otherwise(0)
-    )
-    contested = with_previous.where(F.col("pair") > limit).select("client_key", "bucket")
-    starts = contested.withColumn(
-        "new", F.coalesce((F.lag("bucket").over(by_time) < F.col("bucket") - 1).cast("int"), F.lit(1))
-    )
-    return starts.withColumn("run", F.sum("new").over(by_time)).select("client_key", "bucket", "run", "new")
 
+def summed(
+    stream: DataFrame, name: str, schema: str, keys: Sequence[str], sums: Sequence[str], count: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Counts of a stream as sums of the counts of its micro-batches.
 
-def _bucket(window_seconds: int) -> Column:
-    return F.floor(F.unix_micros("ts") / (window_seconds * 1_000_000)).cast("bigint")
+    Counts add up, so batches keep no state and need no watermark: a row counts however late it comes. A batch that
+    runs again overwrites its own counts.
+    """
+    path = sinks.write_changes(stream, name, "append", count)
+    changes = sinks.read_changes(stream.sparkSession, path, schema)
+    return changes.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def admit(access_log: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Exact sliding-window admission: a request passes when fewer than `limit` earlier requests were admitted in
-    the window before it; refused requests do not count.
+def contested_stretches(access_log: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+    """Stretches of time where a client may go over its limit: (client_key, first_bucket, last_bucket, requests).
 
-    Requests outside contested stretches are answered without Python. Only contested runs are replayed in time
-    order, each by one task that holds at most `limit` times in memory.
+    Time is cut into buckets of one window. A window covers its own bucket and the one before, so only where these two
+    hold more than `limit` requests can anything be refused; contested buckets that follow each other are one stretch.
     """
-    log = access_log.withColumn("bucket", _bucket(window_seconds))
-    contested = contested_buckets(access_log, limit, window_seconds)
-    # The bucket before a run is replayed with it as its starting state; all of it was admitted.
-    context = contested.where(F.col("new") == 1).select(
-        "client_key", (F.col("bucket") - 1).alias("bucket"), "run", F.lit(True).alias("context")
-    )
-    replayed_buckets = contested.select("client_key", "bucket", "run", F.lit(False).alias("context"))
-    spread = ["request_id"]
-    key = ["client_key", "bucket"]
-    marked = lookup(log, contested.select(*key, "run"), key, spread)
-    free = marked.where(F.col("run").isNull()).select("client_key", "request_id", "ts", F.lit(True).alias("allowed"))
-    replay = lookup(log, replayed_buckets.unionByName(context), key, spread, how="inner")
-    ordered = (
-        replay.select("client_key", "run", "request_id", "context", F.unix_micros("ts").alias("at"), "ts")
-        .repartition("client_key", "run")
-        .sortWithinPartitions("client_key", "run", "at", "request_id")
-    )
-    decided = ordered.mapInPandas(
-        _replayer(limit, window_seconds * 1_000_000),
-        "client_key string, request_id bigint, ts timestamp, allowed boolean",
-    )
-    return free.unionByName(decided)
-
-
-def _replayer(limit: int, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Replay sorted runs batch by batch; the state carried over is the admitted times of the current run."""
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
-        current, admitted = None, deque()
-        for batch in batches:
-            allowed = []
-            for key, run, at in zip(batch["client_key"], batch["run"], batch["at"], strict=True):
-                if (key, run) != current:
-                    current = (key, run)
-                    admitted.clear()
-                while admitted and admitted[0] <= at - window:
-                    admitted.popleft()
-                passes = len(admitted) < limit
-                allowed.append(passes)
-                if passes:
-                    admitted.append(at)
-            out = batch.assign(allowed=allowed)
-            yield out.loc[~out["context"], ["client_key", "request_id", "ts", "allowed"]]
-
-    return replay
-
-
-def stream_state(
-    stream: DataFrame, name: str, schema: str, keys: Sequence[str], mode: str = "update"
-) -> DataFrame:
-    """Run a stream over all available input and return its current state."""
-    path = sinks.write_changes(stream, name, mode)
-    return sinks.current_state(sinks.read_changes(stream.sparkSession, path, schema), keys)
+    bucket = F.floor(F.unix_micros("ts") / (window_seconds * 1_000_000)).cast("bigint")
+    counts = access_log.groupBy("client_key", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    by_time = W.partitionBy("client_key").orderBy("bucket")
+    follows = F.lag("bucket").over(by_time) == F.col("bucket") - 1
+    pair = F.col("n") + F.when(follows, F.lag("n").over(by_time)).otherwise(0)
+    contested = counts.withColumn("pair", pair).where(F.col("pair") > limit)
+    starts = contested.withColumn("new", F.coalesce((F.lag("bucket").over(by_time) < F.col("bucket") - 1).cast("int"), F.lit(1)))
+    stretches = starts.withColumn("stretch", F.sum("new").over(by_time))
+    return stretches.groupBy("client_key", "stretch").agg(
+        F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.sum("n").alias("requests")
+    ).drop("stretch")

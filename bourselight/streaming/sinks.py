@@ -51,6 +51,6 @@ def read_changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def current_state(changes: DataFrame, keys: Sequence[str], newest_first: Sequence = ()) -> DataFrame:
-    """The newest change per key."""
-    order = [F.col(BATCH).desc(), *newest_first]
+    """The first change per key in the given order, then the newest batch."""
+    order = [*newest_first, F.col(BATCH).desc()]
     return top_n(changes, keys, order, 1).drop("position", BATCH)

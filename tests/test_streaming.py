@@ -1,71 +1,77 @@
-"""Streams: exact admission against a plain replay, resumable ingestion."""
+"""Streams: contested stretches, late rows, resumable ingestion."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
 import random
-from collections import defaultdict, deque
 
 import pytest
 
-from bourselight.operators import normalise
 from bourselight.session import new_table_path
 from bourselight.streaming import jobs, sinks
+from workload.streams import PRICE_CHANGES, price_order, timed_prices
 
 START = dt.datetime(2026, 1, 1)
 
 
-def replay(rows, limit, window):
-    hits, out = defaultdict(deque), {}
-    for request, at, key in sorted(rows, key=lambda r: (r[1], r[0])):
-        admitted = hits[key]
-        while admitted and admitted[0] <= at - dt.timedelta(seconds=window):
-            admitted.popleft()
-        out[request] = len(admitted) < limit
-        if out[request]:
-            admitted.append(at)
-    return out
-
-
-@pytest.mark.parametrize(("limit", "window", "seconds"), [(3, 60, 20000), (5, 60, 3000), (1, 10, 4000), (40, 60, 900)])
-def test_admission_equals_a_plain_replay(spark, limit, window, seconds):
-    rng = random.Random(limit)
-    rows = []
+@pytest.mark.parametrize(("limit", "window", "seconds"), [(3, 60, 20000), (5, 60, 3000), (1, 10, 4000)])
+def test_contested_stretches_hold_every_crowded_window(spark, limit, window, seconds):
+    rng, rows = random.Random(limit), []
     for i in range(2500):
         key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(30)}"
-        at = START + dt.timedelta(milliseconds=rng.randrange(seconds) * 1000 + rng.choice([0, 0, 500]))
-        rows.append((i, at, key))
+        rows.append((i, START + dt.timedelta(milliseconds=rng.randrange(seconds) * 1000 + rng.choice([0, 0, 500])), key))
     log = spark.createDataFrame(rows, "request_id long, ts timestamp, client_key string").repartition(8)
-    decided = jobs.admit(log, limit, window).collect()
-    assert len(decided) == len(rows)
-    want = replay(rows, limit, window)
-    assert {r["request_id"]: r["allowed"] for r in decided} == want
-    assert True in want.values()
+    found = jobs.contested_stretches(log, limit, window).collect()
+    bucket = lambda at: int(at.replace(tzinfo=dt.timezone.utc).timestamp()) // window
+    for _, at, key in rows:
+        crowd = sum(k == key and at - dt.timedelta(seconds=window) < other <= at for _, other, k in rows)
+        if crowd > limit:
+            assert any(r.client_key == key and r.first_bucket <= bucket(at) <= r.last_bucket for r in found)
+
+
+def test_late_rows_count(spark, tmp_path):
+    schema, folder = "created_at timestamp, level string", str(tmp_path / "log")
+    for day in (3, 1, 2):
+        rows = [(START + dt.timedelta(days=day, minutes=m), "ERROR") for m in range(5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.read_folder(spark, folder, schema, files_per_batch=1)
+    out = jobs.summed(stream, "late", "window_start timestamp, errors bigint, warnings bigint", ["window_start"], ["errors", "warnings"], jobs.level_counts)
+    assert out.agg({"errors": "sum"}).first()[0] == 3 * 5 * 24
 
 
-def price_file(day, close):
+def price_file(day, close, hour=0):
     item = {"quote_date": day, "open_price": 1, "high_price": 9, "low_price": 1, "close_price": close, "volume": 1}
     return json.dumps({"endpoint": "/api/v1/daily-quotes/A", "symbol": "A", "params": {}, "payload": json.dumps({"price": [item]}),
-                       "fetched_at": "2026-01-01T00:00:00Z"})
+                       "fetched_at": f"2026-01-01T{hour:02}:00:00Z"})
 
 
 def test_ingestion_resumes_and_the_last_write_wins(spark, tmp_path):
-    schema = "symbol string, quote_date date, open double, high double, low double, close double, volume double"
     folder = tmp_path / "landing"
     folder.mkdir()
     path = new_table_path(spark, "resume")
 
     def run():
-        jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), "price_daily", normalise.prices, path)
-        changes = sinks.read_changes(spark, path, schema)
-        state = sinks.current_state(changes, ["symbol", "quote_date"])
+        jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), "price_daily", timed_prices, path)
+        changes = sinks.read_changes(spark, path, PRICE_CHANGES)
+        state = sinks.current_state(changes, ["symbol", "quote_date"], price_order())
         return changes.count(), sorted((str(r["quote_date"]), r["close"]) for r in state.collect())
 
     (folder / "1.json").write_text(price_file("2026-01-01", 5))
     (folder / "x.json").write_text(price_file("2026-01-02", 6).replace("daily-quotes", "holidays-calendar"))
     assert run() == (1, [("2026-01-01", 5.0)])
     assert run() == (1, [("2026-01-01", 5.0)])
-    (folder / "2.json").write_text(price_file("2026-01-01", 7))
+    (folder / "2.json").write_text(price_file("2026-01-01", 7, 2))
     (folder / "3.json").write_text(price_file("2026-01-03", 8))
     assert run() == (3, [("2026-01-01", 7.0), ("2026-01-03", 8.0)])
+
+
+@pytest.mark.parametrize("first", [5, 7])
+def test_the_later_fetch_wins_inside_a_batch(spark, tmp_path, first):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    versions = [price_file("2026-01-01", 5, 1), price_file("2026-01-01", 7, 2)]
+    (folder / "1.json").write_text("\n".join(versions if first == 5 else reversed(versions)))
+    path = jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), "price_daily", timed_prices)
+    state = sinks.current_state(sinks.read_changes(spark, path, PRICE_CHANGES), ["symbol", "quote_date"], price_order())
+    assert [r["close"] for r in state.collect()] == [7.0]

@@ -143,7 +143,8 @@ def a13(t):
 @query(
     "a14_task_counts",
     """SELECT run_id, count(*) FILTER (WHERE status = 'done') AS done,
-  count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed
+  count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed,
+  count(*) FILTER (WHERE status NOT IN ('done', 'skipped', 'failed') OR status IS NULL) AS other
 FROM tasks GROUP BY run_id""",
 )
 def a14(t):
@@ -181,14 +182,11 @@ def a18(t):
 
 # Field sets: the fields that a symbol ever reports with a figure.
 FIELD_SETS = """SELECT symbol, string_agg(field_name, ',' ORDER BY field_name) AS fields, count(*) AS n
-FROM (SELECT DISTINCT symbol, field_name FROM lines WHERE value IS NOT NULL
-  AND (statement_code <> 'bs' OR value > 40000000000)) GROUP BY symbol"""
+FROM (SELECT DISTINCT symbol, field_name FROM lines WHERE value IS NOT NULL) GROUP BY symbol"""
 
 
 def reported_lines(t):
-    """Lines that count as reported; small balance sheet items are left out so that field sets differ."""
-    reported = F.col("value").isNotNull() & ((F.col("statement_code") != "bs") | (F.col("value") > 40000000000))
-    return t.lines.where(reported)
+    return t.lines.where(F.col("value").isNotNull())
 
 
 @query("a19_field_sets", f"SELECT symbol, fields, n FROM ({FIELD_SETS})")

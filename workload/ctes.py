@@ -99,7 +99,8 @@ FROM statement_wide""",
     ),
     "ratio_extremes": f"""
 SELECT {SUPPLY_KEYS}, year(l_shipdate) AS year, concat('Mar ', year(l_shipdate)) AS header, {EXTREMES}
-FROM lineitem GROUP BY 1, 2, 3, 4""",
+FROM lineitem GROUP BY 1, 2, 3, 4
+UNION ALL SELECT {SUPPLY_KEYS}, max(year(l_shipdate)), 'TTM', {EXTREMES} FROM lineitem GROUP BY 1, 2""",
     "metric_extremes": f"SELECT {SUPPLY_KEYS}, {EXTREMES} FROM lineitem GROUP BY 1, 2",
     "ratios": _unpivot("ratio_extremes", "symbol, statement_type, header, year", "family", RATIO_FIELDS, False),
     "metrics": _unpivot("metric_extremes", "symbol, statement_type", "family", METRIC_FIELDS, False),
@@ -149,7 +150,7 @@ SELECT index_symbol, CAST(o_orderdate AS DATE) AS quote_date, max(o_totalprice)
   CASE WHEN min(o_orderkey) % 5 <> 0 THEN max(o_totalprice) * 10 ELSE 0 END AS market_cap
 FROM nation_orders GROUP BY 1, 2""",
     "index_returns": """
-SELECT index_symbol, concat(year(o_orderdate) - 1994, 'Y') AS horizon, min(c_acctbal) / 100 AS return_pct
+SELECT index_symbol, ['1M', '3M', '6M', '1Y', '3Y', '5Y', '7Y', '10Y'][year(o_orderdate) % 8 + 1] AS horizon, min(c_acctbal) / 100 AS return_pct
 FROM nation_orders GROUP BY 1, 2""",
     "archive": """
 SELECT event_type AS endpoint, CAST(user_id AS VARCHAR) AS symbol, props AS payload, ts AS fetched_at,
@@ -163,7 +164,7 @@ FROM events""",
     "tasks": """
 SELECT event_id AS task_id, CAST(day(ts) AS INTEGER) AS run_id, CAST(user_id AS VARCHAR) AS symbol,
   event_type AS endpoint,
-  CASE WHEN event_id % 17 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'skipped' ELSE 'done' END AS status
+  CASE WHEN event_id % 17 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 23 = 0 THEN 'running' ELSE 'done' END AS status
 FROM events""",
     "runs": """
 SELECT CAST(day(ts) AS INTEGER) AS run_id, min(ts) AS started_at, CAST(max(user_id) + 1 AS BIGINT) AS planned

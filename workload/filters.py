@@ -92,9 +92,8 @@ FROM snapshot WHERE pe < 25 AND pb IS NOT NULL""",
 )
 def f07(t):
     found = snapshot_table(t).where((col("p/E") < 25) & col("price_to book VALUE").isNotNull())
-    keyed = found.select("symbol", "pe")
-    labelled = catalog.relabel(found).select("symbol", "Market Capitalization", "Price to book value")
-    return rounded(keyed.join(labelled, "symbol"))
+    labels = [col(n).alias(n) for n in ("Market Capitalization", "Price to book value")]
+    return rounded(found.select("symbol", "pe", *labels))
 
 
 @query(

@@ -66,11 +66,10 @@ def j05(t):
 @query(
     "j06_company_left_quote",
     f"SELECT symbol, name, sector, {r6('current_price', 'market_cap')} FROM company LEFT JOIN "
-    "(SELECT * FROM quote WHERE current_price > 1000) USING (symbol)",
+    "quote USING (symbol)",
 )
 def j06(t):
-    priced = t.quote.where(F.col("current_price") > 1000).select("symbol", "current_price", "market_cap")
-    joined = t.company.join(priced, "symbol", "left")
+    joined = t.company.join(t.quote.select("symbol", "current_price", "market_cap"), "symbol", "left")
     return rounded(joined.select("symbol", "name", "sector", "current_price", "market_cap"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourselight.operators.normalise import HORIZONS
 from bourselight.sources.testbed import STATEMENT_FIELDS, BASIC_FIELDS
 from workload.damage import damaged_prices, damaged_quotes
 
@@ -248,7 +249,7 @@ def index_quotes(t) -> DataFrame:
 
 def index_returns(t) -> DataFrame:
     """One payload per index; horizons without history are sent as 0."""
-    horizons = ("1M", "1Y", "3Y", "5Y", "7Y", "10Y")
+    horizons = HORIZONS
     wide = t.index_returns.groupBy("index_symbol").pivot("horizon", list(horizons)).agg(F.max("return_pct"))
     item = F.struct(
         "index_symbol", *[F.coalesce(F.col(h), F.lit(0.0)).alias(h) for h in horizons],

@@ -93,7 +93,7 @@ def p06(t):
 @query(
     "p07_index_returns",
     """SELECT index_symbol, horizon, round(return_pct, 6) AS return_pct, DATE '2001-11-04' AS as_of FROM index_returns
-WHERE horizon IN ('1Y', '3Y', '5Y', '7Y') AND return_pct <> 0""",
+WHERE return_pct <> 0""",
 )
 def p07(t):
     return rounded(normalise.index_returns(routed(landed.index_returns(t), "index_return")))
@@ -316,7 +316,7 @@ def listing_frame(t):
     return rounded(pages.listing(t.index_master, t.constituents, t.index_quotes, t.index_returns))
 
 
-@query("p22_index_listing", LISTING_SQL)
+@query("p22_index_listing", f"SELECT *, count(*) OVER () AS total FROM ({LISTING_SQL})")
 def p22(t):
     return pages.listed_in_order(listing_frame(t))
 
@@ -353,11 +353,15 @@ def _sampled(keys: str, order: str = "symbol") -> str:
     return f"coalesce((SELECT string_agg(symbol, '|' ORDER BY {order}) FROM (SELECT * FROM ({keys}) ORDER BY {order} LIMIT 10)), '')"
 
 
+_WHAT = {name: what for name, _, what in quality.CHECKS}
+
+
 def _check(name: str, severity: str, keys: str, order: str | None = "symbol", sample: str | None = None) -> str:
     text = _sampled(sample or keys, order) if order else "''"
     return (
         f"SELECT '{name}' AS name, '{severity}' AS severity, (SELECT count(*) FROM ({keys})) AS count, "
-        f"(SELECT count(*) FROM ({keys})) = 0 AS ok, {text} AS sample"
+        f"(SELECT count(*) FROM ({keys})) = 0 AS ok, {text} AS sample, "
+        f"concat((SELECT count(*) FROM ({keys})), ' {_WHAT[name]}') AS detail"
     )
 
 
@@ -437,6 +441,7 @@ def p25(t):
     "p26_run_status",
     """SELECT run_id, planned AS symbols_total, count(*) FILTER (WHERE status = 'done') AS done,
   count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed,
+  count(*) FILTER (WHERE status NOT IN ('done', 'skipped', 'failed') OR status IS NULL) AS other,
   count(DISTINCT symbol) AS symbols_done, min(symbol) FILTER (WHERE status = 'failed') AS first_failed
 FROM runs JOIN tasks USING (run_id) GROUP BY run_id, planned""",
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bourselight.operators.normalise import PERIOD_KEY
+from bourselight.operators.normalise import HORIZONS, PERIOD_KEY
 from bourselight.plans import pages, statements
 from workload.registry import names, query, rounded
 
@@ -36,21 +36,16 @@ def r02(t):
     )
 
 
-_YEARS = range(1995, 2002)
-
-
 @query(
     "r03_ratio_pivot",
-    "SELECT symbol, family, field_name AS label, CASE family WHEN 'pr' THEN 'percent' ELSE 'ratio' END AS unit, "
-    + ", ".join(
-        f"round(max(value * CASE family WHEN 'pr' THEN 100.0 ELSE 1.0 END) FILTER (WHERE year = {y}), 2) AS mar_{y}"
-        for y in _YEARS
-    )
-    + " FROM ratios WHERE statement_type = 'c' GROUP BY 1, 2, 3, 4",
+    """SELECT symbol, CASE family WHEN 'pr' THEN 'profitability' WHEN 'le' THEN 'leverage' WHEN 'li' THEN 'liquidity'
+    ELSE 'efficiency' END AS family, field_name AS label, CASE family WHEN 'pr' THEN 'percent' ELSE 'ratio' END AS unit,
+  header, CAST(CASE header WHEN 'TTM' THEN 1000000 ELSE year END AS INTEGER) AS header_order,
+  round(value * CASE family WHEN 'pr' THEN 100.0 ELSE 1.0 END, 2) AS value
+FROM ratios WHERE statement_type = 'c'""",
 )
 def r03(t):
-    pivot = statements.ratio_pivot(t.ratios, [f"Mar {y}" for y in _YEARS])
-    return pivot.withColumnsRenamed({f"Mar {y}": f"mar_{y}" for y in _YEARS})
+    return statements.named_families(statements.ratio_table(t.ratios))
 
 
 @query(
@@ -67,17 +62,14 @@ def r04(t):
     return rounded(statements.shareholding_pattern(t.shareholding))
 
 
-_HORIZONS = [f"{n}Y" for n in range(1, 8)]
-
-
 @query(
     "r05_returns_by_horizon",
     "SELECT index_symbol, "
-    + ", ".join(f"round(max(return_pct) FILTER (WHERE horizon = '{h}'), 6) AS return_{h.lower()}" for h in _HORIZONS)
+    + ", ".join(f"round(max(return_pct) FILTER (WHERE horizon = '{h}'), 6) AS return_{h.lower()}" for h in HORIZONS)
     + " FROM index_returns GROUP BY index_symbol",
 )
 def r05(t):
-    return rounded(pages.returns_by_horizon(t.index_returns, _HORIZONS))
+    return rounded(pages.returns_by_horizon(t.index_returns))
 
 
 def _field(name: str) -> str:

@@ -180,17 +180,17 @@ def x13(t):
 
 @query(
     "x14_first_present",
-    """SELECT symbol, statement_type, header, coalesce(profit, before_tax, revenue) AS figure FROM (
-  SELECT symbol, statement_type, header, max(value) FILTER (WHERE field_name = 'profitLossForPeriod') AS profit,
+    """SELECT symbol, statement_type, period_kind, header, coalesce(profit, before_tax, revenue) AS figure FROM (
+  SELECT symbol, statement_type, period_kind, header, max(value) FILTER (WHERE field_name = 'profitLossForPeriod') AS profit,
     max(value) FILTER (WHERE field_name = 'profitBeforeTax') AS before_tax,
     max(value) FILTER (WHERE field_name = 'revenueFromOperations') AS revenue
-  FROM lines WHERE statement_code = 'pl' AND period_kind = 'quarterly' GROUP BY 1, 2, 3)""",
+  FROM lines GROUP BY 1, 2, 3, 4)""",
 )
 def x14(t):
-    quarterly = t.lines.where((F.col("statement_code") == "pl") & (F.col("period_kind") == "quarterly"))
+    keys = ["symbol", "statement_type", "period_kind", "header"]
     fields = ["profitLossForPeriod", "profitBeforeTax", "revenueFromOperations"]
-    wide = quarterly.groupBy("symbol", "statement_type", "header").pivot("field_name", fields).agg(F.max("value"))
-    return wide.select("symbol", "statement_type", "header", F.coalesce(*fields).alias("figure"))
+    wide = t.lines.groupBy(*keys).pivot("field_name", fields).agg(F.max("value"))
+    return wide.select(*keys, F.coalesce(*fields).alias("figure"))
 
 
 @query("x15_annualised_return", f"SELECT symbol, {r6('price_cagr_1y', 'price_cagr_3y', 'price_cagr_5y', 'price_cagr_10y')} FROM cagr")
@@ -260,37 +260,33 @@ def x24(t):
     return rounded(t.table("orders").select("o_orderkey", figures.solvency(ratio).alias("solvency")))
 
 
-DERIVED_SQL = """SELECT symbol, statement_type, header,
-  x - f AS operating_expenses, r - (x - f) AS operating_profit,
-  round(CASE WHEN r <> 0 THEN (r - (x - f)) / r * 100 END, 6) AS operating_margin,
+_DERIVED_FROM = {
+    "r": "revenueFromOperations", "x": "expenses", "f": "financeCosts", "tax": "taxExpense", "p": "profitBeforeTax",
+    "ie": "interestEarned", "ix": "interestExpended", "c1": "cashFlowsFromOperatingActivities",
+    "c2": "cashFlowsFromInvestingActivities", "c3": "cashFlowsFromFinancingActivities",
+}
+DERIVED_SQL = f"""SELECT symbol, statement_type, period_kind, header,
+  x - coalesce(f, 0) AS operating_expenses, r - (x - coalesce(f, 0)) AS operating_profit,
+  round(CASE WHEN r <> 0 THEN (r - (x - coalesce(f, 0))) / r * 100 END, 6) AS operating_margin,
   round(CASE WHEN p <> 0 THEN nullif(tax, 0) / p * 100 END, 6) AS tax_rate,
-  f - tax AS net_interest_income, round(CASE WHEN f <> 0 THEN (f - tax) / f * 100 END, 6) AS nim,
-  r AS net_cash_flow
-FROM (SELECT symbol, statement_type, header, max(value) FILTER (WHERE field_name = 'revenueFromOperations') AS r,
-    max(value) FILTER (WHERE field_name = 'expenses') AS x, max(value) FILTER (WHERE field_name = 'financeCosts') AS f,
-    max(value) FILTER (WHERE field_name = 'taxExpense') AS tax,
-    max(value) FILTER (WHERE field_name = 'profitBeforeTax') AS p
-  FROM lines WHERE statement_code = 'pl' AND period_kind = 'quarterly' GROUP BY 1, 2, 3)"""
+  ie - ix AS net_interest_income, round(CASE WHEN ie <> 0 THEN (ie - ix) / ie * 100 END, 6) AS nim,
+  CASE WHEN coalesce(c1, c2, c3) IS NOT NULL THEN coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c3, 0) END AS net_cash_flow
+FROM (SELECT symbol, statement_type, period_kind, header,
+  {", ".join(f"max(value) FILTER (WHERE field_name = '{v}') AS {k}" for k, v in _DERIVED_FROM.items())}
+  FROM lines GROUP BY 1, 2, 3, 4)"""
 
 
 @query("x25_derived_rows", DERIVED_SQL)
 def x25(t):
-    quarterly = t.lines.where((F.col("statement_code") == "pl") & (F.col("period_kind") == "quarterly"))
-    fields = ["revenueFromOperations", "expenses", "financeCosts", "taxExpense", "profitBeforeTax"]
-    wide = quarterly.groupBy("symbol", "statement_type", "header").pivot("field_name", fields).agg(F.max("value"))
-    # The test figures have no bank or cash flow fields in a P&L: stand-ins exercise those formulas.
-    stand_in = {
-        "interestEarned": "financeCosts", "interestExpended": "taxExpense",
-        "cashFlowsFromOperatingActivities": "revenueFromOperations",
-    }
+    keys, fields = ["symbol", "statement_type", "period_kind", "header"], list(_DERIVED_FROM.values())
+    wide = t.lines.groupBy(*keys).pivot("field_name", fields).agg(F.max("value"))
 
     def get(field):
-        column = stand_in.get(field, field)
-        return F.col(column) if column in fields else F.lit(None).cast("double")
+        return F.col(field) if field in fields else F.lit(None).cast("double")
 
     shares = ("operating_margin", "tax_rate", "nim")
     derived = {n: F.round(f(get), 6) if n in shares else f(get) for n, f in FORMULAS.items()}
-    return wide.select("symbol", "statement_type", "header", *[c.alias(n) for n, c in derived.items()])
+    return wide.select(*keys, *[c.alias(n) for n, c in derived.items()])
 
 
 @query(

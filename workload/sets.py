@@ -83,9 +83,9 @@ def o05(t):
 @query(
     "o06_marker_overlap",
     """SELECT symbol, count(DISTINCT field_name) FILTER (WHERE field_name IN ('revenueFromOperations', 'financeCosts'))
-  AS general_hits, CAST(0 AS BIGINT) AS bank_hits FROM lines WHERE value > 60000000000 GROUP BY symbol""",
+  AS general_hits, CAST(0 AS BIGINT) AS bank_hits FROM lines WHERE value IS NOT NULL GROUP BY symbol""",
 )
 def o06(t):
-    sets = classify.field_sets(t.lines.where(F.col("value") > 60000000000))
+    sets = classify.field_sets(reported_lines(t))
     hits = lambda family: classify.marker_hits(F.col("fields"), family).cast("bigint")
     return sets.select("symbol", hits("general").alias("general_hits"), hits("bank").alias("bank_hits"))

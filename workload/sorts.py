@@ -62,13 +62,13 @@ def l04(t):
 
 @query(
     "l05_movers",
-    f"""SELECT side, CAST(position AS INTEGER) AS position, index_symbol, index_name, quote_date,
+    f"""SELECT side, CAST(position AS INTEGER) AS position, index_symbol, index_name,
   {r6('close_price', 'change_pct')} FROM (
-  SELECT 'gainer' AS side, row_number() OVER (ORDER BY change_pct DESC, quote_date DESC, index_symbol) AS position, *
-  FROM index_quotes WHERE change_pct IS NOT NULL
+  SELECT 'gainer' AS side, row_number() OVER (ORDER BY change_pct DESC, index_symbol) AS position, *
+  FROM newest_index_quotes WHERE change_pct IS NOT NULL
   UNION ALL
-  SELECT 'loser', row_number() OVER (ORDER BY change_pct ASC, quote_date DESC, index_symbol), *
-  FROM index_quotes WHERE change_pct IS NOT NULL) m
+  SELECT 'loser', row_number() OVER (ORDER BY change_pct ASC, index_symbol), *
+  FROM newest_index_quotes WHERE change_pct IS NOT NULL) m
 JOIN (SELECT index_symbol, index_name FROM index_master) USING (index_symbol) WHERE position <= 10""",
 )
 def l05(t):
@@ -94,7 +94,7 @@ UNION ALL SELECT 'runs', run_id, NULL, NULL FROM (SELECT * FROM runs ORDER BY st
 )
 def l07(t):
     shown = ["list", "id", "level", "message"]
-    warnings = monitor.newest_logs(t.logs, "warning", limit=1000).withColumn("list", F.lit("warnings"))
+    warnings = monitor.newest_logs(t.logs, "warning", limit=monitor.MAX_LOG_ROWS).withColumn("list", F.lit("warnings"))
     last = monitor.newest_logs(t.logs, "ERROR", limit=1).withColumn("list", F.lit("last error"))
     runs = monitor.newest_runs(t.runs).select(
         F.lit("runs").alias("list"), F.col("run_id").cast("bigint").alias("id"),

@@ -11,11 +11,26 @@ from workload import landed
 from workload.pipelines import P08_SQL
 from workload.registry import query
 
-ADMIT_LIMIT, ADMIT_SECONDS = 3, 3600
+LIMIT, WINDOW_SECONDS = 1, 3600
+PRICE_CHANGES = (
+    "fetched_at timestamp, symbol string, quote_date date, open double, high double, low double, close double, volume double"
+)
+
+
+def price_order():
+    """The later fetch first; the figures themselves break ties, so the winner does not depend on the order of rows."""
+    return [F.col(c).desc() for c in ("fetched_at", "close", "open", "high", "low", "volume")]
+
+
+def timed_prices(landing):
+    return normalise.prices(landing, ("fetched_at",))
 
 
 def _events(t):
-    return jobs.read_folder(t.spark, t.folder, t.table("events").schema, "events.parquet")
+    """The events as a stream of several micro-batches, whose files are not in order of time."""
+    folder, events = new_table_path(t.spark, "events_stream"), t.table("events")
+    events.repartition(8, "event_id").write.parquet(folder)
+    return jobs.read_folder(t.spark, folder, events.schema, files_per_batch=3)
 
 
 @query("t01_incremental_ingest", P08_SQL)
@@ -25,10 +40,10 @@ def t01(t):
     sent = landed.prices(t).repartition(8, "symbol")
     sent.write.json(folder)
     stream = jobs.read_landing_stream(t.spark, folder, files_per_batch=3)
-    path = jobs.ingest(stream, "price_daily", normalise.prices)
-    jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=3), "price_daily", normalise.prices, path)
-    schema = "symbol string, quote_date date, open double, high double, low double, close double, volume double"
-    return sinks.current_state(sinks.read_changes(t.spark, path, schema), ["symbol", "quote_date"])
+    path = jobs.ingest(stream, "price_daily", timed_prices)
+    jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=3), "price_daily", timed_prices, path)
+    changes = sinks.read_changes(t.spark, path, PRICE_CHANGES)
+    return sinks.current_state(changes, ["symbol", "quote_date"], price_order()).drop("fetched_at")
 
 
 @query(
@@ -40,9 +55,9 @@ def t02(t):
         F.col("event_type").alias("endpoint"), F.col("user_id").cast("string").alias("symbol"),
         F.col("props").alias("payload"),
     )
-    key = ["endpoint", "symbol", "content_hash"]
-    schema = ", ".join(f"{c} string" for c in key)
-    return jobs.stream_state(jobs.distinct_content(fetched), "dedupe", schema, key, "append")
+    schema = "endpoint string, symbol string, content_hash string"
+    path = sinks.write_changes(fetched, "dedupe", "append", jobs.distinct_content)
+    return sinks.read_changes(t.spark, path, schema).drop(sinks.BATCH).distinct()
 
 
 @query(
@@ -55,16 +70,27 @@ GROUP BY 1, 2""",
 )
 def t03(t):
     log = _events(t).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("client_key"))
-    schema = "client_key string, window_start timestamp, requests bigint, over_limit boolean"
-    rates = jobs.stream_state(jobs.request_rates(log, limit=1), "rates", schema, ["client_key", "window_start"])
-    return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    schema = "client_key string, window_start timestamp, requests bigint"
+    rates = jobs.summed(log, "rates", schema, ["client_key", "window_start"], ["requests"], jobs.request_rates)
+    return rates.select(
+        "client_key", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
+        (F.col("requests") > 1).alias("over_limit"),
+    )
 
 
-@query("t03_exact_admission")
-def t03_exact(t):
-    return jobs.admit(t.access_log, ADMIT_LIMIT, ADMIT_SECONDS).withColumn(
-        "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    )
+@query(
+    "t03_contested_stretches",
+    f"""WITH counts AS (SELECT CAST(user_id AS VARCHAR) AS client_key,
+    CAST(floor(epoch_us(ts) / ({WINDOW_SECONDS} * 1000000.0)) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1, 2),
+  pairs AS (SELECT *, n + CASE WHEN lag(bucket) OVER w = bucket - 1 THEN lag(n) OVER w ELSE 0 END AS pair
+    FROM counts WINDOW w AS (PARTITION BY client_key ORDER BY bucket)),
+  numbered AS (SELECT *, bucket - row_number() OVER (PARTITION BY client_key ORDER BY bucket) AS stretch
+    FROM pairs WHERE pair > {LIMIT})
+SELECT client_key, min(bucket) AS first_bucket, max(bucket) AS last_bucket, CAST(sum(n) AS BIGINT) AS requests
+FROM numbered GROUP BY client_key, stretch""",
+)
+def t03_contested(t):
+    return jobs.contested_stretches(t.access_log, LIMIT, WINDOW_SECONDS)
 
 
 @query(
@@ -79,5 +105,5 @@ def t04(t):
     level = F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").otherwise("INFO")
     logs = _events(t).select(F.col("ts").cast("timestamp").alias("created_at"), level.alias("level"))
     schema = "window_start timestamp, errors bigint, warnings bigint"
-    counts = jobs.stream_state(jobs.level_counts(logs), "levels", schema, ["window_start"])
+    counts = jobs.summed(logs, "levels", schema, ["window_start"], ["errors", "warnings"], jobs.level_counts)
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

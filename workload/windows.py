@@ -92,7 +92,7 @@ def w09(t):
     "w10_well_known_order",
     """SELECT index_symbol, index_name, CAST(coalesce(list_position(['NIF50', 'NIFTY50', 'SENSEX', 'BSESN', 'NIF100',
   'NIF200', 'NIF500', 'BSE100', 'BSE200', 'BSE500', 'NIFTYNEXT50', 'NIFMIDCAP100', 'NIFSMLCAP100', 'NIFBANK',
-  'NIFTYIT', 'SNSXLRGCAP'], index_symbol), 17) AS INTEGER) AS place FROM index_master""",
+  'NIFTYIT', 'SNSXLRGCAP'], index_symbol), 17) AS INTEGER) AS place, count(*) OVER () AS total FROM index_master""",
 )
 def w10(t):
     placed = t.index_master.select(
@@ -139,13 +139,13 @@ def w14(t):
 
 @query(
     "w15_series_trends",
-    """SELECT symbol, statement_type, statement_code, field_name, count(*) AS points,
-  arg_min(value, year) AS first, arg_max(value, year) AS last, min(value) AS low,
-  max(value) AS high, arg_max(value, year) >= arg_min(value, year) AS rising,
+    """SELECT symbol, statement_type, statement_code, period_kind, field_name, count(*) AS points,
+  arg_min(value, period_end) AS first, arg_max(value, period_end) AS last, min(value) AS low,
+  max(value) AS high, arg_max(value, period_end) >= arg_min(value, period_end) AS rising,
   min(value) < 0 AND max(value) > 0 AS crosses_zero
-FROM ranked_lines WHERE period_kind = 'annual'
-GROUP BY symbol, statement_type, statement_code, field_name HAVING count(*) >= 3""",
+FROM lines JOIN periods USING (symbol, statement_type, statement_code, period_kind, header)
+WHERE value IS NOT NULL GROUP BY symbol, statement_type, statement_code, period_kind, field_name HAVING count(*) >= 3""",
 )
 def w15(t):
-    series = t.lines.where(F.col("period_kind") == "annual")
-    return pages.trends(series, ["symbol", "statement_type", "statement_code", "field_name"], "year")
+    day = t.lines.withColumn("day", F.unix_date("period_end"))
+    return pages.trends(day, ["symbol", "statement_type", "statement_code", "period_kind", "field_name"], "day")

@@ -6,8 +6,9 @@ own information content: PMI(word; entity) / IC(entity), which is 1 where the wo
 documents that hold the entity, words at or above REMOVE are deleted and words at or above GENERALISE become a general
 label; both are spans of kind `term`. Everything else stays.
 
-Counts cover all documents. Mentions of an entity with the same characters before them count once, so copies of a text
-are no evidence, and an entity or pair needs SUPPORT independent mentions. Word frequencies are counted only if some pair
+Counts cover all documents. Copies of a text are no evidence: documents that mention an entity and have the same least
+hash among their words count once, and an entity whose documents share more than OVERLAP of their words on average is
+left out. An entity or pair needs SUPPORT such mentions. Word frequencies are counted only if some pair
 has that support; no other word can be revealing.
 
 Matches are located by splitting a text at them: the lengths of parts and matches add up to positions. The patterns are
@@ -30,7 +31,7 @@ from bourselight.llm.common import Steps, let, with_row
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-GENERAL, GENERALISE, REMOVE, SUPPORT, CONTEXT = "[TERM]", 0.85, 0.95, 3, 24
+GENERAL, GENERALISE, REMOVE, SUPPORT, OVERLAP = "[TERM]", 0.85, 0.95, 3, 0.5
 
 # \G continues right after the match before, where a run may begin that no lookbehind would accept.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -131,33 +132,36 @@ def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
     based = rows.select("rid", "body", base_spans(F.col("body")).alias("base"))
     entity = lambda k: F.transform(
         F.col("base")[k],
-        lambda s: F.struct(
-            F.concat(F.lit(f"{k}:"), F.lower(s["value"]) if k in ("email", "ip") else _digits(s["value"])).alias("entity"),
-            F.substring(F.col("body"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))).alias("context"),
-        ),
+        lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"]) if k in ("email", "ip") else _digits(s["value"])),
     )
     blank = F.col("body")
     for pattern in (EMAIL, IP, CARD, PHONE):
         blank = F.regexp_replace(blank, pattern, " ")
     holders = steps.save(
-        based.withColumn("entities", F.concat(*[entity(k) for k in KINDS])).where(F.size("entities") > 0)
+        based.withColumn("entities", F.array_distinct(F.concat(*[entity(k) for k in KINDS]))).where(F.size("entities") > 0)
         .select("rid", "entities", _words(blank).alias("terms")),
         "holders",
     )
-    mentions = holders.select("rid", F.inline("entities"))
-    first = mentions.groupBy("entity", "context").agg(F.min("rid").alias("rid"))
+    sketch = F.array_min(F.transform("terms", lambda w: F.xxhash64(w)))
+    mentions = holders.select("rid", sketch.alias("sketch"), F.explode("entities").alias("entity"))
+    first = mentions.groupBy("entity", "sketch").agg(F.min("rid").alias("rid"))
     held = first.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     pairs = first.join(held, "entity").select("entity", "n_entity", "rid").distinct()
-    joint = steps.save(
+    together = steps.save(
         pairs.join(holders.select("rid", "terms"), "rid").select("entity", "n_entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT),
-        "joint",
+        .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")),
+        "together",
     )
+    # The mean share of words that two of the entity's documents have in common.
+    n = F.col("n_both")
+    shared = F.sum(n * (n - 1)) / ((F.max("n_entity") - 1) * F.sum(n))
+    apart = together.groupBy("entity").agg(shared.alias("shared")).where(F.col("shared") <= OVERLAP).select("entity")
+    joint = steps.save(together.where(n >= SUPPORT).join(apart, "entity"), "joint")
     if joint.isEmpty():
         return None
     terms = rows.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = rows.agg(F.count("*").alias("n"))
-    scored = joint.join(terms, "term").join(F.broadcast(total)).select(  # one row
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    scored = joint.join(terms, "term").withColumn("n", total).select(
         "entity", "term",
         (F.log2(F.col("n_both") * F.col("n") / F.col("n_entity") / F.greatest("n_term", "n_both")) / F.log2(F.col("n") / F.col("n_entity"))).alias("d"),
     )
@@ -167,7 +171,7 @@ def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
     )
     own = lambda c: F.array_distinct(F.flatten(F.collect_list(F.array_intersect(F.col("terms"), F.col(c))))).alias(c)
     return steps.save(
-        holders.select("rid", "terms", F.explode(F.array_distinct(F.col("entities.entity"))).alias("entity"))
+        holders.select("rid", "terms", F.explode("entities").alias("entity"))
         .join(strong, "entity").groupBy("rid").agg(own("removed"), own("generalised")),
         "revealing",
     )

@@ -67,9 +67,10 @@ def test_redaction(spark, tmp_path):
 
 
 def test_revealing_terms(spark, tmp_path):
-    filler = "alpha beta gamma delta common words everywhere here"
-    rows = [(k, f"{filler} note {k} zebulon lives near, write {'abc'[k % 3]}{k} to z@corp.example") for k in range(6)]
-    rows += [(k, f"{filler} and nothing else {k}") for k in range(6, 60)]
+    letters = "bcdfghjklmnpqrstvwxz"
+    filler = lambda k: "alpha beta " + " ".join(f"{letters[k % 20]}{letters[k // 20]}a{letters[j]}u" for j in range(20))
+    rows = [(k, f"{filler(k)} zebulon lives near, write to z@corp.example") for k in range(6)]
+    rows += [(k, f"{filler(k)} and nothing else lives near, write") for k in range(6, 60)]
     rows += [(60, "zebulon without any address")]
     rows += [(70 + k, "xylophone copied copied q@one.example") for k in range(9)]
     out = {r.doc_id: r for r in sanitise(stored(docs_of(spark, rows), tmp_path)).select("row.doc_id", "row.text", "clean", joined("spans").alias("s")).collect()}

@@ -53,11 +53,12 @@ def top_n(
     """The first n rows of each group in the given total order, numbered from 1.
 
     Spark cuts each group to n rows before the shuffle for ranks up to 1000. For a larger n the rows are first
-    cut per salt, so no task sorts more than its share of a hot group.
+    cut per salt, so no task sorts more than its share of a hot group. Rows are spread by all their columns unless
+    `spread` names some. The result is the same for every n.
     """
     if n > PRE_SHUFFLE_RANK:
-        if not spread:
-            raise ValueError("a rank above 1000 needs columns to spread hot groups over")
+        # Maps have no hash; any other columns do, and equal rows may as well share a salt.
+        spread = spread or [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
         per_salt = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", _salt(spread, SALTS))

@@ -5,7 +5,7 @@ A landing frame has (endpoint STRING, symbol STRING, params MAP<STRING,STRING>,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LANDING_SCHEMA = (
@@ -41,6 +41,47 @@ def route():
     return out
 
 
+# The field of a payload that holds its entries, by target table.
+CONTAINERS = {
+    "statement": "financials",
+    "basic_financial": "ratios",
+    "ratio": "ratios",
+    "metric": "financial_metrics",
+    "price_ratio_daily": "price_ratios",
+    "price_ratio_annual": "price_ratios",
+    "price_daily": "price",
+    "dividend": "dividend",
+    "shareholding": "distributions",
+}
+
+
+def payload_fault(target: Column) -> Column:
+    """Why a normaliser can take nothing from a payload: empty, not JSON, no entries; NULL where it can."""
+    payload = F.col("payload")
+    fault = F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty").when(F.try_parse_json(payload).isNull(), "not JSON")
+    for table, container in CONTAINERS.items():
+        missing = F.get_json_object(payload, f"$.{container}").isNull()
+        fault = fault.when((target == table) & missing, "no entries")
+    return fault
+
+
+def rejects(landing: DataFrame) -> DataFrame:
+    """The landed rows that normalisation yields nothing for, with their target and the reason."""
+    out = landing.withColumn("target", route()).withColumn("reason", payload_fault(F.col("target")))
+    return out.where(F.col("reason").isNotNull() & (F.col("target") != "archive_only")).drop("payload")
+
+
+def payload_account(landing: DataFrame) -> DataFrame:
+    """Payloads per target: all, taken, and rejected by reason. Nothing lands without being counted."""
+    judged = landing.select(route().alias("target"), "payload").where(F.col("target") != "archive_only")
+    reason = payload_fault(F.col("target"))
+    return judged.select("target", reason.alias("reason")).groupBy("target").agg(
+        F.count("*").alias("payloads"),
+        F.count_if(F.col("reason").isNull()).alias("taken"),
+        *[F.count_if(F.col("reason") == r).alias(r.lower().replace(" ", "_")) for r in ("empty", "not JSON", "no entries")],
+    )
+
+
 def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lines under a landing folder, with an explicit schema."""
     return spark.read.schema(LANDING_SCHEMA).json(folder)

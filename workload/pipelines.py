@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bourselight.operators import classify, normalise
 from bourselight.operators.normalise import PERIOD_KEY
 from bourselight.plans import monitor, pages, quality, screen, snapshot
-from bourselight.sources.landing import routed
+from bourselight.sources.landing import payload_account, routed
 from bourselight.sources.testbed import AS_OF
 from workload import landed
 from workload.damage import DAMAGED_PRICES, DAMAGED_QUOTES, FEED, damaged_prices, damaged_quotes, feed
@@ -463,6 +463,41 @@ def p27(t):
     return monitor.log_health(t.logs, F.expr(NOW))
 
 
+def _account(target: str, payloads: str) -> str:
+    spoilt = lambda k: f"count(*) FILTER (WHERE CAST(symbol AS BIGINT) % 7 = {k})"
+    return (
+        f"SELECT '{target}' AS target, count(*) AS payloads, count(*) FILTER (WHERE CAST(symbol AS BIGINT) % 7 > 3) AS taken, "
+        f"{spoilt(0)} AS empty, {spoilt(1)} + {spoilt(2)} AS not_json, {spoilt(3)} AS no_entries FROM ({payloads})"
+    )
+
+
+@query(
+    "p29_payload_account",
+    "\nUNION ALL ".join(
+        [
+            _account("price_daily", "SELECT DISTINCT symbol, date_trunc('month', quote_date) FROM prices"),
+            _account("ratio", "SELECT DISTINCT symbol, statement_type, family FROM ratios"),
+            _account(
+                "dividend",
+                "SELECT DISTINCT symbol, CAST(subject AS BIGINT) // 100 FROM actions WHERE action = 'dividend'",
+            ),
+        ]
+    ),
+)
+def p29(t):
+    """Landed payloads of which some are blank, cut off, no JSON at all, or without entries."""
+    kind = F.col("symbol").cast("bigint") % 7
+    spoilt = (
+        F.when(kind == 0, " ")
+        .when(kind == 1, F.expr("substring(payload, 1, length(payload) - 1)"))
+        .when(kind == 2, "<html>busy</html>")
+        .when(kind == 3, '{"error": null}')
+        .otherwise(F.col("payload"))
+    )
+    sent = landed.prices(t).unionByName(landed.ratios(t)).unionByName(landed.dividends(t))
+    return payload_account(sent.withColumn("payload", spoilt))
+
+
 @query(
     "p28_freshness",
     """SELECT run_id, CAST(started_at AS DATE) AS started_on, (SELECT count(*) FROM archive) AS raw_responses,

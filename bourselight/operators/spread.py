@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bourselight.session import write_and_read
+
 SALTS = 16
 
 # Above this rank Spark no longer cuts groups before the shuffle, so the cut is made in two steps.
@@ -107,41 +109,56 @@ def _ordered_bucket(value: Column, per_octave: int) -> Column:
     )
 
 
-def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str = "value", per_octave: int = 256
-) -> DataFrame:
-    """The exact median per group, the midpoint on an even count, as (keys, median, count).
+def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """(keys, _v, _w): how often each value occurs per group, stored once, as medians read it several times.
 
-    Values are counted per (group, value), then per (group, value bucket). Running counts over the buckets show
-    which bucket holds the middle, and only that bucket's values are sorted. No task holds a whole group.
-    Groups without a value do not appear.
+    NULL and NaN count nowhere.
     """
-    keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    if not keys:
-        rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
-    counted = (
-        rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_w"))
-        .withColumn("_b", _ordered_bucket(F.col("_v"), per_octave))
+    counted = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
+    return write_and_read(counted, "value_counts")
+
+
+def _holding_middle(rows: DataFrame, group: list[str], bucket: Column, name: str) -> DataFrame:
+    """Rows of the buckets that hold the middle of their group; `_before` counts what lies below the bucket."""
+    placed = rows.withColumn(name, bucket)
+    first = ("_low", "_high", "_before")
+    buckets = placed.groupBy(*group, name).agg(
+        F.sum("_w").alias("_n"), *[F.min(c).alias(c) for c in first], F.min("_v").alias("_from"), F.max("_v").alias("_to")
     )
-    group = W.partitionBy(*keys)
-    buckets = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_w").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_n").over(group))
-        .withColumn("_low", F.floor((F.col("_total") + 1) / 2))
-        .withColumn("_high", F.floor(F.col("_total") / 2) + 1)
-        .where((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_n") < F.col("_high")))
-        .select(*keys, "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_total", "_low", "_high")
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*group).orderBy(name).rowsBetween(W.unboundedPreceding, 0))
+    held = buckets.withColumn("_upto", upto).where(
+        (F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_n") < F.col("_high"))
     )
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    middle = (
-        counted.join(buckets, [*keys, "_b"])
-        .withColumn("_rank", F.col("_before") + F.sum("_w").over(inside))
-        .where((F.col("_rank") >= F.col("_low")) & (F.col("_rank") - F.col("_w") < F.col("_high")))
+    bounds = held.select(*group, name, "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_before"), "_from", "_to")
+    kept = placed.drop(*first, "_from", "_to")
+    return kept.join(bounds, [*group, name])
+
+
+def median_of_counts(counted: DataFrame, keys: Sequence[str], per_octave: int = 256, cuts: int = 4096) -> DataFrame:
+    """The exact median per group of counted values, the midpoint on an even count, as (keys, median, count).
+
+    Running counts over logarithmic buckets show which bucket holds the middle. That bucket is cut again into equal
+    ranges of values, so a group whose values lie close together is spread as well, and only the range that holds the
+    middle is sorted. Groups without a value do not appear.
+    """
+    keys = list(keys)
+    if not keys:
+        counted, keys = counted.withColumn("_all", F.lit(0)), ["_all"]
+    totals = counted.groupBy(*keys).agg(F.sum("_w").alias("_total"))
+    ranks = totals.select(
+        *keys, "_total", F.floor((F.col("_total") + 1) / 2).alias("_low"), (F.floor(F.col("_total") / 2) + 1).alias("_high"),
+        F.lit(0).cast("bigint").alias("_before"),
+    )
+    ranked = counted.select(*keys, "_v", "_w").join(ranks, keys)
+    coarse = _holding_middle(ranked, keys, _ordered_bucket(F.col("_v"), per_octave), "_b")
+    # The width of finite values may overflow; halves of it do not.
+    width = F.col("_to") / 2 - F.col("_from") / 2
+    range_ = F.when(width > 0, F.floor((F.col("_v") / 2 - F.col("_from") / 2) / width * cuts)).otherwise(F.lit(0))
+    fine = _holding_middle(coarse, [*keys, "_b"], F.coalesce(range_, F.lit(0)).cast("bigint"), "_r")
+    inside = W.partitionBy(*keys, "_b", "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    middle = fine.withColumn("_rank", F.col("_before") + F.sum("_w").over(inside)).where(
+        (F.col("_rank") >= F.col("_low")) & (F.col("_rank") - F.col("_w") < F.col("_high"))
     )
     out = middle.groupBy(*keys).agg(
         ((F.min("_v") + F.max("_v")) / 2).alias("median"), F.max("_total").alias("count")
@@ -149,22 +166,26 @@ def exact_median(
     return out.drop("_all")
 
 
-def exact_medians(
-    df: DataFrame, keys: Sequence[str], measures: dict[str, Column]
-) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """The exact median per group as (keys, median, count); the input is read once and no task holds a whole group."""
+    return median_of_counts(value_counts(df, keys, value), keys)
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """Exact medians of several measures per group in one pass, one column per measure.
 
     NULL measures do not count; every group of the input appears.
     """
     keys = list(keys)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in measures.items()])
-        ).alias("m"),
-    ).select(*keys, F.col("m.name").alias("_name"), F.col("m.value").alias("_value"))
-    medians = exact_median(long, [*keys, "_name"], "_value")
-    groups = df.select(*keys).distinct()
+    entries = [F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in measures.items()]
+    # An entry without a name stands for the group itself.
+    present = F.struct(F.lit("").alias("name"), F.lit(0.0).alias("value"))
+    long = df.select(*keys, F.explode(F.array(present, *entries)).alias("m")).select(
+        *keys, F.col("m.name").alias("_name"), F.col("m.value").alias("_value")
+    )
+    counted = value_counts(long, [*keys, "_name"], "_value")
+    medians = median_of_counts(counted.where(F.col("_name") != ""), [*keys, "_name"])
+    groups = counted.where(F.col("_name") == "").select(*keys)
     wide = medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("median"))).alias(f"median_{n}") for n in measures]
     )

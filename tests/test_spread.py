@@ -8,7 +8,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from bourselight.operators.spread import exact_median, exact_medians, lookup, numbered, top_n
+from bourselight.operators import spread
+from bourselight.operators.spread import exact_median, exact_medians, lookup, numbered, top_n, value_counts
 
 
 def skewed(n=6000, seed=7):
@@ -82,3 +83,21 @@ def test_numbered_equals_brute_force(spark):
         seen[key] += 1
         want[i] = seen[key]
     assert got == want
+
+
+def test_median_of_a_group_within_a_thousandth(spark):
+    rng = random.Random(8)
+    rows = [("hot", 100 + rng.random() / 10) for _ in range(4001)] + [("cold", float(k)) for k in range(10)] + [("cold", None)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(8)
+    got = {r["key"]: (r["median"], r["count"]) for r in exact_median(df, ["key"]).collect()}
+    hot = [v for k, v in rows if k == "hot"]
+    assert got == {"hot": (statistics.median(hot), 4001), "cold": (4.5, 10)}
+
+
+def test_only_a_narrow_range_is_sorted(spark):
+    rows = [("hot", 100 + k / 100_000) for k in range(10_000)]
+    df = spark.createDataFrame(rows, "key string, value double")
+    ranked = value_counts(df, ["key"]).withColumns({"_total": F.lit(10_000), "_low": F.lit(5000), "_high": F.lit(5001), "_before": F.lit(0)})
+    whole = ranked.withColumns({"_from": F.lit(100.0), "_to": F.lit(100.1)})
+    fine = spread._holding_middle(whole, ["key"], F.floor((F.col("_v") - 100) / 0.1 * 4096), "_r")
+    assert 0 < fine.count() <= 10

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bourselight.operators import classify, latest, merge
-from bourselight.operators.spread import exact_median, lookup
+from bourselight.operators.spread import lookup, median_of_counts, value_counts
 from bourselight.plans import monitor, pages, quality, snapshot, statements
 from bourselight.sources.testbed import AS_OF
 from workload.damage import damaged_prices, DAMAGED_PRICES
@@ -68,8 +68,10 @@ def a04(t):
 )
 def a05(t):
     lines = t.table("lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
-    per_flag = exact_median(lines, ["flag"], "l_extendedprice")
-    overall = exact_median(lines, [], "l_extendedprice").withColumn("flag", F.lit("all"))
+    counts = value_counts(lines, ["flag"], "l_extendedprice")
+    per_flag = median_of_counts(counts, ["flag"])
+    whole = counts.groupBy("_v").agg(F.sum("_w").alias("_w"))
+    overall = median_of_counts(whole, []).withColumn("flag", F.lit("all"))
     return rounded(per_flag.unionByName(overall))
 
 

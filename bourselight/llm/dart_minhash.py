@@ -37,6 +37,7 @@ from bourselight.llm.hashing import U, mix, shingles, slices, text_bytes, word_h
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
+THOSE, THESE = 512, 256  # nodes in a block of a class, and of nodes compared with it
 
 
 def weighted_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,6 +162,56 @@ def _similarity(weighted: bool) -> Column:
     return shared / (total("a_w") + total("b_w") - shared)
 
 
+def _compare(key: tuple, those: pa.Table, these: pa.Table, weighted: bool) -> pa.Table:
+    """Links (a, b) between nodes of a block of a class and a block of nodes around it, by exact similarity."""
+    found: list[tuple[int, int]] = []
+    if those.num_rows and these.num_rows:
+        node, label = those["node"].to_numpy(), those["label"].to_numpy()
+        bands = those["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sets = [(np.asarray(e.values).view(np.uint64), np.asarray(w.values) if weighted else np.ones(len(e.values))) for e, w in zip(those["el"], those["w"], strict=True)]
+        mass = np.array([w.sum() for _, w in sets])
+        for row in range(these.num_rows):
+            x, x_label = these["node"][row].as_py(), these["label"][row].as_py()
+            x_el = np.asarray(these["el"][row].values).view(np.uint64)
+            x_w = np.asarray(these["w"][row].values) if weighted else np.ones(len(x_el))
+            total = x_w.sum()
+            near = (label != x_label) & (bands == np.asarray(these["bands"][row].values)).any(axis=1)
+            near &= (np.minimum(mass, total) >= SIMILARITY * np.maximum(mass, total))
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            el, w = np.concatenate([sets[i][0] for i in at]), np.concatenate([sets[i][1] for i in at])
+            owner = np.repeat(np.arange(len(at)), [len(sets[i][0]) for i in at])
+            place = np.minimum(np.searchsorted(x_el, el), len(x_el) - 1)
+            both = np.bincount(owner, weights=np.where(x_el[place] == el, np.minimum(w, x_w[place]), 0.0), minlength=len(at))
+            alike = at[both >= SIMILARITY * (mass[at] + total - both)]
+            found += [(min(x, int(node[i])), max(x, int(node[i]))) for i in alike]
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _against_classes(around: DataFrame, facts: DataFrame, weighted: bool) -> DataFrame:
+    """Links between nodes `around` a class (class, node) and all nodes of that class or around it.
+
+    Both sides are cut into blocks of bounded size and every block of one meets every block of the other, so no task
+    holds a whole class and no pair becomes a row unless it is a link.
+    """
+    classes = around.select("class").distinct()
+    inside = facts.select("node", F.col("label").alias("class")).join(classes.hint("merge"), "class").select("class", "node")
+    those = inside.unionAll(around)
+    parts = (
+        those.groupBy("class").agg((F.floor(F.count("*") / THOSE) + 1).cast("int").alias("n_those"))
+        .join(around.groupBy("class").agg((F.floor(F.count("*") / THESE) + 1).cast("int").alias("n_these")).hint("merge"), "class")
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = those.join(parts.hint("merge"), "class").select("class", "node", own("n_those").alias("i"), every("n_these").alias("j"))
+    right = around.join(parts.hint("merge"), "class").select("class", "node", own("n_these").alias("j"), every("n_those").alias("i"))
+    keys = ["class", "i", "j"]
+    full = lambda d: d.join(facts.hint("merge"), "node").groupBy(*keys)
+    return full(left).cogroup(full(right)).applyInArrow(lambda k, x, y: _compare(k, x, y, weighted), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """(rid, doc, class_id, class_size, kept): a row per document; class_id is the id of the document that stays."""
     steps = Steps(docs.sparkSession, "darts")
@@ -213,28 +264,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.unionAll(steps.save(linked(apart.select("a", "b")), "links1"))
     labels = components(links, steps, "classes1")
 
-    # What a pivot did not join: members outside a bucket's largest class against all members of other classes.
-    held = steps.save(label_of(members, "node").select("band", "key", "node", F.col("node_label").alias("label"), "pivot"), "held")
-    sizes = held.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = steps.save(held.join(split.select("band", "key", "main"), ["band", "key"]), "mixed")
-    few = mixed.where("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    others = mixed.select("band", "key", "node", "label", "main", "pivot")
-    rest = (
-        few.join(others, ["band", "key"])
-        .where("x_label <> label and (label = main or x < node) and x <> pivot and node <> pivot")
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
+    # What pivots did not join: nodes outside the largest class of some bucket, against all of that class and each other.
+    def split_buckets() -> DataFrame:
+        held = steps.save(label_of(members, "node").select("band", "key", "node", F.col("node_label").alias("label"), "pivot"), f"held{len(rounds)}")
+        sizes = held.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+        split = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+        return steps.save(held.join(split.where("labels > 1").select("band", "key", "main").hint("merge"), ["band", "key"]), f"mixed{len(rounds)}")
+
+    rounds: list[DataFrame] = []
+    for turn in (2, 3):
+        # First another pivot from the largest class, which settles most of them at one test per node and bucket.
+        mixed = split_buckets()
+        other = mixed.where("label = main").groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("p"))
+        again = mixed.where("label <> main").join(other.hint("merge"), ["band", "key"])
+        rounds.append(linked(again.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()))
+        links = links.unionAll(steps.save(rounds[-1], f"links{turn}"))
+        labels = components(links, steps, f"classes{turn}")
+    mixed = split_buckets()
+    around = steps.save(mixed.where("label <> main").select(F.col("main").alias("class"), "node").distinct(), "around")
+    named = label_of(members.select("node").distinct(), "node").select("node", F.col("node_label").alias("label"))
+    facts = steps.save(
+        named.join(nodes.select("node", "bands").hint("merge"), "node").join(elements.hint("merge"), "node"), "facts"
     )
-    links = links.unionAll(steps.save(linked(rest), "links2"))
-    labels = components(links, steps, "classes2")
+    links = links.unionAll(steps.save(_against_classes(around, facts, weighted), "links4"))
+    labels = components(links, steps, "classes4")
 
     named = label_of(nodes.select("set1", "set2", "node"), "node").select("set1", "set2", F.col("node_label").alias("label"))
     placed = sketch.select("rid", "doc", "n", "set1", "set2").join(named.hint("merge"), ["set1", "set2"], "left").select(
         "rid", "doc", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")).alias("label")
     )
     placed = steps.save(placed, "placed")
-    kept = placed.groupBy("label").agg(F.max(F.struct("doc", "rid")).alias("keep"), F.count("*").alias("class_size"))
+    kept = steps.save(placed.groupBy("label").agg(F.max(F.struct("doc", "rid")).alias("keep"), F.count("*").alias("class_size")), "kept")
     return placed.join(kept.hint("merge"), "label").select(
         "rid", "doc", F.col("keep.doc").alias("class_id"), "class_size", (F.col("keep.rid") == F.col("rid")).alias("kept")
     )

@@ -14,9 +14,12 @@ BLOCK_BYTES = 8 << 20
 
 
 def with_block(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """Adds `block`: rows spread by number over as many blocks as their text has multiples of `size` bytes.
+    """Adds `block`: the rows of an input partition spread by number over as many blocks as it takes for `size` bytes each.
 
-    A block holds `size` bytes on average; a single longer text fills one alone, as it is never split.
+    Blocks follow the input's partitions (the upper bits of `rid`), so a task lists the keys of its own blocks only. A block
+    holds about `size` bytes; a single longer text fills one alone, as it is never split.
     """
-    total = rows.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
-    return rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(1 + total // size)).cast("int"))
+    partition = F.shiftright("rid", 33)
+    found = rows.agg(F.sum(F.octet_length("body")).alias("bytes"), F.max(partition).alias("last")).first()
+    per = 1 + (found["bytes"] or 0) // (size * ((found["last"] or 0) + 1))
+    return rows.withColumn("block", (partition * per + F.pmod(F.xxhash64("rid"), F.lit(per))).cast("int"))

@@ -8,12 +8,23 @@ dictionary look-up. The ids are those of the library for the whole text (the tes
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
 
-HELD_PIECES = 1_500_000  # pieces that a worker holds before it starts anew
+HELD_PIECES = 1_000_000  # pieces that a worker holds before it starts anew
 LONG_PIECE = 64  # longer pieces are encoded but not held
+LATIN_END = "\u0250"  # below it, all Unicode versions agree on what a letter is
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class OtherSpace(Exception):
@@ -28,12 +39,20 @@ class Pieces(dict):
         self.tokenizer, self.prefix = tokenizer, prefix
 
     def encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+
+    def encode_letters(self, letters: str) -> bytes:
+        """Ids of the prefix and letters, which split no further: the library's model alone, on their byte characters."""
+        text = "".join(map(_BYTE_CHARACTERS.__getitem__, (self.prefix + letters).encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise OtherSpace
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+        latin = max(word) < LATIN_END
+        if latin and word.isalpha():
+            ids = self.encode_letters(word)
+        elif latin and word[-1] in ".,;:!?" and word[:-1].isalpha():
             ids = self[word[:-1]] + self.encode(word[-1])  # letters and marks are split before anything merges
         else:
             ids = self.encode(self.prefix + word)

@@ -171,9 +171,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         ),
         "runs",
     )
-    seeds = (
+    # Stored, so that the join below reads two shuffles and Spark can split a hot seed; so are the groups of `level`.
+    seeds = steps.save(
         found.groupBy("seed").agg(F.count("*").alias("places"), F.min("extent").alias("low"), F.max("extent").alias("high"))
-        .where("places > 1").select("seed", (F.col("low") == F.col("high")).alias("alike"))
+        .where("places > 1").select("seed", (F.col("low") == F.col("high")).alias("alike")),
+        "seeds",
     )
     shared = steps.save(found.join(seeds.hint("merge"), "seed"), "shared", by="alike")
     steps.drop("runs")
@@ -194,9 +196,10 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         """Blocks of `size` strings of runs that agree with another run in the bytes that the block's strings share."""
         schema = "rid long, seed long, n long, shared long, extent long, first int, last int, place int"
         blocks = steps.save(df.mapInArrow(lambda it: _blocks(it, length, size), schema), f"{name}-blocks")
-        groups = (
+        groups = steps.save(
             blocks.groupBy("seed", "shared").agg(F.sum("n").alias("places"), F.min("extent").alias("low"), F.max("extent").alias("high"))
-            .where("places > 1").select("seed", "shared", (F.col("low") == F.col("high")).alias("alike"))
+            .where("places > 1").select("seed", "shared", (F.col("low") == F.col("high")).alias("alike")),
+            f"{name}-groups",
         )
         return steps.save(blocks.join(groups.hint("merge"), ["seed", "shared"]).drop("shared", "extent"), name)
 

@@ -38,6 +38,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CHUNK = 1024  # characters of a long unit, or back references, that are handled together
 BLOCK_BYTES = 32 << 20
+UNITS_PER_TASK = 20_000
 UNIT = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
 
 
@@ -95,20 +96,17 @@ def _list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best_path(ends: Column, longest: int) -> Column:
-    """Ids of the best path; `ends` lists per end, in order, its edges (start, score, ids) by rising start."""
+    """Ids of the best path; `ends` lists per end, in order, its edges (start, score, ids)."""
 
     def step(state: Column, at: Column) -> Column:
         end, edges = at["end"], at["edges"]
         # `recent` holds the scores of the last positions, up to end - 1.
         score = lambda e: F.get(state["recent"], F.size(state["recent"]) - (end - e["start"])) + e["score"]
-        best = F.aggregate(
-            F.slice(edges, 2, F.size(edges)),
-            F.struct(score(edges[0]).alias("score"), edges[0]["start"].alias("start"), edges[0]["ids"].alias("ids")),
-            lambda b, e: F.when(score(e) > b["score"], F.struct(score(e).alias("score"), e["start"].alias("start"), e["ids"].alias("ids"))).otherwise(b),
-        )
+        # Of equal scores the least start, that is the longest piece, is the greatest struct.
+        best = F.array_max(F.transform(edges, lambda e: F.struct(score(e).alias("score"), (-e["start"]).alias("from"), e["ids"].alias("ids"))))
 
         def grown(b: Column) -> Column:
-            back = F.array(F.struct(b["start"].alias("start"), b["ids"].alias("ids")))
+            back = F.array(F.struct((-b["from"]).alias("start"), b["ids"].alias("ids")))
             full = F.size(state["open"]) >= CHUNK
             recent = F.concat(state["recent"], F.array(b["score"]))
             return F.struct(
@@ -146,7 +144,8 @@ def segment(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark, longest = units.sparkSession, vocabulary.longest
     pieces = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
     begin = F.sequence(F.lit(0), F.length("unit") - 1, F.lit(CHUNK))
-    parts = units.repartition("uid").select(
+    # Enough partitions that the edges of each are sorted in memory.
+    parts = units.repartition(1 + units.count() // UNITS_PER_TASK, "uid").select(
         "uid", F.explode(F.transform(begin, lambda k: F.struct(k.alias("base"), F.substring(F.col("unit"), k + 1, F.lit(CHUNK + longest - 1)).alias("part")))).alias("c")
     ).select("uid", "c.base", "c.part")
     starts = F.sequence(F.lit(0), F.least(F.length("part"), F.lit(CHUNK)) - 1)
@@ -169,7 +168,7 @@ def segment(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         "uid", "end", "start", F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(of_bytes).alias("ids"),
     )
-    by_end = edges.groupBy("uid", "end").agg(F.sort_array(F.collect_list(F.struct("start", "score", "ids"))).alias("edges"))
+    by_end = edges.groupBy("uid", "end").agg(F.collect_list(F.struct("start", "score", "ids")).alias("edges"))
     lattices = by_end.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
     return lattices.select("uid", _best_path(F.col("ends"), longest).alias("ids"))
 

@@ -61,6 +61,13 @@ def test_base_spans(spark, tmp_path, extra):
             assert r.clean == (EDGE[r.doc_id] or "")
 
 
+def test_addresses_with_zero_parts(spark, tmp_path):
+    texts = ["0.0.0.0", "10.0.0.1 127.0.0.1", "1.00.2.3 000.000.000.000 192.168.0.1", "0256.0.0.0 1.0.0.256 " + "0" * 4_000 + "9999.0.0.1", "0" * 4_000 + ".0.0.7"]
+    out = sanitise(stored(docs_of(spark, list(enumerate(texts))), tmp_path)).select("row.doc_id", joined("base_list").alias("b"), "clean").collect()
+    assert {r.doc_id: r.b.split(",") for r in out} == {k: brute(t) or [""] for k, t in enumerate(texts)}
+    assert {r.clean for r in out if r.doc_id < 3} == {"[IP]", "[IP] [IP]", "[IP] [IP] [IP]"}
+
+
 def test_redaction(spark, tmp_path):
     docs = stored(docs_of(spark, [(1, "Mail a@b.c or +1 743 555 3824, card +4111111111111111 ok")]), tmp_path)
     assert sanitise(docs).first().clean == "Mail [EMAIL] or [PHONE], card +[CARD] ok"

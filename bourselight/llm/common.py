@@ -65,8 +65,9 @@ class Steps:
 def with_row(docs: DataFrame, text: str = "text", **more: Column) -> DataFrame:
     """(row, rid, body, ...): the whole row as one value, a number for it, and its text with null read as empty.
 
-    Operators add their columns beside `row`, so a document's own columns never clash with them. `rid` numbers the
-    rows of a stored table alike on every read; it only breaks ties and joins results back.
+    Operators add their columns beside `row`, so a document's own columns never clash with them. `rid` follows the splits of
+    the scan, which move with the cores at hand: it holds inside one job. Decisions of one job that another joins back need
+    `numbered`.
     """
     ship_package(docs.sparkSession)
     return docs.select(
@@ -77,6 +78,12 @@ def with_row(docs: DataFrame, text: str = "text", **more: Column) -> DataFrame:
     )
 
 
+def numbered(docs: DataFrame, steps: Steps, text: str = "text") -> DataFrame:
+    """(row, rid, body) as `with_row`, numbered once and stored, so that every job reads the same numbers."""
+    rows = steps.save(with_row(docs, text).select("row", "rid"), "rows")
+    return rows.withColumn("body", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
+
+
 def let(value: Column, use) -> Column:
     """Bind an expression to a lambda variable, so that higher-order functions evaluate it once, not per element."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, with_row
+from bourselight.llm.common import Steps, numbered
 from bourselight.llm.components import components
 from bourselight.llm.hashing import U, mix, shingles, slices, text_bytes, word_hashes
 
@@ -212,10 +212,14 @@ def _against_classes(around: DataFrame, facts: DataFrame, weighted: bool) -> Dat
     return full(left).cogroup(full(right)).applyInArrow(lambda k, x, y: _compare(k, x, y, weighted), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
-    """(rid, doc, class_id, class_size, kept): a row per document; class_id is the id of the document that stays."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weighted: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """(rid, doc, class_id, class_size, kept): a row per document; class_id is the id of the document that stays.
+
+    `rows`, if given, are `docs` as `numbered`.
+    """
     steps = Steps(docs.sparkSession, "darts")
-    rows = with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long"))
+    rows = numbered(docs, steps, text) if rows is None else rows
+    rows = rows.select("rid", F.col("row")[doc_id].cast("long").alias("doc"), "body")
     sketch = steps.save(
         rows.select("rid", "doc", "body").mapInArrow(
             lambda it: _sketch(it, weighted), "rid long, doc long, n long, set1 long, set2 long, bands array<long>"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourselight.llm import queries_models, queries_records  # noqa: F401
-from bourselight.llm.common import Steps, table, with_row
+from bourselight.llm.common import Steps, numbered, table
 from bourselight.llm.dart_minhash import near_duplicates
 from bourselight.llm.packing import pack
 from bourselight.llm.quality_rules import RULES, STOP_WORDS, judge
@@ -69,9 +69,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 
 @query("op3_exact_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    digests = with_row(docs).select("rid", F.sha2(normalised(F.col("body")), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digests.hint("merge"), "rid").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = numbered(docs, Steps(spark, "exact"))
+    digests = rows.select("rid", F.sha2(normalised(F.col("body")), 256).alias("text_sha256"))
+    return exact_dedup(docs, rows=rows).join(digests.hint("merge"), "rid").select(
         F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
     )
 
@@ -85,7 +86,7 @@ def tokenizer_path() -> str:
 
 @query("op6_dart_minhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select(
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("doc").alias("doc_id"), "class_id", "class_size", "kept"
     )
 
@@ -104,7 +105,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_sanitise")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise(table(spark, sf_dir, "documents")).select(
+    return sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "row.doc_id",
         *[F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base_list")), 256).alias("base_sha256"),

@@ -13,7 +13,7 @@ merge joins at every size, so plans do not change as tables grow. The driver see
 
 Defined results: null text counts as empty; all empty texts are equal; of equal texts the row with the largest doc_id stays
 (a null id is the smallest; of rows that repeat an id, exactly one); an empty table gives an empty table; decisions are
-joined to rows by number, so a document's own columns may have any names.
+joined to stored rows by number, so a document's own columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, with_row
+from bourselight.llm.common import Steps, numbered
 
 FIRST_DIGIT, WIDEN, LAST_DIGIT = 64, 4, 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,10 +33,11 @@ def normalised(body: Column) -> Column:
     return F.translate(body, UPPER, LOWER).cast("binary")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc, keep_id, group_size, kept) for every row; `rid` is the row's number as in `with_row`."""
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: DataFrame | None = None) -> DataFrame:
+    """(rid, doc, keep_id, group_size, kept) for every row; `rid` is the row's number in `rows`, which are `docs` as `numbered`."""
     steps = Steps(docs.sparkSession, "radix")
-    rows = with_row(docs, text, doc=F.col(f"`{doc_id}`")).select("rid", "doc", normalised(F.col("body")).alias("bytes"))
+    rows = numbered(docs, steps, text) if rows is None else rows
+    rows = rows.select("rid", F.col("row")[doc_id].alias("doc"), normalised(F.col("body")).alias("bytes"))
     state = rows.withColumn("grp", F.lit(-1).cast("long"))
     settled, offset, width, turn = [], 0, FIRST_DIGIT, 0
     while True:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, with_row
+from bourselight.llm.common import Steps, numbered
 from bourselight.llm.hashing import _BYTE, U, _powers, mix, slices, text_bytes
 
 LENGTH, SEED, BLOCK = 200, 32, 13
@@ -223,7 +223,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(rid, doc, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of every document, in bytes."""
-    rows = with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long")).select("rid", "doc", "body")
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    rows = numbered(docs, Steps(docs.sparkSession, "documents")).select("rid", "row.doc", "body")
     cuts = repeated_ranges(rows, length).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
     schema = "rid long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     joined = rows.withColumn("body", F.col("body").cast("binary")).join(cuts.hint("merge"), "rid", "left")

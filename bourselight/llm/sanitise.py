@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, let, with_row
+from bourselight.llm.common import Steps, let, numbered
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -179,7 +179,8 @@ def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, base, spans, clean): base spans by kind, all spans (kind, start, end, label), and the sanitised text."""
-    rows, steps = with_row(docs, text), Steps(docs.sparkSession, "sanitise")
+    steps = Steps(docs.sparkSession, "sanitise")
+    rows = numbered(docs, steps, text)
     revealing = revealing_terms(rows.select("rid", "body"), steps)
     nothing = F.array().cast("array<string>")
     if revealing is None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, table, with_row
+from bourselight.llm.common import Steps, numbered, table
 from bourselight.llm.dart_minhash import near_duplicates
 from bourselight.llm.packing import pack
 from bourselight.llm.quality_rules import judge
@@ -25,14 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup(docs).where("kept").select("rid")
-    return with_row(docs).join(kept.hint("merge"), "rid", "left_semi").select("row.*")
+    rows = numbered(docs, Steps(spark, "exact"))
+    kept = exact_dedup(docs, rows=rows).where("kept").select("rid")
+    return rows.join(kept.hint("merge"), "rid", "left_semi").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select("rid")
-    return with_row(docs).join(kept.hint("merge"), "rid", "left_semi").select("row.*")
+    rows = numbered(docs, Steps(spark, "near"))
+    kept = near_duplicates(docs, rows=rows).where("kept").select("rid")
+    return rows.join(kept.hint("merge"), "rid", "left_semi").select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,17 +6,19 @@ own information content: PMI(word; entity) / IC(entity), which is 1 where the wo
 documents that hold the entity, words at or above REMOVE are deleted and words at or above GENERALISE become a general
 label; both are spans of kind `term`. Everything else stays.
 
-Counts cover all documents. Copies of a text are no evidence: documents that mention an entity and have the same least
-hash among their words count once, and an entity whose documents share more than OVERLAP of their words on average is
-left out. An entity or pair needs SUPPORT such mentions. Word frequencies are counted only if some pair
-has that support; no other word can be revealing.
+Counts cover all documents. Copies of a text are no evidence: documents with the same set of words count once in every
+count, and an entity whose documents share more than OVERLAP of their words on average is left out. A pair
+needs SUPPORT mentions whose texts differ in the least hash of their words, which copies with small changes mostly share;
+that decides on support alone and enters no score. Word frequencies are counted only if some pair has that support; no other word can be
+revealing.
 
 Matches are located by splitting a text at them: the lengths of parts and matches add up to positions. The patterns are
 rewritten so that Java's engine runs them in linear time without recursion: a run is entered at its start only, and
 quantifiers that never need to give back are possessive.
 
-Scale: two scans of the documents and joins on row numbers; counts are partial aggregates, and a hot entity is one key
-of a join whose large side Spark may split.
+Scale: scans of the documents and joins on row numbers; counts are partial aggregates, and a hot entity is one key of a
+join whose large side Spark may split. Terms of an entity stay rows and are joined as (entity, term), so no list grows
+with an entity's documents.
 
 Defined results: null text is empty and has no spans; long texts are scanned whole; repeated rows get the same spans; an
 empty table gives an empty table; a document's own columns stay in `row`.
@@ -123,8 +125,14 @@ def redacted(body: Column, spans: Column) -> Column:
 
 
 def _words(body: Column) -> Column:
-    """Distinct lower-cased words of three letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(body), r"\P{L}+"), lambda w: F.length(w) >= 3))
+    """Distinct lower-cased words of three letters or more, without those of e-mail addresses (no other base span has letters)."""
+    blank = F.when(body.contains("@"), F.regexp_replace(body, EMAIL, " ")).otherwise(body)
+    return F.array_distinct(F.filter(F.split(F.lower(blank), r"\P{L}+"), lambda w: F.length(w) >= 3))
+
+
+def _word_set(terms: Column) -> Column:
+    """Equal for texts with the same words, in any order; words have letters only, so the joined list names the set."""
+    return F.md5(F.array_join(F.array_sort(terms), " ").cast("binary"))
 
 
 def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
@@ -134,45 +142,44 @@ def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
         F.col("base")[k],
         lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"]) if k in ("email", "ip") else _digits(s["value"])),
     )
-    blank = F.col("body")
-    for pattern in (EMAIL, IP, CARD, PHONE):
-        blank = F.regexp_replace(blank, pattern, " ")
     holders = steps.save(
         based.withColumn("entities", F.array_distinct(F.concat(*[entity(k) for k in KINDS]))).where(F.size("entities") > 0)
-        .select("rid", "entities", _words(blank).alias("terms")),
+        .select("rid", "entities", _words(F.col("body")).alias("terms")),
         "holders",
     )
     sketch = F.array_min(F.transform("terms", lambda w: F.xxhash64(w)))
-    mentions = holders.select("rid", sketch.alias("sketch"), F.explode("entities").alias("entity"))
-    first = mentions.groupBy("entity", "sketch").agg(F.min("rid").alias("rid"))
+    mentions = holders.select("rid", _word_set(F.col("terms")).alias("words"), F.explode("entities").alias("entity"))
+    first = mentions.groupBy("entity", "words").agg(F.min("rid").alias("rid"))
     held = first.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     pairs = first.join(held, "entity").select("entity", "n_entity", "rid").distinct()
     together = steps.save(
-        pairs.join(holders.select("rid", "terms"), "rid").select("entity", "n_entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")),
+        pairs.join(holders.select("rid", "terms"), "rid").select("entity", "n_entity", sketch.alias("sketch"), F.explode("terms").alias("term"))
+        .groupBy("entity", "n_entity", "term", "sketch").agg(F.count("*").alias("n"))
+        .groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_apart")),
         "together",
     )
     # The mean share of words that two of the entity's documents have in common.
     n = F.col("n_both")
     shared = F.sum(n * (n - 1)) / ((F.max("n_entity") - 1) * F.sum(n))
     apart = together.groupBy("entity").agg(shared.alias("shared")).where(F.col("shared") <= OVERLAP).select("entity")
-    joint = steps.save(together.where(n >= SUPPORT).join(apart, "entity"), "joint")
+    joint = steps.save(together.where(F.col("n_apart") >= SUPPORT).join(apart, "entity"), "joint")
     if joint.isEmpty():
         return None
-    terms = rows.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = rows.agg(F.count("*").alias("n")).scalar()
+    worded = rows.select("rid", _words(F.col("body")).alias("terms"))
+    texts = steps.save(worded.select("rid", _word_set(F.col("terms")).alias("words")).groupBy("words").agg(F.min("rid").alias("rid")).select("rid"), "texts")
+    counted = worded.join(texts.hint("merge"), "rid", "left_semi")
+    terms = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    total = texts.agg(F.count("*").alias("n")).scalar()
     scored = joint.join(terms, "term").withColumn("n", total).select(
         "entity", "term",
-        (F.log2(F.col("n_both") * F.col("n") / F.col("n_entity") / F.greatest("n_term", "n_both")) / F.log2(F.col("n") / F.col("n_entity"))).alias("d"),
-    )
-    strong = scored.where(F.col("d") >= GENERALISE).groupBy("entity").agg(
-        F.collect_set(F.when(F.col("d") >= REMOVE, F.col("term"))).alias("removed"),
-        F.collect_set(F.when(F.col("d") < REMOVE, F.col("term"))).alias("generalised"),
+        (F.log2(F.col("n_both") * F.col("n") / F.col("n_entity") / F.col("n_term")) / F.log2(F.col("n") / F.col("n_entity"))).alias("d"),
     )
-    own = lambda c: F.array_distinct(F.flatten(F.collect_list(F.array_intersect(F.col("terms"), F.col(c))))).alias(c)
+    strong = steps.save(scored.where(F.col("d") >= GENERALISE), "strong")
+    held = holders.select("rid", "terms", F.explode("entities").alias("entity")).join(strong.select("entity").distinct(), "entity", "left_semi")
+    own = lambda c, which: F.collect_set(F.when(which, F.col("term"))).alias(c)
     return steps.save(
-        holders.select("rid", "terms", F.explode("entities").alias("entity"))
-        .join(strong, "entity").groupBy("rid").agg(own("removed"), own("generalised")),
+        held.select("rid", "entity", F.explode("terms").alias("term")).join(strong, ["entity", "term"])
+        .groupBy("rid").agg(own("removed", F.col("d") >= REMOVE), own("generalised", F.col("d") < REMOVE)),
         "revealing",
     )
 

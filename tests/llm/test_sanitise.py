@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -89,6 +90,22 @@ def test_revealing_terms(spark, tmp_path):
     assert out[70].clean == "xylophone copied copied [EMAIL]"
 
 
+def test_revealing_term_of_a_frequent_entity(spark, tmp_path):
+    rng = random.Random(3)
+    syllables = [a + b for a in "bcdfghjklmnprstvwz" for b in "aeiou"]
+    vocabulary = ["".join(rng.choices(syllables, k=3)) for _ in range(4000)]
+    frequent = ["one", "two", "six", "ten"]
+    text = lambda: " ".join(rng.sample(vocabulary, 12) + frequent)
+    rows = [(k, f"{text()} zebulon z@corp.example") for k in range(400)] + [(k, text()) for k in range(400, 4000)]
+    rows += [(4000 + k, f"{rows[0][1]}") for k in range(300)] + [(5000 + k, rows[700][1]) for k in range(300)]
+    out = sanitise(stored(docs_of(spark, rows), tmp_path)).select("row.doc_id", "row.text", "clean").collect()
+    for r in out:
+        if r.doc_id < 400 or 4000 <= r.doc_id < 5000:
+            assert "zebulon" not in r.clean and "[TERM]" not in r.clean and r.clean.count("one two six ten") == 1
+        else:
+            assert r.clean == r.text
+
+
 def test_empty(spark, tmp_path):
     assert sanitise(stored(docs_of(spark, []), tmp_path)).count() == 0
 

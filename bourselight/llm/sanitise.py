@@ -1,7 +1,8 @@
 """Information-theoretic sanitisation of personal data, in built-in functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers. Each distinct value is a protected
-entity. A word that co-occurs with an entity reveals it by their pointwise mutual information, measured against the entity's
+entity, and so are the parts that values share: local part and domain of an e-mail address, a telephone number without its
+last four digits. A word that co-occurs with an entity reveals it by their pointwise mutual information, measured against the entity's
 own information content: PMI(word; entity) / IC(entity), which is 1 where the word never occurs without the entity. In
 documents that hold the entity, words at or above REMOVE are deleted and words at or above GENERALISE become a general
 label; both are spans of kind `term`. Everything else stays.
@@ -124,6 +125,19 @@ def redacted(body: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, body).otherwise(pieces)
 
 
+def _entities(base: Column) -> Column:
+    """Distinct values of a text, and the parts of them that other values may share."""
+    low, digits = lambda s: F.lower(s["value"]), lambda s: _digits(s["value"])
+    named = {
+        "email": ("email", low), "ip": ("ip", low), "card": ("card", digits), "phone": ("phone", digits),
+        "local": ("email", lambda s: F.substring_index(low(s), "@", 1)),
+        "domain": ("email", lambda s: F.substring_index(low(s), "@", -1)),
+        "prefix": ("phone", lambda s: F.regexp_replace(digits(s), "[0-9]{4}$", "")),
+    }
+    part = lambda n, f: lambda s: F.concat(F.lit(f"{n}:"), f(s))
+    return F.array_distinct(F.concat(*[F.transform(base[k], part(n, f)) for n, (k, f) in named.items()]))
+
+
 def _words(body: Column) -> Column:
     """Distinct lower-cased words of three letters or more, without those of e-mail addresses (no other base span has letters)."""
     blank = F.when(body.contains("@"), F.regexp_replace(body, EMAIL, " ")).otherwise(body)
@@ -138,12 +152,8 @@ def _word_set(terms: Column) -> Column:
 def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
     """(rid, removed, generalised) for documents that hold an entity and words that reveal it; None if there are none."""
     based = rows.select("rid", "body", base_spans(F.col("body")).alias("base"))
-    entity = lambda k: F.transform(
-        F.col("base")[k],
-        lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"]) if k in ("email", "ip") else _digits(s["value"])),
-    )
     holders = steps.save(
-        based.withColumn("entities", F.array_distinct(F.concat(*[entity(k) for k in KINDS]))).where(F.size("entities") > 0)
+        based.withColumn("entities", _entities(F.col("base"))).where(F.size("entities") > 0)
         .select("rid", "entities", _words(F.col("body")).alias("terms")),
         "holders",
     )

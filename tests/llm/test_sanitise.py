@@ -106,6 +106,18 @@ def test_revealing_term_of_a_frequent_entity(spark, tmp_path):
             assert r.clean == r.text
 
 
+def test_terms_that_reveal_a_shared_part(spark, tmp_path):
+    letters = "bcdfghjklmnpqrstvwxz"
+    filler = lambda k: "alpha beta " + " ".join(f"{letters[k % 20]}{letters[k // 20]}a{letters[j]}u" for j in range(20))
+    rows = [(k, f"{filler(k)} zebulon person{k}@corp.example") for k in range(6)]
+    rows += [(k, f"{filler(k)} quixotic +1 743 555 10{k}") for k in range(10, 16)]
+    rows += [(k, f"{filler(k)} nothing") for k in range(20, 80)]
+    out = {r.doc_id: r.clean for r in sanitise(stored(docs_of(spark, rows), tmp_path)).select("row.doc_id", "clean").collect()}
+    assert all("zebulon" not in out[k] and "alpha beta" in out[k] and "[EMAIL]" in out[k] for k in range(6))
+    assert all("quixotic" not in out[k] and "alpha beta" in out[k] and "[PHONE]" in out[k] for k in range(10, 16))
+    assert all(out[k] == dict(rows)[k] for k in range(20, 80))
+
+
 def test_empty(spark, tmp_path):
     assert sanitise(stored(docs_of(spark, []), tmp_path)).count() == 0
 

@@ -7,12 +7,13 @@ the revisit that a 304 may change (RFC 9111, section 3.2). Nothing is dropped: e
 
 Scale: the as-of join is no range join. Times are cut into minutes and days. Inside (URL, minute) a running last value
 finds the response; one row per (URL, minute) and per (URL, day) carries it on, so a hot URL is spread over its minutes and
-no task sorts all of its captures. Windows hold record numbers and validators only; headers are fetched by record number
+no task sorts all of its captures. Windows hold numbers and validators only; headers are fetched by row number or record id
 in a join whose hot side Spark splits.
 
 Defined results: a null URL or time has no earlier response; records at the same time are ordered by record id; revisits of a
 URL without an earlier response are `unresolved`, with differing validators `mismatch`, without common validators
-`unvalidated` (merged), else `matched`; null headers count as none; repeated rows are resolved each; an empty table gives
+`unvalidated` (merged), else `matched`; null headers count as none; repeated rows and null record ids are resolved each, with
+their own headers; an empty table gives
 an empty table; further columns are ignored.
 """
 
@@ -23,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bourselight.llm.common import Steps
+
 SLICES = (60, 86_400)  # seconds
 # Header fields that a 304 answer must not change in a stored response.
 KEPT_FIELDS = (
@@ -77,9 +80,12 @@ def resolve(records: DataFrame) -> DataFrame:
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url"),
         F.unix_micros("fetched").alias("micros"), (F.col("kind") == "response").alias("full"), (F.col("kind") == "revisit").alias("again"),
         "status", "digest", lower_keys(F.col("headers")).alias("headers"),
+        F.monotonically_increasing_id().alias("_n"),
     )
+    # Numbered once and stored: record ids may be null or repeated.
+    events = Steps(records.sparkSession, "revisits").save(events.where("full or again"), "events")
     tag = F.regexp_replace(F.col("headers")["etag"], "^W/", "")
-    narrow = events.where("full or again").select("record_id", "url", (F.col("micros") / 1e6).alias("at"), "again", "full", tag.alias("tag"), F.col("headers")["last-modified"].alias("modified"))
+    narrow = events.select("_n", "record_id", "url", (F.col("micros") / 1e6).alias("at"), "again", "full", tag.alias("tag"), F.col("headers")["last-modified"].alias("modified"))
     stored = F.when(F.col("full"), F.struct("record_id", "tag", "modified"))
     # Rows without a time come after all others in no slice, and so see no earlier response.
     placed = latest_before(narrow.where("again or (at is not null and url is not null)"), "url", "at", ["record_id"], stored, "earlier").where("again")
@@ -90,12 +96,12 @@ def resolve(records: DataFrame) -> DataFrame:
         .when(old["modified"].isNotNull() & F.col("modified").isNotNull(), F.when(old["modified"] == F.col("modified"), "matched").otherwise("mismatch"))
         .otherwise("unvalidated")
     )
-    found = placed.select("record_id", "url", old["record_id"].alias("refers_to"), outcome.alias("outcome"), F.monotonically_increasing_id().alias("_n"))
-    own = events.where("again").groupBy("record_id").agg(F.any_value("headers").alias("_new"))
+    found = placed.select("record_id", "url", old["record_id"].alias("refers_to"), outcome.alias("outcome"), "_n")
+    own = events.where("again").select("_n", F.col("headers").alias("_new"))
     full = events.where("full").groupBy(F.col("record_id").alias("refers_to")).agg(
         F.any_value("headers").alias("_old"), F.any_value("status").alias("status"), F.any_value("digest").alias("digest")
     )
-    joined = found.join(own.hint("merge"), "record_id").join(full.hint("merge"), "refers_to", "left")
+    joined = found.join(own.hint("merge"), "_n").join(full.hint("merge"), "refers_to", "left")
     ok = F.col("outcome").isin("matched", "unvalidated")
     kept = F.filter(F.map_entries("_old"), lambda e: e["key"].isin(*KEPT_FIELDS) | ~F.map_contains_key("_new", e["key"]))
     new = F.filter(F.map_entries("_new"), lambda e: ~e["key"].isin(*KEPT_FIELDS))

@@ -65,6 +65,14 @@ def test_empty_repeated_and_bodies(spark):
     assert [(r.record_id, r.refers_to, r.body) for r in with_body(resolve(frame), frame).collect()] == [(2, 1, "body1")] * 2
 
 
+def test_null_record_ids_keep_their_own_headers(spark):
+    u = "http://a/"
+    records = [record(1, u, 0, "response", {"etag": "a"}, "d")]
+    records += [record(None, u, k, "revisit", {"etag": "a", "age": str(k)}) for k in (1, 2, 3)]
+    out = resolve(spark.createDataFrame(records, SCHEMA)).collect()
+    assert sorted((r.record_id is None, r.refers_to, r.outcome, r.headers["age"]) for r in out) == [(True, 1, "matched", a) for a in "123"]
+
+
 @pytest.mark.parametrize(("url", "want"), [
     ("HTTPS://WWW.Ex.com:443?b=2&a=1#f", "https://ex.com/?a=1&b=2"), ("http://ex.com/A?ref=1", "http://ex.com/A"), ("not a url", "not a url"), ("", ""), (None, None),
 ])

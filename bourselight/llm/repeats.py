@@ -1,10 +1,9 @@
-"""Removal of long repeated byte strings by threshold-bounded interval expansion.
+"""Removal of long repeated byte strings by hashed seeds and blocks.
 
-Every byte that lies in a string of `length` bytes which also starts elsewhere is removed. An interval is, as in a
-Burrows-Wheeler transform, the set of places whose following bytes agree so far; expansion goes breadth first by rising
-common prefix and drops intervals of one place, and it stops once the agreed bytes reach `length`. A transform of the
-whole corpus would cost several times its size on disk, so intervals are not ranks of one sorted array: they are keys
-that Spark groups by, and expansion adds blocks of bytes on both sides of a seed instead of single bytes on its left.
+Every byte that lies in a string of `length` bytes which also starts elsewhere is removed. This is no Burrows-Wheeler
+transform and extends no interval backwards: seeds picked by least hash are keys that Spark groups by, at three fixed
+levels of agreement, and what occurs once is dropped at each. By estimate, a transform of the whole corpus would cost
+several times its size on disk; it was not measured.
 
 1. Agreement of 32 bytes. Of the seeds inside each string of `length` bytes the one with the least hash represents it, so
    equal strings have equal seeds at equal offsets. Consecutive strings with one seed form a run, about one per 85

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourselight.llm import queries_models, queries_records  # noqa: F401
+from bourselight.llm import queries_audit, queries_models, queries_records  # noqa: F401
 from bourselight.llm.common import Steps, numbered, table
 from bourselight.llm.dart_minhash import near_duplicates
 from bourselight.llm.packing import pack

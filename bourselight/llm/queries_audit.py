@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bourselight.llm.common import table
 from bourselight.llm.filter_audit import FILTERS, audit
+from bourselight.llm.languages import identify
 from bourselight.llm.registry import query
+from bourselight.llm.whitening import whiten
 
 _ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations(FILTERS))
 OP11_SQL = f"""
@@ -41,3 +43,13 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 @query("op11_filter_audit", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("row.doc_id", "held_out", "lang_pred", "score")

@@ -169,19 +169,20 @@ def fit(distinct: DataFrame, d: int) -> Fit | None:
     pivot = sums // n
     found = Fit(n, pivot, sums - n * pivot)
     for turn in range(MAX_PASSES):
-        gram = _summed(distinct, d, found.orthogonal)
+        gram, shift, done = _summed(distinct, d, found.orthogonal), 0.0, False
         if turn == 0:
             found.trace = float(np.trace(gram)) / n
             if found.trace == 0.0:
                 return None
-            # A constant dimension has no direction: its own scale keeps the solves finite, and the cut by rank drops it.
-            shift = 11 * (n * d + d * (d + 1)) * UNIT * float(np.linalg.norm(gram, 2))
+            norm = float(np.linalg.norm(gram, 2))
+            shift = min(11 * (n * d + d * (d + 1)) * UNIT, 1.0) * norm
         else:
+            # Directions that the rows do not have stay near 0 and fall below the cut by rank.
             live = np.linalg.eigvalsh(gram)
-            if np.all(np.minimum(np.abs(live - 1), np.abs(live)) < ENOUGH * max(d, 64)):
-                break
-            shift = 0.0
-        found.factors.append(_upper_factor(gram, min(shift, float(np.trace(gram)))))
+            done = bool(np.all(np.minimum(np.abs(live - 1), np.abs(live)) < ENOUGH * max(d, 64)))
+        found.factors.append(_upper_factor(gram, shift))
+        if done:
+            break
     product = np.eye(d)
     for factor in found.factors:
         product = factor @ product

@@ -79,7 +79,7 @@ def test_small_components_keep_their_digits(spark):
 def test_constant_dimensions_and_few_rows(spark):
     noise = np.random.default_rng(5)
     rows = [(k, [float(v) for v in (*noise.normal(size=4), 7.0)]) for k in range(100)] + [(5, None)]
-    rows += [(200, [0.5] * 5)] * 50  # copies of a row count once
+    rows += [(200, [0.5] * 4 + [7.0])] * 50  # copies of a row count once
     assert check(rows, whiten(frame(spark, rows)).collect()) == 4
     few = [(k, [float(k == j) for j in range(20)]) for k in range(6)]
     got = whiten(frame(spark, few)).collect()

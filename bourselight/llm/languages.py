@@ -45,6 +45,7 @@ UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 DOCUMENTS, SLICE, BUDGET = 128, 512, 1 << 18
 SEGMENT = 2048
+SALTS = 64
 _EDGES = "lang string, size int, states int, source binary, symbol binary, target binary"
 END = np.int32(-(2**31))
 SPACE_BYTE = 32
@@ -109,12 +110,14 @@ def sample(labelled: DataFrame, documents: int = DOCUMENTS, piece: int = SLICE,
     lettered = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = lettered.withColumn("h", F.xxhash64("text"))
     known = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).select("lang", "h")
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = known.withColumn("place", place).where(F.col("place") <= documents)
+    # Cut per language and salt first, so that the task of a language gets a bounded number of rows from any input.
+    salt, place = F.pmod("h", F.lit(SALTS)), F.row_number()
+    few = known.withColumn("salt", salt).withColumn("p", place.over(W.partitionBy("lang", "salt").orderBy("h"))).where(F.col("p") <= documents)
+    chosen = few.select("lang", "h", place.over(W.partitionBy("lang").orderBy("h")).alias("place")).where(F.col("place") <= documents)
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - piece) / 2).cast("int"))
     cut = F.lower(F.substr("text", middle, F.lit(piece)))
-    # At most `documents` keys a language: Spark broadcasts them by their measured size.
-    pieces = hashed.join(chosen, ["lang", "h"]).groupBy("lang", "place").agg(F.min(cut).alias("cut"))
+    # At most `documents` narrow keys a language, of languages whose automata are sent to all tasks anyway.
+    pieces = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "place").agg(F.min(cut).alias("cut"))
     joined = pieces.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "cut"))), lambda p: p["cut"]), " ").alias("sample"))
     each = joined.withColumn("share", F.floor(F.lit(budget) / F.count("*").over(W.partitionBy(F.lit(0)))).cast("int"))
     return each.select("lang", F.substr("sample", F.lit(1), "share").alias("sample"))

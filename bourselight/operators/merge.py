@@ -1,17 +1,19 @@
 """Table maintenance: upserts, coalescing merges, group replacement, content-addressed appends.
 
-Each function returns the new content of the table. The stored rows are only anti-joined on the keys that the
-batch touches, so the work on them is one filter and no sort.
+Each function takes stored rows and a batch and returns the rows to store instead. The stored rows are only anti-joined on
+the keys that the batch touches, so the work on them is one filter and no sort. `buckets.Tables` passes the stored rows of the
+touched buckets alone; the functions do as well on whole tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourselight.functions.parse import content_hash
+from bourselight.operators.buckets import Append, Layout, Tables, Write
 from bourselight.operators.spread import top_n
 
 
@@ -28,6 +30,11 @@ def upsert(
     return kept.unionByName(incoming)
 
 
+def keep_newest(current: DataFrame, batch: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
+    """The first row of each key in the given order, whether stored or new: a batch that comes late changes nothing newer."""
+    return newest_per_key(current.unionByName(batch.select(*current.columns)), keys, newest_first)
+
+
 def merge_profiles(current: DataFrame, profiles: DataFrame) -> DataFrame:
     """Overwrite company fields with the non-null fields of a profile.
 
@@ -60,29 +67,71 @@ def replace_groups(
 PERIOD_KEY = ("symbol", "statement_type", "statement_code", "period_kind", "header")
 
 
-def restate(
-    periods: DataFrame, lines: DataFrame, new_periods: DataFrame, new_lines: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Write restated periods: each replaces its earlier version and all lines of it."""
-    kept = periods.join(new_periods.select(*PERIOD_KEY), list(PERIOD_KEY), "left_anti")
-    all_periods = kept.unionByName(new_periods.select(*periods.columns))
-    return all_periods, replace_groups(lines, new_lines, PERIOD_KEY, touched=new_periods)
+def restatement(new_periods: DataFrame, new_lines: DataFrame) -> dict[str, Write]:
+    """The writes of restated periods and their lines, for one commit: a reader sees both or neither."""
+    restated = new_periods.select(*PERIOD_KEY)
 
+    def periods(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(restated, list(PERIOD_KEY), "left_anti").unionByName(new.select(*old.columns))
 
-ARCHIVE_KEY = ("endpoint", "symbol", "content_hash")
+    def lines(old: DataFrame, new: DataFrame) -> DataFrame:
+        return replace_groups(old, new, PERIOD_KEY, touched=restated)
 
+    return {
+        "statement_period": Write(new_periods, periods),
+        "statement_line": Write(new_lines, lines, keys=new_periods),
+    }
 
-def new_content(archive: DataFrame, batch: DataFrame, first: Sequence[Column]) -> DataFrame:
-    """Rows of a batch whose content the archive does not hold yet, each content once."""
-    hashed = batch.withColumn("content_hash", content_hash("payload"))
-    once = top_n(hashed, ARCHIVE_KEY, first, 1).drop("position")
-    return once.join(archive.select(*ARCHIVE_KEY), list(ARCHIVE_KEY), "left_anti")
+
+ARCHIVE_KEY = ("endpoint", "symbol", "content_hash")
 
 
 def latest_payload(archive: DataFrame) -> DataFrame:
-    """The most recent payload per endpoint and symbol."""
+    """The most recent payload per endpoint and symbol; ids are unique.
+
+    The newest id is picked from rows without payloads. The payloads then pass a hash join by id that is built on these, so
+    none is sorted.
+    """
     newest = [F.col("fetched_at").desc(), F.col("id").desc()]
-    return top_n(archive, ["endpoint", "symbol"], newest, 1).drop("position")
+    picked = top_n(archive.select("endpoint", "symbol", "fetched_at", "id"), ["endpoint", "symbol"], newest, 1)
+    return archive.join(picked.select("id").hint("shuffle_hash"), "id", "left_semi")
+
+
+class Archive:
+    """Raw payloads stored once per (endpoint, symbol, content): an index of narrow rows, and the payloads apart from it.
+
+    Both lie in buckets of the content hash. A batch meets the index rows of its own buckets, never a stored payload, and
+    appends to both tables in one commit.
+    """
+
+    INDEX = (*ARCHIVE_KEY, "fetched_at", "id")
+    LAYOUT = Layout(("content_hash",))
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.tables = Tables(spark, path, {"index": self.LAYOUT, "payloads": self.LAYOUT})
+
+    def append(self, batch: DataFrame, stream: tuple[str, int] | None = None) -> bool:
+        """Add the content of a batch that is new; of equal contents the first fetched stays. False if taken before."""
+        hashed = batch.withColumn("content_hash", content_hash("payload"))
+        first = [F.col("fetched_at"), F.col("id")]
+        new = top_n(hashed.select(*self.INDEX), ARCHIVE_KEY, first, 1).drop("position")
+        if "index" in self.tables.version().tables:
+            held = self.tables.holding("index", new).select(*ARCHIVE_KEY)
+            new = new.join(held, list(ARCHIVE_KEY), "left_anti")
+        payloads = hashed.select("content_hash", "id", "payload")
+        fetched = payloads.join(new.select("content_hash", "id").hint("shuffle_hash"), ["content_hash", "id"], "left_semi")
+        return self.tables.commit(stream, index=Append(new), payloads=Append(fetched))
+
+    def index(self) -> DataFrame:
+        return self.tables.read("index")
+
+    def latest(self) -> DataFrame:
+        """The most recently added content per endpoint and symbol, with its payload."""
+        version = self.tables.version()
+        newest = [F.col("fetched_at").desc(), F.col("id").desc()]
+        picked = top_n(self.tables.read("index", version=version), ["endpoint", "symbol"], newest, 1).drop("position")
+        payloads = self.tables.read("payloads", version=version)
+        return payloads.join(picked.hint("shuffle_hash"), ["content_hash", "id"])
 
 
 def newest_schema_kind(periods: DataFrame) -> DataFrame:
@@ -96,7 +145,17 @@ def newest_schema_kind(periods: DataFrame) -> DataFrame:
     return top_n(classified, ["symbol"], newest, 1).select("symbol", "schema_kind")
 
 
+def changed_schema_kinds(company: DataFrame, periods: DataFrame) -> DataFrame:
+    """(symbol, schema_kind) of the companies whose stored family differs from that of their periods."""
+    stored = company.select("symbol", F.col("schema_kind").alias("_stored"))
+    found = newest_schema_kind(periods).join(stored, "symbol")
+    return found.where(~F.col("schema_kind").eqNullSafe(F.col("_stored"))).drop("_stored")
+
+
+def set_schema_kinds(company: DataFrame, found: DataFrame) -> DataFrame:
+    joined = company.join(found.select("symbol", F.col("schema_kind").alias("_found")), "symbol", "left")
+    return joined.withColumn("schema_kind", F.coalesce("_found", "schema_kind")).drop("_found").select(*company.columns)
+
+
 def write_back_schema_kind(company: DataFrame, periods: DataFrame) -> DataFrame:
-    found = newest_schema_kind(periods).withColumnRenamed("schema_kind", "_found")
-    joined = company.join(found, "symbol", "left")
-    return joined.withColumn("schema_kind", F.coalesce("_found", "schema_kind")).drop("_found")
+    return set_schema_kinds(company, newest_schema_kind(periods))

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bourselight.session import write_and_read
-
 SALTS = 16
 
 # Above this rank Spark no longer cuts groups before the shuffle, so the cut is made in two steps.
 PRE_SHUFFLE_RANK = 1000
 
-BUCKET_OFFSET = 1 << 20
+# Ranks of a quantile sketch are off by one in so many at most; brackets are cut into so many ranges.
+SKETCH = 10_000
+RANGES = 4096
 
 
 def _salt(spread: Sequence[str], salts: int) -> Column:
@@ -98,95 +98,102 @@ def numbered(
     )
 
 
-def _ordered_bucket(value: Column, per_octave: int) -> Column:
-    """A whole number that never falls as the value rises: sign, then logarithmic steps."""
-    steps = F.floor(F.greatest(F.least(F.log2(F.abs(value)), F.lit(1100.0)), F.lit(-1100.0)) * per_octave)
-    return (
-        F.when(value > 0, steps + BUCKET_OFFSET)
-        .when(value < 0, -(steps + BUCKET_OFFSET))
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    )
+def _value(of: Column) -> Column:
+    """A figure that counts for a median: NULL and NaN do not."""
+    number = of.cast("double")
+    return F.when(~F.isnan(number), number)
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """(keys, _v, _w): how often each value occurs per group, stored once, as medians read it several times.
+def _brackets(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """(keys, _bounds): per measure how many values a group has, and two values that surely enclose its middle.
 
-    NULL and NaN count nowhere.
+    Quantile sketches of a bounded size combine before the shuffle. A rank is off by one in `SKETCH` at most, so the
+    bracket lies four times that to either side of the middle.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    counted = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
-    return write_and_read(counted, "value_counts")
+    around = [0.5 - 4 / SKETCH, 0.5 + 4 / SKETCH]
+    bounds = [
+        F.struct(
+            F.lit(name).alias("name"), F.count(_value(c)).alias("n"),
+            F.percentile_approx(_value(c), around, SKETCH).alias("ends"),
+        )
+        for name, c in measures.items()
+    ]
+    return df.groupBy(*keys).agg(F.array(*bounds).alias("_bounds"))
 
 
-def _holding_middle(rows: DataFrame, group: list[str], bucket: Column, name: str) -> DataFrame:
-    """Rows of the buckets that hold the middle of their group; `_before` counts what lies below the bucket."""
-    placed = rows.withColumn(name, bucket)
-    first = ("_low", "_high", "_before")
-    buckets = placed.groupBy(*group, name).agg(
-        F.sum("_w").alias("_n"), *[F.min(c).alias(c) for c in first], F.min("_v").alias("_from"), F.max("_v").alias("_to")
-    )
-    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*group).orderBy(name).rowsBetween(W.unboundedPreceding, 0))
-    held = buckets.withColumn("_upto", upto).where(
-        (F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_n") < F.col("_high"))
+def _in_brackets(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], brackets: DataFrame) -> DataFrame:
+    """(keys, _name, _n, _from, _to, _v, _w): counted values inside the bracket, and one row without a value for all below.
+
+    Values above count nowhere. A group keeps about eight in `SKETCH` of its values.
+    """
+    rows = df.select(*keys, *[_value(c).alias(f"_m{i}") for i, c in enumerate(measures.values())])
+    if keys:
+        rows = lookup(rows, brackets, keys, [f"_m{i}" for i in range(len(measures))])
+    else:
+        rows = rows.withColumn("_bounds", brackets.scalar())
+    entries = [
+        F.struct(F.col("_bounds")[i].alias("b"), F.col(f"_m{i}").alias("v")) for i in range(len(measures))
+    ]
+    long = rows.select(*keys, F.inline(F.array(*entries)))
+    low, high = F.col("b.ends")[0], F.col("b.ends")[1]
+    held = long.where(F.col("v") <= high)
+    return held.groupBy(*keys, F.col("b.name").alias("_name"), F.when(F.col("v") >= low, F.col("v")).alias("_v")).agg(
+        F.count("*").alias("_w"), F.min("b.n").alias("_n"), F.min(low).alias("_from"), F.min(high).alias("_to")
     )
-    bounds = held.select(*group, name, "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_before"), "_from", "_to")
-    kept = placed.drop(*first, "_from", "_to")
-    return kept.join(bounds, [*group, name])
 
 
-def median_of_counts(counted: DataFrame, keys: Sequence[str], per_octave: int = 256, cuts: int = 4096) -> DataFrame:
-    """The exact median per group of counted values, the midpoint on an even count, as (keys, median, count).
+def _middle_ranges(counted: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of the ranges of values that hold the middle of their group; `_before` counts what lies below the range.
 
-    Running counts over logarithmic buckets show which bucket holds the middle. That bucket is cut again into equal
-    ranges of values, so a group whose values lie close together is spread as well, and only the range that holds the
-    middle is sorted. Groups without a value do not appear.
+    A bracket is cut into equal ranges, so a group with very many values near its middle is sorted range by range.
     """
-    keys = list(keys)
-    if not keys:
-        counted, keys = counted.withColumn("_all", F.lit(0)), ["_all"]
-    totals = counted.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    ranks = totals.select(
-        *keys, "_total", F.floor((F.col("_total") + 1) / 2).alias("_low"), (F.floor(F.col("_total") / 2) + 1).alias("_high"),
-        F.lit(0).cast("bigint").alias("_before"),
-    )
-    ranked = counted.select(*keys, "_v", "_w").join(ranks, keys)
-    coarse = _holding_middle(ranked, keys, _ordered_bucket(F.col("_v"), per_octave), "_b")
     # The width of finite values may overflow; halves of it do not.
     width = F.col("_to") / 2 - F.col("_from") / 2
-    range_ = F.when(width > 0, F.floor((F.col("_v") / 2 - F.col("_from") / 2) / width * cuts)).otherwise(F.lit(0))
-    fine = _holding_middle(coarse, [*keys, "_b"], F.coalesce(range_, F.lit(0)).cast("bigint"), "_r")
-    inside = W.partitionBy(*keys, "_b", "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    middle = fine.withColumn("_rank", F.col("_before") + F.sum("_w").over(inside)).where(
+    place = F.when(width > 0, F.floor((F.col("_v") / 2 - F.col("_from") / 2) / width * RANGES)).otherwise(0)
+    placed = counted.withColumn("_r", F.when(F.col("_v").isNull(), -1).otherwise(F.coalesce(place, F.lit(0))).cast("int"))
+    ranges = placed.groupBy(*group, "_r").agg(F.sum("_w").alias("_in"), F.min("_n").alias("_all"))
+    upto = F.sum("_in").over(W.partitionBy(*group).orderBy("_r").rowsBetween(W.unboundedPreceding, 0))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    held = ranges.withColumn("_upto", upto).where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_in") < high))
+    bounds = held.select(*group, "_r", low.alias("_low"), high.alias("_high"), (F.col("_upto") - F.col("_in")).alias("_before"))
+    return placed.join(bounds, [*group, "_r"])
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], counts: bool = False) -> DataFrame:
+    """Exact medians of several measures per group, one column per measure: the midpoint on an even count.
+
+    The input is read twice: for sketches that bracket the middle, then to count what lies below the bracket and each
+    value inside. No task holds or sorts a whole group. NULL and NaN do not count; every group of the input appears, and
+    without keys there is one row. With `counts` each measure has a count of its values, too.
+    """
+    keys = list(keys)
+    brackets = _brackets(df, keys, measures)
+    ranges = _middle_ranges(_in_brackets(df, keys, measures, brackets), [*keys, "_name"])
+    inside = W.partitionBy(*keys, "_name", "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    rank = F.col("_before") + F.sum("_w").over(inside)
+    middle = ranges.withColumn("_rank", rank).where(
         (F.col("_rank") >= F.col("_low")) & (F.col("_rank") - F.col("_w") < F.col("_high"))
     )
-    out = middle.groupBy(*keys).agg(
-        ((F.min("_v") + F.max("_v")) / 2).alias("median"), F.max("_total").alias("count")
+    found = middle.groupBy(*keys).agg(
+        *[
+            ((F.min(F.when(F.col("_name") == n, F.col("_v"))) + F.max(F.when(F.col("_name") == n, F.col("_v")))) / 2).alias(f"_of{i}")
+            for i, n in enumerate(measures)
+        ]
+    )
+    both = brackets.join(found, keys, "left") if keys else brackets.select(
+        "*", F.inline(F.array(found.select(F.struct(*found.columns)).scalar()))
     )
-    return out.drop("_all")
+    out = []
+    for i, name in enumerate(measures):
+        n = F.col("_bounds")[i]["n"]
+        missed = F.raise_error(F.lit(f"no middle of {name} inside its bracket")).cast("double")
+        out.append(F.when(n > 0, F.coalesce(f"_of{i}", missed)).alias(f"median_{name}"))
+        out += [n.alias(f"count_{name}")] if counts else []
+    return both.select(*keys, *out)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """The exact median per group as (keys, median, count); the input is read once and no task holds a whole group."""
-    return median_of_counts(value_counts(df, keys, value), keys)
-
-
-def exact_medians(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
-    """Exact medians of several measures per group in one pass, one column per measure.
-
-    NULL measures do not count; every group of the input appears.
-    """
-    keys = list(keys)
-    entries = [F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in measures.items()]
-    # An entry without a name stands for the group itself.
-    present = F.struct(F.lit("").alias("name"), F.lit(0.0).alias("value"))
-    long = df.select(*keys, F.explode(F.array(present, *entries)).alias("m")).select(
-        *keys, F.col("m.name").alias("_name"), F.col("m.value").alias("_value")
-    )
-    counted = value_counts(long, [*keys, "_name"], "_value")
-    medians = median_of_counts(counted.where(F.col("_name") != ""), [*keys, "_name"])
-    groups = counted.where(F.col("_name") == "").select(*keys)
-    wide = medians.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("median"))).alias(f"median_{n}") for n in measures]
-    )
-    return groups.join(wide, keys, "left")
+    """The exact median per group as (keys, median, count). Groups without a value do not appear."""
+    found = exact_medians(df, keys, {"value": F.col(value)}, counts=True)
+    renamed = found.withColumnsRenamed({"median_value": "median", "count_value": "count"})
+    return renamed.where(F.col("count") > 0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bourselight import catalog
 from bourselight.catalog import col
+from bourselight.plans.snapshot import INDEX, with_indices
 
 # Fixed values.
 DEFAULT_COLUMNS = (
@@ -36,11 +37,21 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def one_of(name: str, values: Iterable[str], negated: bool = False) -> Column:
-    """Text membership whatever the case; a NULL text matches neither form."""
-    hit = F.upper(col(name)).isin([v.upper() for v in values])
+    """Text membership whatever the case; a NULL text matches neither form. `Index` is membership in an index."""
+    hit = member_of(values) if catalog.resolve(name).key == INDEX else F.upper(col(name)).isin([v.upper() for v in values])
     return ~hit if negated else hit
 
 
+def member_of(index_symbols: Iterable[str]) -> Column:
+    """Whether a company belongs to any of the indices, as a condition for any place in a predicate.
+
+    Reads the index symbols stored with each company (`snapshot.with_indices`): no join, whatever the number of such
+    conditions. Never unknown, also under NOT; index symbols match case by case.
+    """
+    wanted = sorted(set(index_symbols))
+    return F.arrays_overlap(F.col(INDEX), F.array(*[F.lit(s) for s in wanted]).cast("array<string>")) if wanted else F.lit(False)
+
+
 def in_index(df: DataFrame, memberships: DataFrame, index_symbols: Iterable[str]) -> DataFrame:
     """Companies of any of the indices. Index symbols match case by case."""
     return df.join(_members(memberships, index_symbols), "symbol", "left_semi")
@@ -125,7 +136,6 @@ class Preset:
     slug: str
     predicate: Callable[[], Column]
     columns: tuple[str, ...] = ()
-    index: str | None = None
 
 
 # The public screens.
@@ -192,7 +202,7 @@ PRESETS = (
         & (col("Return on equity") > 0)
         & (col("Price to Earning") < 30),
     ),
-    Preset("nifty-value", lambda: col("Price to Earning") < 20, index="NIF50"),
+    Preset("nifty-value", lambda: one_of("Index", ["NIF50"]) & (col("Price to Earning") < 20)),
     Preset(
         "trading-below-book",
         lambda: (col("Price to book value") < 1)
@@ -205,32 +215,24 @@ BY_SLUG = {p.slug: p for p in PRESETS}
 
 
 def preset_matches(snapshot: DataFrame, memberships: DataFrame, slug: str) -> DataFrame:
-    preset = BY_SLUG[slug]
-    found = matches(snapshot, preset.predicate())
-    return in_index(found, memberships, [preset.index]) if preset.index else found
+    return matches(_listed(snapshot, memberships), BY_SLUG[slug].predicate())
+
+
+def _listed(snapshot: DataFrame, memberships: DataFrame) -> DataFrame:
+    """The snapshot with its stored index symbols, or with those of the links where it has none."""
+    return snapshot if INDEX in snapshot.columns else with_indices(snapshot, memberships)
 
 
 def run_preset(
     snapshot: DataFrame, memberships: DataFrame, slug: str, page: int = 1, row_cap: int | None = None
 ) -> DataFrame:
-    preset = BY_SLUG[slug]
     found = preset_matches(snapshot, memberships, slug)
-    return paged(found, columns=preset.columns or None, page=page, row_cap=row_cap)
+    return paged(found, columns=BY_SLUG[slug].columns or None, page=page, row_cap=row_cap)
 
 
 def preset_hits(snapshot: DataFrame, memberships: DataFrame) -> DataFrame:
     """All presets in one pass over the snapshot: one row per (slug, matching company)."""
-    indices = sorted({p.index for p in PRESETS if p.index})
-    members = memberships.where(F.col("index_symbol").isin(indices)).groupBy("symbol").agg(
-        F.collect_set("index_symbol").alias("_indices")
-    )
-    base = screenable(snapshot).join(members, "symbol", "left")
-    tests = []
-    for preset in PRESETS:
-        test = preset.predicate()
-        if preset.index:
-            test = test & F.coalesce(F.array_contains("_indices", preset.index), F.lit(False))
-        tests.append(F.when(test, F.lit(preset.slug)))
-    return base.select(
+    tests = [F.when(preset.predicate(), F.lit(preset.slug)) for preset in PRESETS]
+    return screenable(_listed(snapshot, memberships)).select(
         F.explode(F.filter(F.array(*tests), lambda s: s.isNotNull())).alias("slug"), "symbol", "market_cap"
     )

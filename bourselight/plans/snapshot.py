@@ -13,6 +13,7 @@ from bourselight import catalog
 from bourselight.functions import figures
 from bourselight.operators import latest
 
+INDEX = catalog.resolve("Index").key
 HOLDINGS = ("promoter_holding", "promoter_pledge", "public_holding")
 
 
@@ -116,6 +117,17 @@ def memberships(constituents: DataFrame, company: DataFrame) -> DataFrame:
     return constituents.select("symbol", "index_symbol").distinct().join(known, "symbol", "left_semi")
 
 
+def with_indices(snapshot: DataFrame, links: DataFrame) -> DataFrame:
+    """The snapshot with the sorted index symbols of each company in the catalog's `index` column.
+
+    A company of no index has an empty array, never NULL, so a membership test is true or false and nothing else. Arrays
+    are as long as there are indices at most. Stored with the snapshot, they make membership a predicate like any other.
+    """
+    lists = links.groupBy("symbol").agg(F.sort_array(F.collect_set("index_symbol")).alias(INDEX))
+    joined = snapshot.drop(INDEX).join(lists, "symbol", "left")
+    return joined.withColumn(INDEX, F.coalesce(INDEX, F.array().cast("array<string>")))
+
+
 def snapshot_counts(snapshot: DataFrame, links: DataFrame) -> DataFrame:
     """Companies, companies with fundamentals, membership links and stored columns, as one row."""
     populated = F.col("net_profit").isNotNull() | F.col("sales").isNotNull()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourselight.operators.normalise import HORIZONS
-from bourselight.plans.snapshot import build
+from bourselight.plans.snapshot import build, memberships, with_indices
 from bourselight.session import stored_once
 
 # Landed money figures are in rupees; the factor keeps results in crore away from rounding ties.
@@ -426,3 +426,8 @@ class Testbed:
     def snapshot(self) -> DataFrame:
         """The company snapshot as screens and pages read it."""
         return build(**self.snapshot_inputs(F.lit(AS_OF).cast("date")))
+
+    @layer2
+    def screening(self) -> DataFrame:
+        """The snapshot with the index symbols of each company, as screens on memberships read it."""
+        return with_indices(self.snapshot, memberships(self.constituents, self.company))

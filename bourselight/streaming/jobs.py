@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bourselight.functions.parse import content_hash
+from bourselight.operators import merge
+from bourselight.operators.buckets import Layout, Tables, Write
 from bourselight.sources.landing import LANDING_SCHEMA, routed
 from bourselight.streaming import sinks
 
@@ -23,24 +25,56 @@ def read_landing_stream(spark: SparkSession, folder: str, files_per_batch: int =
     return spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def ingest(
-    landing: DataFrame,
-    table: str,
-    normalise: Callable[[DataFrame], DataFrame],
-    path: str | None = None,
-) -> str:
-    """Landing stream to the changes of one table: route, normalise, append. Returns the folder of changes.
+@dataclass(frozen=True)
+class Target:
+    """A table that landed payloads go to: its route, normaliser and key, whose first column lays out its buckets.
 
-    The table itself is `sinks.current_state` of the changes by its key: the payload fetched last wins, and of payloads
-    fetched together that of the later batch. Normalisers that carry `fetched_at` make this hold inside a batch, too.
+    `newest_first` orders the versions of a row, whatever batches they come in. Without it the later batch wins, and inside a
+    batch the greatest figures.
     """
-    return sinks.write_changes(routed(landing, table), f"ingest_{table}", "append", normalise, path)
 
+    route: str
+    normalise: Callable[[DataFrame], DataFrame]
+    keys: tuple[str, ...]
+    newest_first: tuple[str, ...] = ()
+    year_of: str | None = None
+    buckets: int = 8
 
-def distinct_content(archive: DataFrame) -> DataFrame:
-    """Each (endpoint, symbol, content) once, however often it is fetched."""
-    hashed = archive.select("endpoint", "symbol", content_hash("payload").alias("content_hash"))
-    return hashed.dropDuplicates(["endpoint", "symbol", "content_hash"])
+    def layout(self) -> Layout:
+        return Layout((self.keys[0],), self.buckets, self.year_of)
+
+    def merged(self, batch: DataFrame) -> Write:
+        rows = self.normalise(routed(batch, self.route))
+        order = [F.col(c).desc_nulls_last() for c in self.newest_first or rows.columns]
+        into = merge.keep_newest if self.newest_first else merge.upsert
+        return Write(rows, lambda current, new: into(current, new, self.keys, order))
+
+
+def tables_of(spark: SparkSession, path: str, targets: dict[str, Target]) -> Tables:
+    return Tables(spark, path, {name: target.layout() for name, target in targets.items()})
+
+
+def ingest(landing: DataFrame, tables: Tables, targets: dict[str, Target], name: str = "ingest") -> None:
+    """One landing stream to all tables: each micro-batch is merged into the buckets it touches, of all tables in one commit.
+
+    A batch that runs again after a failure finds itself taken. The checkpoint lies beside the tables: run it again to go on
+    from where the last run ended. A stream that begins anew without its checkpoint needs another name.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        # Every target reads the batch; its files are read once. A lost block is read again from the landing.
+        held = batch.persist()
+        try:
+            tables.commit((name, batch_id), **{table: target.merged(held) for table, target in targets.items()})
+        finally:
+            held.unpersist()
+
+    sinks.run(landing, name, f"{tables.path}/checkpoint-{name}", take)
+
+
+def archive(fetched: DataFrame, store: merge.Archive, name: str = "archive") -> None:
+    """Fetched payloads into the content archive, which is the stream's only state: what it holds is not stored again."""
+    sinks.run(fetched, name, f"{store.tables.path}/checkpoint-{name}", lambda batch, n: store.append(batch, (name, n)))
 
 
 def window_counts(log: DataFrame, time: str, window: str, slide: str, keys: Sequence[str], counts: dict[str, Column]) -> DataFrame:

@@ -1,22 +1,36 @@
-"""Where streams write: a table of changes with one folder per micro-batch.
+"""How streams write: bounded runs over all input at hand, and tables of counts with one folder per micro-batch.
 
-A batch overwrites its own folder, so a batch that runs again after a failure leaves the same content. Writing
-costs as much as the batch holds; the current state is the newest change per key, read when needed.
+A batch overwrites its own folder, so a batch that runs again after a failure leaves the same content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from bourselight.operators.spread import top_n
 from bourselight.session import new_table_path
 
 BATCH = "batch"
 
 
+def run(stream: DataFrame, name: str, checkpoint: str, take: Callable[[DataFrame, int], object], mode: str = "append") -> None:
+    """Run a stream over all input that is available, handing each micro-batch on."""
+
+    def hand_on(batch: DataFrame, batch_id: int) -> None:
+        take(batch, batch_id)
+
+    query = (
+        stream.writeStream.queryName(name)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(hand_on)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def write_changes(
     stream: DataFrame,
     name: str,
@@ -34,23 +48,9 @@ def write_changes(
         rows = batch if each_batch is None else each_batch(batch)
         rows.write.mode("overwrite").parquet(f"{path}/changes/{BATCH}={batch_id}")
 
-    query = (
-        stream.writeStream.queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+    run(stream, name, f"{path}/checkpoint", write, mode)
     return path
 
 
 def read_changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, {BATCH} bigint").parquet(f"{path}/changes")
-
-
-def current_state(changes: DataFrame, keys: Sequence[str], newest_first: Sequence = ()) -> DataFrame:
-    """The first change per key in the given order, then the newest batch."""
-    order = [*newest_first, F.col(BATCH).desc()]
-    return top_n(changes, keys, order, 1).drop("position", BATCH)

@@ -34,29 +34,6 @@ def test_membership_is_replaced_not_accumulated(spark):
     assert rows(merge.replace_groups(cur, batch, ["index_symbol"], touched)) == [("X", "C")]
 
 
-def test_restatement_drops_lines_that_are_gone(spark):
-    key = "symbol string, statement_type string, statement_code string, period_kind string, header string"
-    p = ("A", "c", "pl", "annual", "Mar 2026")
-    q = ("A", "c", "pl", "annual", "Mar 2025")
-    periods = spark.createDataFrame([(*p, 1), (*q, 1)], f"{key}, version int")
-    lines = spark.createDataFrame([(*p, "sales", 1.0), (*p, "tax", 2.0), (*q, "tax", 3.0)], f"{key}, field_name string, value double")
-    new_periods = spark.createDataFrame([(*p, 2)], f"{key}, version int")
-    new_lines = spark.createDataFrame([(*p, "sales", 9.0)], f"{key}, field_name string, value double")
-    all_periods, all_lines = merge.restate(periods, lines, new_periods, new_lines)
-    assert rows(all_periods) == [(*q, 1), (*p, 2)]
-    assert rows(all_lines) == [(*q, "tax", 3.0), (*p, "sales", 9.0)]
-
-
-def test_content_is_archived_once(spark):
-    schema = "endpoint string, symbol string, payload string, id int"
-    batch = spark.createDataFrame([("e", "A", "{1}", 1), ("e", "A", "{1}", 2), ("e", "B", "{1}", 3), ("e", "A", "{2}", 4)], schema)
-    nothing = batch.withColumn("content_hash", F.lit("")).limit(0)
-    first = merge.new_content(nothing, batch, [F.col("id")])
-    assert [r["id"] for r in first.orderBy("id").collect()] == [1, 3, 4]
-    again = spark.createDataFrame([("e", "A", "{2}", 5), ("e", "A", "{3}", 6)], schema)
-    assert [r["id"] for r in merge.new_content(first, again, [F.col("id")]).collect()] == [6]
-
-
 def test_latest_payload(spark):
     t = dt.datetime
     archive = spark.createDataFrame([("e", "A", "old", t(2026, 1, 1), 1), ("e", "A", "new", t(2026, 1, 2), 2)],

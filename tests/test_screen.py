@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bourselight import catalog
 from bourselight.catalog import col
 from bourselight.plans import screen
+from bourselight.plans.snapshot import with_indices
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +101,31 @@ def test_index_membership(universe, spark):
     assert screen.not_in_index(base, links, ["NIF50"]).count() == 58
 
 
+def test_index_membership_anywhere_in_a_predicate(universe, spark):
+    links = spark.createDataFrame([("CO001", "NIF50"), ("CO002", "NIF50"), ("CO002", "SENSEX"), ("CO002", "SENSEX")], "symbol string, index_symbol string")
+    listed = with_indices(universe, links)
+    rows = {r["symbol"]: r for r in screen.screenable(listed).collect()}
+    assert rows["CO002"]["index"] == ["NIF50", "SENSEX"] and rows["CO003"]["index"] == []
+    inside = {"NIF50": {"CO001", "CO002"}, "SENSEX": {"CO002"}}
+
+    def found(predicate):
+        return {r["symbol"] for r in screen.matches(listed, predicate).collect()}
+
+    def pe(test):
+        return {s for s, r in rows.items() if r["pe"] is not None and test(r["pe"])}
+
+    nifty, sensex = screen.member_of(["NIF50"]), screen.one_of("Index membership", ["SENSEX"])
+    low, everyone = col("PE") < 10, set(rows)
+    assert found(nifty | low) == inside["NIF50"] | pe(lambda v: v < 10)
+    assert found(~nifty) == found(screen.one_of("index", ["NIF50"], negated=True)) == everyone - inside["NIF50"]
+    assert found(~(nifty & ~sensex)) == everyone - {"CO001"}
+    # A missing figure stays unknown, a membership never does.
+    assert found(~(sensex | low)) == pe(lambda v: v >= 10) - inside["SENSEX"]
+    assert found(screen.member_of(["nif50"])) == found(screen.member_of([])) == set()
+    plan = screen.matches(listed.drop("index").withColumn("index", F.array(F.lit("NIF50"))), nifty | ~sensex & nifty)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString().replace("JoinType", "")
+
+
 def test_presets_all_run_and_agree_with_the_combined_pass(universe, spark):
     links = spark.createDataFrame([("CO001", "NIF50"), ("CO040", "NIF50")], "symbol string, index_symbol string")
     hits = {(r["slug"], r["symbol"]) for r in screen.preset_hits(universe, links).collect()}

@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from bourselight.operators import spread
-from bourselight.operators.spread import exact_median, exact_medians, lookup, numbered, top_n, value_counts
+from bourselight.operators.spread import exact_median, exact_medians, lookup, numbered, top_n
 
 
 def skewed(n=6000, seed=7):
@@ -94,10 +94,24 @@ def test_median_of_a_group_within_a_thousandth(spark):
     assert got == {"hot": (statistics.median(hot), 4001), "cold": (4.5, 10)}
 
 
-def test_only_a_narrow_range_is_sorted(spark):
-    rows = [("hot", 100 + k / 100_000) for k in range(10_000)]
+def test_a_hot_group_is_cut_to_its_middle(spark):
+    rows = [("hot", 100 + k / 100_000) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(8)
+    measures = {"value": F.col("value")}
+    inside = spread._in_brackets(df, ["key"], measures, spread._brackets(df, ["key"], measures))
+    assert inside.count() <= 40_000 * 10 / spread.SKETCH + 2 and inside.agg(F.sum("_w")).scalar() is not None
+    ranges = spread._middle_ranges(inside, ["key", "_name"])
+    assert 0 < ranges.count() <= 2
+
+
+def test_medians_need_no_nested_loop(spark):
+    df = spark.createDataFrame([("a", 1.0)], "key string, value double")
+    for keys in (["key"], []):
+        plan = exact_median(df, keys)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_medians_of_extremes_and_infinities(spark):
+    rows = [("a", v) for v in (float("-inf"), -1.7e308, 1.7e308, float("inf"), float("nan"))] + [("b", float("nan"))]
     df = spark.createDataFrame(rows, "key string, value double")
-    ranked = value_counts(df, ["key"]).withColumns({"_total": F.lit(10_000), "_low": F.lit(5000), "_high": F.lit(5001), "_before": F.lit(0)})
-    whole = ranked.withColumns({"_from": F.lit(100.0), "_to": F.lit(100.1)})
-    fine = spread._holding_middle(whole, ["key"], F.floor((F.col("_v") - 100) / 0.1 * 4096), "_r")
-    assert 0 < fine.count() <= 10
+    assert [(r["key"], r["median"], r["count"]) for r in exact_median(df, ["key"]).collect()] == [("a", 0.0, 4)]

@@ -9,8 +9,8 @@ import random
 import pytest
 
 from bourselight.session import new_table_path
-from bourselight.streaming import jobs, sinks
-from workload.streams import PRICE_CHANGES, price_order, timed_prices
+from bourselight.streaming import jobs
+from workload.streams import PRICES
 
 START = dt.datetime(2026, 1, 1)
 
@@ -46,32 +46,58 @@ def price_file(day, close, hour=0):
                        "fetched_at": f"2026-01-01T{hour:02}:00:00Z"})
 
 
+def price_tables(spark):
+    return jobs.tables_of(spark, new_table_path(spark, "resume"), {"price": PRICES})
+
+
+def closes(tables):
+    return sorted((str(r["quote_date"]), r["close"]) for r in tables.read("price").collect())
+
+
 def test_ingestion_resumes_and_the_last_write_wins(spark, tmp_path):
-    folder = tmp_path / "landing"
+    folder, tables = tmp_path / "landing", price_tables(spark)
     folder.mkdir()
-    path = new_table_path(spark, "resume")
 
     def run():
-        jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), "price_daily", timed_prices, path)
-        changes = sinks.read_changes(spark, path, PRICE_CHANGES)
-        state = sinks.current_state(changes, ["symbol", "quote_date"], price_order())
-        return changes.count(), sorted((str(r["quote_date"]), r["close"]) for r in state.collect())
+        jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), tables, {"price": PRICES})
+        return closes(tables)
 
-    (folder / "1.json").write_text(price_file("2026-01-01", 5))
+    (folder / "1.json").write_text(price_file("2026-01-01", 5, 1))
     (folder / "x.json").write_text(price_file("2026-01-02", 6).replace("daily-quotes", "holidays-calendar"))
-    assert run() == (1, [("2026-01-01", 5.0)])
-    assert run() == (1, [("2026-01-01", 5.0)])
+    assert run() == [("2026-01-01", 5.0)]
+    assert run() == [("2026-01-01", 5.0)]
     (folder / "2.json").write_text(price_file("2026-01-01", 7, 2))
-    (folder / "3.json").write_text(price_file("2026-01-03", 8))
-    assert run() == (3, [("2026-01-01", 7.0), ("2026-01-03", 8.0)])
+    (folder / "3.json").write_text(price_file("2025-01-03", 8))
+    assert run() == [("2025-01-03", 8.0), ("2026-01-01", 7.0)]
+    # A payload that was fetched earlier and lands later changes nothing.
+    (folder / "4.json").write_text(price_file("2026-01-01", 9, 0))
+    assert run() == [("2025-01-03", 8.0), ("2026-01-01", 7.0)]
+    assert all(len(f) == 1 for f in tables.version().tables["price"].values())
+
+
+def test_a_batch_that_dies_after_its_commit_is_not_taken_again(spark, tmp_path):
+    folder, tables = tmp_path / "landing", price_tables(spark)
+    folder.mkdir()
+    (folder / "1.json").write_text(price_file("2026-01-01", 5, 1))
+    commit = tables.commit
+
+    def dies(*args, **writes):
+        commit(*args, **writes)
+        raise RuntimeError("killed")
+
+    tables.commit = dies
+    with pytest.raises(Exception, match="killed"):
+        jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), tables, {"price": PRICES})
+    version, tables.commit = tables.version().number, commit
+    jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), tables, {"price": PRICES})
+    assert tables.version().number == version and closes(tables) == [("2026-01-01", 5.0)]
 
 
 @pytest.mark.parametrize("first", [5, 7])
 def test_the_later_fetch_wins_inside_a_batch(spark, tmp_path, first):
-    folder = tmp_path / "landing"
+    folder, tables = tmp_path / "landing", price_tables(spark)
     folder.mkdir()
     versions = [price_file("2026-01-01", 5, 1), price_file("2026-01-01", 7, 2)]
     (folder / "1.json").write_text("\n".join(versions if first == 5 else reversed(versions)))
-    path = jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), "price_daily", timed_prices)
-    state = sinks.current_state(sinks.read_changes(spark, path, PRICE_CHANGES), ["symbol", "quote_date"], price_order())
-    assert [r["close"] for r in state.collect()] == [7.0]
+    jobs.ingest(jobs.read_landing_stream(spark, str(folder), 1), tables, {"price": PRICES})
+    assert closes(tables) == [("2026-01-01", 7.0)]

@@ -147,9 +147,7 @@ PRESET_SQL = {
     ),
 )
 def f10(t):
-    from bourselight.plans.snapshot import memberships
-
-    return rounded(screen.preset_hits(snapshot_table(t), memberships(t.constituents, t.company)))
+    return rounded(screen.preset_hits(t.screening, t.constituents))
 
 
 @query(
@@ -177,3 +175,30 @@ def f12(t):
 def f13(t):
     listed = pages.listing(t.index_master, t.constituents, t.index_quotes, t.index_returns, "broad")
     return listed.select("index_symbol", "index_type")
+
+
+def _listed_in(*indices: str) -> str:
+    inside = ", ".join(f"'{i}'" for i in indices)
+    return f"EXISTS (SELECT 1 FROM memberships m WHERE m.symbol = s.symbol AND m.index_symbol IN ({inside}))"
+
+
+@query(
+    "f14_membership_anywhere",
+    f"""SELECT 'either' AS screen, symbol, {r6('pe')} FROM screenable s WHERE {_listed_in('NIF50')} OR pe < 10
+UNION ALL SELECT 'neither', symbol, {r6('pe')} FROM screenable s WHERE NOT ({_listed_in('NIF50', 'SENSEX')} OR pe > 20)
+UNION ALL SELECT 'nested', symbol, {r6('pe')} FROM screenable s
+  WHERE NOT ({_listed_in('SENSEX')} AND (pe < 15 OR NOT {_listed_in('NIF50')})) AND (roce3yearsavg > 0 OR {_listed_in('NIF50')})
+UNION ALL SELECT 'outside', symbol, {r6('pe')} FROM screenable s WHERE NOT {_listed_in('NIF50')} AND NOT pe > 20""",
+)
+def f14(t):
+    """Index membership under OR, under NOT and inside nested brackets: conditions on one scan of the stored snapshot."""
+    nifty, sensex = screen.one_of("Index", ["NIF50"]), screen.one_of("Index", ["SENSEX"])
+    pe = col("PE")
+    screens = {
+        "either": nifty | (pe < 10),
+        "neither": ~(screen.member_of(["NIF50", "SENSEX"]) | (pe > 20)),
+        "nested": ~(sensex & ((pe < 15) | ~nifty)) & ((col("Average return on capital employed 3Years") > 0) | nifty),
+        "outside": screen.one_of("Index", ["NIF50"], negated=True) & ~(pe > 20),
+    }
+    hits = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in screens.items()]))
+    return rounded(screen.screenable(t.screening).select(F.explode(hits).alias("screen"), "symbol", "pe"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bourselight.functions import parse
 from bourselight.operators import merge
+from bourselight.operators.buckets import Layout, Tables, Write
 from bourselight.operators.normalise import PERIOD_KEY
 from bourselight.plans import screen, snapshot
 from bourselight.plans.snapshot import build
@@ -76,13 +77,10 @@ QUALIFY row_number() OVER (PARTITION BY endpoint, symbol, payload ORDER BY fetch
 )
 def s02(t):
     """The first half of the month is in the archive already; the whole month is then sent again."""
-    first = [F.col("fetched_at"), F.col("id")]
-    shown = ["endpoint", "symbol", "content_hash", "id"]
-    before = t.archive.where(F.col("fetched_at") < F.lit(MIDMONTH).cast("timestamp"))
-    nothing = before.withColumn("content_hash", F.lit("")).limit(0)
-    held = write_and_read(merge.new_content(nothing, before, first).select(*shown), "raw_response", ["endpoint"])
-    new = merge.new_content(held, t.archive, first).select(*shown)
-    return write_and_read(held.unionByName(new), "raw_response", ["endpoint"]).select(*shown)
+    store = merge.Archive(t.spark, new_table_path(t.spark, "raw_response"))
+    store.append(t.archive.where(F.col("fetched_at") < F.lit(MIDMONTH).cast("timestamp")))
+    store.append(t.archive)
+    return store.index().select("endpoint", "symbol", "content_hash", "id")
 
 
 @query(
@@ -123,6 +121,18 @@ def s05(t):
     return t.archive.select("id", parse.symbol_of_endpoint(path).alias("symbol"))
 
 
+# The column whose hash lays a stored table out; all others go by symbol.
+_KEYED = {"index_constituent": "index_symbol", "index_return": "index_symbol"}
+
+
+def _stored(t, **frames: DataFrame) -> Tables:
+    """Frames as stored tables laid out by bucket, in one version."""
+    layouts = {name: Layout((_KEYED.get(name, "symbol"),), buckets=8) for name in frames}
+    tables = Tables(t.spark, new_table_path(t.spark, "maintained"), layouts)
+    tables.commit(**{name: Write(frame) for name, frame in frames.items()})
+    return tables
+
+
 @query(
     "s06_upsert",
     """SELECT symbol, round(CASE WHEN shares > 30 THEN market_cap * 3 ELSE market_cap END, 6) AS market_cap, volume FROM quote
@@ -131,13 +141,14 @@ UNION ALL SELECT concat('NEW', symbol), round(market_cap * 3, 6), volume FROM qu
 def s06(t):
     """Quotes of much traded companies come twice in the batch, and once more under new symbols."""
     columns = ["symbol", "market_cap", "volume"]
-    stored = write_and_read(t.quote.select(*columns), "quote")
+    tables = _stored(t, quote=t.quote.select(*columns))
     busy = t.quote.where(F.col("shares") > 30)
     version = lambda n: busy.withColumn("version", F.lit(n)).withColumn("market_cap", F.col("market_cap") * n)
     both = version(2).unionByName(version(3))
     renamed = version(3).withColumn("symbol", F.concat(F.lit("NEW"), F.col("symbol")))
-    merged = merge.upsert(stored, both.unionByName(renamed), ["symbol"], [F.col("version").desc()])
-    return rounded(write_and_read(merged, "quote"))
+    newest = [F.col("version").desc()]
+    tables.commit(quote=Write(both.unionByName(renamed), lambda old, new: merge.upsert(old, new, ["symbol"], newest)))
+    return rounded(tables.read("quote"))
 
 
 @query(
@@ -150,7 +161,7 @@ WHERE industry = 'SMALL' AND bse_code IS NOT NULL""",
 def s07(t):
     """Profiles rename some companies, give some a sector, and bring symbols that are not known yet."""
     columns = ["symbol", "name", "industry", "sector"]
-    stored = write_and_read(t.company.select(*columns), "company")
+    tables = _stored(t, company=t.company.select(*columns))
     kind = F.col("industry")
     sector = F.when(F.col("bse_code").isNotNull(), "Checked")
     profiles = t.company.where(kind.isin("PROMO", "SMALL")).select(
@@ -160,7 +171,8 @@ def s07(t):
         F.concat(F.lit("X"), F.col("symbol")).alias("symbol"), F.lit(None).cast("string").alias("name"),
         sector.alias("sector"),
     )
-    return write_and_read(merge.merge_profiles(stored, profiles.unionByName(unknown)), "company")
+    tables.commit(company=Write(profiles.unionByName(unknown), merge.merge_profiles))
+    return tables.read("company")
 
 
 @query(
@@ -170,10 +182,12 @@ UNION ALL SELECT m.index_symbol, m.symbol FROM memberships m JOIN index_master U
 )
 def s08(t):
     """Indices of one exchange lose their members outside the universe."""
-    stored = write_and_read(t.constituents, "index_constituent")
+    tables = _stored(t, index_constituent=t.constituents)
     touched = t.index_master.where(F.col("exchange") == "NSE").select("index_symbol")
     batch = snapshot.memberships(t.constituents, t.company).join(touched, "index_symbol", "left_semi")
-    return write_and_read(merge.replace_groups(stored, batch, ["index_symbol"], touched), "index_constituent")
+    replace = lambda old, new: merge.replace_groups(old, new, ["index_symbol"], touched)
+    tables.commit(index_constituent=Write(batch, replace, keys=touched))
+    return tables.read("index_constituent").select("index_symbol", "symbol")
 
 
 @query(
@@ -182,9 +196,10 @@ def s08(t):
 WHERE index_symbol NOT IN (SELECT index_symbol FROM index_returns WHERE return_pct > -9) OR return_pct > -9""",
 )
 def s09(t):
-    stored = write_and_read(t.index_returns, "index_return")
+    tables = _stored(t, index_return=t.index_returns)
     batch = t.index_returns.where(F.col("return_pct") > -9)
-    return rounded(write_and_read(merge.replace_groups(stored, batch, ["index_symbol"]), "index_return"))
+    tables.commit(index_return=Write(batch, lambda old, new: merge.replace_groups(old, new, ["index_symbol"])))
+    return rounded(tables.read("index_return"))
 
 
 @query(
@@ -198,17 +213,16 @@ WHERE statement_code = 'pl' AND year >= 2000 AND field_name <> 'taxExpense'""",
 )
 def s10(t):
     """Recent P&L periods are restated: figures change and one line is no longer reported."""
-    periods = write_and_read(t.periods, "statement_period")
-    lines = write_and_read(t.lines, "statement_line")
+    tables = _stored(t, statement_period=t.periods, statement_line=t.lines)
     new_periods = t.periods.where((F.col("statement_code") == "pl") & (F.col("year") >= 2000)).withColumn(
         "result_date", F.date_add("result_date", 90)
     )
     restated = t.lines.join(new_periods.select(*PERIOD_KEY), list(PERIOD_KEY), "left_semi")
     new_lines = restated.where(F.col("field_name") != "taxExpense").withColumn("value", F.col("value") * 2)
-    all_periods, all_lines = merge.restate(periods, lines, new_periods, new_lines)
-    written_periods = write_and_read(all_periods, "statement_period")
-    written_lines = write_and_read(all_lines, "statement_line")
-    joined = written_periods.drop("year").join(written_lines, list(PERIOD_KEY))
+    tables.commit(**merge.restatement(new_periods, new_lines))
+    version = tables.version()
+    written = tables.read("statement_period", version=version).drop("year")
+    joined = written.join(tables.read("statement_line", version=version), list(PERIOD_KEY))
     return joined.select(*PERIOD_KEY, "year", "result_date", "field_name", "value")
 
 
@@ -247,5 +261,7 @@ def s12(t):
 USING (symbol)""",
 )
 def s13(t):
-    updated = merge.write_back_schema_kind(t.company, t.periods)
-    return write_and_read(updated, "company").select("symbol", "name", "schema_kind")
+    tables = _stored(t, company=t.company)
+    changed = merge.changed_schema_kinds(tables.read("company"), t.periods)
+    tables.commit(company=Write(changed, merge.set_schema_kinds))
+    return tables.read("company").select("symbol", "name", "schema_kind")

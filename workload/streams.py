@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.operators import normalise
+from bourselight.operators import merge, normalise
 from bourselight.session import new_table_path
-from bourselight.streaming import jobs, sinks
+from bourselight.streaming import jobs
 from workload import landed
 from workload.pipelines import P08_SQL
 from workload.registry import query
 
 LIMIT, WINDOW_SECONDS = 1, 3600
-PRICE_CHANGES = (
-    "fetched_at timestamp, symbol string, quote_date date, open double, high double, low double, close double, volume double"
-)
-
-
-def price_order():
-    """The later fetch first; the figures themselves break ties, so the winner does not depend on the order of rows."""
-    return [F.col(c).desc() for c in ("fetched_at", "close", "open", "high", "low", "volume")]
 
 
 def timed_prices(landing):
     return normalise.prices(landing, ("fetched_at",))
 
 
+# The later fetch first; the figures themselves break ties, so the winner does not depend on the order of rows.
+PRICES = jobs.Target(
+    "price_daily", timed_prices, ("symbol", "quote_date"), ("fetched_at", "close", "open", "high", "low", "volume"), "quote_date"
+)
+
+
 def _events(t):
     """The events as a stream of several micro-batches, whose files are not in order of time."""
     folder, events = new_table_path(t.spark, "events_stream"), t.table("events")
@@ -36,14 +37,52 @@ def _events(t):
 @query("t01_incremental_ingest", P08_SQL)
 def t01(t):
     """Landed price files, taken in several micro-batches and once more in a second, resumed run."""
-    folder = new_table_path(t.spark, "landing_stream")
+    folder, targets = new_table_path(t.spark, "landing_stream"), {"price_daily": PRICES}
     sent = landed.prices(t).repartition(8, "symbol")
     sent.write.json(folder)
-    stream = jobs.read_landing_stream(t.spark, folder, files_per_batch=3)
-    path = jobs.ingest(stream, "price_daily", timed_prices)
-    jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=3), "price_daily", timed_prices, path)
-    changes = sinks.read_changes(t.spark, path, PRICE_CHANGES)
-    return sinks.current_state(changes, ["symbol", "quote_date"], price_order()).drop("fetched_at")
+    tables = jobs.tables_of(t.spark, new_table_path(t.spark, "layer2"), targets)
+    for _ in range(2):
+        jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=4), tables, targets)
+    return tables.read("price_daily").drop("fetched_at")
+
+
+FANNED = {
+    "ratio": jobs.Target("ratio", normalise.ratios, ("symbol", "statement_type", "family", "header", "field_name")),
+    "metric": jobs.Target("metric", normalise.metrics, ("symbol", "statement_type", "family", "field_name")),
+    "index_return": jobs.Target("index_return", normalise.index_returns, ("index_symbol", "horizon")),
+    "shareholding": jobs.Target("shareholding", normalise.shareholding, ("symbol", "period_label", "group_name")),
+}
+_FIGURES = {"ratio": "value", "metric": "value", "index_return": "return_pct", "shareholding": "shareholding_pct"}
+_WHERE = {"index_return": "WHERE return_pct <> 0"}
+
+
+@query(
+    "t05_ingest_fans_out",
+    "\nUNION ALL ".join(
+        f"SELECT '{table}' AS target, '{key}' AS key_column, CAST({key} AS VARCHAR) AS key, count(*) AS rows, "
+        f"round(sum({figure}), 4) AS total FROM {'index_returns' if table == 'index_return' else table + 's' * (table != 'shareholding')} "
+        f"{_WHERE.get(table, '')} GROUP BY {key}"
+        for table, figure in _FIGURES.items()
+        for key in [FANNED[table].keys[0]]
+    ),
+)
+def t05(t):
+    """One stream of mixed payloads into four tables, sent twice in other micro-batches: each row is stored once."""
+    folder = new_table_path(t.spark, "landing_mixed")
+    calls = (landed.ratios, landed.metrics, landed.index_returns, landed.shareholding)
+    sent = reduce(DataFrame.unionByName, [call(t) for call in calls])
+    sent.repartition(4, "endpoint").write.json(folder)
+    tables = jobs.tables_of(t.spark, new_table_path(t.spark, "layer2"), FANNED)
+    jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=2), tables, FANNED)
+    jobs.ingest(jobs.read_landing_stream(t.spark, folder), tables, FANNED, name="again")
+    parts = []
+    for table, target in FANNED.items():
+        key = target.keys[0]
+        counted = tables.read(table).groupBy(F.col(key).cast("string").alias("key")).agg(
+            F.count("*").alias("rows"), F.round(F.sum(_FIGURES[table]), 4).alias("total")
+        )
+        parts.append(counted.select(F.lit(table).alias("target"), F.lit(key).alias("key_column"), "key", "rows", "total"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -51,13 +90,15 @@ def t01(t):
     "SELECT DISTINCT endpoint, symbol, sha256(payload) AS content_hash FROM archive",
 )
 def t02(t):
-    fetched = _events(t).select(
-        F.col("event_type").alias("endpoint"), F.col("user_id").cast("string").alias("symbol"),
-        F.col("props").alias("payload"),
-    )
-    schema = "endpoint string, symbol string, content_hash string"
-    path = sinks.write_changes(fetched, "dedupe", "append", jobs.distinct_content)
-    return sinks.read_changes(t.spark, path, schema).drop(sinks.BATCH).distinct()
+    """Fetches in several micro-batches, then all of them once more: the archive takes each content once and no more."""
+    store = merge.Archive(t.spark, new_table_path(t.spark, "raw_response"))
+    for name in ("first", "again"):
+        fetched = _events(t).select(
+            F.col("event_type").alias("endpoint"), F.col("user_id").cast("string").alias("symbol"),
+            F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("fetched_at"), F.col("event_id").alias("id"),
+        )
+        jobs.archive(fetched, store, name)
+    return store.index().select("endpoint", "symbol", "content_hash")
 
 
 @query(

@@ -72,8 +72,8 @@ def zero_to_null(c: Column | str) -> Column:
 
 
 def to_int(c: Column | str) -> Column:
-    """Whole part of a number in text."""
-    return parse_number(c).cast("int")
+    """Whole part of a number in text; NULL where it is beyond an INT, so that one bad year costs its own row only."""
+    return parse_number(c).try_cast("int")
 
 
 def header_or_period_end(header: Column | str, period_end: Column | str) -> Column:

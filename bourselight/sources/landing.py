@@ -33,9 +33,12 @@ ROUTES = {
 }
 
 
+ARCHIVE_ONLY = "archive_only"
+
+
 def route():
     """The target table of an endpoint, `archive_only` for one without a normaliser."""
-    out = F.lit("archive_only")
+    out = F.lit(ARCHIVE_ONLY)
     for part, table in sorted(ROUTES.items(), key=lambda kv: len(kv[0])):
         out = F.when(F.col("endpoint").contains(part), table).otherwise(out)
     return out
@@ -55,30 +58,63 @@ CONTAINERS = {
 }
 
 
-def payload_fault(target: Column) -> Column:
-    """Why a normaliser can take nothing from a payload: empty, not JSON, no entries; NULL where it can."""
-    payload = F.col("payload")
-    fault = F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty").when(F.try_parse_json(payload).isNull(), "not JSON")
-    for table, container in CONTAINERS.items():
-        missing = F.get_json_object(payload, f"$.{container}").isNull()
-        fault = fault.when((target == table) & missing, "no entries")
-    return fault
+def entry_count(target: Column) -> Column:
+    """How many entries a payload holds for its normaliser; 0 where it is no JSON of the right shape.
+
+    Elements of an array, keys with a value of an object, symbols with figures of a quote map, elements of all lists of a map
+    of corporate actions; a profile is one entry.
+    """
+    container = F.lit(None).cast("string")
+    for table, name in CONTAINERS.items():
+        container = F.when(target == table, f"$.{name}").otherwise(container)
+    held = F.coalesce(F.call_function("get_json_object", F.col("payload"), container), F.when(container.isNull(), F.col("payload")))
+    values = F.filter(F.map_values(F.from_json(held, "map<string,string>")), lambda v: v.isNotNull())
+    by_shape = (
+        F.when(F.ltrim(held).startswith("["), F.json_array_length(held))
+        .when(target == "quote", F.size(F.filter(values, lambda v: v.startswith("{"))))
+        .when(target == "company_profile", F.least(F.size(values), F.lit(1)))
+        .when(
+            target == "corporate_action",
+            F.aggregate(values, F.lit(0), lambda n, v: n + F.coalesce(F.json_array_length(v), F.lit(0))),
+        )
+        .otherwise(F.size(values))
+    )
+    return F.greatest(F.coalesce(by_shape, F.lit(0)), F.lit(0)).cast("bigint")
+
+
+REASONS = ("empty", "not JSON", "no entries")
+
+
+def _judged(landing: DataFrame) -> DataFrame:
+    """Landed rows with their target, the number of entries `n`, and why a normaliser can take nothing from them, if so.
+
+    A payload is empty, no JSON, or without entries. Payloads without a normaliser have no fault: they are kept as they came.
+    """
+    target, payload = F.col("target"), F.col("payload")
+    counted = landing.withColumn("target", route()).withColumn("n", entry_count(target))
+    empty, not_json, no_entries = REASONS
+    fault = (
+        F.when(target == ARCHIVE_ONLY, F.lit(None).cast("string"))
+        .when(F.coalesce(F.trim(payload), F.lit("")) == "", empty)
+        .when(F.try_parse_json(payload).isNull(), not_json)
+        .when(F.col("n") == 0, no_entries)
+    )
+    return counted.withColumn("reason", fault)
 
 
 def rejects(landing: DataFrame) -> DataFrame:
     """The landed rows that normalisation yields nothing for, with their target and the reason."""
-    out = landing.withColumn("target", route()).withColumn("reason", payload_fault(F.col("target")))
-    return out.where(F.col("reason").isNotNull() & (F.col("target") != "archive_only")).drop("payload")
+    return _judged(landing).where(F.col("reason").isNotNull()).drop("payload", "n")
 
 
 def payload_account(landing: DataFrame) -> DataFrame:
-    """Payloads per target: all, taken, and rejected by reason. Nothing lands without being counted."""
-    judged = landing.select(route().alias("target"), "payload").where(F.col("target") != "archive_only")
-    reason = payload_fault(F.col("target"))
-    return judged.select("target", reason.alias("reason")).groupBy("target").agg(
+    """Payloads per target: all, taken, rejected by reason, and their entries. Nothing lands without being counted."""
+    taken = F.col("reason").isNull()
+    return _judged(landing).groupBy("target").agg(
         F.count("*").alias("payloads"),
-        F.count_if(F.col("reason").isNull()).alias("taken"),
-        *[F.count_if(F.col("reason") == r).alias(r.lower().replace(" ", "_")) for r in ("empty", "not JSON", "no entries")],
+        F.count_if(taken).alias("taken"),
+        *[F.count_if(F.col("reason") == r).alias(r.lower().replace(" ", "_")) for r in REASONS],
+        F.sum(F.when(taken & (F.col("target") != ARCHIVE_ONLY), F.col("n")).otherwise(0)).alias("entries"),
     )
 
 

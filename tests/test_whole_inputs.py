@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from bourselight.functions.parse import to_int
 from bourselight.plans import monitor, pages, statements
 from bourselight.session import stored_once
 from bourselight.sources.landing import LANDING_SCHEMA, payload_account, rejects
@@ -22,12 +23,40 @@ def landed(spark, payloads, endpoint="/api/v1/daily-quotes/A"):
 
 
 def test_rejected_payloads(spark):
-    payloads = ['{"price": []}', '{"price": [{"close_price": 1}]}', '{"price": [', "", None, " ", "busy", '{"error": 1}', '{"price": null}']
+    payloads = ['{"price": []}', '{"price": [{"close_price": 1}]}', '{"price": [', "", None, " ", "busy", '{"error": 1}', '{"price": null}', '{"price": 3}']
     account = payload_account(landed(spark, payloads)).first()
-    assert (account.payloads, account.taken, account.empty, account.not_json, account.no_entries) == (9, 2, 3, 2, 2)
+    assert (account.payloads, account.taken, account.empty, account.not_json, account.no_entries) == (10, 1, 3, 2, 4)
     found = rejects(landed(spark, payloads))
-    assert found.count() == 7 and {r.reason for r in found.collect()} == {"empty", "not JSON", "no entries"}
-    assert rejects(landed(spark, ["", "x"], "/api/v1/holidays-calendar")).count() == 0
+    assert found.count() == 9 and {r.reason for r in found.collect()} == {"empty", "not JSON", "no entries"}
+    archived = landed(spark, ["", "x"], "/api/v1/holidays-calendar")
+    assert rejects(archived).count() == 0 and payload_account(archived).first().asDict() == {
+        "target": "archive_only", "payloads": 2, "taken": 2, "empty": 0, "not_json": 0, "no_entries": 0, "entries": 0
+    }
+
+
+@pytest.mark.parametrize(
+    ("endpoint", "payload", "entries"),
+    [
+        ("/api/v1/quote/all", '{"A": {"volume": 1}, "B": {}, "C": null, "error": "busy"}', 2),
+        ("/api/v1/quote/all", "{}", 0),
+        ("/api/v1/stock-symbols", "[]", 0),
+        ("/api/v1/stock-symbols", ' [{"symbol": "A"}, {}]', 2),
+        ("/api/v1/company-profile/A", '{"name": null}', 0),
+        ("/api/v1/company-profile/A", '{"name": "A", "sector": "S"}', 1),
+        ("/api/v1/corporate-actions/split/A", '{"split": [{}, {}], "bonus": [{}], "x": 1}', 3),
+        ("/api/v1/financial-metrics/A", '{"financial_metrics": {"a": 1, "b": null, "c": 2}}', 2),
+        ("/api/v1/index/master/all", "[]", 0),
+        ("/api/v1/shareholdings/distribution/A", '{"distributions": [{}]}', 1),
+    ],
+)
+def test_entries_of_every_shape(spark, endpoint, payload, entries):
+    account = payload_account(landed(spark, [payload], endpoint)).first()
+    assert (account.entries, account.no_entries) == (entries, int(entries == 0))
+
+
+def test_one_bad_year_costs_one_row(spark):
+    found = spark.createDataFrame([("3000000000",), ("2024.0",), ("x",), (None,)], "v string").select(to_int("v").alias("y"))
+    assert [r.y for r in found.collect()] == [None, 2024, None, None]
 
 
 def test_ratio_families(spark):

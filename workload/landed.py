@@ -261,3 +261,10 @@ def index_returns(t) -> DataFrame:
 def holidays(t) -> DataFrame:
     """A call without a normaliser: archived only."""
     return _landing(t.table("region"), "/api/v1/holidays-calendar", F.to_json(F.struct("r_name")))
+
+
+# Every call, with one that has no normaliser.
+ALL = (
+    symbols, profiles, quotes, statements, basics, ratios, metrics, price_ratios_daily, price_ratios_annual, prices, dividends,
+    corporate_actions, shareholding, index_master, index_quotes, index_returns, holidays,
+)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourselight.operators import classify, normalise
@@ -464,38 +467,53 @@ def p27(t):
 
 
 def _account(target: str, payloads: str) -> str:
-    spoilt = lambda k: f"count(*) FILTER (WHERE CAST(symbol AS BIGINT) % 7 = {k})"
-    return (
-        f"SELECT '{target}' AS target, count(*) AS payloads, count(*) FILTER (WHERE CAST(symbol AS BIGINT) % 7 > 3) AS taken, "
-        f"{spoilt(0)} AS empty, {spoilt(1)} + {spoilt(2)} AS not_json, {spoilt(3)} AS no_entries FROM ({payloads})"
-    )
+    spoilt = lambda *k: f"count(*) FILTER (WHERE CAST(nullif(symbol, '') AS BIGINT) % 7 IN ({', '.join(map(str, k))}))"
+    bad, left_out = spoilt(0, 1, 2, 3, 4), target == "archive_only"
+    figures = ["0"] * 3 if left_out else [spoilt(0), spoilt(1, 2), spoilt(3, 4)]
+    taken = "count(*)" if left_out else f"count(*) - {bad}"
+    named = ", ".join(f"{f} AS {n}" for f, n in zip(figures, ("empty", "not_json", "no_entries")))
+    return f"SELECT '{target}' AS target, count(*) AS payloads, {taken} AS taken, {named} FROM (SELECT DISTINCT {payloads})"
 
 
 @query(
     "p29_payload_account",
     "\nUNION ALL ".join(
-        [
-            _account("price_daily", "SELECT DISTINCT symbol, date_trunc('month', quote_date) FROM prices"),
-            _account("ratio", "SELECT DISTINCT symbol, statement_type, family FROM ratios"),
-            _account(
-                "dividend",
-                "SELECT DISTINCT symbol, CAST(subject AS BIGINT) // 100 FROM actions WHERE action = 'dividend'",
-            ),
-        ]
+        _account(target, payloads)
+        for target, payloads in {
+            "price_daily": "symbol, date_trunc('month', quote_date) FROM prices",
+            "company_profile": "symbol FROM company",
+            "statement": "symbol, statement_type, statement_code, period_kind FROM statement_wide",
+            "basic_financial": "symbol, statement_type, statement_code FROM statement_wide WHERE period_kind <> 'quarterly'",
+            "ratio": "symbol, statement_type, family FROM ratios",
+            "metric": "symbol, statement_type, family FROM metrics",
+            "price_ratio_daily": "symbol, statement_type, year(quote_date) FROM price_ratios",
+            "price_ratio_annual": "symbol, statement_type FROM price_ratios",
+            "dividend": "symbol, CAST(subject AS BIGINT) // 100 FROM actions WHERE action = 'dividend'",
+            "corporate_action": "symbol, action, CAST(subject AS BIGINT) // 100 FROM actions WHERE action <> 'dividend'",
+            "shareholding": "symbol, period_label FROM shareholding",
+            # Calls on the whole universe have no symbol and are not spoilt.
+            "company": "'' AS symbol, p_partkey // 100 FROM part",
+            "quote": f"'' AS symbol, CAST(symbol AS BIGINT) // 100 FROM ({DAMAGED_QUOTES})",
+            "index_master": "'' AS symbol, index_symbol, CAST(symbol AS BIGINT) // 100 FROM constituents",
+            "index_quote_daily": "'' AS symbol, quote_date FROM index_quotes",
+            "index_return": "'' AS symbol, index_symbol FROM index_returns",
+            "archive_only": "'' AS symbol, r_regionkey FROM region",
+        }.items()
     ),
 )
 def p29(t):
-    """Landed payloads of which some are blank, cut off, no JSON at all, or without entries."""
-    kind = F.col("symbol").cast("bigint") % 7
+    """All landed payloads, of which some are blank, cut off, no JSON at all, or without entries."""
+    kind = F.col("symbol").try_cast("bigint") % 7
     spoilt = (
         F.when(kind == 0, " ")
         .when(kind == 1, F.expr("substring(payload, 1, length(payload) - 1)"))
         .when(kind == 2, "<html>busy</html>")
         .when(kind == 3, '{"error": null}')
+        .when(kind == 4, F.when(F.col("payload").startswith("["), "[]").otherwise("{}"))
         .otherwise(F.col("payload"))
     )
-    sent = landed.prices(t).unionByName(landed.ratios(t)).unionByName(landed.dividends(t))
-    return payload_account(sent.withColumn("payload", spoilt))
+    sent = reduce(DataFrame.unionByName, [call(t) for call in landed.ALL])
+    return payload_account(sent.withColumn("payload", spoilt)).drop("entries")
 
 
 @query(

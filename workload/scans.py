@@ -14,7 +14,7 @@ from bourselight.operators.normalise import PERIOD_KEY
 from bourselight.plans import screen, snapshot
 from bourselight.plans.snapshot import build
 from bourselight.session import new_table_path, write_and_read
-from bourselight.sources.landing import read_landing, route
+from bourselight.sources.landing import payload_account, read_landing
 from bourselight.sources.testbed import AS_OF
 from workload import landed
 from workload.damage import DAMAGED_QUOTES
@@ -24,47 +24,49 @@ from workload.registry import names, query, r6, rounded, snapshot_table
 KEY = names(PERIOD_KEY)
 
 
-@query(
-    "s01_landing_scan",
-    f"""WITH feed AS ({DAMAGED_QUOTES}) SELECT 'price_daily' AS target, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS entries FROM (
-  SELECT symbol, date_trunc('month', quote_date), count(*) AS n FROM prices GROUP BY 1, 2)
-UNION ALL SELECT 'company_profile', count(*), CAST(0 AS BIGINT) FROM company
-UNION ALL SELECT 'index_quote_daily', count(DISTINCT quote_date), CAST(0 AS BIGINT) FROM index_quotes
-UNION ALL SELECT 'archive_only', count(*), CAST(0 AS BIGINT) FROM region
-UNION ALL SELECT 'company', count(DISTINCT p_partkey // 100), CAST(0 AS BIGINT) FROM part
-UNION ALL SELECT 'quote', count(DISTINCT CAST(symbol AS BIGINT) // 100), CAST(0 AS BIGINT) FROM (
-  SELECT symbol FROM feed)
-UNION ALL SELECT 'statement', count(DISTINCT (symbol, statement_type, statement_code, period_kind)), CAST(0 AS BIGINT)
-  FROM statement_wide
-UNION ALL SELECT 'basic_financial', count(DISTINCT (symbol, statement_type, statement_code)), CAST(0 AS BIGINT)
-  FROM statement_wide WHERE period_kind <> 'quarterly'
-UNION ALL SELECT 'ratio', count(DISTINCT (symbol, statement_type, family)), CAST(0 AS BIGINT) FROM ratios
-UNION ALL SELECT 'metric', count(DISTINCT (symbol, statement_type, family)), CAST(0 AS BIGINT) FROM metrics
-UNION ALL SELECT 'price_ratio_daily', count(DISTINCT (symbol, statement_type, year(quote_date))), CAST(0 AS BIGINT)
-  FROM price_ratios
-UNION ALL SELECT 'price_ratio_annual', count(DISTINCT (symbol, statement_type)), CAST(0 AS BIGINT) FROM price_ratios
-UNION ALL SELECT 'dividend', count(DISTINCT (symbol, CAST(subject AS BIGINT) // 100)), CAST(0 AS BIGINT) FROM actions
-  WHERE action = 'dividend'
-UNION ALL SELECT 'corporate_action', count(DISTINCT (symbol, action, CAST(subject AS BIGINT) // 100)),
-  CAST(0 AS BIGINT) FROM actions WHERE action <> 'dividend'
-UNION ALL SELECT 'shareholding', count(DISTINCT (symbol, period_label)), CAST(0 AS BIGINT) FROM shareholding
-UNION ALL SELECT 'index_master', count(DISTINCT (index_symbol, CAST(symbol AS BIGINT) // 100)), CAST(0 AS BIGINT)
-  FROM constituents
-UNION ALL SELECT 'index_return', count(DISTINCT index_symbol), CAST(0 AS BIGINT) FROM index_returns""",
+def _landed(target: str, payload: str, source: str, entries: str = "count(*)") -> str:
+    """Payloads of a target, as the distinct values that make one, and the entries in them."""
+    return f"SELECT '{target}' AS target, count(DISTINCT {payload}) AS payloads, CAST({entries} AS BIGINT) AS entries FROM {source}"
+
+
+_SERIES = "count(DISTINCT (symbol, statement_type, family, header))"
+LANDED_SQL = "\nUNION ALL ".join(
+    [
+        _landed("price_daily", "(symbol, date_trunc('month', quote_date))", "prices"),
+        _landed("company_profile", "symbol", "company"),
+        _landed("index_quote_daily", "quote_date", "index_quotes"),
+        _landed("archive_only", "r_regionkey", "region", "0"),
+        _landed("company", "p_partkey // 100", "part"),
+        _landed("quote", "CAST(symbol AS BIGINT) // 100", f"({DAMAGED_QUOTES})"),
+        _landed("statement", "(symbol, statement_type, statement_code, period_kind)", "statement_wide"),
+        _landed(
+            "basic_financial", "(symbol, statement_type, statement_code)", "statement_wide WHERE period_kind <> 'quarterly'"
+        ),
+        _landed("ratio", "(symbol, statement_type, family)", "ratios", _SERIES),
+        _landed("metric", "(symbol, statement_type, family)", "metrics"),
+        _landed("price_ratio_daily", "(symbol, statement_type, year(quote_date))", "price_ratios"),
+        _landed(
+            "price_ratio_annual", "(symbol, statement_type)", "price_ratios",
+            "count(DISTINCT (symbol, statement_type, year(quote_date)))",
+        ),
+        _landed("dividend", "(symbol, CAST(subject AS BIGINT) // 100)", "actions WHERE action = 'dividend'"),
+        _landed("corporate_action", "(symbol, action, CAST(subject AS BIGINT) // 100)", "actions WHERE action <> 'dividend'"),
+        _landed("shareholding", "(symbol, period_label)", "shareholding", "count(DISTINCT (symbol, period_label))"),
+        _landed(
+            "index_master", "(index_symbol, CAST(symbol AS BIGINT) // 100)", "constituents",
+            "count(DISTINCT (index_symbol, CAST(symbol AS BIGINT) // 100))",
+        ),
+        _landed("index_return", "index_symbol", "index_returns", "count(DISTINCT index_symbol)"),
+    ]
 )
+
+
+@query("s01_landing_scan", LANDED_SQL)
 def s01(t):
-    """Payloads of several endpoints written as JSON files, scanned with an explicit schema and routed."""
+    """Payloads of all endpoints written as JSON files, scanned once with an explicit schema, routed and counted."""
     path = new_table_path(t.spark, "landing")
-    calls = (
-        landed.symbols, landed.profiles, landed.quotes, landed.statements, landed.basics, landed.ratios, landed.metrics,
-        landed.price_ratios_daily, landed.price_ratios_annual, landed.prices, landed.dividends, landed.corporate_actions,
-        landed.shareholding, landed.index_master, landed.index_quotes, landed.index_returns, landed.holidays,
-    )
-    reduce(DataFrame.unionByName, [call(t) for call in calls]).write.json(path)
-    scanned = read_landing(t.spark, path).withColumn("target", route())
-    sessions = F.size(F.from_json("payload", "struct<price: array<string>>")["price"])
-    entries = F.sum(F.when(F.col("target") == "price_daily", sessions).otherwise(0))
-    return scanned.groupBy("target").agg(F.count("*").alias("payloads"), entries.alias("entries"))
+    reduce(DataFrame.unionByName, [call(t) for call in landed.ALL]).write.json(path)
+    return payload_account(read_landing(t.spark, path)).select("target", "payloads", "entries")
 
 
 MIDMONTH = "2024-01-15"

@@ -57,7 +57,12 @@ def _repeated_words(words: Column, width: int = 3) -> Column:
     the windows: each adds its width, or the distance from the start before it if that is less.
     """
     starts = lambda w: F.sequence(F.lit(0), F.size(w) - F.lit(width))
-    hashes = lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i + 1, width)))
+
+    def hashes(w: Column) -> Column:
+        """Hashes of all windows, from one hash a word."""
+        each = F.transform(w, lambda x: F.xxhash64(x))
+        heads = lambda h: F.slice(h, 1, F.size(h) - F.lit(width - 1))
+        return let(each, lambda h: F.transform(heads(h), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, width)])))
 
     def exact(w: Column) -> Column:
         windows = F.array_sort(F.transform(starts(w), lambda i: F.struct(F.slice(w, i + 1, width).alias("w"), i.alias("i"))))
@@ -91,18 +96,20 @@ def _repeated_words(words: Column, width: int = 3) -> Column:
 def features(text: Column) -> Column:
     """All measures of a text as one struct of whole numbers."""
     body = F.coalesce(text.cast("string"), F.lit(""))
-    is_stop = "^(?:" + "|".join(sorted({w for ws in STOP_WORDS.values() for w in ws.split()})) + r")[.,;:!?]?$"
+    stop_words = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
+    # One mark at the end of a word is no part of it.
+    bare = F.split(F.regexp_replace(F.lower(body), rf"[.,;:!?](?={SPACE}|\z)", ""), f"{SPACE}+")
 
     def of(words: Column, lines: Column) -> Column:
         size = lambda c: F.size(c).cast("long")
         return F.struct(
             size(words).alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+            F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             (size(lines) - size(F.array_distinct(lines))).alias("n_dup_lines"),
             _repeated_words(words).cast("long").alias("n_repeat_words"),
             size(lines).alias("n_lines"),
-            size(F.filter(words, lambda w: F.lower(w).rlike(is_stop))).alias("n_stop_words"),
+            size(F.filter(bare, lambda w: w.isin(stop_words))).alias("n_stop_words"),
             size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).alias("n_letter_words"),
             size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-•*·]"))).alias("n_bullet_lines"),
             size(F.filter(lines, lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("n_ellipsis_lines"),

@@ -17,8 +17,8 @@ Matches are located by splitting a text at them: the lengths of parts and matche
 rewritten so that Java's engine runs them in linear time without recursion: a run is entered at its start only, and
 quantifiers that never need to give back are possessive.
 
-Scale: scans of the documents and joins on row numbers; counts are partial aggregates, and a hot entity is one key of a
-join whose large side Spark may split. Terms of an entity stay rows and are joined as (entity, term), so no list grows
+Scale: base spans are found once and stored beside the numbered rows; only documents with an entity are joined with what
+reveals it. Counts are partial aggregates, and a hot entity is one key of a join whose large side Spark may split. Terms of an entity stay rows and are joined as (entity, term), so no list grows
 with an entity's documents.
 
 Defined results: null text is empty and has no spans; long texts are scanned whole; repeated rows get the same spans; an
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps, let, numbered
+from bourselight.llm.common import Steps, let, with_row
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -149,21 +149,34 @@ def _word_set(terms: Column) -> Column:
     return F.md5(F.array_join(F.array_sort(terms), " ").cast("binary"))
 
 
+def based(docs: DataFrame, steps: Steps, text: str = "text") -> DataFrame:
+    """(row, rid, base, holds, body): rows numbered and stored once with their base spans, and whether they have any."""
+    rows = with_row(docs, text).select("row", "rid", base_spans(F.col("body")).alias("base"))
+    any_span = F.greatest(*[F.size(F.col("base")[k]) for k in KINDS]) > 0
+    stored = steps.save(rows.withColumn("holds", any_span), "rows")
+    return stored.withColumn("body", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
+
+
+# Words of an entity's documents that one task pairs with entities.
+PAIRED_WORDS = 1 << 20
+
+
 def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
     """(rid, removed, generalised) for documents that hold an entity and words that reveal it; None if there are none."""
-    based = rows.select("rid", "body", base_spans(F.col("body")).alias("base"))
     holders = steps.save(
-        based.withColumn("entities", _entities(F.col("base"))).where(F.size("entities") > 0)
-        .select("rid", "entities", _words(F.col("body")).alias("terms")),
+        rows.where("holds").select("rid", _entities(F.col("base")).alias("entities"), _words(F.col("body")).alias("terms")),
         "holders",
     )
+    paired = holders.agg(F.sum(F.size("entities").cast("long") * F.size("terms")).alias("n")).first()["n"] or 0
     sketch = F.array_min(F.transform("terms", lambda w: F.xxhash64(w)))
     mentions = holders.select("rid", _word_set(F.col("terms")).alias("words"), F.explode("entities").alias("entity"))
     first = mentions.groupBy("entity", "words").agg(F.min("rid").alias("rid"))
     held = first.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     pairs = first.join(held, "entity").select("entity", "n_entity", "rid").distinct()
+    # Few bytes become many rows here, so the number of tasks follows the rows.
+    spread = pairs.join(holders.select("rid", "terms"), "rid").repartition(1 + paired // PAIRED_WORDS, "rid", "entity")
     together = steps.save(
-        pairs.join(holders.select("rid", "terms"), "rid").select("entity", "n_entity", sketch.alias("sketch"), F.explode("terms").alias("term"))
+        spread.select("entity", "n_entity", sketch.alias("sketch"), F.explode("terms").alias("term"))
         .groupBy("entity", "n_entity", "term", "sketch").agg(F.count("*").alias("n"))
         .groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_apart")),
         "together",
@@ -197,13 +210,14 @@ def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, base, spans, clean): base spans by kind, all spans (kind, start, end, label), and the sanitised text."""
     steps = Steps(docs.sparkSession, "sanitise")
-    rows = numbered(docs, steps, text)
-    revealing = revealing_terms(rows.select("rid", "body"), steps)
+    rows = based(docs, steps, text)
+    revealing = revealing_terms(rows, steps)
     nothing = F.array().cast("array<string>")
-    if revealing is None:
-        found = rows.withColumns({"removed": nothing, "generalised": nothing})
-    else:
-        found = rows.join(revealing, "rid", "left").withColumns({c: F.coalesce(c, nothing) for c in ("removed", "generalised")})
+    found = rows.withColumns({"removed": nothing, "generalised": nothing})
+    if revealing is not None:
+        # Only documents with an entity can hold a word that reveals one; the others pass no shuffle.
+        told = rows.where("holds").join(revealing, "rid", "left")
+        found = found.where(~F.col("holds")).unionByName(told.withColumns({c: F.coalesce(c, nothing) for c in ("removed", "generalised")}))
     base = F.col("base")
     inside = lambda s: F.exists(_all_base(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     is_term = lambda s, c: F.array_contains(F.col(c), F.lower(s["value"]))
@@ -218,7 +232,6 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     ).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,label:string>>"))
     return (
-        found.withColumn("base", base_spans(F.col("body")))
-        .withColumn("spans", F.concat(_all_base(base), terms))
+        found.withColumn("spans", F.concat(_all_base(base), terms))
         .select("row", "base", F.slice("spans", 1, F.size(_all_base(base))).alias("base_list"), "spans", redacted(F.col("body"), F.col("spans")).alias("clean"))
     )

@@ -37,6 +37,24 @@ def _wide(long: DataFrame, source: str, group: str, rank: Column) -> DataFrame:
     return wanted.withColumn("rank", rank).groupBy("symbol").agg(*[_pick(e, group) for e in entries])
 
 
+def scaled_figures(long: DataFrame, source: str, group: str) -> DataFrame:
+    """Long figures with the catalog column they feed and their value in its unit, as (..., key, unit, scaled).
+
+    Fields that no catalog column of the source and group names are left out.
+    """
+    entries = [
+        F.struct(
+            F.lit(e.group).alias("g"), F.lit(f).alias("f"), F.lit(e.key).alias("key"), F.lit(e.unit).alias("unit"),
+            F.lit(float(e.scale)).alias("scale"),
+        )
+        for e in catalog.of_source(source) for f in e.fields
+    ]
+    fed = F.filter(F.array(*entries), lambda e: (e["g"] == F.col(group)) & (e["f"] == F.col("field_name")))
+    return long.withColumn("_to", F.explode(fed)).select(
+        *long.columns, "_to.key", "_to.unit", (F.col("value") * F.col("_to.scale")).alias("scaled")
+    )
+
+
 def statement_columns(lines: DataFrame) -> DataFrame:
     return _wide(latest.usable_statement_lines(lines), "statement", "statement_code", F.col("rank"))
 

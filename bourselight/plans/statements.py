@@ -98,33 +98,33 @@ def with_derived_rows(maps: DataFrame) -> DataFrame:
     return maps.withColumn("figures", F.map_concat("figures", derived))
 
 
-def with_table_facts(placed: DataFrame, company: DataFrame) -> DataFrame:
-    """Family of each table, and the fields with a non-zero figure in any of its periods.
+def figure_maps(lines: DataFrame, basics: DataFrame) -> DataFrame:
+    """All figures of every period as one map, derived aggregates filling the fields that the statement lacks.
 
-    The family is that of the oldest shown period, or the company's where that is unknown. A table has at most
-    PERIOD_LIMIT periods per type and the fields come from a small vocabulary, so the windows are small.
+    As `merged_figures`, in one shuffle: an aggregate counts for the annual and the trailing period of its header, whether
+    there is one or not, and the join with the shown periods leaves those that exist.
     """
-    table = W.partitionBy(*TABLE_KEY, "statement_type")
-    non_zero = F.map_keys(F.map_filter("figures", lambda k, v: v != 0))
-    facts = placed.withColumns(
-        {
-            "_of_period": F.max_by("schema_kind", "position").over(table),
-            "reported": F.flatten(F.collect_list(non_zero).over(table)),
-        }
-    )
-    joined = facts.drop("schema_kind").join(
-        company.select("symbol", F.col("schema_kind").alias("_of_company")), "symbol", "left"
-    )
-    unknown = F.coalesce(F.col("_of_period").isin("", "unknown"), F.lit(True))
-    family = F.when(unknown, F.col("_of_company")).otherwise(F.col("_of_period"))
-    return joined.withColumn("schema_kind", family).drop("_of_period", "_of_company")
+    own = lines.select(*PERIOD_KEY, "field_name", "value", F.lit(0).alias("source"))
+    yearly = basics.withColumn("period_kind", F.explode(F.array(F.lit("annual"), F.lit("ttm"))))
+    both = own.unionByName(yearly.select(*PERIOD_KEY, "field_name", "value", F.lit(1).alias("source")))
+    entries = both.groupBy(*PERIOD_KEY).agg(F.sort_array(F.collect_list(F.struct("field_name", "source", "value"))).alias("e"))
+    # In order of field and source, the first entry of a field counts.
+    first = F.filter("e", lambda x, i: (i == 0) | (F.get(F.col("e"), i - 1)["field_name"] != x["field_name"]))
+    pairs = F.transform(first, lambda x: F.struct(x["field_name"], x["value"]))
+    return entries.select(*PERIOD_KEY, F.map_from_entries(pairs).alias("figures"))
 
 
-def row_value() -> Column:
-    """Figure of a template row in a period: that of its first present field."""
-    return F.coalesce(
-        *[F.try_element_at("figures", F.try_element_at("fields", F.lit(i + 1))) for i in range(templates.MAX_FIELDS)]
-    )
+def with_family(placed: DataFrame, company: DataFrame) -> DataFrame:
+    """The family of each table in `schema_kind`: that of the oldest shown period, or the company's where that is unknown.
+
+    A table has at most PERIOD_LIMIT periods per type, so the window is small.
+    """
+    joined = placed.join(company.select("symbol", F.col("schema_kind").alias("_of_company")), "symbol", "left")
+    of_period = F.max_by("schema_kind", "position").over(W.partitionBy(*TABLE_KEY, "statement_type"))
+    known = joined.withColumn("_of_period", of_period)
+    unknown = F.coalesce(F.col("_of_period").isin("", "unknown"), F.lit(True))
+    family = F.when(unknown, F.col("_of_company")).otherwise(F.col("_of_period"))
+    return known.withColumn("schema_kind", family).drop("_of_period", "_of_company")
 
 
 def has_data(value: str) -> Column:
@@ -132,27 +132,63 @@ def has_data(value: str) -> Column:
     return F.max(F.coalesce(F.abs(value), F.lit(0.0))) > 0
 
 
+def _layout(name: str) -> Column:
+    """The rows of a layout as a constant array; `up` is the place of the parent row, or of the row itself."""
+    rows = templates.layout_rows(name)
+    at = {r.ord: i for i, r in enumerate(rows)}
+    return F.array(
+        *[
+            F.struct(
+                F.lit(r.ord).alias("ord"), F.lit(r.parent).cast("int").alias("parent"), F.lit(r.label).alias("label"),
+                F.lit(r.unit).alias("unit"), F.lit(r.emphasis).alias("emphasis"),
+                F.array(*[F.lit(f) for f in r.fields]).alias("fields"), F.lit(at.get(r.parent, i)).alias("up"),
+            )
+            for i, r in enumerate(rows)
+        ]
+    )
+
+
+def _bit(mask: Column, place: Column) -> Column:
+    return F.call_function("shiftright", mask, place).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
 def render(maps: DataFrame) -> DataFrame:
-    """One row per template row and period, for tables with a `layout`, the table's `reported` fields, and a
-    `figures` map per period.
+    """One row per template row and period, for tables with a `layout` and a `figures` map per period.
 
-    A template row without a non-zero figure in any period of its table is dropped, and so are the children of
-    a dropped row. Rows whose fields the table never reports go before any value is computed. The layouts have a
-    fixed size, so they are broadcast.
+    A template row without a non-zero figure in any period of its table is dropped, and so are the children of a dropped
+    row. A period computes the rows of its layout as one array, with a bit for each row that has data; the bits of a table's
+    periods, of which there are few, are joined by OR before anything is multiplied by rows. A layout has at most 63 rows.
     """
-    layouts = F.broadcast(templates.template_frame(maps.sparkSession))
-    cells = with_derived_rows(maps).join(layouts, "layout").where(F.arrays_overlap("fields", "reported") | F.col("derived"))
-    named = [c for c in maps.columns if c not in ("figures", "reported", "layout")]
-    rows = cells.select(*named, "layout", "ord", "parent", "label", "unit", "emphasis", row_value().alias("raw"))
-    valued = rows.withColumn("value", statement_scale("raw", "unit")).drop("raw")
-    # At most PERIOD_LIMIT periods and one layout per table: both windows are small.
-    table = [*TABLE_KEY, "statement_type"]
-    largest = F.max(F.coalesce(F.abs("value"), F.lit(0.0))).over(W.partitionBy(*table, "ord"))
-    shown = valued.withColumn("_data", largest > 0)
-    family = F.coalesce("parent", "ord")
-    parent_shown = F.max(F.when(F.col("parent").isNull(), F.col("_data").cast("int")))
-    kept = shown.withColumn("_parent", parent_shown.over(W.partitionBy(*table, family)) == 1)
-    return kept.where(F.col("_data") & F.col("_parent")).drop("_data", "_parent")
+    layout = F.lit(None)
+    for name in dict.fromkeys(r.layout for r in templates.ROWS):
+        layout = F.when(F.col("layout") == name, _layout(name)).otherwise(layout)
+
+    def value(row: Column) -> Column:
+        """Figure of a template row in a period: that of its first present field."""
+        fields = [F.try_element_at("figures", F.try_element_at(row["fields"], F.lit(i + 1))) for i in range(templates.MAX_FIELDS)]
+        return statement_scale(F.coalesce(*fields), row["unit"])
+
+    def own_bit(v: Column, place: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+        return F.when(F.coalesce(F.abs(v), F.lit(0.0)) > 0, one).otherwise(F.lit(0).cast("bigint"))
+
+    named = [c for c in maps.columns if c not in ("figures", "layout")]
+    computed = with_derived_rows(maps).withColumn("_rows", layout).withColumn("_values", F.transform("_rows", value))
+    bits = F.aggregate(F.transform("_values", own_bit), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    masked = computed.select(*named, "layout", "_rows", "_values", bits.alias("_bits")).withColumn(
+        "_bits", F.bit_or("_bits").over(W.partitionBy(*TABLE_KEY, "statement_type"))
+    )
+    shown = F.filter(
+        F.transform(
+            "_rows",
+            lambda r, i: F.struct(
+                *[r[c].alias(c) for c in ("ord", "parent", "label", "unit", "emphasis")], F.get("_values", i).alias("value"),
+                (_bit(F.col("_bits"), i) & _bit(F.col("_bits"), r["up"])).alias("_shown"),
+            ),
+        ),
+        lambda r: r["_shown"],
+    )
+    return masked.select(*named, "layout", F.inline(shown)).drop("_shown")
 
 
 def statement_tables(
@@ -165,9 +201,8 @@ def statement_tables(
 ) -> DataFrame:
     """The full statement query for every symbol, code and period kind."""
     recent = with_type_fallback(last_periods(periods, limit), requested)
-    maps = field_maps(merged_figures(recent, lines, basics))
-    placed = recent.select(*PERIOD_KEY, "position", "result_date", "schema_kind").join(maps, list(PERIOD_KEY))
-    known = with_table_facts(placed, company)
+    shown = recent.select(*PERIOD_KEY, "position", "result_date", "schema_kind")
+    known = with_family(shown.join(figure_maps(lines, basics), list(PERIOD_KEY)), company)
     return render(known.withColumn("layout", layout_of(F.col("schema_kind"), F.col("statement_code"))))
 
 
@@ -206,13 +241,6 @@ def ratio_family(cells: DataFrame, family: str) -> DataFrame:
     return cells.where(F.col("family") == known[family])
 
 
-def ratio_pivot(ratios: DataFrame, headers: list[str], statement_type: str = "c") -> DataFrame:
-    """Ratio families with one column per header, for a known list of headers."""
-    cells = ratio_table(ratios, statement_type)
-    pivot = cells.groupBy("symbol", "family", "label", "unit").pivot("header", headers)
-    return pivot.agg(F.max("value"))
-
-
 def last_quarters(shareholding: DataFrame, limit: int = PERIOD_LIMIT) -> DataFrame:
     """Rows of the last distinct quarters per symbol, with the quarter's month; 1 is the newest."""
     dated = shareholding.withColumn("month", label_month("period_label"))

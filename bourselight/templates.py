@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
 # The P&L layout of each statement family. Balance sheets and cash flows use the general layout.
 PL_LAYOUTS = {
     "general": "general_pl",
@@ -15,11 +13,6 @@ PL_LAYOUTS = {
 }
 SHARED_LAYOUTS = {"bs": "general_bs", "cf": "general_cf"}
 
-TEMPLATE_SCHEMA = (
-    "layout string, ord int, parent int, label string, unit string, emphasis boolean, "
-    "derived boolean, fields array<string>"
-)
-
 @dataclass(frozen=True)
 class TemplateRow:
     layout: str
@@ -151,11 +144,3 @@ MAX_FIELDS = max(len(r.fields) for r in ROWS)
 
 def layout_rows(layout: str) -> list[TemplateRow]:
     return [r for r in ROWS if r.layout == layout]
-
-
-def template_frame(spark: SparkSession) -> DataFrame:
-    """The layouts as a frame. Its size is fixed, so it may be broadcast."""
-    data = [
-        (r.layout, r.ord, r.parent, r.label, r.unit, r.emphasis, r.formula is not None, r.fields) for r in ROWS
-    ]
-    return spark.createDataFrame(data, TEMPLATE_SCHEMA)

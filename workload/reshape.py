@@ -135,7 +135,7 @@ def r06(t):
     recent = statements.last_periods(t.periods)
     own = recent.select(*PERIOD_KEY).join(t.lines, list(PERIOD_KEY)).select(*PERIOD_KEY, "field_name", "value")
     placed = statements.field_maps(own).join(recent.select(*PERIOD_KEY, "position", "schema_kind"), list(PERIOD_KEY))
-    known = statements.with_table_facts(placed, t.company)
+    known = statements.with_family(placed, t.company)
     laid_out = known.withColumn("layout", statements.layout_of(F.lit("general"), F.col("statement_code")))
     return statements.render(laid_out).drop("layout", "position", "schema_kind")
 
@@ -146,6 +146,106 @@ def r07(t):
     return tables.select(*PERIOD_KEY, "ord", "parent", "label", "unit", "emphasis", "value")
 
 
+# P&L figures of the tables, reported by companies of three other families: field sent, factor, family's field.
+_REPORTED = {
+    "bank": (
+        ("revenueFromOperations", 1.0, "interestEarned"), ("expenses", 1.0, "interestExpended"),
+        ("financeCosts", 1.0, "expenditureExcludingProvisions"), ("taxExpense", 1.0, "employeesCost"),
+        ("taxExpense", 2.0, "provisionForTax"), ("profitBeforeTax", 1.0, "profitLossBeforeTax"),
+        ("profitLossForPeriod", 1.0, "profitLossForThePeriod"), ("financeCosts", 1e-9, "percentageOfGrossNpa"),
+        ("expenses", 1e-9, "cET1Ratio"),
+    ),
+    "life_insurance": (
+        ("revenueFromOperations", 1.0, "grossPremiumIncome"), ("taxExpense", 1.0, "incomeFirstYearPremium"),
+        ("expenses", 1.0, "netPremiumIncome"), ("financeCosts", 1.0, "commission"),
+        ("profitBeforeTax", 1.0, "profitOrLossBeforeTax"),
+        ("profitLossForPeriod", 1.0, "profitLossAfterTaxAndExtraordinaryItems"),
+        ("revenueFromOperations", 1e-11, "solvencyRatio"), ("expenses", 1e-9, "persistencyRatio"),
+    ),
+    "general_insurance": (
+        ("revenueFromOperations", 1.0, "premiumEarned"), ("expenses", 1.0, "claimsPaid"), ("financeCosts", 1.0, "netCommission"),
+        ("profitBeforeTax", 1.0, "underwritingProfitOrLoss"), ("profitLossForPeriod", 1.0, "profitLossAfterTax"),
+        ("taxExpense", 1e-5, "eps"), ("expenses", 1e-9, "combinedRatio"), ("revenueFromOperations", 1e-10, "solvencyRatio"),
+    ),
+}
+_SOLVENCY = "round(CASE WHEN abs({0}) < 0.5 THEN ({0}) * 100 ELSE {0} END, 2)"
+# Family by symbol, order, parent, label, unit, emphasis, value.
+_FAMILY_ROWS = [
+    *[(0, *row[1:]) for row in _SQL_ROWS[:8]],
+    (1, 100, None, "Revenue", "crore", False, _crore("r")),
+    (1, 200, None, "Interest", "crore", False, _crore("x")),
+    (1, 300, None, "Expenses", "crore", False, _crore("f")),
+    (1, 301, 300, "Employee cost", "crore", False, _crore("tax")),
+    (1, 400, None, "Financing Profit", "crore", True, _crore("r - x")),
+    (1, 500, None, "Financing Margin %", "percent", False, "round((r - x) / nullif(r, 0) * 100, 2)"),
+    (1, 800, None, "Profit before tax", "crore", True, _crore("p")),
+    (1, 900, None, "Tax %", "percent", False, "round(nullif(tax * 2, 0) / nullif(p, 0) * 100, 2)"),
+    (1, 1000, None, "Net Profit", "crore", True, _crore("np")),
+    (1, 1200, None, "Gross NPA %", "fraction_pct", False, "round(f * 1e-9 * 100, 2)"),
+    (1, 1400, None, "CET1 Ratio", "fraction_pct", False, "round(x * 1e-9 * 100, 2)"),
+    (2, 100, None, "Gross Premium Income", "crore", False, _crore("r")),
+    (2, 101, 100, "First year premium", "crore", False, _crore("tax")),
+    (2, 200, None, "Net Premium Income", "crore", True, _crore("x")),
+    (2, 400, None, "Commission", "crore", False, _crore("f")),
+    (2, 900, None, "Profit before tax", "crore", True, _crore("p")),
+    (2, 1000, None, "Net Profit", "crore", True, _crore("np")),
+    (2, 1200, None, "Solvency Ratio", "solvency", False, _SOLVENCY.format("r * 1e-11")),
+    (2, 1300, None, "Persistency Ratio", "fraction_pct", False, "round(x * 1e-9 * 100, 2)"),
+    (3, 300, None, "Premium Earned", "crore", True, _crore("r")),
+    (3, 500, None, "Claims Incurred", "crore", False, _crore("x")),
+    (3, 600, None, "Commission", "crore", False, _crore("f")),
+    (3, 800, None, "Underwriting Profit", "crore", True, _crore("p")),
+    (3, 1000, None, "Net Profit", "crore", True, _crore("np")),
+    (3, 1100, None, "EPS in Rs", "price", False, "round(tax * 1e-5, 2)"),
+    (3, 1300, None, "Combined Ratio", "fraction_pct", False, "round(x * 1e-9 * 100, 2)"),
+    (3, 1400, None, "Solvency Ratio", "solvency", False, _SOLVENCY.format("r * 1e-10")),
+]
+_FAMILIES = ("general", *_REPORTED)
+_FAMILY_CELLS = "\nUNION ALL ".join(
+    f"SELECT {KEY}, '{_FAMILIES[family]}' AS family, CAST({o} AS INTEGER) AS ord, CAST({p or 'NULL'} AS INTEGER) AS parent, "
+    f"'{label}' AS label, '{unit}' AS unit, {'true' if e else 'false'} AS emphasis, {value} AS value FROM wide "
+    f"WHERE CAST(symbol AS BIGINT) % 4 = {family}"
+    for family, o, p, label, unit, e, value in _FAMILY_ROWS
+)
+_WIDE_FIELDS = {
+    "r": "revenueFromOperations", "x": "expenses", "f": "financeCosts", "tax": "taxExpense", "p": "profitBeforeTax",
+    "np": "profitLossForPeriod",
+}
+
+
+@query(
+    "r09_family_layouts",
+    f"""WITH wide AS (SELECT {KEY}, {', '.join(f'{_field(v)} AS {k}' for k, v in _WIDE_FIELDS.items())}
+  FROM lines SEMI JOIN shown_periods USING (symbol, statement_type, statement_code, period_kind, header)
+  WHERE statement_code = 'pl' GROUP BY {KEY}),
+cells AS ({_FAMILY_CELLS})
+SELECT {KEY}, family, ord, parent, label, unit, emphasis, value FROM cells
+QUALIFY max(abs(coalesce(value, 0))) OVER (PARTITION BY symbol, statement_type, period_kind, ord) > 0
+  AND max(CASE WHEN parent IS NULL THEN abs(coalesce(value, 0)) END)
+    OVER (PARTITION BY symbol, statement_type, period_kind, coalesce(parent, ord)) > 0""",
+)
+def r09(t):
+    """P&L statements of all four families: three quarters of the companies report as banks and insurers."""
+    which = F.col("symbol").cast("bigint") % 4
+    family = F.element_at(F.array(*[F.lit(f) for f in _FAMILIES]), (which + 1).cast("int"))
+    # Periods carry the family for banks; insurers are known by their company alone.
+    of_period = F.when(which == 1, "bank").when(which == 0, "general").otherwise("unknown")
+    periods = t.periods.where(F.col("statement_code") == "pl").withColumn("schema_kind", of_period)
+    company = t.company.withColumn("schema_kind", F.when(which >= 2, family))
+    sent = F.array(
+        *[
+            F.struct(F.lit(name).alias("family"), F.lit(field).alias("of"), F.lit(factor).alias("factor"), F.lit(to).alias("to"))
+            for name, fields in _REPORTED.items() for field, factor, to in fields
+        ]
+    )
+    own = F.filter(sent, lambda s: (s["family"] == family) & (s["of"] == F.col("field_name")))
+    plain = F.struct(F.lit("general").alias("family"), F.col("field_name").alias("of"), F.lit(1.0).alias("factor"), F.col("field_name").alias("to"))
+    lines = t.lines.where(F.col("statement_code") == "pl").withColumn("_s", F.explode(F.when(which == 0, F.array(plain)).otherwise(own)))
+    reported = lines.withColumns({"field_name": F.col("_s.to"), "value": F.col("value") * F.col("_s.factor")}).drop("_s")
+    tables = statements.statement_tables(periods, reported, t.basics.limit(0), company)
+    return tables.select(*PERIOD_KEY, F.col("schema_kind").alias("family"), "ord", "parent", "label", "unit", "emphasis", "value")
+
+
 @query(
     "r08_index_buckets",
     """SELECT coalesce(nullif(index_sub_type, ''), 'Other') AS bucket, count(*) AS indices,

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourselight.functions import figures, parse
 from bourselight.functions.formulas import FORMULAS, first_non_zero
 from bourselight.operators.normalise import PERIOD_KEY, change_or_null, clear_absent_valuation
 from bourselight.operators.latest import annualised_returns
-from bourselight.plans import pages, statements
+from bourselight.plans import pages, snapshot, statements
 from workload.damage import DAMAGED_QUOTES, damaged_quotes
-from workload.registry import query, r6, rounded, snapshot_table
+from workload.registry import query, r6, rounded
 
 # Order dates written in the four landed shapes, and in one that is not known.
 _DATE_TEXT = """CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
@@ -172,10 +175,56 @@ def x12(t):
     return t.logs.select("id", parse.redact("message").alias("message"))
 
 
-@query("x13_unit_scales", f"SELECT symbol, {r6('sales', 'net_profit', 'ebitda', 'dividend_payout', 'returnonequity', 'totaldebttoequity', 'roce3yearsavg')} FROM snapshot")
+def _scaled_sql(source: str, group: str, scales: dict[str, dict[str, str]]) -> str:
+    parts = [
+        f"SELECT '{table}' AS source, symbol, statement_type, {group} AS family, field_name, {key} AS key, round({scaled}, 6) AS scaled "
+        f"FROM {table} WHERE field_name = '{field}'"
+        for table, fields in scales.items()
+        for field, (key, scaled) in fields.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_CRORE, _PERCENT, _PLAIN = "value / 10000000.0", "value * 100", "value"
+X13_SQL = " UNION ALL ".join(
+    [
+        _scaled_sql("lines", "statement_code", {"lines": {
+            "revenueFromOperations": ("'sales'", _CRORE), "financeCosts": ("'interest'", _CRORE), "taxExpense": ("'tax_expense'", _CRORE),
+            "profitBeforeTax": ("'pbt'", _CRORE), "profitLossForPeriod": ("'net_profit'", _CRORE),
+        }}),
+        _scaled_sql("basics", "statement_code", {"basics": {
+            "ebitda": ("'ebitda'", _CRORE), "dividendPayout": ("'dividend_payout'", _PERCENT), "totalDebt": ("'total_debt'", _CRORE),
+            "totalCash": ("'total_cash'", _CRORE), "operatingCashFlow": ("'cfo'", _CRORE), "fcf": ("'fcf'", _CRORE),
+        }}),
+        _scaled_sql("ratios", "family", {"ratios": {
+            "returnOnEquity": ("'returnonequity'", _PERCENT), "returnOnCapital": ("'returnoncapital'", _PERCENT),
+            "totalDebtToEquity": ("'totaldebttoequity'", _PLAIN), "currentRatio": ("'currentratio'", _PLAIN),
+            "debtorDays": ("'debtordays'", _PLAIN), "cashConversionCycle": ("'cashconversioncycle'", _PLAIN),
+        }}),
+        _scaled_sql("metrics", "family", {"metrics": {
+            "revenueGrowth3years": ("'revenuegrowth3years'", _PERCENT), "revenueGrowth5years": ("'revenuegrowth5years'", _PERCENT),
+            "netIncomeGrowth3years": ("'netincomegrowth3years'", _PERCENT), "netIncomeGrowth5years": ("'netincomegrowth5years'", _PERCENT),
+            "roe5yearsAvg": ("'roe5yearsavg'", _PERCENT), "roce3yearsAvg": ("'roce3yearsavg'", _PERCENT),
+            "dividendPayoutPct3YrsAvg": ("'dividendpayoutpct3yrsavg'", _PERCENT),
+            "fcfAsPctOfRevenue3yearsAvg": ("'fcfaspctofrevenue3yearsavg'", _PERCENT),
+        }}),
+    ]
+)
+
+
+@query("x13_unit_scales", X13_SQL)
 def x13(t):
-    columns = ["sales", "net_profit", "ebitda", "dividend_payout", "returnonequity", "totaldebttoequity", "roce3yearsavg"]
-    return rounded(snapshot_table(t).select("symbol", *columns))
+    """Every raw figure that feeds a catalog column, in the unit of that column."""
+    sources = {
+        "lines": (t.lines, "statement", "statement_code"), "basics": (t.basics, "basic", "statement_code"),
+        "ratios": (t.ratios, "ratio", "family"), "metrics": (t.metrics, "metric", "family"),
+    }
+    parts = [
+        snapshot.scaled_figures(rows.select("symbol", "statement_type", F.col(group).alias("family"), "field_name", "value"), kind, "family")
+        .select(F.lit(name).alias("source"), "symbol", "statement_type", "family", "field_name", "key", F.round("scaled", 6).alias("scaled"))
+        for name, (rows, kind, group) in sources.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -198,31 +247,60 @@ def x15(t):
     return rounded(annualised_returns(t.prices))
 
 
-def _figure(name: str, *columns: str):
-    """A computed snapshot column with the columns it is made of."""
-    shown = [name, *columns]
+# Figures of orders that stand for companies, with missing, zero and negative ones among them.
+_INPUTS = {
+    "price": "CASE WHEN o_orderkey % 7 = 0 THEN 0.0 WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END",
+    "dividend": "CASE WHEN o_orderkey % 5 = 0 THEN 0.0 WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey * 1.5 END",
+    "market_cap": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice * 3 END",
+    "debt": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey * 7.0 END",
+    "cash": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey * 2.0 END",
+    "ebitda": "CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN o_custkey * 0.001 ELSE o_custkey * 4.0 - 100 END",
+    "pe": "CASE WHEN o_orderkey % 8 = 0 THEN 0.0 WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey - 50.0 END",
+    "high": "CASE WHEN o_orderkey % 10 = 0 THEN 0.0 ELSE o_totalprice * 1.2 END",
+    "low": "CASE WHEN o_orderkey % 10 = 1 THEN 0.0 WHEN o_orderkey % 10 = 2 THEN -5.0 ELSE o_totalprice * 0.4 END",
+    "cfo": "CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE o_totalprice - 150000 END",
+    "pat": "CASE WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE o_custkey - 60.0 END",
+}
+_INPUT_SQL = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _INPUTS.items())
+
+
+def _computed(name: str, sql: dict[str, str], **functions):
+    """A function of figures on rows of inputs, beside the same in SQL."""
+    shown = ", ".join(f"round({e}, 6) AS {n}" for n, e in sql.items())
 
-    @query(name_of[name], f"SELECT symbol, {r6(*shown)} FROM snapshot")
+    @query(name, f"SELECT o_orderkey, {shown} FROM (SELECT o_orderkey, {_INPUT_SQL} FROM orders)")
     def run(t):
-        return rounded(snapshot_table(t).select("symbol", *shown))
+        inputs = t.table("orders").selectExpr("o_orderkey", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _INPUTS.items()])
+        return rounded(inputs.select("o_orderkey", *[make().alias(n) for n, make in functions.items()]))
 
     return run
 
 
-name_of = {
-    "dividend_yield": "x16_dividend_yield",
-    "enterprise_value": "x17_enterprise_value",
-    "ev_ebitda": "x18_ev_to_ebitda",
-    "earnings_yield": "x19_earnings_yield",
-    "down_from_52w_high": "x20_distance_from_extremes",
-    "cfo_to_pat": "x21_cash_to_profit",
-}
-_figure("dividend_yield", "current_price")
-_figure("enterprise_value", "market_cap", "total_debt", "total_cash")
-_figure("ev_ebitda", "ebitda")
-_figure("earnings_yield", "pe")
-_figure("down_from_52w_high", "up_from_52w_low", "high52", "low52")
-_figure("cfo_to_pat", "cfo", "net_profit")
+_computed(
+    "x16_dividend_yield",
+    {"dividend_yield": "CASE WHEN price <> 0 AND dividend <> 0 THEN dividend * 100 / price END"},
+    dividend_yield=lambda: figures.dividend_yield("dividend", "price"),
+)
+_EV = "market_cap + CASE WHEN debt IS NULL THEN 0 ELSE debt END - CASE WHEN cash IS NULL THEN 0 ELSE cash END"
+_computed(
+    "x17_enterprise_value", {"enterprise_value": _EV}, enterprise_value=lambda: figures.enterprise_value("market_cap", "debt", "cash")
+)
+_computed(
+    "x18_ev_to_ebitda",
+    {"ev_ebitda": f"CASE WHEN ebitda >= 1 OR ebitda <= -1 THEN ({_EV}) / ebitda END"},
+    ev_ebitda=lambda: figures.ev_to_ebitda(figures.enterprise_value("market_cap", "debt", "cash"), "ebitda"),
+)
+_computed("x19_earnings_yield", {"earnings_yield": "CASE WHEN pe <> 0 THEN 100 / pe END"}, earnings_yield=lambda: figures.earnings_yield("pe"))
+_computed(
+    "x20_distance_from_extremes",
+    {
+        "down_from_52w_high": "CASE WHEN price <> 0 AND high <> 0 THEN (high - price) / high * 100 END",
+        "up_from_52w_low": "CASE WHEN price <> 0 AND low > 0 THEN (price - low) / low * 100 END",
+    },
+    down_from_52w_high=lambda: figures.down_from_high("price", "high"),
+    up_from_52w_low=lambda: figures.up_from_low("price", "low"),
+)
+_computed("x21_cash_to_profit", {"cfo_to_pat": "CASE WHEN pat <> 0 THEN cfo / pat END"}, cfo_to_pat=lambda: figures.cash_to_profit("cfo", "pat"))
 
 
 @query(

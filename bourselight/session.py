@@ -35,9 +35,11 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, one below the warehouse, which is shared too."""
+    """The shared folder named by spark.checkpoint.dir. A local session without one takes a folder below its warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{uuid.uuid4().hex[:8]}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

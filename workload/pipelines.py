@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from bourselight.operators import classify, normalise
 from bourselight.operators.normalise import PERIOD_KEY
-from bourselight.plans import monitor, pages, quality, screen, snapshot
+from bourselight.plans import monitor, pages, quality, screen, search_index, snapshot
+from bourselight.session import new_table_path
 from bourselight.sources.landing import payload_account, routed
 from bourselight.sources.testbed import AS_OF
 from workload import landed
@@ -269,6 +270,28 @@ def p19(t):
     return rounded(pages.search(t.company, t.quote, "red"))
 
 
+_TERMS = ("red", "e", "12", "almond rose", "nothing like it", " Blue ")
+INDEXED_SQL = "\nUNION ALL ".join(
+    f"""SELECT '{term}' AS term, symbol, name, CAST(rank AS INTEGER) AS rank FROM (SELECT * FROM (SELECT *,
+    CASE WHEN upper(symbol) = '{t}' THEN 0 WHEN starts_with(upper(symbol), '{t}') THEN 1 WHEN starts_with(upper(name), '{t}') THEN 2
+      WHEN contains(upper(symbol), '{t}') OR contains(upper(name), '{t}') THEN 3 END AS rank
+  FROM company LEFT JOIN quote USING (symbol)) WHERE rank IS NOT NULL ORDER BY rank, coalesce(market_cap, 0) DESC, symbol LIMIT 10)"""
+    for term in _TERMS
+    for t in [term.strip().upper()]
+)
+
+
+@query("p31_indexed_search", INDEXED_SQL)
+def p31(t):
+    """Terms of every length looked up in the stored postings of all companies."""
+    index = search_index.build(t.spark, new_table_path(t.spark, "search"), t.company)
+    found = [
+        search_index.search(index, t.quote, term).select(F.lit(term).alias("term"), "symbol", "name", F.col("rank").cast("int").alias("rank"))
+        for term in _TERMS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "p20_company_profile",
     f"""SELECT s.symbol, s.name, s.nse_code, s.bse_code, s.macro_sector, s.industry, s.sector, s.sub_industry,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourselight.plans import monitor, pages, quality, screen
+from bourselight.plans.paging import StoredOrder, next_page
+from bourselight.session import new_table_path
 from workload.registry import query, r6, rounded, snapshot_table
 
 QUOTES = "(SELECT * FROM company LEFT JOIN quote USING (symbol))"
@@ -51,6 +56,44 @@ def l03(t):
     return rounded(page)
 
 
+def _deep(page: int, size: int, cap: int | None) -> str:
+    upto = "" if cap is None else f" AND n <= {cap}"
+    return (
+        f"SELECT '{page}' AS page, symbol, name, {r6('market_cap')}, total, {'false' if cap is None else f'total > {cap}'} AS capped "
+        f"FROM numbered WHERE n > {(page - 1) * size} AND n <= {page * size}{upto}"
+    )
+
+
+_PAGES = ((1, 7, None), (12, 7, None), (3, 20, 45), (1000, 5, None))
+
+
+@query(
+    "l11_stored_order",
+    f"""WITH numbered AS (SELECT *, row_number() OVER (ORDER BY name ASC NULLS LAST, symbol) AS n, count(*) OVER () AS total
+  FROM {QUOTES} WHERE market_cap IS NOT NULL)
+"""
+    + "\nUNION ALL ".join(_deep(*p) for p in _PAGES),
+)
+def l11(t):
+    """Early and deep pages of one screen, read as ranges of its stored order."""
+    found = screen.screenable(_quotes(t))
+    order = StoredOrder.write(found, new_table_path(t.spark, "order"), ["name", "market_cap"], "name", descending=False)
+    pages_ = [order.page(*p).withColumn("page", F.lit(str(p[0]))) for p in _PAGES]
+    return rounded(reduce(DataFrame.unionByName, pages_))
+
+
+@query(
+    "l12_key_pages",
+    f"SELECT symbol, name, {r6('market_cap')} FROM {QUOTES} WHERE market_cap IS NOT NULL ORDER BY name ASC NULLS LAST, symbol LIMIT 30 OFFSET 30",
+)
+def l12(t):
+    """The second page of a screen from the last key of the first."""
+    found = screen.screenable(_quotes(t))
+    last = next_page(found, None, "name", descending=False, page_size=30).collect()[-1]
+    rows = next_page(found, (last["name"], last["symbol"]), "name", descending=False, page_size=30)
+    return rounded(rows.select("symbol", "name", "market_cap"))
+
+
 @query(
     "l04_largest",
     f"SELECT symbol, name, {r6('market_cap')}, (SELECT count(*) FROM company) AS total FROM company "

@@ -81,7 +81,10 @@ def _score(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
     out = []
     for chunk in docs.to_batches():
         data, offsets = text_bytes(chunk["body"])
-        at = np.searchsorted(known, grams(data, offsets))
+        keys = grams(data, offsets)
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        if len(keys) and not (len(known) and np.array_equal(known[at], keys)):
+            raise ValueError("a block met the model entries of another block")
         n = np.diff(offsets)
         sums = [np.concatenate(([0.0], np.cumsum(x[at]))) if len(at) else np.zeros(1) for x in losses]
         means = [(s[offsets[1:]] - s[offsets[:-1]]) / np.maximum(n, 1) for s in sums]
@@ -124,7 +127,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "
     `labels` has doc_id and quality; documents with quality 1 are the target.
     """
     steps = Steps(docs.sparkSession, "lm")
-    rows = with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long")).select("rid", "doc", "body")
+    # Stored once: blocks follow row numbers, which have to be the same in every job.
+    rows = steps.save(with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long")).select("rid", "doc", "body"), "rows")
     good = labels.where("quality = 1").select(F.col("doc_id").alias("doc")).distinct().withColumn("good", F.lit(True))
     marked = rows.join(good.hint("merge"), "doc", "left").select("body", F.coalesce("good", F.lit(False)).alias("good"))
     counts = steps.save(

@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from bourselight.llm.lm_score import ORDER, PRIOR, cross_entropy_difference
+from bourselight.llm.lm_score import ORDER, PRIOR, _score, cross_entropy_difference
 from bourselight.llm.piece_lattice import SPACE, decode, encode, load, segment
 from bourselight.llm.queries_models import op1, op4
 from tests.llm.helpers import FOLDER, docs_of, documents, stored
@@ -49,6 +50,14 @@ def close(got, want):
         assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:4], abs=2e-6)
 
 
+def test_a_block_with_another_blocks_entries_fails():
+    docs = pa.table({"rid": [1], "doc": [1], "body": ["abc"]})
+    entries = pa.table({"gram": [int.from_bytes(b"abc", "big")], "target": [1.0], "background": [1.0]})
+    for model in (entries, entries.slice(0, 0)):
+        with pytest.raises(ValueError, match="another block"):
+            _score((0,), docs, model)
+
+
 def test_scores(spark, tmp_path):
     rows = [(1, "the cat sat"), (2, "the dog sat"), (3, "@@@ zzz"), (4, None), (5, ""), (6, "é" * 400), (6, "the cat"), (7, "the cat sat"), (None, "a\0b")]
     docs = stored(docs_of(spark, rows, "good gram block rid"), tmp_path)

@@ -27,11 +27,14 @@ r AS (SELECT page_id * 4 + k AS record_id, CASE WHEN k = 2 THEN spelt ELSE url E
   1600000000 + (page_id * 37 % 700) * 86400 + page_id % 86000 + CASE k WHEN 0 THEN 0 WHEN 1 THEN -40000 WHEN 2 THEN 90000 ELSE 200000 END AS ts,
   CASE WHEN k = 3 THEN '"other"' ELSE tag END AS tag, digest, size FROM p, (VALUES (0), (1), (2), (3)) AS x(k)),
 b AS (SELECT *, regexp_replace(trim(raw), '#.*$', '') AS bare FROM r),
-u AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://'
-  || regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\\.|:80$|:443$', '')
+a AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+  regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1) AS authority FROM b),
+u AS (SELECT *, scheme || '://' || regexp_extract(authority, '^(.*@)', 1)
+  || regexp_replace(regexp_replace(lower(regexp_replace(authority, '^.*@', '')), '^www\\.', ''),
+    CASE scheme WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
   || CASE WHEN regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) = '' THEN '/'
      ELSE regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) END AS base,
-  list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{_TRACK}'))) AS q FROM b),
+  list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{_TRACK}'))) AS q FROM a),
 c AS (SELECT record_id, k, ts, tag, digest, size, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM u),
 j AS (SELECT v.record_id, v.url, v.k, v.tag, f.record_id AS old, f.tag AS old_tag, f.digest, f.size,
   row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS n

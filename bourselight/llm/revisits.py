@@ -37,10 +37,17 @@ TRACKING = r"(?:utm_[^=&]*|ref|gclid|fbclid)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, without default port, `www.`, fragment and tracking parameters; query sorted."""
+    """Scheme and host in lower case, without the scheme's default port, `www.`, fragment and tracking parameters; query sorted.
+
+    A port that is another scheme's default stays, and so does what stands before an @.
+    """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)), r"^www\.|:80$|:443$", "")
+    authority = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)
+    user = F.regexp_extract(authority, "^(.*@)", 1)
+    named = F.regexp_replace(F.lower(F.regexp_replace(authority, "^.*@", "")), r"^www\.", "")
+    port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$")
+    host = F.concat(user, F.when(port.isNotNull(), F.regexp_replace(named, port, F.lit(""))).otherwise(named))
     path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
     query = F.array_sort(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}(?:=|$)")))
     whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
@@ -83,7 +90,8 @@ def resolve(records: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_n"),
     )
     # Numbered once and stored: record ids may be null or repeated.
-    events = Steps(records.sparkSession, "revisits").save(events.where("full or again"), "events")
+    steps = Steps(records.sparkSession, "revisits")
+    events = steps.save(events.where("full or again"), "events")
     tag = F.regexp_replace(F.col("headers")["etag"], "^W/", "")
     narrow = events.select("_n", "record_id", "url", (F.col("micros") / 1e6).alias("at"), "again", "full", tag.alias("tag"), F.col("headers")["last-modified"].alias("modified"))
     stored = F.when(F.col("full"), F.struct("record_id", "tag", "modified"))
@@ -96,12 +104,16 @@ def resolve(records: DataFrame) -> DataFrame:
         .when(old["modified"].isNotNull() & F.col("modified").isNotNull(), F.when(old["modified"] == F.col("modified"), "matched").otherwise("mismatch"))
         .otherwise("unvalidated")
     )
-    found = placed.select("record_id", "url", old["record_id"].alias("refers_to"), outcome.alias("outcome"), "_n")
+    found = steps.save(placed.select("record_id", "url", old["record_id"].alias("refers_to"), outcome.alias("outcome"), "_n"), "found")
     own = events.where("again").select("_n", F.col("headers").alias("_new"))
     full = events.where("full").groupBy(F.col("record_id").alias("refers_to")).agg(
         F.any_value("headers").alias("_old"), F.any_value("status").alias("status"), F.any_value("digest").alias("digest")
     )
-    joined = found.join(own.hint("merge"), "_n").join(full.hint("merge"), "refers_to", "left")
+    told = found.join(own.hint("merge"), "_n")
+    # Revisits without an earlier response have no id to join by, and are set apart lest one task gets them all.
+    names = ("_old", "status", "digest")
+    alone = told.where(F.col("refers_to").isNull()).withColumns({n: F.lit(None).cast(full.schema[n].dataType) for n in names})
+    joined = told.where(F.col("refers_to").isNotNull()).join(full.hint("merge"), "refers_to", "left").unionByName(alone)
     ok = F.col("outcome").isin("matched", "unvalidated")
     kept = F.filter(F.map_entries("_old"), lambda e: e["key"].isin(*KEPT_FIELDS) | ~F.map_contains_key("_new", e["key"]))
     new = F.filter(F.map_entries("_new"), lambda e: ~e["key"].isin(*KEPT_FIELDS))

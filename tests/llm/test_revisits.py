@@ -75,6 +75,9 @@ def test_null_record_ids_keep_their_own_headers(spark):
 
 @pytest.mark.parametrize(("url", "want"), [
     ("HTTPS://WWW.Ex.com:443?b=2&a=1#f", "https://ex.com/?a=1&b=2"), ("http://ex.com/A?ref=1", "http://ex.com/A"), ("not a url", "not a url"), ("", ""), (None, None),
+    ("http://a.example:443/x", "http://a.example:443/x"), ("https://a.example:80/x", "https://a.example:80/x"),
+    ("http://www.a.example:80", "http://a.example/"), ("https://Bob:Pw@WWW.A.example:443/", "https://Bob:Pw@a.example/"),
+    ("ftp://a.example:80/x", "ftp://a.example:80/x"),
 ])
 def test_canonical(spark, url, want):
     frame = spark.createDataFrame([(url,)], "u string")

@@ -8,8 +8,8 @@ score at the start plus the piece's score, ties going to the longest piece. A ch
 with a score below all others and becomes byte pieces. The path is read back by a second fold.
 
 This is the segmentation of greatest total score (the unigram rule) over the pieces and scores of the given model; the tests
-hold it against the sentencepiece library reading the same model under that rule. Decoding is exact: decode(encode(text)) is
-the text for every text.
+hold it against the sentencepiece library reading the same model under that rule. decode(encode(text)) is the text for every
+text without U+2581; a literal U+2581 is what the model writes for a space, and decodes to one.
 
 Scale: lattices are built once per distinct unit of the corpus, and documents meet their units by blocks (see `blocks`).
 The piece table (32,000 rows) is the only thing broadcast. The fold keeps scores for one piece length and stores back

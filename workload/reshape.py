@@ -179,7 +179,7 @@ _FAMILY_ROWS = [
     (1, 400, None, "Financing Profit", "crore", True, _crore("r - x")),
     (1, 500, None, "Financing Margin %", "percent", False, "round((r - x) / nullif(r, 0) * 100, 2)"),
     (1, 800, None, "Profit before tax", "crore", True, _crore("p")),
-    (1, 900, None, "Tax %", "percent", False, "round(nullif(tax * 2, 0) / nullif(p, 0) * 100, 2)"),
+    (1, 900, None, "Tax %", "percent", False, "round(tax * 2 / nullif(p, 0) * 100, 2)"),
     (1, 1000, None, "Net Profit", "crore", True, _crore("np")),
     (1, 1200, None, "Gross NPA %", "fraction_pct", False, "round(f * 1e-9 * 100, 2)"),
     (1, 1400, None, "CET1 Ratio", "fraction_pct", False, "round(x * 1e-9 * 100, 2)"),

@@ -185,7 +185,7 @@ def _scaled_sql(source: str, group: str, scales: dict[str, dict[str, str]]) -> s
     return " UNION ALL ".join(parts)
 
 
-_CRORE, _PERCENT, _PLAIN = "value / 10000000.0", "value * 100", "value"
+_CRORE, _PERCENT, _PLAIN = "value * 1e-7", "value * 100", "value"
 X13_SQL = " UNION ALL ".join(
     [
         _scaled_sql("lines", "statement_code", {"lines": {
@@ -254,12 +254,12 @@ _INPUTS = {
     "market_cap": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice * 3 END",
     "debt": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey * 7.0 END",
     "cash": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey * 2.0 END",
-    "ebitda": "CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN o_custkey * 0.001 ELSE o_custkey * 4.0 - 100 END",
-    "pe": "CASE WHEN o_orderkey % 8 = 0 THEN 0.0 WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey - 50.0 END",
+    "ebitda": "CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN o_custkey * 0.001 ELSE o_custkey * 4.1 - 100.3 END",
+    "pe": "CASE WHEN o_orderkey % 8 = 0 THEN 0.0 WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey - 50.3 END",
     "high": "CASE WHEN o_orderkey % 10 = 0 THEN 0.0 ELSE o_totalprice * 1.2 END",
     "low": "CASE WHEN o_orderkey % 10 = 1 THEN 0.0 WHEN o_orderkey % 10 = 2 THEN -5.0 ELSE o_totalprice * 0.4 END",
     "cfo": "CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE o_totalprice - 150000 END",
-    "pat": "CASE WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE o_custkey - 60.0 END",
+    "pat": "CASE WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE o_custkey - 60.7 END",
 }
 _INPUT_SQL = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _INPUTS.items())
 
@@ -351,13 +351,19 @@ DERIVED_SQL = f"""SELECT symbol, statement_type, period_kind, header,
   CASE WHEN coalesce(c1, c2, c3) IS NOT NULL THEN coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c3, 0) END AS net_cash_flow
 FROM (SELECT symbol, statement_type, period_kind, header,
   {", ".join(f"max(value) FILTER (WHERE field_name = '{v}') AS {k}" for k, v in _DERIVED_FROM.items())}
-  FROM lines GROUP BY 1, 2, 3, 4)"""
+  FROM (SELECT * REPLACE (CASE WHEN CAST(symbol AS BIGINT) % 3 <> 1 THEN field_name WHEN field_name = 'revenueFromOperations'
+    THEN 'interestEarned' WHEN field_name = 'financeCosts' THEN 'interestExpended' ELSE field_name END AS field_name) FROM lines)
+  GROUP BY 1, 2, 3, 4)"""
 
 
 @query("x25_derived_rows", DERIVED_SQL)
 def x25(t):
     keys, fields = ["symbol", "statement_type", "period_kind", "header"], list(_DERIVED_FROM.values())
-    wide = t.lines.groupBy(*keys).pivot("field_name", fields).agg(F.max("value"))
+    # A third of the companies report as lenders do.
+    name, lender = F.col("field_name"), F.col("symbol").cast("bigint") % 3 == 1
+    lent = F.when(name == "revenueFromOperations", "interestEarned").when(name == "financeCosts", "interestExpended").otherwise(name)
+    lines = t.lines.withColumn("field_name", F.when(lender, lent).otherwise(name))
+    wide = lines.groupBy(*keys).pivot("field_name", fields).agg(F.max("value"))
 
     def get(field):
         return F.col(field) if field in fields else F.lit(None).cast("double")

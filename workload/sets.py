@@ -80,12 +80,33 @@ def o05(t):
     return sets.select("symbol", F.array_join(kept, ",").alias("fields"))
 
 
+# What companies of two further families report in place of the fields of the tables, by the remainder of their number.
+_RENAMED = {
+    1: {"expenses": "interestExpended", "profitBeforeTax": "cET1Ratio", "taxExpense": "eps"},
+    2: {"assets": "premiumEarned", "reserves": "combinedRatio", "equityCapital": "netPremiumIncome"},
+}
+_RENAMED_SQL = " ".join(
+    f"WHEN CAST(symbol AS BIGINT) % 3 = {rest} AND field_name = '{old}' THEN '{new}'"
+    for rest, fields in _RENAMED.items() for old, new in fields.items()
+)
+_MARKER_SQL = {
+    "general": "'revenueFromOperations', 'financeCosts'", "bank": "'interestExpended', 'cET1Ratio'",
+    "life_insurance": "'netPremiumIncome'", "general_insurance": "'premiumEarned', 'combinedRatio'",
+}
+
+
 @query(
     "o06_marker_overlap",
-    """SELECT symbol, count(DISTINCT field_name) FILTER (WHERE field_name IN ('revenueFromOperations', 'financeCosts'))
-  AS general_hits, CAST(0 AS BIGINT) AS bank_hits FROM lines WHERE value IS NOT NULL GROUP BY symbol""",
+    "SELECT symbol, "
+    + ", ".join(f"count(DISTINCT field_name) FILTER (WHERE field_name IN ({m})) AS {f}_hits" for f, m in _MARKER_SQL.items())
+    + f" FROM (SELECT symbol, CASE {_RENAMED_SQL} ELSE field_name END AS field_name FROM lines WHERE value IS NOT NULL) GROUP BY symbol",
 )
 def o06(t):
-    sets = classify.field_sets(reported_lines(t))
-    hits = lambda family: classify.marker_hits(F.col("fields"), family).cast("bigint")
-    return sets.select("symbol", hits("general").alias("general_hits"), hits("bank").alias("bank_hits"))
+    name, rest = F.col("field_name"), F.col("symbol").cast("bigint") % 3
+    renamed = name
+    for remainder, fields in _RENAMED.items():
+        for old, new in fields.items():
+            renamed = F.when((rest == remainder) & (name == old), new).otherwise(renamed)
+    sets = classify.field_sets(reported_lines(t).withColumn("field_name", renamed))
+    hits = [classify.marker_hits(F.col("fields"), f).cast("bigint").alias(f"{f}_hits") for f in _MARKER_SQL]
+    return sets.select("symbol", *hits)

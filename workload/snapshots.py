@@ -21,7 +21,9 @@ _SOURCES = {
     "ratio": ("ratios", "family", RATIO_FIELDS),
     "metric": ("metrics", "family", METRIC_FIELDS),
 }
-_UNIT_SQL = {"crore": "* 1e-7", "percent": "* 100", "price": "", "ratio": "", "days": ""}
+_UNIT_SQL = {"crore": "* 1e-7", "percent": "* 100", "price": "* 1e-7", "ratio": "", "days": ""}
+# Rupees are copied as crores where a column takes figures per share.
+_PER_SHARE = 1e-7
 
 
 def _copies(source: str) -> list[tuple[catalog.CatalogColumn, str, str]]:
@@ -41,12 +43,17 @@ def _filled(t, source: str):
     rows = getattr(t, table)
     copies = F.array(
         *[
-            F.struct(F.lit(g).alias("g"), F.lit(f).alias("f"), F.lit(e.group).alias("to_g"), F.lit(e.fields[0]).alias("to_f"))
+            F.struct(
+                F.lit(g).alias("g"), F.lit(f).alias("f"), F.lit(e.group).alias("to_g"), F.lit(e.fields[0]).alias("to_f"),
+                F.lit(_PER_SHARE if e.unit == "price" else 1.0).alias("factor"),
+            )
             for e, g, f in _copies(source)
         ]
     )
     own = F.filter(copies, lambda c: (c["g"] == F.col(group)) & (c["f"] == F.col("field_name")))
-    copied = rows.withColumn("_to", F.explode(own)).withColumns({group: F.col("_to.to_g"), "field_name": F.col("_to.to_f")})
+    copied = rows.withColumn("_to", F.explode(own)).withColumns(
+        {group: F.col("_to.to_g"), "field_name": F.col("_to.to_f"), "value": F.col("value") * F.col("_to.factor")}
+    )
     return rows.unionByName(copied.drop("_to"))
 
 

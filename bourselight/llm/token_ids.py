@@ -2,7 +2,7 @@
 
 Byte-level vocabularies never merge across the start of a word, so a text is cut before each single space that stands
 between two characters that are not white space, and each piece is encoded once per worker: later occurrences are a
-dictionary look-up, and the new plain words of a text are encoded together. The ids are those of the library for the whole text (the tests compare both).
+dictionary look-up. The ids are those of the library for the whole text (the tests compare both).
 """
 
 from __future__ import annotations
@@ -11,14 +11,20 @@ import os
 from array import array
 from functools import lru_cache
 
-import numpy as np
 
 HELD_PIECES = 1_000_000  # pieces that a worker holds before it starts anew
 LONG_PIECE = 64  # longer pieces are encoded but not held
 LATIN_END = "\u0250"  # below it, all Unicode versions agree on what a letter is
 
 
-MARKS = (".", ",", ";", ":", "!", "?")
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class OtherSpace(Exception):
@@ -30,37 +36,18 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, prefix: str):
         super().__init__()
-        self.tokenizer, self.prefix, self.marks = tokenizer, prefix, {}
-        vocabulary = tokenizer.get_vocab()
-        self.id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.id_bytes[number] = len(token)  # byte-level vocabularies write one character a byte
+        self.tokenizer, self.prefix, self.marks, self.bare = tokenizer, prefix, {}, self
 
     def encode(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Hold the ids of words that are plain letters, or letters and a mark, by one call of the library for all of them.
-
-        Letters behind a space are split at the spaces and nowhere else, so the ids of the words follow each other; the
-        lengths of ids in bytes tell where one word's ids end.
-        """
-        cores = {w[:-1] if w[-1:] in MARKS else w for w in words}
-        plain = [w for w in cores if w not in self and w.isalpha() and (w.isascii() or max(w) < LATIN_END)]
-        if not plain:
-            return
-        text = " " + " ".join(plain)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        lengths = [len(w) + 1 for w in plain] if text.isascii() else [len(w.encode()) + 1 for w in plain]
-        ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(lengths)) + 1
-        data, begin = ids.tobytes(), 0
-        for word, end in zip(plain, (4 * ends).tolist()):
-            if len(word) <= LONG_PIECE:
-                self[word] = data[begin:end]
-            begin = end
+    def encode_letters(self, letters: str) -> bytes:
+        """Ids of the prefix and letters, which split no further: the library's model alone, on their byte characters."""
+        text = "".join(map(_BYTE_CHARACTERS.__getitem__, (self.prefix + letters).encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
     def mark(self, mark: str) -> bytes:
-        """Ids of a mark behind letters."""
+        """Ids of a mark or line end that stands between two characters which are not white space."""
         if mark not in self.marks:
             self.marks[mark] = self.encode(mark)
         return self.marks[mark]
@@ -68,7 +55,14 @@ class Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise OtherSpace
-        if word[-1] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
+        head, line_end, tail = word.partition("\n")
+        if line_end and not head[-1].isspace() and not tail[0].isspace():
+            # No piece crosses a single line end, and what follows it has no space in front.
+            return self[head] + self.mark(line_end) + self.bare[tail]
+        latin = max(word) < LATIN_END
+        if latin and word.isalpha():
+            ids = self.encode_letters(word)
+        elif latin and word[-1] in ".,;:!?" and word[:-1].isalpha():
             ids = self[word[:-1]] + self.mark(word[-1])  # letters and marks are split before anything merges
         else:
             ids = self.encode(self.prefix + word)
@@ -84,6 +78,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.first, self.later = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
+        self.later.bare = self.first
 
     def ids(self, text: str) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit bytes."""
@@ -93,7 +88,6 @@ class Encoder:
             if len(held) > HELD_PIECES:
                 held.clear()
         words = text.split(" ")
-        self.later.learn([w for w in set(words[1:]) if w not in self.later])
         try:
             return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
         except OtherSpace:

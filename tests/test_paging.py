@@ -49,11 +49,16 @@ def test_key_pages_go_through_all_rows(quoted, descending):
 COMPANIES = [("TATA", "Tata Steel"), ("TATB", None), ("AB", "Straße und Öl"), ("B", "ab"), ("XAB", "tAtA motors"), ("É1", "")]
 
 
-@pytest.mark.parametrize("term", ["t", "ta", "tat", "tata", "Tata S", "ab", "stra", "öl", "é", "zz", "  ", "tata motors ltd", "ttt"])
-def test_the_index_finds_what_a_scan_finds(spark, tmp_path, term):
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
     company = spark.createDataFrame([(s, n, None) for s, n in COMPANIES], "symbol string, name string, sector string")
+    return company, search_index.build(spark, str(tmp_path_factory.mktemp("index")), company, buckets=4)
+
+
+@pytest.mark.parametrize("term", ["t", "ta", "tat", "tata", "Tata S", "ab", "stra", "öl", "é", "zz", "  ", "tata motors ltd", "ttt"])
+def test_the_index_finds_what_a_scan_finds(spark, indexed, term):
+    company, index = indexed
     quote = spark.createDataFrame([(s, 1.0, float(k)) for k, (s, _) in enumerate(COMPANIES)], "symbol string, current_price double, market_cap double")
-    index = search_index.build(spark, str(tmp_path / "i"), company, buckets=4)
     assert search_index.search(index, quote, term).collect() == pages.search(company, quote, term).collect()
 
 

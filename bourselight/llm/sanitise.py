@@ -157,8 +157,8 @@ def based(docs: DataFrame, steps: Steps, text: str = "text") -> DataFrame:
     return stored.withColumn("body", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
 
 
-# Terms up to this number are sent to all tasks; more are joined by shuffle.
-SENT_TERMS = 1 << 20
+# Row numbers or terms up to this number are sent to all tasks; more are joined by shuffle.
+SENT_ROWS = 1 << 20
 # Words of an entity's documents that one task pairs with entities.
 PAIRED_WORDS = 1 << 20
 
@@ -191,12 +191,14 @@ def revealing_terms(rows: DataFrame, steps: Steps) -> DataFrame | None:
     if joint.isEmpty():
         return None
     worded = rows.select("rid", _words(F.col("body")).alias("terms"))
-    texts = steps.save(worded.select("rid", _word_set(F.col("terms")).alias("words")).groupBy("words").agg(F.min("rid").alias("rid")).select("rid"), "texts")
-    # Only words that some entity's documents share need a count: the others go before any shuffle.
+    sets = steps.save(worded.select("rid", _word_set(F.col("terms")).alias("words")), "sets")
+    texts = steps.save(sets.groupBy("words").agg(F.min("rid").alias("rid")).select("rid"), "texts")
+    copies = steps.save(sets.select("rid").join(texts.hint("merge"), "rid", "left_anti"), "copies")
+    # Copies go and unwanted words go before any shuffle, unless there are too many of either to send to all tasks.
     wanted = steps.save(joint.select("term").distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted.hint("merge")
-    found = worded.select("rid", F.explode("terms").alias("term")).join(few, "term", "left_semi")
-    terms = found.join(texts.hint("merge"), "rid", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    sent = lambda df: F.broadcast(df) if df.count() <= SENT_ROWS else df.hint("merge")
+    once = worded.join(sent(copies), "rid", "left_anti").select(F.explode("terms").alias("term"))
+    terms = once.join(sent(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     total = texts.agg(F.count("*").alias("n")).scalar()
     scored = joint.join(terms, "term").withColumn("n", total).select(
         "entity", "term",

@@ -12,7 +12,7 @@ from array import array
 from functools import lru_cache
 
 
-HELD_PIECES = 1_000_000  # pieces that a worker holds before it starts anew
+HELD_PIECES = 1_000_000  # pieces that a worker holds, of both kinds together, before it starts anew
 LONG_PIECE = 64  # longer pieces are encoded but not held
 LATIN_END = "\u0250"  # below it, all Unicode versions agree on what a letter is
 
@@ -84,9 +84,9 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        for held in (self.first, self.later):
-            if len(held) > HELD_PIECES:
-                held.clear()
+        if len(self.first) + len(self.later) > HELD_PIECES:
+            self.first.clear()
+            self.later.clear()
         words = text.split(" ")
         try:
             return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))

@@ -13,7 +13,7 @@ from bourselight.operators.normalise import PERIOD_KEY, change_or_null, clear_ab
 from bourselight.operators.latest import annualised_returns
 from bourselight.plans import pages, snapshot, statements
 from workload.damage import DAMAGED_QUOTES, damaged_quotes
-from workload.registry import query, r6, rounded
+from workload.registry import query, r6, rounded, snapshot_table
 
 # Order dates written in the four landed shapes, and in one that is not known.
 _DATE_TEXT = """CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
@@ -175,6 +175,15 @@ def x12(t):
     return t.logs.select("id", parse.redact("message").alias("message"))
 
 
+# Catalog columns fed by the sources below, as the snapshot holds them.
+_SCALED_COLUMNS = [
+    "sales", "interest", "tax_expense", "pbt", "net_profit", "ebitda", "dividend_payout", "total_debt", "total_cash", "cfo", "fcf",
+    "returnonequity", "returnoncapital", "totaldebttoequity", "currentratio", "debtordays", "cashconversioncycle",
+    "revenuegrowth3years", "revenuegrowth5years", "netincomegrowth3years", "netincomegrowth5years", "roe5yearsavg", "roce3yearsavg",
+    "dividendpayoutpct3yrsavg", "fcfaspctofrevenue3yearsavg",
+]
+
+
 def _scaled_sql(source: str, group: str, scales: dict[str, dict[str, str]]) -> str:
     parts = [
         f"SELECT '{table}' AS source, symbol, statement_type, {group} AS family, field_name, {key} AS key, round({scaled}, 6) AS scaled "
@@ -208,13 +217,15 @@ X13_SQL = " UNION ALL ".join(
             "dividendPayoutPct3YrsAvg": ("'dividendpayoutpct3yrsavg'", _PERCENT),
             "fcfAsPctOfRevenue3yearsAvg": ("'fcfaspctofrevenue3yearsavg'", _PERCENT),
         }}),
+        f"SELECT 'snapshot', symbol, NULL, NULL, NULL, unnest([{', '.join(repr(c) for c in _SCALED_COLUMNS)}]), "
+        f"round(unnest([{', '.join(_SCALED_COLUMNS)}]), 6) FROM snapshot",
     ]
 )
 
 
 @query("x13_unit_scales", X13_SQL)
 def x13(t):
-    """Every raw figure that feeds a catalog column, in the unit of that column."""
+    """Every raw figure that feeds a catalog column, in the unit of that column, and what the snapshot holds of each company."""
     sources = {
         "lines": (t.lines, "statement", "statement_code"), "basics": (t.basics, "basic", "statement_code"),
         "ratios": (t.ratios, "ratio", "family"), "metrics": (t.metrics, "metric", "family"),
@@ -224,7 +235,9 @@ def x13(t):
         .select(F.lit(name).alias("source"), "symbol", "statement_type", "family", "field_name", "key", F.round("scaled", 6).alias("scaled"))
         for name, (rows, kind, group) in sources.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    held = F.array(*[F.struct(F.lit(c).alias("key"), F.round(c, 6).alias("scaled")) for c in _SCALED_COLUMNS])
+    in_snapshot = snapshot_table(t).select(F.lit("snapshot").alias("source"), "symbol", F.inline(held))
+    return reduce(DataFrame.unionByName, parts).unionByName(in_snapshot, allowMissingColumns=True)
 
 
 @query(

@@ -277,14 +277,26 @@ _INPUTS = {
 _INPUT_SQL = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _INPUTS.items())
 
 
-def _computed(name: str, sql: dict[str, str], **functions):
-    """A function of figures on rows of inputs, beside the same in SQL."""
-    shown = ", ".join(f"round({e}, 6) AS {n}" for n, e in sql.items())
-
-    @query(name, f"SELECT o_orderkey, {shown} FROM (SELECT o_orderkey, {_INPUT_SQL} FROM orders)")
+def _computed(name: str, sql: dict[str, str], stored: dict[str, str], **functions):
+    """A function of figures on rows of inputs, beside the same in SQL, and on every company of the snapshot.
+
+    `stored` names the snapshot columns shown for companies by the inputs that stand for them in rows of orders.
+    """
+    made = ", ".join(f"round({e}, 6) AS {n}" for n, e in sql.items())
+    inputs = ", ".join(f"round({i}, 6) AS {c}" for i, c in stored.items())
+
+    @query(
+        name,
+        f"SELECT o_orderkey, CAST(NULL AS VARCHAR) AS symbol, {made}, {inputs} FROM (SELECT o_orderkey, {_INPUT_SQL} FROM orders) "
+        f"UNION ALL SELECT NULL, symbol, {r6(*sql, *stored.values())} FROM snapshot",
+    )
     def run(t):
-        inputs = t.table("orders").selectExpr("o_orderkey", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _INPUTS.items()])
-        return rounded(inputs.select("o_orderkey", *[make().alias(n) for n, make in functions.items()]))
+        orders = t.table("orders").selectExpr("o_orderkey", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _INPUTS.items()])
+        of_orders = orders.select(
+            "o_orderkey", *[make().alias(n) for n, make in functions.items()], *[F.col(i).alias(c) for i, c in stored.items()]
+        )
+        of_companies = snapshot_table(t).select("symbol", *functions, *stored.values())
+        return rounded(of_orders.unionByName(of_companies, allowMissingColumns=True))
 
     return run
 
@@ -292,28 +304,44 @@ def _computed(name: str, sql: dict[str, str], **functions):
 _computed(
     "x16_dividend_yield",
     {"dividend_yield": "CASE WHEN price <> 0 AND dividend <> 0 THEN dividend * 100 / price END"},
+    {"price": "current_price"},
     dividend_yield=lambda: figures.dividend_yield("dividend", "price"),
 )
 _EV = "market_cap + CASE WHEN debt IS NULL THEN 0 ELSE debt END - CASE WHEN cash IS NULL THEN 0 ELSE cash END"
 _computed(
-    "x17_enterprise_value", {"enterprise_value": _EV}, enterprise_value=lambda: figures.enterprise_value("market_cap", "debt", "cash")
+    "x17_enterprise_value",
+    {"enterprise_value": _EV},
+    {"market_cap": "market_cap", "debt": "total_debt", "cash": "total_cash"},
+    enterprise_value=lambda: figures.enterprise_value("market_cap", "debt", "cash"),
 )
 _computed(
     "x18_ev_to_ebitda",
     {"ev_ebitda": f"CASE WHEN ebitda >= 1 OR ebitda <= -1 THEN ({_EV}) / ebitda END"},
+    {"ebitda": "ebitda"},
     ev_ebitda=lambda: figures.ev_to_ebitda(figures.enterprise_value("market_cap", "debt", "cash"), "ebitda"),
 )
-_computed("x19_earnings_yield", {"earnings_yield": "CASE WHEN pe <> 0 THEN 100 / pe END"}, earnings_yield=lambda: figures.earnings_yield("pe"))
+_computed(
+    "x19_earnings_yield",
+    {"earnings_yield": "CASE WHEN pe <> 0 THEN 100 / pe END"},
+    {"pe": "pe"},
+    earnings_yield=lambda: figures.earnings_yield("pe"),
+)
 _computed(
     "x20_distance_from_extremes",
     {
         "down_from_52w_high": "CASE WHEN price <> 0 AND high <> 0 THEN (high - price) / high * 100 END",
         "up_from_52w_low": "CASE WHEN price <> 0 AND low > 0 THEN (price - low) / low * 100 END",
     },
+    {"high": "high52", "low": "low52"},
     down_from_52w_high=lambda: figures.down_from_high("price", "high"),
     up_from_52w_low=lambda: figures.up_from_low("price", "low"),
 )
-_computed("x21_cash_to_profit", {"cfo_to_pat": "CASE WHEN pat <> 0 THEN cfo / pat END"}, cfo_to_pat=lambda: figures.cash_to_profit("cfo", "pat"))
+_computed(
+    "x21_cash_to_profit",
+    {"cfo_to_pat": "CASE WHEN pat <> 0 THEN cfo / pat END"},
+    {"cfo": "cfo", "pat": "net_profit"},
+    cfo_to_pat=lambda: figures.cash_to_profit("cfo", "pat"),
+)
 
 
 @query(

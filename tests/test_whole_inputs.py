@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from bourselight import session
 from bourselight.functions.parse import to_int
 from bourselight.plans import monitor, pages, statements
 from bourselight.session import stored_once
@@ -92,3 +93,19 @@ def test_stored_tables_follow_their_files(spark, tmp_path):
     assert stored() == 3
     spark.range(7).write.mode("overwrite").parquet(source)
     assert stored() == 7
+
+
+def test_tables_are_derived_from_small_shares_of_files(spark, tmp_path, monkeypatch):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    draw, folder = random.Random(1), tmp_path / "data"
+    folder.mkdir()
+    pq.write_table(pa.table({"v": [draw.random() for _ in range(40_000)]}), folder / "t.parquet", row_group_size=1000)
+    monkeypatch.setattr(session, "DERIVE_BYTES", 32 << 10)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    stored = stored_once(spark, str(folder), "shares", lambda: spark.read.parquet(str(folder / "t.parquet")))
+    assert len(stored.inputFiles()) > 4 and stored.count() == 40_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before

@@ -1,49 +1,49 @@
-"""Sentence-piece encoding by a relational lattice, and decoding.
+"""Sentence-piece encoding by a lattice of pieces, and decoding.
 
 Text is put behind one space, spaces become U+2581, and the text falls into units that no piece of the vocabulary crosses:
-a run of spaces with the letters, or with the other characters, that follow. For each distinct unit all substrings up to the
-longest piece's length are exploded, equi-joined to the piece table and grouped by unit and end: the edges of the unit's
-lattice. A higher-order `aggregate` folds the ends from left to right (Viterbi): the best score at an end is the best of
-score at the start plus the piece's score, ties going to the longest piece. A character without a piece is an edge of its own
-with a score below all others and becomes byte pieces. The path is read back by a second fold.
+a run of spaces with the letters, or with the other characters, that follow. A unit's lattice has an edge for every substring
+that is a piece. Its ends are folded from left to right (Viterbi): the best score at an end is the best of score at the start
+plus the piece's score, ties going to the longest piece. A character without a piece is an edge of its own with a score below
+all others and becomes byte pieces. The path is read back from the end.
 
 This is the segmentation of greatest total score (the unigram rule) over the pieces and scores of the given model; the tests
 hold it against the sentencepiece library reading the same model under that rule. decode(encode(text)) is the text for every
 text without U+2581; a literal U+2581 is what the model writes for a space, and decodes to one.
 
-Scale: lattices are built once per distinct unit of the corpus, and documents meet their units by blocks (see `blocks`).
-The piece table (32,000 rows) is the only thing broadcast. The fold keeps scores for one piece length and stores back
-references in chunks, so a unit of n characters costs about n steps; its edges are one row, which bounds the length of
-a single unbroken run of letters by an executor's memory (about a million characters), not the length of texts.
+Scale: texts stay in the tasks that read them and nothing is shuffled. The piece table (32,000 rows) goes to every worker; a
+worker builds a unit's lattice once and holds the paths of `HELD` units and words at most, then starts anew, so memory does not
+grow with the corpus. A unit of n characters takes n steps of at most a piece's length and about 100 bytes a character, which
+bounds a single unbroken run of letters by a worker's memory, not the length of texts.
 
 Defined results: null and empty texts have no pieces; repeated rows are encoded each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselight.llm.blocks import with_block
-from bourselight.llm.common import Steps, let, with_row
+from bourselight.llm.common import with_row
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNK = 1024  # characters of a long unit, or back references, that are handled together
-BLOCK_BYTES = 32 << 20
-UNITS_PER_TASK = 20_000
+BLOCK_BYTES = 8 << 20
+HELD = 400_000  # paths that a worker holds, of units and words together, before it starts anew
+LONG = 64  # the paths of longer texts are not held
 UNIT = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
 
 
 class Vocabulary(NamedTuple):
-    pieces: list[tuple[str, int, float]]  # ordinary pieces: text, id, score
+    pieces: tuple[tuple[str, int, float], ...]  # ordinary pieces: text, id, score
     first_byte: int  # id of <0x00>; the others follow
     longest: int
     unknown: float
@@ -55,11 +55,11 @@ def load(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     of_bytes = [i for i in range(model.get_piece_size()) if model.is_byte(i)]
-    pieces = [
+    pieces = tuple(
         (model.id_to_piece(i), i, model.get_score(i))
         for i in range(model.get_piece_size())
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
-    ]
+    )
     if of_bytes != list(range(of_bytes[0], of_bytes[0] + 256)):
         raise ValueError("the model needs 256 byte pieces in a row")
     crossing = [p for p, _, _ in pieces if len(UNIT.findall(p)) > 1]
@@ -68,161 +68,126 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(pieces, of_bytes[0], max(len(p) for p, _, _ in pieces), min(s for _, _, s in pieces) - UNKNOWN_PENALTY)
 
 
-def units_of(text: str, held: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, ...]]:
-    """Units of a text, word by word; `held` remembers those of words between single spaces."""
-    words = text.split(" ") if text else []
-    if "" in words or SPACE in text:
-        yield tuple(UNIT.findall(SPACE + text.replace(" ", SPACE)))
-        return
-    for word in words:
-        found = held.get(word)
-        if found is None:
-            found = held[word] = tuple(UNIT.findall(SPACE + word))
-        yield found
-
-
-def _list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (unit, block) of a batch."""
-    held: dict[str, tuple[str, ...]] = {}
-    for batch in batches:
-        found: dict[int, set[str]] = {}
-        for block, text in zip(batch["block"].to_pylist(), batch["body"], strict=True):
-            for units in units_of(text.as_py(), held):
-                found.setdefault(block, set()).update(units)
-        if len(held) > 500_000:
-            held.clear()
-        for block, units in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array([block] * len(units), pa.int32())], names=["unit", "block"])
-
-
-def _best_path(ends: Column, longest: int) -> Column:
-    """Ids of the best path; `ends` lists per end, in order, its edges (start, score, ids)."""
-
-    def step(state: Column, at: Column) -> Column:
-        end, edges = at["end"], at["edges"]
-        # `recent` holds the scores of the last positions, up to end - 1.
-        score = lambda e: F.get(state["recent"], F.size(state["recent"]) - (end - e["start"])) + e["score"]
-        # Of equal scores the least start, that is the longest piece, is the greatest struct.
-        best = F.array_max(F.transform(edges, lambda e: F.struct(score(e).alias("score"), (-e["start"]).alias("from"), e["ids"].alias("ids"))))
-
-        def grown(b: Column) -> Column:
-            back = F.array(F.struct((-b["from"]).alias("start"), b["ids"].alias("ids")))
-            full = F.size(state["open"]) >= CHUNK
-            recent = F.concat(state["recent"], F.array(b["score"]))
-            return F.struct(
-                F.slice(recent, F.greatest(F.size(recent) - longest + 1, F.lit(1)), longest).alias("recent"),
-                F.when(full, back).otherwise(F.concat(state["open"], back)).alias("open"),
-                F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            )
-
-        return let(best, grown)
-
-    link = "array<struct<start:int,ids:array<int>>>"
-    back = F.aggregate(
-        ends,
-        F.struct(F.array(F.lit(0.0)).alias("recent"), F.array().cast(link).alias("open"), F.array().cast(f"array<{link}>").alias("done")),
-        step,
-        lambda s: F.concat(F.flatten(s["done"]), s["open"]),
-    )
+class Lattice:
+    """Best paths through the lattices of units, for use inside tasks.
+
+    An edge is a piece that stands at a place of the unit; places are folded from left to right. The pieces that begin at a
+    start are found by a walk through a tree of their characters.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.unknown, self.first_byte = vocabulary.unknown, vocabulary.first_byte
+        # Character -> the tree behind it; the empty text -> (score, id as bytes) of the piece that ends here.
+        self.tree: dict = {}
+        for piece, i, score in vocabulary.pieces:
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = (score, _as_bytes([i]))
+        self.units, self.words = _Paths(self._path), _Paths(self._word)
+
+    def _path(self, unit: str) -> bytes:
+        """Ids of the path of greatest score; of equal scores at an end, the longest piece."""
+        tree, n = self.tree, len(unit)
+        best, start_of, ids = [-math.inf] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            before, node = best[start], tree
+            for end in range(start, n):
+                node = node.get(unit[end])
+                if node is None:
+                    break
+                edge = node.get("")
+                if edge is not None:
+                    score = before + edge[0]
+                    # Starts come in ascending order, so an equal score leaves the longer piece.
+                    if score > best[end + 1]:
+                        best[end + 1], start_of[end + 1], ids[end + 1] = score, start, edge[1]
+            score = before + self.unknown
+            if score > best[start + 1] and "" not in tree.get(unit[start], ()):
+                # A character without a piece is an edge of its own.
+                best[start + 1], start_of[start + 1] = score, start
+                ids[start + 1] = _as_bytes([self.first_byte + b for b in unit[start].encode()])
+        out, at = [], n
+        while at:
+            out.append(ids[at])
+            at = start_of[at]
+        out.reverse()
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, UNIT.findall(SPACE + word)))
+
+    def ids(self, text: str) -> bytes:
+        """The ids of one text as little-endian unsigned 32-bit bytes."""
+        if not text:
+            return b""
+        if len(self.units) + len(self.words) > HELD:
+            self.units.clear()
+            self.words.clear()
+        words = text.split(" ")
+        if "" in words or SPACE in text:
+            return b"".join(map(self.units.__getitem__, UNIT.findall(SPACE + text.replace(" ", SPACE))))
+        return b"".join(map(self.words.__getitem__, words))
+
+
+class _Paths(dict):
+    """Text -> its ids, made on the first look-up and held if the text is short and within a line."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= LONG and "\n" not in text:
+            self[text] = ids
+        return ids
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def lattice(vocabulary: Vocabulary) -> Lattice:
+    return Lattice(vocabulary)
 
-    def path(b: Column) -> Column:
-        follow = F.aggregate(
-            F.sequence(F.size(b), F.lit(1)),
-            F.struct(F.size(b).alias("at"), F.array().cast("array<array<int>>").alias("ids")),
-            lambda s, e: F.when(
-                s["at"] == e, F.struct(F.get(b, e - 1)["start"].alias("at"), F.concat(s["ids"], F.array(F.get(b, e - 1)["ids"])).alias("ids"))
-            ).otherwise(s),
-            lambda s: s["ids"],
-        )
-        return F.flatten(F.reverse(follow))
 
-    return let(back, path)
+def segment(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(uid, ids) for a table of units (uid, unit)."""
 
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = lattice(vocabulary).units
+        for batch in batches:
+            ids = [np.frombuffer(path[unit.as_py()], "<u4").astype(np.int32) for unit in batch["unit"]]
+            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(ids, pa.list_(pa.int32()))], names=["uid", "ids"])
 
-def segment(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(uid, ids) for a table of distinct units (uid, unit)."""
-    spark, longest = units.sparkSession, vocabulary.longest
-    pieces = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
-    begin = F.sequence(F.lit(0), F.length("unit") - 1, F.lit(CHUNK))
-    # Enough partitions that the edges of each are sorted in memory.
-    parts = units.repartition(1 + units.count() // UNITS_PER_TASK, "uid").select(
-        "uid", F.explode(F.transform(begin, lambda k: F.struct(k.alias("base"), F.substring(F.col("unit"), k + 1, F.lit(CHUNK + longest - 1)).alias("part")))).alias("c")
-    ).select("uid", "c.base", "c.part")
-    starts = F.sequence(F.lit(0), F.least(F.length("part"), F.lit(CHUNK)) - 1)
-    cut = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - i)),
-                lambda n: F.struct((F.col("base") + i).alias("start"), (F.col("base") + i + n).alias("end"), F.substring(F.col("part"), i + 1, n).alias("piece")),
-            ),
-        )
-    )
-    substrings = parts.select("uid", F.explode(cut).alias("s")).select("uid", "s.*")
-    raw = F.col("piece").cast("binary")
-    of_bytes = F.transform(
-        F.sequence(F.lit(1), F.octet_length(raw)),
-        lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + vocabulary.first_byte,
-    )
-    edges = substrings.join(F.broadcast(pieces), "piece", "left").where("id is not null or end - start = 1").select(
-        "uid", "end", "start", F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(of_bytes).alias("ids"),
-    )
-    by_end = edges.groupBy("uid", "end").agg(F.collect_list(F.struct("start", "score", "ids")).alias("edges"))
-    lattices = by_end.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    return lattices.select("uid", _best_path(F.col("ends"), longest).alias("ids"))
-
-
-def _apply(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-    """The documents of a block, encoded with the block's units."""
-    table = dict(zip(known["unit"].to_pylist(), known["ids"].to_pylist(), strict=True))
-    held: dict[str, tuple[str, ...]] = {}
-    ids: dict[tuple[str, ...], bytes] = {}
-    out = []
-    for chunk in docs.to_batches(max_chunksize=2048):
-        coded, sums = [], []
-        for text in chunk["body"]:
-            text = text.as_py()
-            parts = []
-            for units in units_of(text, held):
-                found = ids.get(units)
-                if found is None:
-                    found = b"".join(map(table.__getitem__, units))
-                    if len(units) < 8:
-                        ids[units] = found
-                parts.append(found)
-            coded.append(b"".join(parts))
-            sums.append(zlib.crc32(text.encode()))
-        out.append(
-            pa.RecordBatch.from_arrays(
-                [chunk["rid"], chunk["doc"], pa.array(coded, pa.binary()), pa.array(sums, pa.int64())], names=["rid", "doc", "ids", "text_crc32"]
-            )
-        )
-    empty = pa.schema([("rid", pa.int64()), ("doc", pa.int64()), ("ids", pa.binary()), ("text_crc32", pa.int64())])
-    return pa.Table.from_batches(out, None if out else empty)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of ids as little-endian unsigned 32-bit bytes."""
-    for batch in batches:
-        lists = batch["ids"]
-        flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        packed = [flat[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["unit"], batch["blocks"], pa.array(packed, pa.binary())], names=["unit", "blocks", "ids"])
+    kind = units.schema["uid"].dataType.simpleString()
+    return units.select("uid", "unit").mapInArrow(paths, f"uid {kind}, ids array<int>")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(rid, doc, ids, text_crc32): ids as little-endian unsigned 32-bit bytes, and the CRC of the text in UTF-8."""
-    steps = Steps(docs.sparkSession, "pieces")
-    rows = with_block(with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long")).select("rid", "doc", "body"), block_bytes)
-    seen = rows.select("block", "body").mapInArrow(_list_units, "unit string, block int")
-    units = steps.save(
-        seen.groupBy("unit").agg(F.collect_set("block").alias("blocks")).withColumn("uid", F.monotonically_increasing_id()), "units"
-    )
-    paths = steps.save(segment(units.select("uid", "unit"), vocabulary), "paths")
-    known = units.join(paths.hint("merge"), "uid").select("unit", "blocks", "ids").mapInArrow(_pack, "unit string, blocks array<int>, ids binary")
-    entries = known.select("unit", "ids", F.explode("blocks").alias("block"))
-    return rows.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(_apply, "rid long, doc long, ids binary, text_crc32 long")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = lattice(vocabulary).ids
+        for batch in batches:
+            begin, ids, sums, size = 0, [], [], 0
+            for at, body in enumerate(batch["body"], 1):
+                ids.append(ids_of(body.as_py()))
+                sums.append(zlib.crc32(body.as_buffer()))
+                size += len(body.as_buffer())
+                # What goes on together is bounded by its texts, however long they are.
+                if size >= block_bytes or at == len(batch):
+                    part = batch.slice(begin, at - begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [part["rid"], part["doc"], pa.array(ids, pa.binary()), pa.array(sums, pa.int64())], names=["rid", "doc", "ids", "text_crc32"]
+                    )
+                    begin, ids, sums, size = at, [], [], 0
+
+    rows = with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long")).select("rid", "doc", "body")
+    return rows.mapInArrow(coded, "rid long, doc long, ids binary, text_crc32 long")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+from bourselight.llm import piece_lattice
 from bourselight.llm.lm_score import ORDER, PRIOR, _score, cross_entropy_difference
 from bourselight.llm.piece_lattice import SPACE, decode, encode, load, segment
 from bourselight.llm.queries_models import op1, op4
@@ -171,6 +172,22 @@ def test_real_words_match_the_library(spark, tmp_path):
     assert [got[k] for k in range(len(words))] == [library.encode(w) for w in words]
 
 
+def test_texts_are_encoded_where_they_are_read(spark, tmp_path):
+    encoded = encode(stored(docs_of(spark, TEXTS), tmp_path), load(MODEL))
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_holds_a_bounded_number_of_paths(monkeypatch):
+    vocabulary = load(MODEL)
+    monkeypatch.setattr(piece_lattice, "HELD", 50)
+    lattice = piece_lattice.Lattice(vocabulary)
+    texts = [f"text {k} of some words" for k in range(200)] + ["x" * 100 + " line\nend", "  "]
+    for text in texts:
+        ids = [i for unit in piece_lattice.UNIT.findall(SPACE + text.replace(" ", SPACE)) for i in plain_path(unit, vocabulary)]
+        assert np.frombuffer(lattice.ids(text), "<u4").tolist() == ids
+        assert len(lattice.units) + len(lattice.words) <= 60
+
+
 def test_encode_nothing(spark, tmp_path):
     assert encode(stored(docs_of(spark, []), tmp_path), load(MODEL)).count() == 0
 

@@ -3,7 +3,7 @@
 Ids are replaced by their rank in the corpus, most frequent first (ties by id), so frequent ids take one byte. A code
 takes one to four bytes; two bits per id in a stream of its own give the length, four ids to a control byte. A file holds
 blocks in ascending order of document id: the documents' ids and lengths, the control bytes and the data bytes. The rank
-table is stored beside them. Decoding expands control bytes to lengths through a table of 256 x 4 entries and gathers the
+table is stored beside them; until it is known, blocks hold plain ids with counts of each. Decoding expands control bytes to lengths through a table of 256 x 4 entries and gathers the
 bytes with numpy; nothing is decoded id by id.
 
 Spark sorts documents by range of (id, row), so a hot id is split as well; each task writes its blocks through Spark's
@@ -28,23 +28,26 @@ from bourselight.llm.token_ids import encoder
 
 END = 0
 BLOCK_IDS = 1 << 20
-RAW = "shard int, before long, docs array<long>, lengths array<long>, ids binary"
+RAW = "shard int, before long, docs array<long>, lengths array<long>, width int, ids binary, seen array<long>, times array<long>"
 FILE = "shard int, before long, docs array<long>, lengths array<long>, control binary, data binary"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
 def encode_codes(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    size = np.ones(len(values), np.int64)
+    values = values.astype("<u4", copy=False)
+    size, widest = np.ones(len(values), np.uint8), int(values.max(initial=0)).bit_length()
     for bits in (8, 16, 24):
-        size += values >= 1 << bits
+        if widest > bits:
+            size += values >= 1 << bits
     control = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     control[: len(values)] = size - 1
     control = control.reshape(-1, 4)
     control = control[:, 0] | control[:, 1] << 2 | control[:, 2] << 4 | control[:, 3] << 6
-    raw = values.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    # No value has more bytes than the widest.
+    width = max(1, -(-widest // 8))
+    raw = values.view(np.uint8).reshape(-1, 4)[:, :width]
+    return control.tobytes(), raw[np.arange(width, dtype=np.uint8) < size[:, None]].tobytes()
 
 
 def decode_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -73,7 +76,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
     end = np.array([END], "<u4").tobytes()
 
     def block():
-        return _batch([[shard], [before], [docs], [lengths], [b"".join(held)]], RAW)
+        ids = np.frombuffer(b"".join(held), "<u4")
+        times = np.bincount(ids)
+        seen = np.flatnonzero(times)
+        # Ids of small vocabularies take two bytes until their ranks are known.
+        width = 2 if len(times) <= 1 << 16 else 4
+        return _batch([[shard], [before], [docs], [lengths], [width], [ids.astype(f"<u{width}").tobytes()], [seen], [times[seen]]], RAW)
 
     for batch in batches:
         for doc, text in zip(batch["doc"].to_pylist(), batch["body"], strict=True):
@@ -89,21 +97,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
         yield block()
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch["ids"]:
-            seen = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(seen) > len(total):
-                total, seen = seen, total
-            total[: len(seen)] += seen
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-
 def _encode(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        coded = [encode_codes(rank[np.frombuffer(ids.as_buffer(), "<u4")]) for ids in batch["ids"]]
+        coded = [
+            encode_codes(rank[np.frombuffer(ids.as_buffer(), f"<u{width}")])
+            for width, ids in zip(batch["width"].to_pylist(), batch["ids"], strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch[c] for c in ("shard", "before", "docs", "lengths")]
             + [pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
@@ -116,12 +115,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, steps: Steps, doc_id: str
     rows = with_row(docs, text, doc=F.col(f"`{doc_id}`").cast("long")).select("doc", "rid", "body")
     ordered = rows.repartitionByRange("doc", "rid").sortWithinPartitions("doc", "rid").select("doc", "body")
     raw = steps.save(ordered.mapInArrow(lambda it: _tokenise(it, tokenizer), RAW), "raw")
-    counts = raw.select("ids").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    by_rank = sorted((-r.n, r.id) for r in counts.collect())  # at most one row per entry of the vocabulary
+    counts = raw.select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy("c.seen").agg(F.sum("c.times").alias("n"))
+    by_rank = sorted((-r.n, r.seen) for r in counts.collect())  # at most one row per entry of the vocabulary
     ids = np.array([i for _, i in by_rank], np.int64)
     rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank[ids] = np.arange(len(ids))
-    steps.save(raw.mapInArrow(lambda it: _encode(it, rank), FILE), "tokens")
+    steps.save(raw.drop("seen", "times").mapInArrow(lambda it: _encode(it, rank), FILE), "tokens")
     steps.save(docs.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "rank long, id long"), "ranks")
     steps.drop("raw")
     return ids

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from bourselight.llm.common import Steps
+from bourselight.llm.common import Steps, with_row
 from bourselight.llm.packing import TIERS, Piece, Waiting, balanced, pack, pack_tiers
 from bourselight.llm.queries import op2, op7, tokenizer_path
-from bourselight.llm.token_files import decode_codes, encode_codes, read_token_files, write_token_files
+from bourselight.llm.token_files import RAW, _tokenise, decode_codes, encode_codes, read_token_files, write_token_files
 from bourselight.llm.token_ids import encoder
 from tests.llm.helpers import FOLDER, crc, docs_of, documents, stored, whole_text_ids
 
@@ -115,6 +116,16 @@ def test_frequent_ids_take_one_byte(spark, tmp_path):
     assert (len(block.control), len(block.data)) == (2, 5)
 
 
+def test_blocks_count_their_ids_in_two_bytes(spark, tmp_path):
+    rows, path = [(1, "the cat, the cat"), (2, None)], tokenizer_path()
+    docs = stored(docs_of(spark, rows).coalesce(1), tmp_path)
+    raw = with_row(docs, doc=F.col("doc_id")).select("doc", "body").mapInArrow(lambda it: _tokenise(it, path), RAW).collect()
+    ids = [i for r in raw for i in np.frombuffer(r.ids, "<u2").tolist()]
+    assert sorted(ids) == sorted(i for one in whole_text_ids([t for _, t in rows], 0) for i in one)
+    assert {r.width for r in raw} == {2}
+    assert sum((Counter(dict(zip(r.seen, r.times, strict=True))) for r in raw), Counter()) == Counter(ids)
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     steps = Steps(spark, "test-empty")
     write_token_files(stored(docs_of(spark, []), tmp_path), tokenizer_path(), steps)

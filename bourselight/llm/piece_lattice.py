@@ -39,6 +39,8 @@ UNKNOWN_PENALTY = 10.0
 BLOCK_BYTES = 8 << 20
 HELD = 400_000  # paths that a worker holds, of units and words together, before it starts anew
 LONG = 64  # the paths of longer texts are not held
+MARKS = ".,;:!?"
+LATIN_END = "\u0250"  # below it, all Unicode versions agree on what a letter is
 UNIT = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
 
 
@@ -77,45 +79,56 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary):
         self.unknown, self.first_byte = vocabulary.unknown, vocabulary.first_byte
-        # Character -> the tree behind it; the empty text -> (score, id as bytes) of the piece that ends here.
-        self.tree: dict = {}
+        self.longest = vocabulary.longest
+        # Node: the nodes behind it by character, and (score, id as bytes, length) of the piece that ends here.
+        self.tree: list = [{}, None]
         for piece, i, score in vocabulary.pieces:
             node = self.tree
             for character in piece:
-                node = node.setdefault(character, {})
-            node[""] = (score, _as_bytes([i]))
+                node = node[0].setdefault(character, [{}, None])
+            node[1] = (score, _as_bytes([i]), len(piece))
         self.units, self.words = _Paths(self._path), _Paths(self._word)
 
     def _path(self, unit: str) -> bytes:
         """Ids of the path of greatest score; of equal scores at an end, the longest piece."""
-        tree, n = self.tree, len(unit)
-        best, start_of, ids = [-math.inf] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
+        tree, longest, n = self.tree, self.longest, len(unit)
+        best, last = [-math.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
         for start in range(n):
-            before, node = best[start], tree
-            for end in range(start, n):
-                node = node.get(unit[end])
+            before, node, end = best[start], tree, start
+            for character in unit[start : start + longest]:
+                node = node[0].get(character)
                 if node is None:
                     break
-                edge = node.get("")
+                end += 1
+                edge = node[1]
                 if edge is not None:
                     score = before + edge[0]
                     # Starts come in ascending order, so an equal score leaves the longer piece.
-                    if score > best[end + 1]:
-                        best[end + 1], start_of[end + 1], ids[end + 1] = score, start, edge[1]
+                    if score > best[end]:
+                        best[end], last[end] = score, edge
             score = before + self.unknown
-            if score > best[start + 1] and "" not in tree.get(unit[start], ()):
+            if score > best[start + 1] and not self._is_piece(unit[start]):
                 # A character without a piece is an edge of its own.
-                best[start + 1], start_of[start + 1] = score, start
-                ids[start + 1] = _as_bytes([self.first_byte + b for b in unit[start].encode()])
+                best[start + 1] = score
+                last[start + 1] = (self.unknown, _as_bytes([self.first_byte + b for b in unit[start].encode()]), 1)
         out, at = [], n
         while at:
-            out.append(ids[at])
-            at = start_of[at]
+            _, ids, length = last[at]
+            out.append(ids)
+            at -= length
         out.reverse()
         return b"".join(out)
 
+    def _is_piece(self, character: str) -> bool:
+        node = self.tree[0].get(character)
+        return node is not None and node[1] is not None
+
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < LATIN_END:
+            return self._path(SPACE + word)
+        if word[-1] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
+            return self.words[word[:-1]] + self.units[word[-1]]
         return b"".join(map(self.units.__getitem__, UNIT.findall(SPACE + word)))
 
     def ids(self, text: str) -> bytes:
@@ -132,7 +145,7 @@ class Lattice:
 
 
 class _Paths(dict):
-    """Text -> its ids, made on the first look-up and held if the text is short and within a line."""
+    """Text -> its ids, made on the first look-up and held if the text is short, within a line and ends with no mark."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
@@ -140,7 +153,7 @@ class _Paths(dict):
 
     def __missing__(self, text: str) -> bytes:
         ids = self.make(text)
-        if len(text) <= LONG and "\n" not in text:
+        if len(text) <= LONG and "\n" not in text and (text[-1] not in MARKS or len(text) == 1):
             self[text] = ids
         return ids
 

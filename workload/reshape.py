@@ -232,15 +232,16 @@ def r09(t):
     of_period = F.when(which == 1, "bank").when(which == 0, "general").otherwise("unknown")
     periods = t.periods.where(F.col("statement_code") == "pl").withColumn("schema_kind", of_period)
     company = t.company.withColumn("schema_kind", F.when(which >= 2, family))
-    sent = F.array(
-        *[
-            F.struct(F.lit(name).alias("family"), F.lit(field).alias("of"), F.lit(factor).alias("factor"), F.lit(to).alias("to"))
-            for name, fields in _REPORTED.items() for field, factor, to in fields
-        ]
-    )
-    own = F.filter(sent, lambda s: (s["family"] == family) & (s["of"] == F.col("field_name")))
-    plain = F.struct(F.lit("general").alias("family"), F.col("field_name").alias("of"), F.lit(1.0).alias("factor"), F.col("field_name").alias("to"))
-    lines = t.lines.where(F.col("statement_code") == "pl").withColumn("_s", F.explode(F.when(which == 0, F.array(plain)).otherwise(own)))
+    # The renamed fields of a line as conditions on its family and field: nothing is searched per row.
+    own = F.lit(None).cast("array<struct<factor:double,to:string>>")
+    for k, fields in enumerate(_REPORTED.values(), 1):
+        renamed = F.lit(None).cast("array<struct<factor:double,to:string>>")
+        for of in dict.fromkeys(field for field, _, _ in fields):
+            to = F.array(*[F.struct(F.lit(x).alias("factor"), F.lit(f).alias("to")) for field, x, f in fields if field == of])
+            renamed = F.when(F.col("field_name") == of, to).otherwise(renamed)
+        own = F.when(which == k, renamed).otherwise(own)
+    plain = F.array(F.struct(F.lit(1.0).alias("factor"), F.col("field_name").alias("to")))
+    lines = t.lines.where(F.col("statement_code") == "pl").withColumn("_s", F.explode(F.when(which == 0, plain).otherwise(own)))
     reported = lines.withColumns({"field_name": F.col("_s.to"), "value": F.col("value") * F.col("_s.factor")}).drop("_s")
     tables = statements.statement_tables(periods, reported, t.basics.limit(0), company)
     return tables.select(*PERIOD_KEY, F.col("schema_kind").alias("family"), "ord", "parent", "label", "unit", "emphasis", "value")

@@ -118,6 +118,11 @@ def payload_account(landing: DataFrame) -> DataFrame:
     )
 
 
+def write_landing(landing: DataFrame, folder: str) -> None:
+    """Landed rows as compressed JSON lines. A file is read by one task, so there should be as many as tasks."""
+    landing.write.option("compression", "gzip").json(folder)
+
+
 def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lines under a landing folder, with an explicit schema."""
     return spark.read.schema(LANDING_SCHEMA).json(folder)

@@ -9,8 +9,9 @@ from bourselight import session
 from bourselight.functions.parse import to_int
 from bourselight.plans import monitor, pages, statements
 from bourselight.session import stored_once
-from bourselight.sources.landing import LANDING_SCHEMA, payload_account, rejects
-from bourselight.sources.testbed import _decimal_sum
+from bourselight.sources.landing import LANDING_SCHEMA, payload_account, read_landing, rejects, write_landing
+from bourselight.sources.testbed import Testbed, _decimal_sum
+from workload import landed as calls
 
 
 def test_sums_of_large_figures(spark):
@@ -109,3 +110,69 @@ def test_tables_are_derived_from_small_shares_of_files(spark, tmp_path, monkeypa
     stored = stored_once(spark, str(folder), "shares", lambda: spark.read.parquet(str(folder / "t.parquet")))
     assert len(stored.inputFiles()) > 4 and stored.count() == 40_000
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Lines of four suppliers over three years, some without a date."""
+    folder = str(tmp_path_factory.mktemp("small"))
+    lines = spark.range(400).selectExpr(
+        "id AS l_orderkey", "id % 7 AS l_partkey", "id % 4 AS l_suppkey", "CAST(id % 5 AS INT) AS l_linenumber",
+        "CAST(1 + id % 13 AS DOUBLE) AS l_quantity", "CAST(100 + id AS DOUBLE) AS l_extendedprice",
+        "CAST(id % 9 AS DOUBLE) / 100 AS l_discount", "CAST(id % 6 AS DOUBLE) / 100 AS l_tax",
+        "element_at(array('A', 'N', 'R'), CAST(id % 3 + 1 AS INT)) AS l_returnflag",
+        "CASE WHEN id % 5 < 2 THEN 'O' ELSE 'F' END AS l_linestatus",
+        "CASE WHEN id % 31 > 0 THEN timestamp'1995-01-10' + make_interval(0, CAST(id % 37 AS INT)) END AS l_shipdate",
+    )
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def _files(df):
+    return [f.rsplit("/", 1)[1] for f in df.inputFiles()]
+
+
+def test_derived_tables_are_stored_small(spark, small):
+    assert all(f.endswith(".zstd.parquet") for f in _files(Testbed(spark, small).prices))
+
+
+def test_trailing_ratios_are_those_of_all_years(spark, small):
+    t = Testbed(spark, small)
+    made = Testbed.ratios.func.__closure__
+    ratios = next(c.cell_contents for c in made if callable(c.cell_contents))(t)
+    found = {(r.symbol, r.statement_type, r.field_name): (r.year, r.value) for r in ratios.where("header = 'TTM'").collect()}
+    brute = t.lineitem.groupBy("symbol", "statement_type").agg(
+        F.max("year").alias("year"), F.max("l_discount").alias("d"), F.min("l_quantity").alias("q")
+    ).collect()
+    assert len(found) == 6 * len(brute)
+    for r in brute:
+        assert found[r.symbol, r.statement_type, "returnOnEquity"] == (r.year, r.d * 3)
+        assert found[r.symbol, r.statement_type, "cashConversionCycle"] == (r.year, r.q - 5)
+    ratios.collect()
+    assert "ReusedExchange" in ratios._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landed_files_are_compressed(spark, tmp_path):
+    folder = str(tmp_path / "landing")
+    write_landing(landed(spark, ['{"price": []}', "x"]), folder)
+    assert all(f.endswith(".json.gz") for f in _files(read_landing(spark, folder)))
+    assert {r.payload for r in read_landing(spark, folder).collect()} == {'{"price": []}', "x"}
+
+
+def test_payload_texts_are_made_after_the_shuffle(spark, small):
+    t = Testbed(spark, small)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    for call, text in ((calls.prices, "date_format"), (calls.statements, "revenueFromOperations")):
+        plan = call(t)._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+        assert len(plan) == 2 and text in plan[0] and text not in plan[1]
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    payload = calls.statements(t).where("symbol = '1' AND params['statement_code'] = 'pl'").first().payload
+    assert '"profitBeforeTax"' in payload and '"header":' in payload and '"equityCapital"' not in payload
+
+
+def test_price_files_by_symbol_cost_one_shuffle(spark, small):
+    t = Testbed(spark, small)
+    sent = calls.prices(t, 8)
+    assert sent._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    as_rows = lambda df: sorted((r.symbol, len(r.payload)) for r in df.collect())
+    assert as_rows(sent) == as_rows(calls.prices(t))

@@ -5,6 +5,8 @@ Payloads are chunked by ranges of a unique key or by calendar spans, so each hol
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,27 +77,27 @@ def quotes(t) -> DataFrame:
     return _landing(maps, "/api/v1/quote", F.to_json("quotes"))
 
 
-def _field_map(fields: dict[str, str], header: Column, *more: tuple[str, Column]) -> Column:
-    pairs = [F.lit("header"), header, F.lit("year"), F.col("year").cast("string")]
-    for name, value in more:
-        pairs += [F.lit(name), value]
-    for name, expression in fields.items():
-        pairs += [F.lit(name), F.expr(expression).cast("double").cast("string")]
-    return F.create_map(*pairs)
+def _field_maps(fields: dict[str, dict[str, str]], *more: str) -> Column:
+    """Periods as maps of texts, made after the grouping: what is shuffled are the figures of each period in `_rows`."""
+    def made(of: dict[str, str]) -> str:
+        pairs = ["'header', r.header", "'year', CAST(r.year AS STRING)", *[f"'{name}', r.{name}" for name in more]]
+        for name, expression in of.items():
+            figure = re.sub(r"\b([eqdt])\b", r"r.\1", expression)
+            pairs.append(f"'{name}', CAST(CAST({figure} AS DOUBLE) AS STRING)")
+        return f"transform(_rows, r -> map({', '.join(pairs)}))"
+
+    return F.expr("CASE " + " ".join(f"WHEN statement_code = '{c}' THEN {made(of)}" for c, of in fields.items()) + " END")
 
 
 def statements(t) -> DataFrame:
     """One payload per symbol, type, code and kind, with all its periods. Quarters come without a header."""
     keys = ["symbol", "statement_type", "statement_code", "period_kind"]
-    header = F.when(F.col("period_kind") != "quarterly", F.col("header"))
-    end = ("period_end", F.date_format("period_end", "yyyyMMdd"))
-    body = None
-    for code, fields in STATEMENT_FIELDS.items():
-        item = _field_map(fields, header, end)
-        body = F.when(F.col("statement_code") == code, item) if body is None else body.when(
-            F.col("statement_code") == code, item
-        )
-    sent = t.statement_wide.withColumn("item", body).groupBy(*keys).agg(F.collect_list("item").alias("financials"))
+    header = F.when(F.col("period_kind") != "quarterly", F.col("header")).alias("header")
+    end = F.date_format("period_end", "yyyyMMdd").alias("period_end")
+    rows = F.collect_list(F.struct(header, "year", end, "e", "q", "d", "t"))
+    sent = t.statement_wide.groupBy(*keys).agg(rows.alias("_rows")).withColumn(
+        "financials", _field_maps(STATEMENT_FIELDS, "period_end")
+    )
     return _landing(
         sent, _path("financials"), F.to_json(F.struct("financials")), F.col("symbol"),
         statement_type=F.col("statement_type"), statement_code=F.col("statement_code"), period=F.col("period_kind"),
@@ -104,14 +106,9 @@ def statements(t) -> DataFrame:
 
 def basics(t) -> DataFrame:
     keys = ["symbol", "statement_type", "statement_code"]
-    body = None
-    for code, fields in BASIC_FIELDS.items():
-        item = _field_map(fields, F.col("header"))
-        body = F.when(F.col("statement_code") == code, item) if body is None else body.when(
-            F.col("statement_code") == code, item
-        )
-    yearly = t.statement_wide.where(F.col("period_kind") != "quarterly").withColumn("item", body)
-    sent = yearly.groupBy(*keys).agg(F.collect_list("item").alias("ratios"))
+    yearly = t.statement_wide.where(F.col("period_kind") != "quarterly")
+    rows = F.collect_list(F.struct("header", "year", "e", "q", "d", "t"))
+    sent = yearly.groupBy(*keys).agg(rows.alias("_rows")).withColumn("ratios", _field_maps(BASIC_FIELDS))
     return _landing(
         sent, _path("basic-financials"), F.to_json(F.struct("ratios")), F.col("symbol"),
         statement_type=F.col("statement_type"), statement_code=F.col("statement_code"),
@@ -147,13 +144,15 @@ def metrics(t) -> DataFrame:
 
 
 def price_ratios_daily(t) -> DataFrame:
-    item = F.struct(
-        F.date_format("quote_date", "yyyy-MM-dd").alias("quote_date"),
-        *[F.col(c).cast("string").alias(c) for c in ("pe", "pb", "ptb", "ps", "pfcf")],
+    figures = ("pe", "pb", "ptb", "ps", "pfcf")
+    days = t.price_ratios.groupBy("symbol", "statement_type", F.year("quote_date")).agg(
+        F.collect_list(F.struct("quote_date", *figures)).alias("_rows")
     )
-    sent = t.price_ratios.groupBy("symbol", "statement_type", F.year("quote_date")).agg(
-        F.collect_list(item).alias("price_ratios")
+    # Texts are made after the shuffle.
+    item = lambda r: F.struct(
+        F.date_format(r["quote_date"], "yyyy-MM-dd").alias("quote_date"), *[r[c].cast("string").alias(c) for c in figures]
     )
+    sent = days.withColumn("price_ratios", F.transform("_rows", item))
     return _landing(
         sent, _path("daily-price-ratios"), F.to_json(F.struct("price_ratios")), F.col("symbol"),
         statement_type=F.col("statement_type"),
@@ -178,14 +177,21 @@ def price_ratios_annual(t) -> DataFrame:
     )
 
 
-def prices(t) -> DataFrame:
-    """Daily quotes per symbol and month, with sessions without trading and negative prices among them."""
-    item = F.struct(
-        F.date_format("quote_date", "yyyy-MM-dd HH:mm:ss").alias("quote_date"),
-        *[F.col(c).alias(f"{c}_price") for c in ("open", "high", "low", "close")],
-        "volume",
+def prices(t, parts: int | None = None) -> DataFrame:
+    """Daily quotes per symbol and month, with sessions without trading and negative prices among them.
+
+    With `parts` a symbol's payloads lie in one of so many partitions, which costs no shuffle of the payloads.
+    """
+    shown = ("open", "high", "low", "close")
+    quotes = damaged_prices(t) if parts is None else damaged_prices(t).repartition(parts, "symbol")
+    months = quotes.groupBy("symbol", F.trunc("quote_date", "month")).agg(
+        F.collect_list(F.struct("quote_date", *shown, "volume")).alias("_rows")
+    )
+    item = lambda r: F.struct(
+        F.date_format(r["quote_date"], "yyyy-MM-dd HH:mm:ss").alias("quote_date"),
+        *[r[c].alias(f"{c}_price") for c in shown], r["volume"].alias("volume"),
     )
-    sent = damaged_prices(t).groupBy("symbol", F.trunc("quote_date", "month")).agg(F.collect_list(item).alias("price"))
+    sent = months.withColumn("price", F.transform("_rows", item))
     return _landing(sent, _path("daily-quotes"), F.to_json(F.struct("price")), F.col("symbol"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bourselight.operators import merge, normalise
 from bourselight.session import new_table_path
+from bourselight.sources.landing import write_landing
 from bourselight.streaming import jobs
 from workload import landed
 from workload.pipelines import P08_SQL
@@ -38,11 +39,11 @@ def _events(t):
 def t01(t):
     """Landed price files, taken in several micro-batches and once more in a second, resumed run."""
     folder, targets = new_table_path(t.spark, "landing_stream"), {"price_daily": PRICES}
-    sent = landed.prices(t).repartition(8, "symbol")
-    sent.write.json(folder)
+    files = max(8, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    write_landing(landed.prices(t, files), folder)
     tables = jobs.tables_of(t.spark, new_table_path(t.spark, "layer2"), targets)
     for _ in range(2):
-        jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=4), tables, targets)
+        jobs.ingest(jobs.read_landing_stream(t.spark, folder, files_per_batch=files // 2), tables, targets)
     return tables.read("price_daily").drop("fetched_at")
 
 

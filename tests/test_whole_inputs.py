@@ -19,6 +19,16 @@ def test_sums_of_large_figures(spark):
     assert df.agg(_decimal_sum("v").alias("s")).first().s == 123_461_789_012.75
 
 
+def test_sums_are_those_of_decimals(spark):
+    """Figures with more places, negative, huge, missing and without a value, as sums of decimals have them."""
+    figures = [1.005, 2.675, -0.015, 0.1, -7.25, 9e15, -8.9e15, 12345678901234.56, 1e13, None, float("nan"), 0.0]
+    rows = [(k, v) for k in range(3) for v in figures[k:]] + [(3, None), (4, 9e15), *[(5, 9e15)] * 40, (6, -0.01)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    decimals = F.sum(F.col("v").cast("decimal(18,2)")).cast("double")
+    found = df.groupBy("k").agg(_decimal_sum("v").alias("s"), decimals.alias("d")).collect()
+    assert len(found) == 7 and [r.s for r in found] == [r.d for r in found]
+
+
 def landed(spark, payloads, endpoint="/api/v1/daily-quotes/A"):
     rows = [(endpoint, "A", {}, p, None) for p in payloads]
     return spark.createDataFrame(rows, LANDING_SCHEMA)
@@ -152,6 +162,44 @@ def test_trailing_ratios_are_those_of_all_years(spark, small):
     assert "ReusedExchange" in ratios._jdf.queryExecution().executedPlan().toString()
 
 
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [part.split(",")[0] for part in plan.split("Exchange hashpartitioning(")[1:]]
+
+
+def _underived(t, name):
+    return next(c.cell_contents for c in getattr(Testbed, name).func.__closure__ if callable(c.cell_contents))(t)
+
+
+def test_lines_are_grouped_by_numbers(spark, small):
+    t = Testbed(spark, small)
+    for name in ("statement_wide", "prices", "ratios", "metrics"):
+        df = _underived(t, name)
+        assert all(key.startswith("l_suppkey#") for key in _exchanges(df)), name
+        assert "decimal(28,2)" not in df._jdf.queryExecution().optimizedPlan().toString()
+    wide = {(r.symbol, r.statement_type, r.statement_code, r.period_kind, r.header): r for r in _underived(t, "statement_wide").collect()}
+    keys = ["symbol", "statement_type", "statement_code"]
+    years = t.lineitem.groupBy(*keys, "year").agg(F.sum("l_extendedprice").alias("e")).collect()
+    half = t.lineitem.where("month(day) > 6").groupBy(*keys).agg(F.sum("l_extendedprice").alias("e"), F.max("year").alias("year")).collect()
+    assert {k[4] for k in wide if k[3] == "annual"} == {f"Mar {y}" for y in (1995, 1996, 1997, 1998)} | {None}
+    for r in years:
+        row = wide[r.symbol, r.statement_type, r.statement_code, "annual", r.year and f"Mar {r.year}"]
+        assert (row.year, row.e) == (r.year, r.e * 1234567.89) and (row.period_end is None) == (r.year is None)
+    for r in half:
+        row = wide[r.symbol, r.statement_type, r.statement_code, "ttm", "TTM"]
+        assert (row.year, row.e) == (r.year, r.e * 1234567.89)
+    assert len([k for k in wide if k[3] == "ttm"]) == len(half) and len([k for k in wide if k[3] == "annual"]) == len(years)
+
+
+def test_constituents_shuffle_lines_once(spark, small):
+    spark.createDataFrame([(0, 5), (1, 6), (2, 6), (3, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{small}/supplier.parquet")
+    spark.createDataFrame([(5, 1, "E"), (6, 1, "F")], "n_nationkey int, n_regionkey int, n_name string").write.parquet(f"{small}/nation.parquet")
+    found = _underived(Testbed(spark, small), "constituents")
+    lines = Testbed(spark, small).table("lineitem").collect()
+    want = {("F" if r.l_suppkey else "E", str(r.l_partkey + 1000000 * (r.l_orderkey % 50 == 0))) for r in lines if r.l_suppkey < 3}
+    assert len(_exchanges(found)) == 1 and sorted((r.index_symbol, r.symbol) for r in found.collect()) == sorted(want)
+
+
 def test_landed_files_are_compressed(spark, tmp_path):
     folder = str(tmp_path / "landing")
     write_landing(landed(spark, ['{"price": []}', "x"]), folder)

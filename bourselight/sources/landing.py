@@ -58,16 +58,20 @@ CONTAINERS = {
 }
 
 
-def entry_count(target: Column) -> Column:
+def held_entries(target: Column) -> Column:
+    """The part of a payload that holds its entries, NULL where it lacks its container."""
+    container = F.lit(None).cast("string")
+    for table, name in CONTAINERS.items():
+        container = F.when(target == table, f"$.{name}").otherwise(container)
+    return F.when(container.isNull(), F.col("payload")).otherwise(F.call_function("get_json_object", F.col("payload"), container))
+
+
+def entry_count(target: Column, held: Column) -> Column:
     """How many entries a payload holds for its normaliser; 0 where it is no JSON of the right shape.
 
     Elements of an array, keys with a value of an object, symbols with figures of a quote map, elements of all lists of a map
-    of corporate actions; a profile is one entry.
+    of corporate actions; a profile is one entry. `held` is a column of its own, or its text would be cut out at every use.
     """
-    container = F.lit(None).cast("string")
-    for table, name in CONTAINERS.items():
-        container = F.when(target == table, f"$.{name}").otherwise(container)
-    held = F.coalesce(F.call_function("get_json_object", F.col("payload"), container), F.when(container.isNull(), F.col("payload")))
     values = F.filter(F.map_values(F.from_json(held, "map<string,string>")), lambda v: v.isNotNull())
     by_shape = (
         F.when(F.ltrim(held).startswith("["), F.json_array_length(held))
@@ -91,7 +95,8 @@ def _judged(landing: DataFrame) -> DataFrame:
     A payload is empty, no JSON, or without entries. Payloads without a normaliser have no fault: they are kept as they came.
     """
     target, payload = F.col("target"), F.col("payload")
-    counted = landing.withColumn("target", route()).withColumn("n", entry_count(target))
+    cut = landing.withColumn("target", route()).withColumn("_held", held_entries(target))
+    counted = cut.withColumn("n", entry_count(target, F.col("_held"))).drop("_held")
     empty, not_json, no_entries = REASONS
     fault = (
         F.when(target == ARCHIVE_ONLY, F.lit(None).cast("string"))

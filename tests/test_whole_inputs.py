@@ -66,6 +66,11 @@ def test_entries_of_every_shape(spark, endpoint, payload, entries):
     assert (account.entries, account.no_entries) == (entries, int(entries == 0))
 
 
+def test_entries_are_cut_out_once(spark):
+    plan = payload_account(landed(spark, ['{"price": [{}]}']))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
+
+
 def test_one_bad_year_costs_one_row(spark):
     found = spark.createDataFrame([("3000000000",), ("2024.0",), ("x",), (None,)], "v string").select(to_int("v").alias("y"))
     assert [r.y for r in found.collect()] == [None, 2024, None, None]

@@ -71,6 +71,17 @@ def test_entries_are_cut_out_once(spark):
     assert plan.count("get_json_object") == 1
 
 
+def test_lists_are_counted_from_one_parse(spark):
+    """A payload is parsed once for its fault and its list; what is no list is counted by its text, as before."""
+    payloads = ['{"price": [{"a": 1}, 2, "x", null, [3], true]}', '{"price": "[1, 2]"}', '{"price": {"a": 1, "b": null}}', '{"price": [1], "x": ', '{"price": [1], "price": [2]}']
+    df = payload_account(landed(spark, payloads))
+    assert [(r.payloads, r.taken, r.not_json, r.entries) for r in df.collect()] == [(5, 3, 2, 9)]
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.lower().count("parsejson") == 1 and "variant_get" in plan
+
+
 def test_one_bad_year_costs_one_row(spark):
     found = spark.createDataFrame([("3000000000",), ("2024.0",), ("x",), (None,)], "v string").select(to_int("v").alias("y"))
     assert [r.y for r in found.collect()] == [None, 2024, None, None]
@@ -229,3 +240,27 @@ def test_price_files_by_symbol_cost_one_shuffle(spark, small):
     assert sent._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     as_rows = lambda df: sorted((r.symbol, len(r.payload)) for r in df.collect())
     assert as_rows(sent) == as_rows(calls.prices(t))
+
+
+def test_rows_are_grouped_behind_one_shuffle(spark, small):
+    t = Testbed(spark, small)
+    for call in (calls.prices, calls.statements, calls.basics, calls.ratios, calls.metrics):
+        plan = call(t)._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+        assert len(plan) == 2 and "collect_list" not in plan[1], call.__name__
+
+
+def test_valuations_are_shuffled_once(spark, tmp_path):
+    orders = spark.range(60).selectExpr(
+        "id AS o_orderkey", "id % 4 AS o_custkey", "element_at(array('F', 'O'), CAST(id % 2 + 1 AS INT)) AS o_orderstatus",
+        "CAST(100 + id AS DOUBLE) AS o_totalprice", "timestamp'1995-01-10' + make_interval(0, CAST(id % 30 AS INT)) AS o_orderdate",
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    t = Testbed(spark, str(tmp_path))
+    sent = calls.price_ratios_daily(t).unionByName(calls.price_ratios_annual(t))
+    found = {r.target: (r.payloads, r.entries) for r in payload_account(sent).collect()}
+    years = t.price_ratios.select("symbol", "statement_type", F.year("quote_date").alias("y"))
+    groups = years.select("symbol", "statement_type").distinct().count()
+    assert found == {"price_ratio_daily": (years.distinct().count(), years.count()), "price_ratio_annual": (groups, years.distinct().count())}
+    sent.collect()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

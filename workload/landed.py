@@ -34,6 +34,14 @@ def _path(call: str) -> Column:
     return F.concat(F.lit(f"/api/v1/{call}/"), F.col("symbol"))
 
 
+def _listed(df: DataFrame, keys: list[str], item: Column, name: str) -> DataFrame:
+    """The items of each group as a list.
+
+    Rows are shuffled as they are, as lists would not shrink them, and the texts of an item are made behind the shuffle.
+    """
+    return df.repartition(*keys).select(*keys, item.alias("_item")).groupBy(*keys).agg(F.collect_list("_item").alias(name))
+
+
 def symbols(t) -> DataFrame:
     """Symbol master in chunks; some symbols are blank and some names and codes are missing."""
     key, size = F.col("p_partkey"), F.col("p_size")
@@ -44,7 +52,7 @@ def symbols(t) -> DataFrame:
         F.when(size % 3 == 0, (key + 500000).cast("string")).otherwise("").alias("bse_code"),
         (size % 2 == 0).alias("consolidated_ind"),
     )
-    chunks = t.table("part").groupBy(F.floor(key / CHUNK)).agg(F.collect_list(item).alias("items"))
+    chunks = _listed(t.table("part").withColumn("_chunk", F.floor(key / CHUNK)), ["_chunk"], item, "items")
     return _landing(chunks, "/api/v1/stock-symbols", F.to_json("items"))
 
 
@@ -71,10 +79,8 @@ def quotes(t) -> DataFrame:
         F.lit("15:30").alias("tradetime"),
     )
     chunk = F.floor(F.col("symbol").cast("bigint") / CHUNK)
-    maps = damaged_quotes(t).groupBy(chunk).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("symbol"), figures))).alias("quotes")
-    )
-    return _landing(maps, "/api/v1/quote", F.to_json("quotes"))
+    chunks = _listed(damaged_quotes(t).withColumn("_chunk", chunk), ["_chunk"], F.struct(F.col("symbol"), figures), "_entries")
+    return _landing(chunks, "/api/v1/quote", F.to_json(F.map_from_entries("_entries")))
 
 
 def _field_maps(fields: dict[str, dict[str, str]], *more: str) -> Column:
@@ -94,10 +100,8 @@ def statements(t) -> DataFrame:
     keys = ["symbol", "statement_type", "statement_code", "period_kind"]
     header = F.when(F.col("period_kind") != "quarterly", F.col("header")).alias("header")
     end = F.date_format("period_end", "yyyyMMdd").alias("period_end")
-    rows = F.collect_list(F.struct(header, "year", end, "e", "q", "d", "t"))
-    sent = t.statement_wide.groupBy(*keys).agg(rows.alias("_rows")).withColumn(
-        "financials", _field_maps(STATEMENT_FIELDS, "period_end")
-    )
+    row = F.struct(header, "year", end, "e", "q", "d", "t")
+    sent = _listed(t.statement_wide, keys, row, "_rows").withColumn("financials", _field_maps(STATEMENT_FIELDS, "period_end"))
     return _landing(
         sent, _path("financials"), F.to_json(F.struct("financials")), F.col("symbol"),
         statement_type=F.col("statement_type"), statement_code=F.col("statement_code"), period=F.col("period_kind"),
@@ -107,8 +111,8 @@ def statements(t) -> DataFrame:
 def basics(t) -> DataFrame:
     keys = ["symbol", "statement_type", "statement_code"]
     yearly = t.statement_wide.where(F.col("period_kind") != "quarterly")
-    rows = F.collect_list(F.struct("header", "year", "e", "q", "d", "t"))
-    sent = yearly.groupBy(*keys).agg(rows.alias("_rows")).withColumn("ratios", _field_maps(BASIC_FIELDS))
+    row = F.struct("header", "year", "e", "q", "d", "t")
+    sent = _listed(yearly, keys, row, "_rows").withColumn("ratios", _field_maps(BASIC_FIELDS))
     return _landing(
         sent, _path("basic-financials"), F.to_json(F.struct("ratios")), F.col("symbol"),
         statement_type=F.col("statement_type"), statement_code=F.col("statement_code"),
@@ -116,8 +120,9 @@ def basics(t) -> DataFrame:
 
 
 def ratios(t) -> DataFrame:
+    """Both groupings are by symbol, type and family at least, so one shuffle by these serves them."""
     keys = ["symbol", "statement_type", "family"]
-    per_year = t.ratios.groupBy(*keys, "header", "year").agg(
+    per_year = t.ratios.repartition(*keys).groupBy(*keys, "header", "year").agg(
         F.map_from_entries(F.collect_list(F.struct("field_name", F.col("value").cast("string")))).alias("figures")
     )
     tagged = F.map_concat(
@@ -134,8 +139,8 @@ def metrics(t) -> DataFrame:
     """Point-in-time metrics; a missing one is sent as "NA"."""
     keys = ["symbol", "statement_type", "family"]
     figure = F.coalesce(F.col("value").cast("string"), F.lit("NA"))
-    sent = t.metrics.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("field_name", figure))).alias("financial_metrics")
+    sent = _listed(t.metrics, keys, F.struct("field_name", figure.alias("value")), "_entries").withColumn(
+        "financial_metrics", F.map_from_entries("_entries")
     )
     return _landing(
         sent, _path("financial-metrics"), F.to_json(F.struct("financial_metrics")), F.col("symbol"),
@@ -143,16 +148,19 @@ def metrics(t) -> DataFrame:
     )
 
 
+def _valuations(t) -> DataFrame:
+    """Daily valuation with a symbol's days in one partition; daily and annual payloads are both made from this one shuffle."""
+    return t.price_ratios.repartition("symbol", "statement_type").withColumn("year", F.year("quote_date"))
+
+
 def price_ratios_daily(t) -> DataFrame:
-    figures = ("pe", "pb", "ptb", "ps", "pfcf")
-    days = t.price_ratios.groupBy("symbol", "statement_type", F.year("quote_date")).agg(
-        F.collect_list(F.struct("quote_date", *figures)).alias("_rows")
-    )
-    # Texts are made after the shuffle.
-    item = lambda r: F.struct(
-        F.date_format(r["quote_date"], "yyyy-MM-dd").alias("quote_date"), *[r[c].cast("string").alias(c) for c in figures]
+    keys = ["symbol", "statement_type", "year"]
+    item = F.struct(
+        F.date_format("quote_date", "yyyy-MM-dd").alias("quote_date"),
+        *[F.col(c).cast("string").alias(c) for c in ("pe", "pb", "ptb", "ps", "pfcf")],
     )
-    sent = days.withColumn("price_ratios", F.transform("_rows", item))
+    days = _valuations(t).select(*keys, item.alias("_item"))
+    sent = days.groupBy(*keys).agg(F.collect_list("_item").alias("price_ratios"))
     return _landing(
         sent, _path("daily-price-ratios"), F.to_json(F.struct("price_ratios")), F.col("symbol"),
         statement_type=F.col("statement_type"),
@@ -162,7 +170,7 @@ def price_ratios_daily(t) -> DataFrame:
 def price_ratios_annual(t) -> DataFrame:
     """Yearly valuation; a P/E that is not known is sent as 0."""
     keys = ["symbol", "statement_type"]
-    yearly = t.price_ratios.groupBy(*keys, F.year("quote_date").alias("year")).agg(
+    yearly = _valuations(t).groupBy(*keys, "year").agg(
         F.max("ps").alias("average_price"), F.coalesce(F.max("pe"), F.lit(0.0)).alias("pe"), F.max("pb").alias("pb"),
         F.max("ptb").alias("ptb"), F.lit(0.0).alias("ps"), F.max("pfcf").alias("pfcf"),
     )
@@ -183,15 +191,13 @@ def prices(t, parts: int | None = None) -> DataFrame:
     With `parts` a symbol's payloads lie in one of so many partitions, which costs no shuffle of the payloads.
     """
     shown = ("open", "high", "low", "close")
-    quotes = damaged_prices(t) if parts is None else damaged_prices(t).repartition(parts, "symbol")
-    months = quotes.groupBy("symbol", F.trunc("quote_date", "month")).agg(
-        F.collect_list(F.struct("quote_date", *shown, "volume")).alias("_rows")
-    )
-    item = lambda r: F.struct(
-        F.date_format(r["quote_date"], "yyyy-MM-dd HH:mm:ss").alias("quote_date"),
-        *[r[c].alias(f"{c}_price") for c in shown], r["volume"].alias("volume"),
+    keys, quotes = ["symbol", "_month"], damaged_prices(t).withColumn("_month", F.trunc("quote_date", "month"))
+    item = F.struct(
+        F.date_format("quote_date", "yyyy-MM-dd HH:mm:ss").alias("quote_date"),
+        *[F.col(c).alias(f"{c}_price") for c in shown], "volume",
     )
-    sent = months.withColumn("price", F.transform("_rows", item))
+    days = quotes.repartition(*keys) if parts is None else quotes.repartition(parts, "symbol")
+    sent = days.select(*keys, item.alias("_item")).groupBy(*keys).agg(F.collect_list("_item").alias("price"))
     return _landing(sent, _path("daily-quotes"), F.to_json(F.struct("price")), F.col("symbol"))
 
 
@@ -204,14 +210,14 @@ def dividends(t) -> DataFrame:
         F.date_format("ex_date", "d-MMM-yyyy").alias("date"), "amount", F.col("subject").alias("dividend_type")
     )
     paid = t.actions.where(F.col("action") == "dividend")
-    sent = paid.groupBy("symbol", _order_chunk()).agg(F.collect_list(item).alias("dividend"))
+    sent = _listed(paid.withColumn("_chunk", _order_chunk()), ["symbol", "_chunk"], item, "dividend")
     return _landing(sent, _path("dividend"), F.to_json(F.struct("dividend")), F.col("symbol"))
 
 
 def corporate_actions(t) -> DataFrame:
     item = F.struct(F.date_format("ex_date", "yyyyMMdd").alias("date"), F.col("subject").alias("action"), "amount")
     other = t.actions.where(F.col("action") != "dividend")
-    sent = other.groupBy("symbol", "action", _order_chunk()).agg(F.collect_list(item).alias("items"))
+    sent = _listed(other.withColumn("_chunk", _order_chunk()), ["symbol", "action", "_chunk"], item, "items")
     path = F.concat(F.lit("/api/v1/corporate-actions/"), F.col("action"), F.lit("/"), F.col("symbol"))
     return _landing(sent, path, F.to_json(F.create_map("action", "items")), F.col("symbol"))
 
@@ -234,7 +240,10 @@ def shareholding(t) -> DataFrame:
 def index_master(t) -> DataFrame:
     """Index master with constituents, an index's list being sent in parts of at most 100 keys."""
     chunk = F.floor(F.col("symbol").cast("bigint") / CHUNK)
-    listed = t.constituents.groupBy("index_symbol", chunk).agg(F.collect_set("symbol").alias("constituents"))
+    keys = ["index_symbol", "_chunk"]
+    listed = t.constituents.withColumn("_chunk", chunk).repartition(*keys).groupBy(*keys).agg(
+        F.collect_set("symbol").alias("constituents")
+    )
     item = F.struct(
         "index_symbol", "index_name", "exchange", "index_type", "index_sub_type",
         F.when(F.col("index_type") == "broad", 0.0).otherwise(F.col("market_cap")).alias("market_cap"), "constituents",
